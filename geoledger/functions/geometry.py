@@ -30,6 +30,11 @@ Part = tuple[int, list[np.ndarray]]
 # ---------------------------------------------------------------- columns
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _point(xy: Column) -> Column:
     return F.struct(xy.getItem(0).alias("x"), xy.getItem(1).alias("y"))
 
@@ -42,30 +47,43 @@ def _part(dim: int, rings: Column) -> Column:
     return F.struct(F.lit(dim).alias("dim"), rings.alias("rings"))
 
 
-def _parts_of(text: Column) -> Column:
-    """Parts of one GeoJSON geometry text that is not a collection."""
-    kind = F.get_json_object(text, "$.type")
-    raw = F.get_json_object(text, "$.coordinates")
-    deep = {n: F.from_json(raw, "array<" * n + "double" + ">" * n) for n in (1, 2, 3, 4)}
-    parts = (
-        F.when(kind == "Point", F.array(_part(0, F.array(F.array(_point(deep[1]))))))
-        .when(kind == "MultiPoint", F.transform(deep[2], lambda p: _part(0, F.array(F.array(_point(p))))))
-        .when(kind == "LineString", F.array(_part(1, F.array(_ring(deep[2])))))
-        .when(kind == "MultiLineString", F.transform(deep[3], lambda line: _part(1, F.array(_ring(line)))))
-        .when(kind == "Polygon", F.array(_part(2, F.transform(deep[3], _ring))))
-        .when(kind == "MultiPolygon", F.transform(deep[4], lambda poly: _part(2, F.transform(poly, _ring))))
+def _members(text: Column) -> Column:
+    """Type, raw coordinates and raw member geometries of a GeoJSON text."""
+    return F.from_json(text, "type string, coordinates string, geometries array<string>")
+
+
+def _parts_of(geometry: Column) -> Column:
+    """Parts of one geometry that is not a collection."""
+    kind, raw = geometry["type"], geometry["coordinates"]
+
+    def nested(depth: int) -> Column:
+        return F.from_json(raw, "array<" * depth + "double" + ">" * depth)
+
+    return (
+        F.when(kind == "Point", _let(nested(1), lambda p: F.array(_part(0, F.array(F.array(_point(p)))))))
+        .when(kind == "MultiPoint", F.transform(nested(2), lambda p: _part(0, F.array(F.array(_point(p))))))
+        .when(kind == "LineString", F.array(_part(1, F.array(_ring(nested(2))))))
+        .when(kind == "MultiLineString", F.transform(nested(3), lambda line: _part(1, F.array(_ring(line)))))
+        .when(kind == "Polygon", F.array(_part(2, F.transform(nested(3), _ring))))
+        .when(kind == "MultiPolygon", F.transform(nested(4), lambda poly: _part(2, F.transform(poly, _ring))))
     )
-    return parts
 
 
 def geometry_from_json(text: Column) -> Column:
-    """GeoJSON text to a geometry struct; null for null or unknown shapes."""
-    kind = F.get_json_object(text, "$.type")
-    members = F.from_json(F.get_json_object(text, "$.geometries"), "array<string>")
-    parts = F.when(kind == "GeometryCollection", F.flatten(F.transform(members, _parts_of))).otherwise(
-        _parts_of(text)
-    )
-    return F.when(parts.isNotNull(), F.struct(kind.alias("type"), parts.alias("parts")).cast(GEOMETRY_TYPE))
+    """GeoJSON text to a geometry struct; null for null or unknown shapes.
+
+    Write or checkpoint the result before filtering it by an exact predicate: a Python predicate over lambda
+    expressions of the same plan is not always taken out of its filter by the optimizer.
+    """
+
+    def build(geometry: Column) -> Column:
+        inner = F.flatten(F.transform(geometry["geometries"], lambda g: _let(_members(g), _parts_of)))
+        parts = F.when(geometry["type"] == "GeometryCollection", inner).otherwise(_parts_of(geometry))
+        made = _let(parts, lambda p: F.when(
+            p.isNotNull(), F.struct(geometry["type"].alias("type"), p.alias("parts")).cast(GEOMETRY_TYPE)))
+        return F.when(geometry["type"].isNotNull(), made)
+
+    return _let(_members(text), build)
 
 
 def bbox_polygon(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

@@ -88,11 +88,12 @@ def extract_date(text: Column) -> Column:
 
 
 def rfc3339(ts: Column) -> Column:
-    """Timestamp to text ending in Z; a fraction appears only when it is not zero."""
-    has_fraction = F.date_format(ts, "SSSSSS") != "000000"
-    return F.when(has_fraction, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    )
+    """UTC timestamp to text ending in Z; a fraction of six digits appears only when it is not zero."""
+    # the cast to text ignores the session zone, which formatting functions do not
+    text = F.translate(ts.cast("timestamp_ntz").cast("string"), " ", "T")
+    seconds, fraction = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
+    return F.when(F.contains(text, F.lit(".")), F.concat(
+        seconds, F.lit("."), F.rpad(fraction, 6, "0"), F.lit("Z"))).otherwise(F.concat(text, F.lit("Z")))
 
 
 def queue_score(text: Column) -> Column:

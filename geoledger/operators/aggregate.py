@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger.functions import grids
-from geoledger.functions.geometry import box_geometry
+from geoledger.functions.geometry import _Batch, box_geometry, intersects
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
 
@@ -306,10 +307,6 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
 
 def _meets(geometry: Column, cell: Column) -> Column:
     """Exact test of two geometry columns; null geometry is false."""
-    import pyarrow as pa
-
-    from geoledger.functions.geometry import _Batch, intersects
-
     @F.arrow_udf("boolean")
     def meets(left: pa.Array, right: pa.Array) -> pa.Array:
         rows = zip(_Batch(left).parts_of_rows(), _Batch(right).parts_of_rows())

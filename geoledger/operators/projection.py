@@ -16,6 +16,14 @@ from geoledger.functions.times import ts_lit
 Paths = list[list[str]]
 
 
+class _Wild(list):
+    """What is left of a path that had a wildcard: it never matches inside a plain value."""
+
+
+def _split(paths: Sequence[str]) -> Paths:
+    return [(_Wild if "*" in p else list)(p.split(".")) for p in paths]
+
+
 def parse_fields(items: Sequence[str]) -> tuple[list[str], list[str]]:
     """`+a`, `a` to include, `-b` to exclude."""
     include = [s.lstrip("+") for s in items if not s.startswith("-")]
@@ -40,7 +48,7 @@ def _any(patterns: Sequence[str], key: Column) -> Column:
 
 
 def _tails(name: str, paths: Paths) -> Paths:
-    return [p[1:] for p in paths if _matches(p[0], name)]
+    return [type(p)(p[1:]) for p in paths if _matches(p[0], name)]
 
 
 def _include(column: Column, dtype: T.DataType, paths: Paths) -> tuple[Column, T.DataType] | None:
@@ -56,15 +64,14 @@ def _include(column: Column, dtype: T.DataType, paths: Paths) -> tuple[Column, T
         whole = any(len(p) == 1 for p in paths) or not isinstance(dtype.valueType, T.StructType)
         if whole:
             return kept, dtype
-        below = [p[1:] for p in paths]
+        below = [type(p)(p[1:]) for p in paths]
         probe = _include(F.lit(None), dtype.valueType, below)
         if probe is None:
             return None
         cut = F.transform_values(kept, lambda _, v: _include(v, dtype.valueType, below)[0])
         return cut, T.MapType(dtype.keyType, probe[1])
-    # a plain value is kept whole unless a wildcard path wanted something inside it
-    plain = [p for p in paths if not any("*" in part for part in p)]
-    return (column, dtype) if plain else None
+    # a plain value is kept whole unless only wildcard paths wanted something inside it
+    return None if all(isinstance(p, _Wild) for p in paths) else (column, dtype)
 
 
 def _exclude(column: Column, dtype: T.DataType, paths: Paths) -> tuple[Column, T.DataType] | None:
@@ -80,22 +87,33 @@ def _exclude(column: Column, dtype: T.DataType, paths: Paths) -> tuple[Column, T
         kept = F.map_filter(column, lambda k, _: ~_any(gone, k)) if gone else column
         if isinstance(dtype.valueType, T.StructType):
             for path in (p for p in paths if len(p) > 1):
-                # values of one map share their type: a field excluded from some keys only becomes null there
-                if path[0] == "*":
-                    probe = _exclude(F.lit(None), dtype.valueType, [path[1:]])
-                    if probe is None:
-                        return None
-                    value_type = dtype.valueType
-                    kept = F.transform_values(kept, lambda _, v, t=value_type, p=path: _exclude(v, t, [p[1:]])[0])
-                    dtype = T.MapType(dtype.keyType, probe[1])
-                elif len(path) == 2:
-                    kept = F.transform_values(kept, lambda k, v, p=path: F.when(
-                        _like(p[0], k), v.withField(p[1], F.lit(None))).otherwise(v)
-                        if p[1] in dtype.valueType.fieldNames() else v)
+                cut = _cut_values(kept, dtype, path)
+                if cut is None:
+                    return None
+                kept, dtype = cut
         return F.when(F.size(kept) > 0, kept), dtype
     return column, dtype
 
 
+def _cut_values(column: Column, dtype: T.MapType, path: list[str]) -> tuple[Column, T.MapType] | None:
+    """A map of objects without one path inside its values.
+
+    Values of one map share their type: what is excluded from some keys only becomes null there.
+    """
+    below = [type(path)(path[1:])]
+    if path[0] == "*":
+        probe = _exclude(F.lit(None), dtype.valueType, below)
+        if probe is None:
+            return None
+        cut = F.transform_values(column, lambda _, v: _exclude(v, dtype.valueType, below)[0])
+        return cut, T.MapType(dtype.keyType, probe[1])
+    if len(path) == 2 and path[1] in dtype.valueType.fieldNames():
+        cut = F.transform_values(
+            column, lambda k, v: F.when(_like(path[0], k), v.withField(path[1], F.lit(None))).otherwise(v))
+        return cut, dtype
+    return column, dtype
+
+
 def _rebuild(dtype: T.StructType, pick, column: Column) -> tuple[Column, T.DataType] | None:
     made, fields = [], []
     for field in dtype.fields:
@@ -126,13 +144,13 @@ def select_fields(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[
     the schema, so the scan reads only what is kept.
     """
     if include:
-        paths = [p.split(".") for p in include]
+        paths = _split(include)
         kept = _project(df, lambda c, f: _include(c, f.dataType, _tails(f.name, paths)))
         if kept is None:
             return df.select("id", "collection")
         df = kept
     if exclude:
-        paths = [p.split(".") for p in exclude]
+        paths = _split(exclude)
         kept = _project(df, lambda c, f: _exclude(c, f.dataType, _tails(f.name, paths)))
         return df.select() if kept is None else kept
     return df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoledger.functions.times import parse_utc
+
 
 def read_features(
     spark: SparkSession, path: str, collection: str | None = None, lines: bool = False
@@ -41,7 +43,7 @@ def read_collections(
 COLLECTION_SCHEMA = (
     "id string, type string, title string, description string, stac_version string, "
     "stac_extensions array<string>, license string, keywords array<string>, parent_ids array<string>, "
-    "extent struct<spatial:struct<bbox:array<array<double>>>,temporal:struct<interval:array<array<timestamp_ntz>>>>, "
+    "extent struct<spatial:struct<bbox:array<array<double>>>,temporal:struct<interval:array<array<string>>>>, "
     "aggregations array<struct<name:string,data_type:string,frequency_distribution_data_type:string>>"
 )
 
@@ -50,4 +52,7 @@ def parse_collections(raw: DataFrame) -> DataFrame:
     """Typed columns of (id, document) rows; the id column wins over the document's."""
     parsed = raw.withColumn("c", F.from_json("document", COLLECTION_SCHEMA))
     names = [part.strip().split(" ")[0] for part in COLLECTION_SCHEMA.split(", ")]
-    return parsed.select("id", *[f"c.{n}" for n in names if n != "id"], "document")
+    rows = parsed.select("id", *[f"c.{n}" for n in names if n != "id"], "document")
+    # the JSON reader takes no offset for zone-less times, so the dates are parsed here
+    dates = F.transform("extent.temporal.interval", lambda pair: F.transform(pair, parse_utc))
+    return rows.withColumn("extent", F.col("extent").withField("temporal", F.struct(dates.alias("interval"))))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from geoledger.functions.geometry import GEOMETRY_TYPE, bounds_of, geometry_from_json
 from geoledger.functions.times import parse_utc
 from geoledger.operators.validation import json_kind
+from geoledger.session import checkpointed
 
 # Types given to new fields by name or detected type; the first match counts.
 BASE_TEMPLATES: list[dict[str, dict[str, Any]]] = [
@@ -147,21 +148,17 @@ class MappedField:
             raise ValueError(f"unknown mapping type {self.mapping['type']!r} of {self.path}")
         return kind
 
-    @property
-    def json_path(self) -> str:
-        return "$" + "".join(f"['{part}']" for part in split_path(self.path))
-
 
 def split_path(path: str) -> list[str]:
     return path.split(".")
 
 
 def observed_fields(documents: DataFrame, column: str = "document") -> dict[str, tuple[str, bool]]:
-    """Path to (detected type, several values) of every field in the VARIANT documents.
+    """Path to (detected type, several values) of every field in the documents.
 
     Schemas are merged by a partial aggregate; only the merged schema comes to the driver.
     """
-    ddl = documents.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first()["s"]
+    ddl = documents.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
     if ddl is None:
         return {}
     schema = T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
@@ -207,76 +204,97 @@ def mapping_for(
 # ---------------------------------------------------------------- projection
 
 
-def _value(document: Column, field: MappedField) -> Column:
+def _raw_schema(mapping: Sequence[MappedField]) -> T.StructType:
+    """Every mapped field as text (or a list of texts): one pass of the JSON reader finds them all."""
+    tree: dict[str, Any] = {}
+    for field in mapping:
+        *parents, leaf = split_path(field.path)
+        node = tree
+        for part in parents:
+            node = node.setdefault(part, {})
+        node[leaf] = T.ArrayType(T.StringType()) if field.many else T.StringType()
+
+    def struct(node: dict[str, Any]) -> T.StructType:
+        return T.StructType([
+            T.StructField(name, struct(v) if isinstance(v, dict) else v) for name, v in node.items()
+        ])
+
+    return struct(tree)
+
+
+def _cast(text: Column, field: MappedField) -> Column:
+    """The text of one value in the field's type; null where it does not fit."""
     kind = field.spark_type
-    if kind == "variant":
-        return F.try_variant_get(document, field.json_path, "variant")
     if field.mapping["type"] == "geo_shape":
-        return geometry_from_json(F.to_json(F.try_variant_get(document, field.json_path, "variant")))
+        return geometry_from_json(text)
+    if field.mapping["type"] == "geo_point":
+        return F.from_json(text, kind)
+    if kind == "variant":
+        return F.try_parse_json(text)
     if kind == "timestamp_ntz":
-        if field.many:
-            texts = F.try_variant_get(document, field.json_path, "array<string>")
-            return F.transform(texts, parse_utc)
-        return parse_utc(F.try_variant_get(document, field.json_path, "string"))
-    return F.try_variant_get(document, field.json_path, f"array<{kind}>" if field.many else kind)
+        return parse_utc(text)
+    return text if kind == "string" else text.try_cast(kind)
 
 
-def _rejection(document: Column, field: MappedField, value: Column, coerce: bool) -> Column | None:
-    """Why a document cannot be stored because of this field, or null."""
-    kind = field.spark_type
-    if kind == "variant" or field.mapping["type"] == "geo_shape" or field.many:
-        return None
-    raw = json_kind(document, field.json_path)
-    message = F.when(raw.isNotNull() & (raw != "null") & value.isNull(), F.lit(
-        f"failed to parse field [{field.path}] of type [{field.mapping['type']}]"))
-    if kind in _NUMBERS and not coerce:
-        message = F.coalesce(message, F.when(raw == "string", F.lit(
-            f"field [{field.path}] of type [{field.mapping['type']}] takes no text")))
-    return message
+def _cast_all(texts: Column, field: MappedField) -> Column:
+    return F.transform(texts, lambda text: _cast(text, field))
 
 
 def typed(
     documents: DataFrame, mapping: Sequence[MappedField], mode: str = "true", coerce: bool = True,
     column: str = "document",
 ) -> DataFrame:
-    """Typed items of raw VARIANT documents, with `error` for those the mapping rejects (all else null).
+    """Typed items of documents given as JSON text, with `error` for those the mapping rejects (all else null).
 
-    Fields of `properties` go into a struct, times and the geometry's bounds also to the top level. Mode `false`
-    keeps unknown properties in `extra`; mode `strict` rejects documents that have any.
+    Fields of `properties` go into a struct, times and the geometry's bounds also to the top level. Columns the
+    frame already has, such as a stamped collection, win over the document's members. Mode `false` keeps unknown
+    properties as JSON texts in `extra`; mode `strict` rejects documents that have any.
     """
     mode = dynamic_mode(mode)
-    document = F.col(column)
+    parsed = documents.withColumn("_d", F.from_json(F.col(column), _raw_schema(mapping)))
+
+    def raw(path: str) -> Column:
+        found = F.col("_d")
+        for part in split_path(path):
+            found = found.getField(part)
+        return found
+
     top, props, errors = [], [], []
     for field in mapping:
-        value = _value(document, field)
-        reason = _rejection(document, field, value, coerce)
-        if reason is not None:
-            errors.append(reason)
+        text = raw(field.path)
+        value = _cast_all(text, field) if field.many else _cast(text, field)
         parts = split_path(field.path)
         if parts[0] == "properties":
             props.append((parts[1:], value))
-        else:
-            top.append((value.alias(field.path), field.path))
-    known = {f.path for f in mapping}
-    keys = F.map_keys(F.try_variant_get(document, "$.properties", "map<string,variant>"))
-    known_props = sorted({split_path(p)[1] for p in known if p.startswith("properties.")})
-    unknown = F.array_except(keys, F.array(*[F.lit(k) for k in known_props]).cast("array<string>"))
+        elif field.path not in documents.columns:
+            top.append(value.alias(field.path))
+        if field.spark_type in ("string", "variant") or field.many:
+            continue
+        label = f"[{field.path}] of type [{field.mapping['type']}]"
+        errors.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"failed to parse field {label}")))
+        if field.spark_type in _NUMBERS and not coerce:
+            kind = json_kind(F.try_parse_json(F.col(column)), "$" + "".join(f"['{p}']" for p in parts))
+            errors.append(F.when(kind == "string", F.lit(f"field {label} takes no text")))
+
+    extra = F.lit(None).cast("map<string,string>")
+    if mode != "true":
+        known = sorted({split_path(f.path)[1] for f in mapping if f.path.startswith("properties.")})
+        members = F.from_json(F.get_json_object(column, "$.properties"), "map<string,string>")
+        extra = F.map_filter(members, lambda k, _: ~k.isin(known) if known else F.lit(True))
     if mode == "strict":
-        errors.append(F.when(F.size(unknown) > 0, F.concat(
-            F.lit("mapping set to strict, unknown field ["), F.get(unknown, 0), F.lit("]"))))
-    extra = F.map_filter(
-        F.try_variant_get(document, "$.properties", "map<string,variant>"), lambda k, _: F.array_contains(unknown, k))
-    times = [_value(document, MappedField(f"properties.{n}", {"type": "date"})).alias(n)
-             for n in ("datetime", "start_datetime", "end_datetime", "created", "updated")]
-    # columns the frame already has, such as a stamped collection, win over the document's members
-    fresh = [c for c, path in top if path not in documents.columns]
-    out = documents.select(
-        *documents.columns, *fresh, *times, _nest(props).alias("properties"), extra.alias("extra"),
+        errors.append(F.when(F.size(F.map_keys(extra)) > 0, F.concat(
+            F.lit("mapping set to strict, unknown field ["), F.get(F.map_keys(extra), 0), F.lit("]"))))
+
+    typed_paths = {f.path for f in mapping}
+    times = [
+        parse_utc(raw(f"properties.{n}")).alias(n)
+        for n in ("datetime", "start_datetime", "end_datetime", "created", "updated") if f"properties.{n}" in typed_paths
+    ]
+    out = parsed.select(
+        *documents.columns, *top, *times, _nest(props).alias("properties"), extra.alias("extra"),
         F.coalesce(*errors, F.lit(None).cast("string")).alias("error"),
     )
-    if "geometry" in out.columns:
-        out = out.withColumns(bounds_of(F.col("geometry")))
-    return out
+    return out.withColumns(bounds_of(F.col("geometry"))) if "geometry" in out.columns else out
 
 
 def _nest(entries: list[tuple[list[str], Column]]) -> Column:
@@ -292,5 +310,6 @@ def _nest(entries: list[tuple[list[str], Column]]) -> Column:
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows of `typed`."""
-    return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())
+    """(accepted, rejected) rows of `typed`, which runs once: both halves read its written result."""
+    done = checkpointed(df)
+    return done.filter(F.col("error").isNull()).drop("error"), done.filter(F.col("error").isNotNull())

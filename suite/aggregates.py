@@ -155,10 +155,25 @@ def date_case(unit: str, name: str):
 
 
 date_case("month", "agg_datetime_frequency")
-for _unit in ("year", "quarter", "week", "day", "hour", "minute", "second"):
+for _unit in ("year", "quarter", "week", "day", "hour"):
     date_case(_unit, f"agg_datetime_frequency_{_unit}")
 
 
+def fine_case(unit: str, name: str):
+    """Fine histograms, shown as one row per day: their steps, and the rows and the fullest step in them."""
+    per_day = "substr(key, 1, 10)"
+
+    @case(name, f"SELECT {per_day} AS day, count(*) AS steps, sum(frequency)::BIGINT AS items, max(frequency) AS fullest FROM ({sql_dates(unit)}) GROUP BY 1")
+    def query(spark, sf_dir):
+        found = agg.datetime_histogram(items(spark, sf_dir), unit)
+        return found.groupBy(F.substring("key", 1, 10).alias("day")).agg(
+            F.count(F.lit(1)).alias("steps"), F.sum("frequency").alias("items"), F.max("frequency").alias("fullest"))
+
+
+for _unit in ("minute", "second"):
+    fine_case(_unit, f"agg_datetime_frequency_{_unit}")
+
+
 # ---------------------------------------------------------------- grids
 
 TILE = (

@@ -143,7 +143,7 @@ def q_contains(spark, sf_dir):
 # ---------------------------------------------------------------- text
 
 SQL_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+(?:[''.][\p{{L}}\p{{N}}_]+)*')"
-TERMS = ["data", "street"]
+TERMS = ["ention", "sich"]
 
 item_case(
     "f_free_text", lambda f: text.by_free_text(f, "signup, c4", fuzzy=False),
@@ -156,7 +156,7 @@ item_case(
 )
 
 
-@case("f_free_text_documents", f"SELECT doc_id FROM documents WHERE list_has_any({SQL_WORDS.format('text')}, ['data', 'street'])", views=None)
+@case("f_free_text_documents", f"SELECT doc_id FROM documents WHERE list_has_any({SQL_WORDS.format('text')}, ['ention', 'sich'])", views=None)
 def free_text_documents(spark, sf_dir):
     documents = sample.table(spark, sf_dir, "documents").withColumnRenamed("text", "description")
     wanted = text.by_free_text(Fields.of(documents), TERMS, ["description"], fuzzy=False)

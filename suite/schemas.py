@@ -36,10 +36,6 @@ def documents(spark, sf_dir):
     return items.select("collection", "id", F.regexp_replace(text, '"cloud_text"', '"eo:cloud_cover"').alias("document"))
 
 
-def variants(spark, sf_dir):
-    return documents(spark, sf_dir).withColumn("document", F.parse_json("document"))
-
-
 @case("src_feature_collection", "SELECT id, 'stamped' AS collection, platform FROM items_v")
 def feature_collection(spark, sf_dir):
     # files of one FeatureCollection per line, a hundred features each
@@ -73,7 +69,7 @@ SQL_TYPED = (
 
 @case("typed_projection", SQL_TYPED)
 def typed_projection(spark, sf_dir):
-    docs = variants(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     custom = typed.merge_fields(typed.BASE_FIELDS, {"properties.eo:cloud_cover": {"type": "double"}})
     mapping = typed.mapping_for(typed.observed_fields(docs), custom)
     rows, _ = typed.split_rejected(typed.typed(docs, mapping))
@@ -94,14 +90,14 @@ KNOWN = {
 
 @case("schema_mode", "SELECT id, CASE WHEN event_id % 10 = 0 THEN 'mapping set to strict, unknown field [odd]' END AS error FROM items_v")
 def schema_mode(spark, sf_dir):
-    rows = typed.typed(variants(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="strict"), mode="strict")
+    rows = typed.typed(documents(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="strict"), mode="strict")
     return rows.select("id", "error")
 
 
 @case("schema_mode_unindexed", "SELECT id, CASE WHEN event_id % 10 = 0 THEN event_id END AS odd FROM items_v")
 def schema_unindexed(spark, sf_dir):
-    rows = typed.typed(variants(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="false"), mode="false")
-    odd = F.try_variant_get(F.try_element_at("extra", F.lit("odd")), "$", "bigint")
+    rows = typed.typed(documents(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="false"), mode="false")
+    odd = F.try_element_at("extra", F.lit("odd")).cast("bigint")
     return rows.select("id", odd.alias("odd"))
 
 
@@ -110,7 +106,7 @@ def schema_unindexed(spark, sf_dir):
     "SELECT id, CAST(cloud_cover AS DOUBLE) AS coerced, CASE WHEN event_id % 4 = 0 THEN 'field [properties.eo:cloud_cover] of type [double] takes no text' END AS error FROM items_v",
 )
 def schema_coerce(spark, sf_dir):
-    docs, mapping = variants(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="false")
+    docs, mapping = documents(spark, sf_dir), typed.mapping_for({}, KNOWN, mode="false")
     coerced = typed.typed(docs, mapping, "false", coerce=True)
     strict = typed.typed(docs, mapping, "false", coerce=False)
     # the coerced value beside the reason for which the uncoerced run rejects the same row
