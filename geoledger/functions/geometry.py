@@ -356,29 +356,79 @@ class _Batch:
             rows[row].append(made[part])
         return rows
 
-    def intersects(self, other: list[Part]) -> np.ndarray:
-        """All rows against one literal at once."""
+    def _edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and part of every segment: neighbours in one ring of a line or polygon."""
+        part = self.ring_part[self.point_ring]
+        same = (self.point_ring[1:] == self.point_ring[:-1]) & (self.dim[part[1:]] > 0)
+        return self.points[:-1][same], self.points[1:][same], part[1:][same]
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """First point and part of every ring."""
+        _, first = np.unique(self.point_ring, return_index=True)
+        return self.points[first], self.ring_part[self.point_ring[first]]
+
+    def _rows(self, parts: np.ndarray) -> np.ndarray:
+        """Mask of the rows that own some of the given parts."""
         out = np.zeros(self.size, dtype=bool)
-        if not len(self.points):
-            return out
-        point_part = self.ring_part[self.point_ring]
-        # first point of every part against the literal
-        _, heads = np.unique(point_part, return_index=True)
-        hit = _locate(self.points[heads], other)[0]
-        out[self.part_row[point_part[heads[hit]]]] = True
-        # segments: neighbours in one ring of a line or polygon
-        same = (self.point_ring[1:] == self.point_ring[:-1]) & (self.dim[point_part[1:]] > 0)
-        a, b, part = self.points[:-1][same], self.points[1:][same], point_part[1:][same]
+        out[self.part_row[parts]] = True
+        return out
+
+    def touches(self, other: list[Part]) -> np.ndarray:
+        """Rows with a segment that meets a segment of the literal."""
+        a, b, part = self._edges()
         c, d = _segments([r for dim, rings in other if dim for r in rings])
-        if len(a) and len(c):
-            out[self.part_row[part[_touching(a, b, c, d)]]] = True
-        # first point of every literal part inside the rows' lines and polygons
+        return self._rows(part[_touching(a, b, c, d)] if len(a) and len(c) else part[:0])
+
+    def holds_point(self, point: np.ndarray) -> np.ndarray:
+        """Rows that have one point, inside or on the edge."""
+        a, b, part = self._edges()
+        px, py = point[:1], point[1:2]
+        odd = np.bincount(part, weights=_ray_crossings(px, py, a, b)[0], minlength=len(self.dim)) % 2 == 1
+        heads, head_part = self._heads()
+        equal = ((heads - point) ** 2).sum(axis=1) <= EPS * EPS
+        return (
+            self._rows(np.flatnonzero(odd & (self.dim == 2)))
+            | self._rows(part[_near_segment(px, py, a, b)[0]])
+            | self._rows(head_part[equal & (self.dim[head_part] == 0)])
+        )
+
+    def intersects(self, other: list[Part]) -> np.ndarray:
+        """Rows that share a point with the literal."""
+        if not len(self.points):
+            return np.zeros(self.size, dtype=bool)
+        heads, head_part = self._heads()
+        out = self.touches(other) | self._rows(head_part[_locate(heads, other)[0]])
         for _, rings in other:
-            px, py = rings[0][:1, 0], rings[0][:1, 1]
-            on_edge = _near_segment(px, py, a, b)[0]
-            out[self.part_row[part[on_edge]]] = True
-            odd = np.bincount(part, weights=_ray_crossings(px, py, a, b)[0], minlength=len(self.dim)) % 2 == 1
-            out[self.part_row[odd & (self.dim == 2)]] = True
+            out |= self.holds_point(rings[0][0])
+        return out
+
+    def related(self, other: list[Part], within: bool) -> np.ndarray:
+        """Rows within the literal, or rows that contain it.
+
+        Where no boundaries meet, a part lies on one side whole and one point of each ring decides all rows at
+        once; only rows whose boundary meets the literal's are compared piece by piece.
+        """
+        if not len(self.points):
+            return np.zeros(self.size, dtype=bool)
+        filled = np.zeros(self.size, dtype=bool)
+        filled[self.part_row] = True
+        heads, head_part = self._heads()
+        located, strictly = _locate(heads, other)
+        if within:
+            out = filled & ~self._rows(head_part[~located])
+            # a ring of the literal inside a row: a hole or an edge of the literal cuts the row
+            for _, rings in (part for part in other if part[0] == 2):
+                for ring in rings:
+                    out &= ~self.holds_point(ring[0])
+        else:
+            out = filled & ~self._rows(head_part[strictly])
+            for _, rings in other:
+                out &= self.holds_point(rings[0][0])
+        unsure = self.touches(other)
+        if unsure.any():
+            rows = self.parts_of_rows()
+            for row in np.flatnonzero(unsure):
+                out[row] = covers(other, rows[row]) if within else covers(rows[row], other)
         return out
 
 
@@ -393,8 +443,6 @@ def predicate_udf(relation: str, literal: list[Part]):
         batch = _Batch(geometry)
         if relation == "intersects":
             return pa.array(batch.intersects(literal))
-        if relation == "within":
-            return pa.array([bool(row) and covers(literal, row) for row in batch.parts_of_rows()], pa.bool_())
-        return pa.array([bool(row) and covers(row, literal) for row in batch.parts_of_rows()], pa.bool_())
+        return pa.array(batch.related(literal, within=relation == "within"))
 
     return matches

@@ -1,0 +1,235 @@
+"""Hexagon cells of the H3 grid, from its published definition, vectorised over a batch.
+
+The globe is an icosahedron; each face carries a hexagon lattice refined seven-fold per resolution. A cell is
+its base cell (122 of them) and one direction digit per resolution, seen from the base cell's home face. What the
+definition fixes by choice is listed below; which base cell a lattice point of a face belongs to, and how far that
+face is turned against the home face, follows from geometry and is computed once per process.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MAX_RESOLUTION = 15
+
+# Latitude and longitude of each face's centre, in radians.
+FACE_CENTRES = (
+    (0.803582649718989942, 1.248397419617396099), (1.307747883455638156, 2.536945009877921159),
+    (1.054751253523952054, -1.347517358900396623), (0.600191595538186799, -0.450603909469755746),
+    (0.491715428198773866, 0.401988202911306943), (0.172745327415618701, 1.678146885280433686),
+    (0.605929321571350690, 2.953923329812411617), (0.427370518328979641, -1.888876200336285401),
+    (-0.079066118549212831, -0.733429513380867741), (-0.230961644455383637, 0.506495587332349035),
+    (0.079066118549212831, 2.408163140208925497), (0.230961644455383637, -2.635097066257444203),
+    (-0.172745327415618701, -1.463445768309359553), (-0.605929321571350690, -0.187669323777381622),
+    (-0.427370518328979641, 1.252716453253507838), (-0.600191595538186799, 2.690988744120037492),
+    (-0.491715428198773866, -2.739604450678486295), (-0.803582649718989942, -1.893195233972397139),
+    (-1.307747883455638156, -0.604647643711872080), (-1.054751253523952054, 1.794075294689396615),
+)
+# Azimuth of each face's first axis from its centre, in radians.
+FACE_AZIMUTHS = (
+    5.619958268523939882, 5.760339081714187279, 0.780213654393430055, 0.430469363979999913, 6.130269123335111400,
+    2.692877706530642877, 2.982963003477243874, 3.532912002790141181, 3.494305004259568154, 3.003214169499538391,
+    5.930472956509811562, 0.138378484090254847, 0.448714947059150361, 0.158629650112549365, 5.891865957979238535,
+    2.711123289609793325, 3.294508837434268316, 3.804819692245439833, 3.664438879055192436, 2.361378999196363184,
+)
+# Home face of each base cell, in base cell order.
+HOME_FACES = (
+    1, 2, 1, 2, 0, 1, 1, 2, 0, 2, 1, 1, 3, 3, 11, 4, 0, 6, 0, 2, 7, 2, 0, 6, 10, 6, 3, 11, 4, 3, 0, 4, 5, 0, 7, 11, 7, 10,
+    12, 6, 7, 4, 3, 3, 4, 6, 11, 8, 5, 14, 5, 12, 10, 4, 12, 7, 11, 10, 13, 10, 11, 9, 8, 6, 8, 9, 14, 5, 16, 8, 5, 12, 7,
+    12, 10, 9, 13, 16, 15, 15, 16, 14, 13, 5, 8, 14, 9, 14, 17, 12, 16, 17, 15, 16, 9, 15, 13, 8, 13, 17, 19, 14, 19, 17,
+    13, 17, 16, 9, 15, 15, 18, 18, 19, 17, 19, 18, 18, 19, 19, 18, 19, 18,
+)
+# The pentagons, each with the faces on which its missing direction is turned clockwise.
+PENTAGONS = {
+    4: (), 14: (2, 6), 24: (1, 5), 38: (3, 7), 49: (0, 9), 58: (4, 8), 63: (11, 15), 72: (12, 16), 83: (10, 19),
+    97: (13, 17), 107: (14, 18), 117: (),
+}
+# Length of a lattice step at resolution 0 on the tangent plane, and the turn of odd resolutions.
+UNIT = 0.38196601125010500003
+TURN = 0.333473172251832115336
+
+# Direction digits by lattice step, and the order in which a turn to the left passes them.
+DIGIT = {(0, 0): 0, (-1, -1): 1, (0, 1): 2, (-1, 0): 3, (1, 0): 4, (0, -1): 5, (1, 1): 6}
+LEFT_TURN = (1, 5, 4, 6, 2, 3)
+MISSING = 1
+
+
+def _vectors(lat, lon):
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)
+
+
+def _azimuth(lat1, lon1, lat2, lon2):
+    return np.arctan2(
+        np.cos(lat2) * np.sin(lon2 - lon1),
+        np.cos(lat1) * np.sin(lat2) - np.sin(lat1) * np.cos(lat2) * np.cos(lon2 - lon1),
+    )
+
+
+def _nearest(x, y):
+    """Lattice point next to a plane position; axes at 0 and 120 degrees."""
+    b = y / np.sin(np.pi / 3)
+    a = x - b / 2
+    # three coordinates that sum to zero: round all, then repair the one rounded furthest
+    c = -a - b
+    ra, rb, rc = np.rint(a), np.rint(b), np.rint(c)
+    da, db, dc = np.abs(ra - a), np.abs(rb - b), np.abs(rc - c)
+    ra = np.where((da > db) & (da > dc), -rb - rc, ra)
+    rb = np.where((db >= da) & (db > dc), -ra - rc, rb)
+    return (ra + rb).astype(np.int64), rb.astype(np.int64)
+
+
+def _point_on(face: int, i: float, j: float) -> tuple[float, float]:
+    """Latitude and longitude of a resolution 0 lattice position on a face's tangent plane."""
+    x, y = i - j / 2, j * np.sin(np.pi / 3)
+    lat0, lon0 = FACE_CENTRES[face]
+    distance = np.arctan(np.hypot(x, y) * UNIT)
+    azimuth = FACE_AZIMUTHS[face] - np.arctan2(y, x)
+    lat = np.arcsin(np.sin(lat0) * np.cos(distance) + np.cos(lat0) * np.sin(distance) * np.cos(azimuth))
+    lon = lon0 + np.arctan2(
+        np.sin(azimuth) * np.sin(distance) * np.cos(lat0), np.cos(distance) - np.sin(lat0) * np.sin(lat))
+    return float(lat), float(lon)
+
+
+# Lattice points of a face at resolution 0: the centre, the ring around it, the edges' middles and the corners,
+# then the points just outside that a cell on the rim may round to.
+_INNER = ((0, 0), (1, 0), (0, 1), (-1, -1), (1, 1), (-1, 0), (0, -1), (2, 0), (0, 2), (-2, -2))
+_ALL = tuple((i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i - j) <= 2)
+
+
+@lru_cache(maxsize=1)
+def _base_cells() -> tuple[np.ndarray, np.ndarray]:
+    """(base cell, left turns to its home face) by face and lattice point (offset by 2)."""
+    found: list[tuple[float, float]] = []
+    for face in range(20):
+        for i, j in _INNER:
+            spot = _point_on(face, i, j)
+            if not found or (_vectors(*spot) @ _vectors(*np.array(found).T).T).max() < 1 - 1e-9:
+                found.append(spot)
+    # base cells are numbered from north to south
+    centres = np.array(sorted(found, key=lambda p: -p[0]))
+    vectors = _vectors(centres[:, 0], centres[:, 1])
+    home = {}
+    for cell, face in enumerate(HOME_FACES):
+        spots = _vectors(*np.array([_point_on(face, i, j) for i, j in _INNER]).T)
+        home[cell] = _INNER[int((spots @ vectors[cell]).argmax())]
+
+    cells = np.zeros((20, 5, 5), dtype=np.int64)
+    turns = np.zeros((20, 5, 5), dtype=np.int64)
+    for face in range(20):
+        for i, j in _ALL:
+            cell = int((vectors @ _vectors(*_point_on(face, i, j))).argmax())
+            cells[face, i + 2, j + 2] = cell
+            turns[face, i + 2, j + 2] = _turns(cell, centres[cell], face, (i, j), home[cell])
+    return cells, turns
+
+
+def _turns(cell: int, centre: np.ndarray, face: int, spot: tuple[int, int], home: tuple[int, int]) -> int:
+    """Left turns of 60 degrees from a face's axes to the home face's axes, at one base cell."""
+    home_face = HOME_FACES[cell]
+    if face == home_face:
+        return 0
+    if cell in PENTAGONS:
+        # five faces meet here; each sees itself in one direction, and the home face's order skips the missing one
+        order = (3, 5, 4, 6, 2)
+        own = {(2, 0): 3, (0, 2): 5, (-2, -2): 6}.get(spot)
+        if own is None:
+            return 0
+        toward = [_azimuth(*centre, *FACE_CENTRES[f]) for f in (home_face, face)]
+        steps = round((toward[0] - toward[1]) / np.radians(72)) % 5
+        return (steps - order.index(own)) % 5
+    step = 0.01
+    ahead = [
+        _azimuth(*_point_on(f, *at), *_point_on(f, at[0] + step, at[1])) for f, at in ((home_face, home), (face, spot))
+    ]
+    return round((ahead[0] - ahead[1]) / np.radians(60)) % 6
+
+
+def _turn(digits: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Digits turned left by 60 degrees a number of times."""
+    table = np.zeros((6, 7), dtype=np.int64)
+    for n in range(6):
+        for place, digit in enumerate(LEFT_TURN):
+            table[n, digit] = LEFT_TURN[(place + n) % 6]
+    return table[np.broadcast_to((times % 6)[:, None], digits.shape), digits]
+
+
+def _leading(digits: np.ndarray) -> np.ndarray:
+    """First digit that is not the centre, 0 when there is none."""
+    if not digits.shape[1]:
+        return np.zeros(len(digits), dtype=np.int64)
+    return digits[np.arange(len(digits)), (digits != 0).argmax(axis=1)]
+
+
+def hex_cells(lat: np.ndarray, lon: np.ndarray, resolution: int) -> np.ndarray:
+    """Cell numbers (uint64) of points given in degrees."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    centres, azimuths = np.array(FACE_CENTRES), np.array(FACE_AZIMUTHS)
+    cosine = _vectors(lat, lon) @ _vectors(centres[:, 0], centres[:, 1]).T
+    face = cosine.argmax(axis=1)
+    lat0, lon0 = centres[face, 0], centres[face, 1]
+
+    distance = np.arccos(np.clip(cosine[np.arange(len(face)), face], -1, 1))
+    angle = azimuths[face] - _azimuth(lat0, lon0, lat, lon) - (TURN if resolution % 2 else 0)
+    radius = np.tan(distance) / UNIT * np.sqrt(7.0) ** resolution
+    i, j = _nearest(radius * np.cos(angle), radius * np.sin(angle))
+
+    # climb to resolution 0, leaving one digit per level: where the point lies around its parent's centre
+    digit_of = np.zeros((3, 3), dtype=np.int64)
+    for (di, dj), digit in DIGIT.items():
+        digit_of[di + 1, dj + 1] = digit
+    digits = np.zeros((len(face), resolution), dtype=np.int64)
+    for level in range(resolution, 0, -1):
+        if level % 2:
+            up_i, up_j = np.rint((3 * i - j) / 7).astype(np.int64), np.rint((i + 2 * j) / 7).astype(np.int64)
+            di, dj = i - (2 * up_i + up_j), j - (3 * up_j - up_i)
+        else:
+            up_i, up_j = np.rint((2 * i + j) / 7).astype(np.int64), np.rint((3 * j - i) / 7).astype(np.int64)
+            di, dj = i - (3 * up_i - up_j), j - (up_i + 2 * up_j)
+        digits[:, level - 1] = digit_of[di + 1, dj + 1]
+        i, j = up_i, up_j
+
+    cells, turns = _base_cells()
+    base, left = cells[face, i + 2, j + 2], turns[face, i + 2, j + 2]
+    pentagon = np.isin(base, list(PENTAGONS))
+    out = _turn(digits, np.where(pentagon, 0, left))
+    if resolution and pentagon.any():
+        out[pentagon] = _turn_pentagon(digits[pentagon], base[pentagon], face[pentagon], left[pentagon])
+
+    number = np.full(len(face), (1 << 59) | (resolution << 52), dtype=np.uint64)
+    number |= base.astype(np.uint64) << np.uint64(45)
+    for level in range(1, MAX_RESOLUTION + 1):
+        digit = out[:, level - 1].astype(np.uint64) if level <= resolution else np.uint64(7)
+        number |= digit << np.uint64(3 * (MAX_RESOLUTION - level))
+    return number
+
+
+def _turn_pentagon(digits: np.ndarray, base: np.ndarray, face: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Turns around a pentagon, whose first direction is missing and is passed over."""
+    clockwise = np.array([f in PENTAGONS[b] for b, f in zip(base.tolist(), face.tolist())])
+    start = np.where(_leading(digits) == MISSING, np.where(clockwise, 5, 1), 0)
+    digits = _turn(digits, start)
+    for n in range(5):
+        turned = _turn(digits, np.ones(len(digits), dtype=np.int64))
+        turned = _turn(turned, (_leading(turned) == MISSING).astype(np.int64))
+        digits = np.where((n < left)[:, None], turned, digits)
+    return digits
+
+
+def hex_cell(lon: Column, lat: Column, resolution: int) -> Column:
+    """Cell of a point as lower-case hexadecimal text."""
+    if not 0 <= resolution <= MAX_RESOLUTION:
+        raise ValueError(f"the resolution must lie between 0 and {MAX_RESOLUTION}")
+
+    @F.arrow_udf("bigint")
+    def cell(longitude: pa.Array, latitude: pa.Array) -> pa.Array:
+        x, y = (a.to_numpy(zero_copy_only=False).astype(float) for a in (longitude, latitude))
+        known = ~(np.isnan(x) | np.isnan(y))
+        numbers = hex_cells(np.where(known, y, 0), np.where(known, x, 0), resolution)
+        return pa.array(numbers.astype(np.int64), mask=~known)
+
+    return F.lower(F.hex(cell(lon, lat)))

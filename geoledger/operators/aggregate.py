@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from geoledger.functions import grids
 from geoledger.functions.geometry import _Batch, box_geometry, intersects
+from geoledger.functions.hexgrid import hex_cell
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
 
@@ -243,8 +244,10 @@ def datetime_histogram(df: DataFrame, interval: str = "month", name: str = "date
 # ---------------------------------------------------------------- grids
 
 
-def _cells_to_output(cells: DataFrame, name: str) -> DataFrame:
-    counts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
+def _cells_to_output(cells: DataFrame, name: str, key: Column) -> DataFrame:
+    """Count cells by their numbers; the text of a cell is only made once per distinct cell."""
+    counts = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("name"), key.alias("key"), "n")
     ranked = top_terms(counts, {name: GRID_BUCKETS}, largest_key_first=True)
     # the grids report no remainder
     return _shape(ranked, F.col("name"), key=F.col("key"), frequency=F.col("n"))
@@ -252,21 +255,26 @@ def _cells_to_output(cells: DataFrame, name: str) -> DataFrame:
 
 def centroid_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     """Counts per geohash, geotile or geohex cell of the centroid (fields `centroid.lat`, `centroid.lon`)."""
-    low, high = GRIDS[f"centroid_{kind}_grid_frequency"]
+    name = f"centroid_{kind}_grid_frequency"
+    low, high = GRIDS[name]
     if not low <= precision <= high:
         raise ValueError(f"the precision must lie between {low} and {high}")
     fields = Fields.of(df, {"centroid.lon": "proj:centroid.lon", "centroid.lat": "proj:centroid.lat"})
     plain = Fields.of(df)
     lon = (fields.get("centroid.lon") or plain.get("centroid.lon") or plain.get("lon")).column
     lat = (fields.get("centroid.lat") or plain.get("centroid.lat") or plain.get("lat")).column
+    rows = df.filter(lon.isNotNull() & lat.isNotNull())
     if kind == "geohex":
-        from geoledger.functions.hexgrid import hex_cell
+        return _cells_to_output(rows.select(hex_cell(lon, lat, precision).alias("cell")), name, F.col("cell"))
+    column, row, name_of, _ = _GRID_FUNCTIONS[kind]
+    cells = rows.select(column(lon, precision).alias("cx"), row(lat, precision).alias("cy"))
+    return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
 
-        cell = hex_cell(lon, lat, precision)
-    else:
-        cell = {"geohash": grids.geohash, "geotile": grids.geotile}[kind](lon, lat, precision)
-    rows = df.filter(lon.isNotNull() & lat.isNotNull())
-    return _cells_to_output(rows.select(cell.alias("key")), f"centroid_{kind}_grid_frequency")
+
+_GRID_FUNCTIONS = {
+    "geohash": (grids.geohash_column, grids.geohash_row, grids.geohash_name, grids.geohash_cell_box),
+    "geotile": (grids.geotile_column, grids.geotile_row, grids.geotile_name, grids.geotile_cell_box),
+}
 
 
 def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
@@ -281,12 +289,9 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
         raise ValueError(f"the precision must lie between {low} and {high}")
     fields = Fields.of(df)
     minx, miny, maxx, maxy = (fields.get(n).column for n in ("minx", "miny", "maxx", "maxy"))
-    if kind == "geohash":
-        column, row, name_of, box = grids.geohash_column, grids.geohash_row, grids.geohash_name, grids.geohash_cell_box
-        bottom, top = miny, maxy
-    else:
-        column, row, name_of, box = grids.geotile_column, grids.geotile_row, grids.geotile_name, grids.geotile_cell_box
-        bottom, top = maxy, miny
+    column, row, name_of, box = _GRID_FUNCTIONS[kind]
+    # tile rows count from the north
+    bottom, top = (miny, maxy) if kind == "geohash" else (maxy, miny)
     shape = fields.get("geometry")
     keep = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
     if shape is not None:
@@ -302,7 +307,7 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
         cell = box_geometry(x0, y0, x1, y1)
         boxlike = F.col("geometry.type") == "Point"
         cells = cells.filter(whole | boxlike | _meets(F.when(~(whole | boxlike), F.col("geometry")), cell))
-    return _cells_to_output(cells.select(name_of(F.col("cx"), F.col("cy"), precision).alias("key")), name)
+    return _cells_to_output(cells.select("cx", "cy"), name, name_of(F.col("cx"), F.col("cy"), precision))
 
 
 def _meets(geometry: Column, cell: Column) -> Column:

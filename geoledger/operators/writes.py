@@ -49,42 +49,52 @@ def split_known(items: DataFrame, collections: DataFrame) -> tuple[DataFrame, Da
 
 
 def stored_keys(stored: DataFrame, batch: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Keys of the batch that are stored already: only key columns of the store are read."""
-    wanted = broadcast_if_small(batch.select(*key).distinct())
+    """Keys of the batch that are stored already: only key columns of the store are read.
+
+    The batch's keys are written once, because their size decides how they are joined.
+    """
+    wanted = broadcast_if_small(checkpointed(batch.select(*key).distinct()))
     return stored.select(*key).join(wanted, list(key), "left_semi")
 
 
+def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows with a flag `conflict` where their key is taken."""
+    taken = checkpointed(stored_keys(stored, new, key).distinct())
+    flagged = broadcast_if_small(taken.withColumn("conflict", F.lit(True)))
+    return new.join(flagged, list(key), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+
+
 def split_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, rows whose key is taken)."""
-    taken = broadcast_if_small(stored_keys(stored, new, key))
-    return new.join(taken, list(key), "left_anti"), new.join(taken, list(key), "left_semi")
+    marked = mark_conflicts(new, stored, key)
+    return marked.filter(~F.col("conflict")).drop("conflict"), marked.filter("conflict").drop("conflict")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows with the new ones in place of equal keys; `new` has one row per key."""
-    replaced = broadcast_if_small(new.select(*key))
+    replaced = broadcast_if_small(checkpointed(new.select(*key)))
     return stored.join(replaced, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def replace_existing(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Like upsert, but an absent key is an error."""
-    missing = new.join(broadcast_if_small(stored_keys(stored, new, key)), list(key), "left_anti")
-    if not missing.isEmpty():
-        raise LookupError(f"not stored: {missing.select(*key).first().asDict()}")
+    missing = mark_conflicts(new, stored, key).filter(~F.col("conflict")).select(*key).first()
+    if missing:
+        raise LookupError(f"not stored: {missing.asDict()}")
     return upsert(stored, new, key)
 
 
 def create_strict(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows and new ones; a taken key is an error."""
-    fresh, taken = split_conflicts(new, stored, key)
-    if not taken.isEmpty():
-        raise ValueError(f"already stored: {taken.select(*key).first().asDict()}")
-    return stored.unionByName(fresh, allowMissingColumns=True)
+    taken = mark_conflicts(new, stored, key).filter("conflict").select(*key).first()
+    if taken:
+        raise ValueError(f"already stored: {taken.asDict()}")
+    return stored.unionByName(new, allowMissingColumns=True)
 
 
 def delete_keys(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows without the given keys."""
-    return stored.join(broadcast_if_small(keys.select(*key)), list(key), "left_anti")
+    return stored.join(broadcast_if_small(checkpointed(keys.select(*key))), list(key), "left_anti")
 
 
 def rename_collection(items: DataFrame, old: str, new: str) -> DataFrame:

