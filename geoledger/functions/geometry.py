@@ -72,7 +72,7 @@ def _parts_of(geometry: Column) -> Column:
 def geometry_from_json(text: Column) -> Column:
     """GeoJSON text to a geometry struct; null for null or unknown shapes.
 
-    Write or checkpoint the result before filtering it by an exact predicate: a Python predicate over lambda
+    Write or materialise the result before filtering it by an exact predicate: a Python predicate over lambda
     expressions of the same plan is not always taken out of its filter by the optimizer.
     """
 

@@ -75,9 +75,8 @@ def ts_lit(value: str | datetime) -> Column:
 
 def parse_utc(text: Column) -> Column:
     """RFC 3339 text column to UTC TIMESTAMP_NTZ; null where it does not parse."""
-    instant = F.try_to_timestamp(
-        F.when(text.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
-    )
+    zoned = text.endswith("Z") | text.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$")
+    instant = F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
     # unix_micros counts from the epoch in UTC whatever the session zone is
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 

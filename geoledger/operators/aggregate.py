@@ -57,6 +57,9 @@ METRICS = ("total_count", "datetime_min", "datetime_max")
 
 # Groups among which the keys of one aggregation are ranked first.
 _RANK_GROUPS = 64
+# Steps of one histogram, and cells of one row, beyond which a request is refused instead of run.
+MAX_STEPS = 100_000_000
+MAX_ROW_CELLS = 10_000_000
 
 
 @dataclass
@@ -198,6 +201,7 @@ def histogram(df: DataFrame, column: Column, name: str, interval: float) -> Data
     step = F.floor(column.cast("double") / F.lit(float(interval))).cast("long")
     counts = df.filter(column.isNotNull()).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     span = counts.agg(F.min("step").alias("low"), F.max("step").alias("high")).filter(F.col("low").isNotNull())
+    span = span.select("low", _checked(F.col("high"), F.col("high") - F.col("low"), MAX_STEPS, "steps").alias("high"))
     # two levels, so that a long axis is spread over tasks instead of built as one array
     block = 100_000
     blocks = span.select("high", F.explode(F.sequence("low", "high", F.lit(block).cast("long"))).alias("start"))
@@ -208,6 +212,12 @@ def histogram(df: DataFrame, column: Column, name: str, interval: float) -> Data
     return _shape(filled, name, key=(F.col("step") * F.lit(float(interval))).cast("string"), frequency=F.col("n"))
 
 
+def _checked(value: Column, size: Column, limit: int, what: str) -> Column:
+    """The value, or an error when a size that goes with it exceeds a limit."""
+    return F.when(size <= F.lit(limit), value).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {limit} {what}: "), size.cast("string"))).cast("bigint"))
+
+
 def _fill(axis: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """Axis steps with their counts, 0 where there is none: a union and a sum, cheaper than an outer join."""
     zeros = axis.select(key, F.lit(0).cast("bigint").alias("n"))
@@ -296,10 +306,14 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     keep = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
     if shape is not None:
         keep.append(shape.column.alias("geometry"))
+    first_x, last_x = column(minx, precision), column(maxx, precision)
+    first_y, last_y = row(bottom, precision), row(top, precision)
+    number = (last_x - first_x + 1) * (last_y - first_y + 1)
     cells = (
         df.filter(minx.isNotNull())
-        .select(*keep, F.explode(F.sequence(column(minx, precision), column(maxx, precision))).alias("cx"))
-        .select("*", F.explode(F.sequence(row(bottom, precision), row(top, precision))).alias("cy"))
+        .select(*keep, first_y.alias("y0"), last_y.alias("y1"), F.explode(F.sequence(
+            first_x, _checked(last_x, number, MAX_ROW_CELLS, "cells under one row"))).alias("cx"))
+        .select("*", F.explode(F.sequence("y0", "y1")).alias("cy"))
     )
     if shape is not None:
         x0, y0, x1, y1 = box(F.col("cx"), F.col("cy"), precision)

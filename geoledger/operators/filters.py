@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.functions.times import parse_interval, ts_lit
-from geoledger.operators.fields import Field, Fields, holds, negate
+from geoledger.operators.fields import Field, Fields, negate
 from geoledger.session import broadcast_if_small
 
 # Above this many values a list is joined instead of written into the plan.
@@ -63,6 +63,9 @@ def by_datetime(fields: Fields, interval: str | None, use_datetime: bool = True,
 def compare(field: Field | None, op: str, value: Any) -> Column:
     """One comparison; `op` is eq, ne, lt, lte, gt, gte, in. A field the frame lacks matches nothing."""
     if op in ("ne", "neq"):
+        if field is not None and not field.is_array:
+            # the complement spelled out, which the scan understands
+            return field.column.isNull() | (field.column != field.literal(value))
         return negate(compare(field, "eq", value))
     if field is None:
         return F.lit(False)
@@ -104,4 +107,4 @@ def by_query(fields: Fields, query: Mapping[str, Mapping[str, Any]], prefix: str
 def visible(fields: Fields, path: str = "hidden") -> Column:
     """Rows whose flag is false or missing."""
     flag = fields.get(path)
-    return F.lit(True) if flag is None else ~holds(flag.column)
+    return F.lit(True) if flag is None else flag.column.isNull() | (flag.column == F.lit(False))

@@ -12,7 +12,7 @@ from geoledger.operators.fields import Fields, holds, negate
 from geoledger.operators.paging import MAX_LIMIT, Page, SortKey, decode_bar_token, resolve_limit
 from geoledger.operators.writes import delete_keys, upsert
 from geoledger.plans.search import SearchOptions, SearchPage, SearchRequest, search
-from geoledger.session import broadcast_if_small, checkpointed
+from geoledger.session import broadcast_if_small, materialised
 
 # Rounds of a descent before it is given up; cycles end by themselves.
 MAX_DEPTH = 1000
@@ -43,25 +43,27 @@ def get_catalog(resources: DataFrame, catalog_id: str) -> DataFrame:
 def descendant_collections(resources: DataFrame, catalog_id: str) -> DataFrame:
     """Ids of all collections under a catalog at any depth.
 
-    Breadth first, one join per level. Every round's frontier is written to the shared checkpoint folder, so the
-    plan does not grow with the depth, and catalogs seen before are not entered again.
+    Breadth first, one join per level. Every round's frontier is written to the shared folder, so the plan does not
+    grow with the depth, and catalogs seen before are not entered again.
     """
     get_catalog(resources, catalog_id)
     spark = resources.sparkSession
-    links = checkpointed(edges(resources))
+    links = materialised(edges(resources))
     down = links.filter("catalog").select("parent", "id")
     visited = frontier = spark.createDataFrame([(catalog_id,)], "id string")
-    for _ in range(MAX_DEPTH):
+    for depth in range(MAX_DEPTH):
         step = (
             down.join(broadcast_if_small(frontier.withColumnRenamed("id", "parent")), "parent", "left_semi")
             .select("id")
             .distinct()
             .join(broadcast_if_small(visited), "id", "left_anti")
         )
-        frontier = checkpointed(step)
+        frontier = materialised(step)
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
+        if depth % 10 == 9:
+            visited = materialised(visited)
     else:
         raise RuntimeError(f"catalog {catalog_id} is nested deeper than {MAX_DEPTH} levels")
     leaves = links.filter(~F.col("catalog"))

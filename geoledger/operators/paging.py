@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,8 +147,29 @@ def decode_bar_token(token: str | None, arity: int) -> list[str] | None:
     return parts if parts and len(parts) == arity else None
 
 
-def ordered(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
-    return df.orderBy(*[k.order for k in keys])
+# From this size on, a page is chosen in two steps.
+LARGE_PAGE = 1000
+_GROUPS = 64
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def top(df: DataFrame, keys: Sequence[SortKey], limit: int) -> DataFrame:
+    """The first rows in the order of the keys.
+
+    Every task keeps its own first rows. For a large page those are still many on a large table, so they are
+    reduced in groups by a hash of the id, which every order includes, before one task sees the rest.
+    """
+    order = [k.order for k in keys]
+    if limit >= LARGE_PAGE:
+        conf = df.sparkSession.conf
+        if int(conf.get(_GROUP_LIMIT)) < limit:
+            # up to this rank the planner cuts each task's rows before the shuffle
+            conf.set(_GROUP_LIMIT, str(limit))
+        ids = next(k.value for k in keys if k.field.path == "id")
+        group = F.pmod(F.hash(ids), F.lit(_GROUPS))
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        df = df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+    return df.orderBy(*order).limit(limit)
 
 
 @dataclass
@@ -168,7 +189,7 @@ class Page:
 
     @property
     def rows(self) -> DataFrame:
-        return ordered(self.window, self.keys).limit(self.limit)
+        return top(self.window, self.keys, self.limit)
 
     def matched(self) -> int:
         """Rows on all pages."""
@@ -180,8 +201,7 @@ class Page:
         if not self.bar_token and self.limit >= MAX_LIMIT:
             return None
         found = (
-            ordered(self.window, self.keys)
-            .limit(size)
+            top(self.window, self.keys, size)
             .select(*[k.value.alias(f"k{i}") for i, k in enumerate(self.keys)])
             .collect()
         )

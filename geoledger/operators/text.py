@@ -84,14 +84,20 @@ def by_free_text(
 
                 condition = condition | field.any(lambda c: F.exists(words(c), hit))
             else:
-                wanted = F.array(*[F.lit(w) for w in query_words])
-                condition = condition | field.any(lambda c: F.arrays_overlap(words(c), wanted))
+                condition = condition | field.any(lambda c: _has_word(c, query_words))
         else:
             typos = allowed_typos(query) if fuzzy else 0
             condition = condition | field.any(lambda c: near(c.cast("string"), query, typos))
     return condition
 
 
+def _has_word(text: Column, query_words: Sequence[str]) -> Column:
+    """Some word of the text is a query word. A text without any of the letters in a row is not cut into words."""
+    lower = F.lower(text)
+    candidate = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(w)) for w in query_words))
+    return candidate & F.arrays_overlap(words(text), F.array(*[F.lit(w) for w in query_words]))
+
+
 def _driver_words(text: str) -> list[str]:
     import regex
 

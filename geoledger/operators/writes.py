@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoledger.operators.projection import prepare_items
 from geoledger.operators.validation import check_threshold, item_error
-from geoledger.session import broadcast_if_small, checkpointed
+from geoledger.session import broadcast_if_small, materialised
 
 KEY = ("collection", "id")
 
@@ -53,13 +53,13 @@ def stored_keys(stored: DataFrame, batch: DataFrame, key: Sequence[str] = KEY) -
 
     The batch's keys are written once, because their size decides how they are joined.
     """
-    wanted = broadcast_if_small(checkpointed(batch.select(*key).distinct()))
+    wanted = broadcast_if_small(materialised(batch.select(*key).distinct()))
     return stored.select(*key).join(wanted, list(key), "left_semi")
 
 
 def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """The rows with a flag `conflict` where their key is taken."""
-    taken = checkpointed(stored_keys(stored, new, key).distinct())
+    taken = materialised(stored_keys(stored, new, key).distinct())
     flagged = broadcast_if_small(taken.withColumn("conflict", F.lit(True)))
     return new.join(flagged, list(key), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
@@ -72,7 +72,7 @@ def split_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY)
 
 def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows with the new ones in place of equal keys; `new` has one row per key."""
-    replaced = broadcast_if_small(checkpointed(new.select(*key)))
+    replaced = broadcast_if_small(materialised(new.select(*key)))
     return stored.join(replaced, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -94,7 +94,7 @@ def create_strict(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -
 
 def delete_keys(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows without the given keys."""
-    return stored.join(broadcast_if_small(checkpointed(keys.select(*key))), list(key), "left_anti")
+    return stored.join(broadcast_if_small(materialised(keys.select(*key))), list(key), "left_anti")
 
 
 def rename_collection(items: DataFrame, old: str, new: str) -> DataFrame:
@@ -184,9 +184,9 @@ def ingest(
     """
     if mode not in ("create", "upsert"):
         raise ValueError(f"unknown mode {mode!r}")
-    unique = checkpointed(prepare_items(dedupe_last(batch, order), now))
+    unique = materialised(prepare_items(dedupe_last(batch, order), now))
     known = broadcast_if_small(collections.select(F.col("id").alias("collection"), F.lit(True).alias("_known")).distinct())
-    taken = broadcast_if_small(checkpointed(stored_keys(stored, unique)).withColumn("_taken", F.lit(True)))
+    taken = broadcast_if_small(materialised(stored_keys(stored, unique)).withColumn("_taken", F.lit(True)))
     marked = (
         unique.withColumn("error", item_error(unique) if error is None else error)
         .join(known, "collection", "left")

@@ -1,7 +1,7 @@
 """The items table on Parquet: partitioned by collection, or by collection and day.
 
 One writer at a time. A write never reads the folders it replaces in the same job: the merged rows are first
-written to the shared checkpoint folder, then only the touched partitions are replaced.
+written to the shared folder, then only the touched partitions are replaced.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoledger.operators.projection import assets_to_array
 from geoledger.operators.writes import KEY, delete_keys, rename_collection, upsert, with_partitions
-from geoledger.session import broadcast_if_small, checkpointed
+from geoledger.session import broadcast_if_small, materialised
 
 SIMPLE = ("collection",)
 DATED = ("collection", "has_datetime", "item_date")
@@ -94,7 +94,7 @@ def _drop_partitions(spark: SparkSession, path: str, partitions: DataFrame, keys
 def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFrame, by_date: bool) -> None:
     keys = layout(by_date)
     same = [touched[k].eqNullSafe(merged[k]) for k in keys]
-    emptied = checkpointed(touched.join(merged.select(*keys).distinct(), same, "left_anti"))
+    emptied = materialised(touched.join(merged.select(*keys).distinct(), same, "left_anti"))
     # partition columns are already there: only rebalance, sort and write
     order = [F.col(c).desc_nulls_last() for c in ("datetime", "start_datetime", "id") if c in merged.columns]
     (
@@ -133,10 +133,10 @@ def upsert_store(new: DataFrame, path: str, by_date: bool = False, use_datetime:
         write_items(new, path, by_date, use_datetime)
         return
     parts = layout(by_date)
-    new = checkpointed(with_partitions(new, use_datetime) if by_date else new)
+    new = materialised(with_partitions(new, use_datetime) if by_date else new)
     stored = read_items(spark, path)
-    touched = checkpointed(_touched(stored, new, parts).union(new.select(*parts).distinct()).distinct())
-    merged = checkpointed(upsert(_within(stored, touched, parts), new))
+    touched = materialised(_touched(stored, new, parts).union(new.select(*parts).distinct()).distinct())
+    merged = materialised(upsert(_within(stored, touched, parts), new))
     _replace(spark, path, touched, merged, by_date)
 
 
@@ -145,9 +145,9 @@ def delete_from_store(keys: DataFrame, path: str, by_date: bool = False) -> None
     spark = keys.sparkSession
     parts = layout(by_date)
     stored = read_items(spark, path)
-    keys = checkpointed(keys.select(*KEY).distinct())
-    touched = checkpointed(_touched(stored, keys, parts))
-    merged = checkpointed(delete_keys(_within(stored, touched, parts), keys))
+    keys = materialised(keys.select(*KEY).distinct())
+    touched = materialised(_touched(stored, keys, parts))
+    merged = materialised(delete_keys(_within(stored, touched, parts), keys))
     _replace(spark, path, touched, merged, by_date)
 
 
@@ -156,7 +156,7 @@ def rename_in_store(spark: SparkSession, path: str, old: str, new: str, by_date:
     parts = layout(by_date)
     moving = read_items(spark, path, [old])
     moved = rename_collection(moving, old, new)
-    touched = checkpointed(moving.select(*parts).distinct())
+    touched = materialised(moving.select(*parts).distinct())
     upsert_store(moved.drop(*[p for p in parts if p != "collection"]), path, by_date)
     _drop_partitions(spark, path, touched, parts)
 
@@ -164,7 +164,7 @@ def rename_in_store(spark: SparkSession, path: str, old: str, new: str, by_date:
 def drop_collection_from_store(spark: SparkSession, path: str, collection: str, by_date: bool = False) -> None:
     """Remove all items of a collection."""
     parts = layout(by_date)
-    touched = checkpointed(read_items(spark, path, [collection]).select(*parts).distinct())
+    touched = materialised(read_items(spark, path, [collection]).select(*parts).distinct())
     _drop_partitions(spark, path, touched, parts)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from geoledger.functions.geometry import GEOMETRY_TYPE, bounds_of, geometry_from_json
 from geoledger.functions.times import parse_utc
 from geoledger.operators.validation import json_kind
-from geoledger.session import checkpointed
+from geoledger.session import materialised
 
 # Types given to new fields by name or detected type; the first match counts.
 BASE_TEMPLATES: list[dict[str, dict[str, Any]]] = [
@@ -311,5 +311,5 @@ def _nest(entries: list[tuple[list[str], Column]]) -> Column:
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows of `typed`, which runs once: both halves read its written result."""
-    done = checkpointed(df)
+    done = materialised(df)
     return done.filter(F.col("error").isNull()).drop("error"), done.filter(F.col("error").isNotNull())

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from geoledger.operators.projection import prepare_items
 from geoledger.operators.validation import item_error
 from geoledger.operators.writes import KEY, dedupe_last
-from geoledger.session import checkpointed
+from geoledger.session import materialised
 from geoledger.sources.store import exists, upsert_store
 
 # Flush interval and batch size of the queue.
@@ -47,7 +47,7 @@ class IngestJob:
         """One micro-batch; safe to repeat."""
         unique = prepare_items(dedupe_last(batch, self.order(batch)), self.now())
         error = self.error(unique) if self.validate else F.lit(None).cast("string")
-        marked = checkpointed(unique.withColumn("_error", error))
+        marked = materialised(unique.withColumn("_error", error))
         invalid = marked.filter(F.col("_error").isNotNull()).select(*KEY, F.col("_error").alias("error"))
         valid = marked.filter(F.col("_error").isNull()).drop("_error")
         invalid.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(

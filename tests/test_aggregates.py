@@ -82,3 +82,12 @@ def test_only_offered_aggregations(spark):
     for wanted in ([], ["c0", "c1"]):
         with pytest.raises(ValueError, match="platform_frequency"):
             agg.check_available(["platform_frequency"], collections, wanted)
+
+
+def test_requests_that_are_too_fine_are_refused(spark, items):
+    far = spark.createDataFrame([(0.0,), (1e12,)], "v double")
+    with pytest.raises(Exception, match="steps"):
+        agg.histogram(far, F.col("v"), "h", 5).collect()
+    globe = spark.createDataFrame([(-180.0, -90.0, 180.0, 90.0)], "minx double, miny double, maxx double, maxy double")
+    with pytest.raises(Exception, match="cells under one row"):
+        agg.geometry_grid(globe, "geohash", 12).collect()

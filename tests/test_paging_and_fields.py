@@ -77,6 +77,15 @@ def test_a_full_collection_page_always_has_a_token(spark):
     assert search_collections(rows, SearchRequest(limit=5)).next_token() is None
 
 
+def test_large_pages_are_cut_in_groups(items):
+    page = search(items, SearchRequest(limit=5000))
+    plan = page.rows._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+    small = search(items, SearchRequest(limit=900))
+    assert [r["id"] for r in page.rows.collect()] == [r["id"] for r in small.rows.collect()]
+
+
 # ---------------------------------------------------------------- fields
 
 

@@ -12,7 +12,7 @@ from geoledger.functions import grids
 from geoledger.operators import aggregate as agg
 from geoledger.operators.fields import Fields
 from geoledger.operators.spatial import by_bbox, spatial
-from geoledger.session import checkpointed
+from geoledger.session import materialised
 
 
 def box(x0, y0, x1, y1):
@@ -45,7 +45,7 @@ SHAPES = {
 def shapes(spark):
     rows = [(name, json.dumps(shape)) for name, shape in SHAPES.items()] + [("none", None), ("bad", "{}")]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("geometry", g.geometry_from_json(F.col("text")))
-    return checkpointed(df.withColumns(g.bounds_of(F.col("geometry"))))
+    return materialised(df.withColumns(g.bounds_of(F.col("geometry"))))
 
 
 def found(df, condition):
@@ -136,7 +136,7 @@ def test_cells_of_a_triangle(spark):
     triangle = {"type": "Polygon", "coordinates": [[[0.1, 0.1], [44, 0.1], [0.1, 44], [0.1, 0.1]]]}
     df = spark.createDataFrame([("t", json.dumps(triangle))], "id string, text string").withColumn(
         "geometry", g.geometry_from_json(F.col("text")))
-    df = checkpointed(df.withColumns(g.bounds_of(F.col("geometry"))))
+    df = materialised(df.withColumns(g.bounds_of(F.col("geometry"))))
     got = {r["key"] for r in agg.geometry_grid(df, "geohash", 2).collect()}
     # every cell that holds a point of a fine raster of the triangle, and no cell beyond its bounds
     xs = np.arange(0.1, 44, 0.25)
