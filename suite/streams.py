@@ -87,3 +87,68 @@ def oldest_first(spark, sf_dir):
 
     last = dedupe_last(batch(spark, sf_dir), order())
     return last.select("id", queue_score(rfc3339(F.col("datetime"))).alias("score")).orderBy("score", "id").limit(100)
+
+
+def deliver(spark: SparkSession, deliveries: list[DataFrame], job_options: dict | None = None, files: int | None = None,
+            fail_first: bool = False) -> DataFrame:
+    """Queue several deliveries one after the other, draining the stream after each; the store's content."""
+    folder, target, dead, state = (fresh_dir(spark, n) for n in ("queue", "store", "dead", "state"))
+    options = {"error": price_error, **(job_options or {})}
+    for number, rows in enumerate(deliveries):
+        rows.write.mode("append").parquet(folder)
+        pending = ingest.pending_files(spark, folder, rows.schema, files, fmt="parquet")
+        job = ingest.IngestJob(
+            target, dead, lambda df: [F.col(c) for c in LINE_ORDER if c in df.columns], lambda: NOW, **options)
+        if fail_first and number == 0:
+            lost = ingest.IngestJob(
+                target, dead, job.order, job.now, error=job.error)
+            write = lost.run_batch
+
+            def write_and_die(batch, batch_id):
+                write(batch, batch_id)
+                raise RuntimeError("lost before the commit")
+
+            lost.run_batch = write_and_die
+            try:
+                lost.start(pending, state, available_now=True).awaitTermination()
+            except Exception as err:  # noqa: BLE001
+                if "lost before the commit" not in str(err):
+                    raise
+        job.start(pending, state, available_now=True).awaitTermination()
+    return store.read_items(spark, target)
+
+
+_SOURCE = LINES.replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 4 <> 0)")
+
+
+@case("st_source", "SELECT id, l_quantity FROM last_v WHERE l_extendedprice >= 2000", views=_SOURCE)
+def source(spark, sf_dir):
+    # rows that arrive without an id are skipped
+    rows = batch(spark, sf_dir)
+    return deliver(spark, [rows.withColumn("id", F.when(F.col("l_suppkey") % 4 != 0, F.col("id")))]).select("id", "l_quantity")
+
+
+@case(
+    "st_latest_wins",
+    "SELECT id, CASE WHEN l_orderkey % 5 = 0 THEN l_quantity + 1000 ELSE l_quantity END AS l_quantity FROM last_v WHERE l_extendedprice >= 2000",
+    views=LINES,
+)
+def latest_wins(spark, sf_dir):
+    # every fifth order is queued again later with another quantity
+    rows = batch(spark, sf_dir)
+    again = rows.filter(F.col("l_orderkey") % 5 == 0).withColumn("l_quantity", F.col("l_quantity") + 1000)
+    return deliver(spark, [rows, again]).select("id", "l_quantity")
+
+
+@case("st_trigger", "SELECT collection, count(*) AS items FROM last_v GROUP BY collection", views=LINES)
+def trigger(spark, sf_dir):
+    # several files, one per flush; which version of a key stays depends on their order, the keys do not
+    rows = batch(spark, sf_dir).repartition(3)
+    stored = deliver(spark, [rows], {"error": lambda df: F.lit(None).cast("string")}, files=1)
+    return stored.groupBy("collection").agg(F.count(F.lit(1)).alias("items"))
+
+
+@case("st_retry", "SELECT id, l_quantity FROM last_v WHERE l_extendedprice >= 2000", views=LINES)
+def retry(spark, sf_dir):
+    # the first run dies after it wrote and before it was committed
+    return deliver(spark, [batch(spark, sf_dir)], fail_first=True).select("id", "l_quantity")

@@ -46,9 +46,9 @@ def order():
 
 
 def stored(spark, sf_dir):
-    """What the store holds before the batch: every third order's lines, marked as old."""
-    old = writes.dedupe_last(batch(spark, sf_dir), order()).filter(F.col("l_orderkey") % 3 == 0)
-    return old.withColumn("l_quantity", F.lit(-1.0))
+    """What the store holds before the batch: every third order's lines, with a quantity that marks them as old."""
+    old = batch(spark, sf_dir).filter(F.col("l_orderkey") % 3 == 0)
+    return old.select("id", "collection", "l_orderkey").distinct().withColumn("l_quantity", F.lit(-1.0))
 
 
 def collections(spark, sf_dir):
@@ -99,18 +99,7 @@ SQL_FATE = (
 
 @case("m_bulk_create", "SELECT id, collection, fate, TIMESTAMP '2024-03-01 12:00:00' AS updated FROM fate_v", views=LINES + ", " + SQL_FATE)
 def bulk_create(spark, sf_dir):
-    result = ingest(spark, sf_dir, "create")
-    parts = {
-        "new": result.accepted.select("id", "collection", "updated"),
-        "conflict": result.conflicts.select("id", "collection", F.lit(NOW[:19].replace("T", " ")).cast("timestamp_ntz").alias("updated")),
-        "invalid": result.invalid.select("id", "collection", F.lit(NOW[:19].replace("T", " ")).cast("timestamp_ntz").alias("updated")),
-        "unknown_collection": result.unknown.select("id", "collection", F.lit(NOW[:19].replace("T", " ")).cast("timestamp_ntz").alias("updated")),
-    }
-    out = None
-    for fate, rows in parts.items():
-        rows = rows.select("id", "collection", F.lit(fate).alias("fate"), "updated")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return ingest(spark, sf_dir, "create").marked.select("id", "collection", "fate", "updated")
 
 
 @case(
