@@ -11,12 +11,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger.functions import grids
-from geoledger.functions.geometry import _Batch, box_geometry, intersects
+from geoledger.functions.geometry import strip_udf
 from geoledger.functions.hexgrid import hex_cell
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
@@ -290,8 +289,8 @@ _GRID_FUNCTIONS = {
 def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     """Counts per cell that a row's geometry touches; every touched cell counts the row once.
 
-    Cells of the bounds come from two nested sequences and are streamed, not held; a cell whose row is not a
-    box is then tested exactly. The step from rows to cells needs no shuffle.
+    A row becomes one row per grid column under its bounds; in each column, the spans of latitude its shape covers
+    give the cells. Boxes and points need no more than their bounds. No shuffle comes before the counts.
     """
     name = f"geometry_{kind}_grid_frequency"
     low, high = GRIDS[name]
@@ -300,38 +299,31 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     fields = Fields.of(df)
     minx, miny, maxx, maxy = (fields.get(n).column for n in ("minx", "miny", "maxx", "maxy"))
     column, row, name_of, box = _GRID_FUNCTIONS[kind]
-    # tile rows count from the north
-    bottom, top = (miny, maxy) if kind == "geohash" else (maxy, miny)
-    shape = fields.get("geometry")
-    keep = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
-    if shape is not None:
-        keep.append(shape.column.alias("geometry"))
+
+    def rows_between(south: Column, north: Column) -> tuple[Column, Column]:
+        # tile rows count from the north
+        return (row(south, precision), row(north, precision)) if kind == "geohash" else (
+            row(north, precision), row(south, precision))
+
     first_x, last_x = column(minx, precision), column(maxx, precision)
-    first_y, last_y = row(bottom, precision), row(top, precision)
+    first_y, last_y = rows_between(miny, maxy)
     number = (last_x - first_x + 1) * (last_y - first_y + 1)
-    cells = (
-        df.filter(minx.isNotNull())
-        .select(*keep, first_y.alias("y0"), last_y.alias("y1"), F.explode(F.sequence(
-            first_x, _checked(last_x, number, MAX_ROW_CELLS, "cells under one row"))).alias("cx"))
-        .select("*", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    shape = fields.get("geometry")
+    geometry = [] if shape is None else [shape.column.alias("geometry")]
+    strips = df.filter(minx.isNotNull()).select(
+        first_y.alias("y0"), last_y.alias("y1"), *geometry,
+        F.explode(F.sequence(first_x, _checked(last_x, number, MAX_ROW_CELLS, "cells under one row"))).alias("cx"),
     )
-    if shape is not None:
-        x0, y0, x1, y1 = box(F.col("cx"), F.col("cy"), precision)
-        whole = (x0 <= F.col("minx")) & (x1 >= F.col("maxx")) & (y0 <= F.col("miny")) & (y1 >= F.col("maxy"))
-        cell = box_geometry(x0, y0, x1, y1)
-        boxlike = F.col("geometry.type") == "Point"
-        cells = cells.filter(whole | boxlike | _meets(F.when(~(whole | boxlike), F.col("geometry")), cell))
-    return _cells_to_output(cells.select("cx", "cy"), name, name_of(F.col("cx"), F.col("cy"), precision))
-
-
-def _meets(geometry: Column, cell: Column) -> Column:
-    """Exact test of two geometry columns; null geometry is false."""
-    @F.arrow_udf("boolean")
-    def meets(left: pa.Array, right: pa.Array) -> pa.Array:
-        rows = zip(_Batch(left).parts_of_rows(), _Batch(right).parts_of_rows())
-        return pa.array([bool(a) and intersects(a, b) for a, b in rows], pa.bool_())
-
-    return meets(geometry, cell)
+    if shape is None:
+        cells = strips.select("cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    else:
+        left, _, right, _ = box(F.col("cx"), F.lit(0), precision)
+        exact = F.when(F.col("geometry.type") != "Point", F.col("geometry"))
+        spans = strips.withColumn("spans", strip_udf()(exact, left, right))
+        touched = F.flatten(F.transform("spans", lambda s: F.sequence(*rows_between(s["low"], s["high"]))))
+        whole = F.when(F.col("geometry.type") == "Point", F.sequence("y0", "y1")).otherwise(F.array_distinct(touched))
+        cells = spans.select("cx", F.explode(whole).alias("cy"))
+    return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
 
 
 # ---------------------------------------------------------------- a whole request

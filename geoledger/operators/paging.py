@@ -73,7 +73,7 @@ def sort_keys(fields: Fields, sortby: Sequence[str | dict[str, str]] | None) ->
         name, descending = spec["field"], spec.get("direction", "asc") == "desc"
         field = fields.get(name)
         if field is None:
-            continue
+            raise ValueError(f"cannot sort by unknown field {name!r}")
         fill = (MISSING_DESC if descending else MISSING_ASC) if name in _TEMPORAL else None
         keys.append(SortKey(_scalar(field, descending), descending, fill))
         used.add(field.path.removeprefix("properties."))

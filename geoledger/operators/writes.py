@@ -48,13 +48,24 @@ def split_known(items: DataFrame, collections: DataFrame) -> tuple[DataFrame, Da
     return items.join(known, "collection", "left_semi"), items.join(known, "collection", "left_anti")
 
 
+# Up to this many keys their ids are written into the filter, where row-group statistics and bloom filters see them.
+FEW_KEYS = 1000
+
+
+def holding(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Stored rows whose key is among `keys`, a materialised frame of distinct keys."""
+    ids = [row[0] for row in keys.select(key[-1]).limit(FEW_KEYS + 1).collect()]
+    if len(ids) <= FEW_KEYS:
+        stored = stored.filter(F.col(key[-1]).isin(ids)) if ids else stored.filter(F.lit(False))
+    return stored.join(broadcast_if_small(keys), list(key), "left_semi")
+
+
 def stored_keys(stored: DataFrame, batch: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Keys of the batch that are stored already: only key columns of the store are read.
 
     The batch's keys are written once, because their size decides how they are joined.
     """
-    wanted = broadcast_if_small(materialised(batch.select(*key).distinct()))
-    return stored.select(*key).join(wanted, list(key), "left_semi")
+    return holding(stored.select(*key), materialised(batch.select(*key).distinct()), key)
 
 
 def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -204,9 +204,10 @@ def collection_sort(fields: Fields, sortby: Sequence[str | dict[str, str]] | Non
     for item in sortby or ():
         spec = parse_sort([item])[0] if isinstance(item, str) else item
         found = fields.get(spec["field"])
-        if found is not None:
-            descending = spec.get("direction", "asc") == "desc"
-            keys.append(SortKey(_scalar(found, descending), descending))
+        if found is None:
+            raise ValueError(f"cannot sort by unknown field {spec['field']!r}")
+        descending = spec.get("direction", "asc") == "desc"
+        keys.append(SortKey(_scalar(found, descending), descending))
     if not any(key.field.path == "id" for key in keys):
         keys.append(SortKey(fields.get("id")))
     return keys

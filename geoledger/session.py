@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows up to which a side is broadcast after it was counted.
+# Rows and bytes up to which a side is broadcast after it was measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "geoledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,10 +61,27 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast only after counting that it stays under `max_rows`.
+def _bytes(df: DataFrame) -> Column:
+    """Size of a row: text and nested values by their length, everything else as eight bytes."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            part = F.octet_length(column)
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            part = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            part = F.lit(8)
+        size = size + F.coalesce(part, F.lit(0))
+    return size
 
-    The count stops early at max_rows + 1. Beyond the bound the frame is returned as it is, and the join
-    shuffles, with skewed keys split at run time by the adaptive planner.
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast only after measuring that it stays under both bounds.
+
+    The measure is one aggregate, combined in each task. Beyond the bounds the frame is returned as it is, and the
+    join shuffles, with skewed keys split at run time by the adaptive planner. Frames that are costly to compute
+    should be materialised first.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.operators.projection import assets_to_array
-from geoledger.operators.writes import KEY, delete_keys, rename_collection, upsert, with_partitions
+from geoledger.operators.writes import KEY, delete_keys, holding, rename_collection, upsert, with_partitions
 from geoledger.session import broadcast_if_small, materialised
 
 SIMPLE = ("collection",)
@@ -43,12 +43,18 @@ def write_items(
     df: DataFrame, path: str, by_date: bool = False, use_datetime: bool = True, mode: str = "errorifexists"
 ) -> None:
     """Write a table of items."""
+    _write(arranged(df, by_date, use_datetime), path, layout(by_date), mode)
+
+
+def _write(df: DataFrame, path: str, keys: Sequence[str], mode: str) -> None:
+    """Replace only the partitions that have rows; a bloom filter on the id lets look-ups skip row groups."""
     (
-        arranged(df, by_date, use_datetime)
-        .write.mode(mode)
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        df.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*layout(by_date))
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .partitionBy(*keys)
         .parquet(path)
     )
 
@@ -97,23 +103,14 @@ def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFra
     emptied = materialised(touched.join(merged.select(*keys).distinct(), same, "left_anti"))
     # partition columns are already there: only rebalance, sort and write
     order = [F.col(c).desc_nulls_last() for c in ("datetime", "start_datetime", "id") if c in merged.columns]
-    (
-        merged.hint("rebalance", *[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys, *order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy(*keys)
-        .parquet(path)
-    )
+    _write(merged.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order), path, keys, "overwrite")
     _drop_partitions(spark, path, emptied, keys)
 
 
 def _touched(stored: DataFrame, keys: DataFrame, partitions: Sequence[str]) -> DataFrame:
     """Partitions that hold the given keys: reads key columns only."""
-    return stored.select(*KEY, *[p for p in partitions if p not in KEY]).join(
-        broadcast_if_small(keys.select(*KEY)), list(KEY), "left_semi"
-    ).select(*partitions).distinct()
+    found = holding(stored.select(*KEY, *[p for p in partitions if p not in KEY]), keys.select(*KEY))
+    return found.select(*partitions).distinct()
 
 
 def _within(stored: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -155,9 +152,12 @@ def rename_in_store(spark: SparkSession, path: str, old: str, new: str, by_date:
     """Copy a collection's items under a new id, then drop the old partitions."""
     parts = layout(by_date)
     moving = read_items(spark, path, [old])
-    moved = rename_collection(moving, old, new)
+    moved = rename_collection(moving, old, new).drop(*[p for p in parts if p != "collection"])
     touched = materialised(moving.select(*parts).distinct())
-    upsert_store(moved.drop(*[p for p in parts if p != "collection"]), path, by_date)
+    if read_items(spark, path, [new]).isEmpty():
+        write_items(moved, path, by_date, mode="append")
+    else:
+        upsert_store(moved, path, by_date)
     _drop_partitions(spark, path, touched, parts)
 
 

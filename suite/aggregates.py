@@ -257,6 +257,15 @@ def geometry_geohash(spark, sf_dir):
     return agg.geometry_grid(items(spark, sf_dir), "geohash", 4)
 
 
+@case(
+    "agg_geometry_geohash_grid_shapes",
+    sql_grid("geometry_geohash_grid_frequency", f"SELECT {sql_hash_name('x', 'y', 4)} AS k FROM ({sql_cells(_x0, _y0, _x1, _y1)})"),
+)
+def geometry_geohash_shapes(spark, sf_dir):
+    # the same boxes as polygons, so that the spans of every shape are computed
+    return agg.geometry_grid(sample.items(spark, sf_dir, geometry=True), "geohash", 4)
+
+
 _TILES = sql_cells(
     TILE[0].format(lon="minx", z=8), TILE[1].format(lat="maxy", z=8), TILE[0].format(lon="maxx", z=8), TILE[1].format(lat="miny", z=8))
 

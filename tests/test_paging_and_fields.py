@@ -26,7 +26,7 @@ def items(spark):
 
 @pytest.mark.parametrize("sortby", [
     None, ["-cloud"], ["cloud"], ["+cloud", "-collection"], ["datetime"], ["-datetime", "cloud"], ["collection", "-id"],
-    [{"field": "cloud", "direction": "desc"}], ["no_such_field"],
+    [{"field": "cloud", "direction": "desc"}],
 ])
 @pytest.mark.parametrize("size", [1, 10, 97])
 def test_pages_walk_the_whole_order(items, sortby, size):
@@ -53,6 +53,13 @@ def test_orders(items):
     assert rows[-1]["datetime"] is None
 
 
+def test_unknown_sort_fields_are_refused(items):
+    with pytest.raises(ValueError, match="no_such_field"):
+        search(items, SearchRequest(sortby=["-no_such_field"]))
+    with pytest.raises(ValueError, match="no_such_field"):
+        search_collections(items.withColumn("type", F.lit("Collection")), SearchRequest(sortby=["no_such_field"]))
+
+
 def test_limits():
     assert resolve_limit(None) == DEFAULT_ITEM_LIMIT
     assert resolve_limit(50, cap=20) == 20

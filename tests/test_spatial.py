@@ -145,3 +145,19 @@ def test_cells_of_a_triangle(spark):
     want = {r[0] for r in cells.select(grids.geohash(F.col("lon"), F.col("lat"), 2)).distinct().collect()}
     bounds = agg.geometry_grid(df.drop("geometry"), "geohash", 2).count()
     assert want <= got and len(got) < bounds
+
+
+def test_strips_against_cells():
+    rng = random.Random(5)
+    for _ in range(60):
+        angles = sorted(rng.uniform(0, 2 * np.pi) for _ in range(rng.randint(3, 9)))
+        ring = [[4 * rng.uniform(.3, 1) * np.cos(a), 4 * rng.uniform(.3, 1) * np.sin(a)] for a in angles]
+        hole = [[x * .2, y * .2] for x, y in ring]
+        parts = g.literal_parts({"type": "Polygon", "coordinates": [ring + ring[:1], hole + hole[:1]]})
+        parts += g.literal_parts({"type": "LineString", "coordinates": [[-5, 3.31], [5, 4.12]]}) + g.literal_parts({"type": "Point", "coordinates": [1.03, 1.07]})
+        for x in np.arange(-5, 5, 1.25):
+            spans = g.strip_spans(parts, x, x + 1.25)
+            assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+            for y in np.arange(-5, 5, 0.5):
+                cell = g.literal_parts(box(x, y, x + 1.25, y + 0.5))
+                assert any(a <= y + 0.5 and b >= y for a, b in spans) == g.intersects(parts, cell)
