@@ -150,7 +150,9 @@ def test_cells_of_a_triangle(spark):
 def test_strips_against_cells():
     rng = random.Random(5)
     for _ in range(60):
-        angles = sorted(rng.uniform(0, 2 * np.pi) for _ in range(rng.randint(3, 9)))
+        # corners all around, so that the shrunken copy is a hole inside
+        corners = rng.randint(5, 9)
+        angles = [2 * np.pi * (n + rng.random()) / corners for n in range(corners)]
         ring = [[4 * rng.uniform(.3, 1) * np.cos(a), 4 * rng.uniform(.3, 1) * np.sin(a)] for a in angles]
         hole = [[x * .2, y * .2] for x, y in ring]
         parts = g.literal_parts({"type": "Polygon", "coordinates": [ring + ring[:1], hole + hole[:1]]})
