@@ -3,13 +3,11 @@
 The globe is an icosahedron; each face carries a hexagon lattice refined seven-fold per resolution. A cell is
 its base cell (122 of them) and one direction digit per resolution, seen from the base cell's home face. What the
 definition fixes by choice is listed below; which base cell a lattice point of a face belongs to, and how far that
-face is turned against the home face, follows from geometry and is computed once per process.
+face is turned against the home face, follows from geometry and is computed once on the driver.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -101,8 +99,7 @@ _INNER = ((0, 0), (1, 0), (0, 1), (-1, -1), (1, 1), (-1, 0), (0, -1), (2, 0), (0
 _ALL = tuple((i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i - j) <= 2)
 
 
-@lru_cache(maxsize=1)
-def _base_cells() -> tuple[np.ndarray, np.ndarray]:
+def base_cells() -> tuple[np.ndarray, np.ndarray]:
     """(base cell, left turns to its home face) by face and lattice point (offset by 2)."""
     found: list[tuple[float, float]] = []
     for face in range(20):
@@ -165,8 +162,10 @@ def _leading(digits: np.ndarray) -> np.ndarray:
     return digits[np.arange(len(digits)), (digits != 0).argmax(axis=1)]
 
 
-def hex_cells(lat: np.ndarray, lon: np.ndarray, resolution: int) -> np.ndarray:
-    """Cell numbers (uint64) of points given in degrees."""
+def hex_cells(
+    lat: np.ndarray, lon: np.ndarray, resolution: int, tables: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Cell numbers (uint64) of points given in degrees. `tables` is what `base_cells` gives."""
     lat, lon = np.radians(lat), np.radians(lon)
     centres, azimuths = np.array(FACE_CENTRES), np.array(FACE_AZIMUTHS)
     cosine = _vectors(lat, lon) @ _vectors(centres[:, 0], centres[:, 1]).T
@@ -193,7 +192,7 @@ def hex_cells(lat: np.ndarray, lon: np.ndarray, resolution: int) -> np.ndarray:
         digits[:, level - 1] = digit_of[di + 1, dj + 1]
         i, j = up_i, up_j
 
-    cells, turns = _base_cells()
+    cells, turns = base_cells() if tables is None else tables
     base, left = cells[face, i + 2, j + 2], turns[face, i + 2, j + 2]
     pentagon = np.isin(base, list(PENTAGONS))
     out = _turn(digits, np.where(pentagon, 0, left))
@@ -225,11 +224,13 @@ def hex_cell(lon: Column, lat: Column, resolution: int) -> Column:
     if not 0 <= resolution <= MAX_RESOLUTION:
         raise ValueError(f"the resolution must lie between 0 and {MAX_RESOLUTION}")
 
+    tables = base_cells()
+
     @F.arrow_udf("bigint")
     def cell(longitude: pa.Array, latitude: pa.Array) -> pa.Array:
         x, y = (a.to_numpy(zero_copy_only=False).astype(float) for a in (longitude, latitude))
         known = ~(np.isnan(x) | np.isnan(y))
-        numbers = hex_cells(np.where(known, y, 0), np.where(known, x, 0), resolution)
+        numbers = hex_cells(np.where(known, y, 0), np.where(known, x, 0), resolution, tables)
         return pa.array(numbers.astype(np.int64), mask=~known)
 
     return F.lower(F.hex(cell(lon, lat)))
