@@ -117,6 +117,25 @@ def bounds_of(geometry: Column) -> dict[str, Column]:
     }
 
 
+def is_box(geometry: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The geometry fills its bounds: a point, or one ring around the four corners. Never null."""
+    parts = geometry["parts"]
+    first = F.get(parts, 0)
+    ring = F.get(first["rings"], 0)
+    a, b, c = (F.get(ring, n) for n in range(3))
+
+    def side(p: Column, q: Column) -> Column:
+        return (p["x"] == q["x"]) != (p["y"] == q["y"])
+
+    corners = F.forall(ring, lambda p: p["x"].isin(minx, maxx) & p["y"].isin(miny, maxy))
+    # four distinct corners whose first two steps run along the sides go around the box
+    rectangle = (
+        (first["dim"] == 2) & (F.size(parts) == 1) & (F.size(first["rings"]) == 1) & (F.size(ring) == 5)
+        & (F.size(F.array_distinct(ring)) == 4) & side(a, b) & side(b, c) & corners
+    )
+    return F.coalesce((geometry["type"] == "Point") | rectangle, F.lit(False))
+
+
 # ---------------------------------------------------------------- literals
 
 

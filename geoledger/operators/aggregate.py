@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger.functions import grids
-from geoledger.functions.geometry import strip_udf
+from geoledger.functions.geometry import is_box, strip_udf
 from geoledger.functions.hexgrid import hex_cell
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
@@ -309,7 +309,8 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     first_y, last_y = rows_between(miny, maxy)
     number = (last_x - first_x + 1) * (last_y - first_y + 1)
     shape = fields.get("geometry")
-    geometry = [] if shape is None else [shape.column.alias("geometry")]
+    geometry = [] if shape is None else [
+        shape.column.alias("geometry"), is_box(shape.column, minx, miny, maxx, maxy).alias("boxed")]
     strips = df.filter(minx.isNotNull()).select(
         first_y.alias("y0"), last_y.alias("y1"), *geometry,
         F.explode(F.sequence(first_x, _checked(last_x, number, MAX_ROW_CELLS, "cells under one row"))).alias("cx"),
@@ -318,11 +319,11 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
         cells = strips.select("cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
     else:
         left, _, right, _ = box(F.col("cx"), F.lit(0), precision)
-        exact = F.when(F.col("geometry.type") != "Point", F.col("geometry"))
+        exact = F.when(~F.col("boxed"), F.col("geometry"))
         spans = strips.withColumn("spans", strip_udf()(exact, left, right))
         touched = F.flatten(F.transform("spans", lambda s: F.sequence(*rows_between(s["low"], s["high"]))))
-        whole = F.when(F.col("geometry.type") == "Point", F.sequence("y0", "y1")).otherwise(F.array_distinct(touched))
-        cells = spans.select("cx", F.explode(whole).alias("cy"))
+        covered = F.when(F.col("boxed"), F.sequence("y0", "y1")).otherwise(F.array_distinct(touched))
+        cells = spans.select("cx", F.explode(covered).alias("cy"))
     return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
 
 

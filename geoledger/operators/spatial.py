@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geoledger.functions.geometry import (
-    box_geometry, literal_bounds, literal_is_box, literal_parts, predicate_udf,
+    box_geometry, is_box, literal_bounds, literal_is_box, literal_parts, predicate_udf,
 )
 from geoledger.operators.fields import Fields, holds
 
@@ -67,8 +67,9 @@ def spatial(fields: Fields, relation: str, geometry: dict[str, Any], name: str =
         geom = shape.column if shape is not None else box_geometry(minx, miny, maxx, maxy)
         exact = predicate_udf({"disjoint": "intersects"}.get(relation, relation), parts)
         if box_literal_ and relation != "contains":
-            # a shape inside a box is decided by its bounds
-            matched = possible & (inside | exact(F.when(holds(possible & ~inside), geom)))
+            # bounds decide a shape inside a box, and a shape that is a box itself
+            sure = inside | is_box(geom, minx, miny, maxx, maxy)
+            matched = possible & (sure | exact(F.when(holds(possible & ~sure), geom)))
         else:
             matched = possible & exact(F.when(holds(possible), geom))
     if relation == "disjoint":

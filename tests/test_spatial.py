@@ -122,6 +122,18 @@ def test_only_boxes_that_pass_the_bounds_reach_python(shapes):
     assert plan.index("ArrowEvalPython") < plan.rindex("Filter")
 
 
+def test_shapes_that_fill_their_bounds(shapes):
+    boxed = g.is_box(F.col("geometry"), *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
+    assert found(shapes, boxed) == {n for n in SHAPES if n.startswith(("point_", "box_"))}
+
+
+def test_a_bow_tie_is_no_box(spark):
+    tie = {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]]]}
+    row = spark.createDataFrame([(json.dumps(tie),)], "text string").select(g.geometry_from_json(F.col("text")).alias("geometry"))
+    row = row.withColumns(g.bounds_of(F.col("geometry")))
+    assert not row.select(g.is_box(F.col("geometry"), *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])).first()[0]
+
+
 def test_known_cells(spark):
     row = spark.range(1).select(F.lit(150.8636).alias("lon"), F.lit(-33.1689).alias("lat"))
     got = row.select(
