@@ -344,58 +344,6 @@ def intersects(left: list[Part], right: list[Part]) -> bool:
     return bool(_locate(heads[0], right)[0].any() or _locate(heads[1], left)[0].any())
 
 
-def strip_spans(parts: list[Part], left: float, right: float) -> list[tuple[float, float]]:
-    """Disjoint latitude spans that a shape covers inside the strip between two longitudes.
-
-    A piece of a polygon in a strip is bounded by edges clipped to the strip and by the strip's own lines, and
-    that outline is one closed curve: the spans of the clipped edges and of the interior on both lines are all.
-    """
-    spans: list[np.ndarray] = []
-    for dim, rings in parts:
-        if dim == 0:
-            points = rings[0]
-            inside = points[(points[:, 0] >= left) & (points[:, 0] <= right)]
-            spans.append(np.column_stack([inside[:, 1], inside[:, 1]]))
-            continue
-        a, b = _segments(rings)
-        flip = a[:, 0] > b[:, 0]
-        a, b = np.where(flip[:, None], b, a), np.where(flip[:, None], a, b)
-        reach = (a[:, 0] <= right) & (b[:, 0] >= left)
-        p, q = a[reach], b[reach]
-        width = np.where(q[:, 0] == p[:, 0], 1, q[:, 0] - p[:, 0])
-        slope = (q[:, 1] - p[:, 1]) / width
-        first = np.where(p[:, 0] < left, p[:, 1] + slope * (left - p[:, 0]), p[:, 1])
-        last = np.where(q[:, 0] > right, p[:, 1] + slope * (right - p[:, 0]), q[:, 1])
-        spans.append(np.column_stack([np.minimum(first, last), np.maximum(first, last)]))
-        if dim == 2:
-            for line in (left, right):
-                # half-open in longitude, so that a vertex on the line counts once
-                cuts = (a[:, 0] <= line) & (b[:, 0] > line)
-                c, d = a[cuts], b[cuts]
-                heights = np.sort(c[:, 1] + (d[:, 1] - c[:, 1]) * (line - c[:, 0]) / (d[:, 0] - c[:, 0]))
-                spans.append(heights.reshape(-1, 2))
-    found = np.concatenate(spans) if spans else np.empty((0, 2))
-    merged: list[tuple[float, float]] = []
-    for low, high in found[np.argsort(found[:, 0])].tolist():
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
-        else:
-            merged.append((low, high))
-    return merged
-
-
-def strip_udf():
-    """Arrow UDF (geometry, left, right) -> spans; a null geometry gives none."""
-
-    @F.arrow_udf("array<struct<low:double,high:double>>")
-    def spans(geometry: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        rows = zip(_Batch(geometry).parts_of_rows(), left.to_pylist(), right.to_pylist())
-        out = [[{"low": a, "high": b} for a, b in strip_spans(parts, x0, x1)] for parts, x0, x1 in rows]
-        return pa.array(out, pa.list_(pa.struct([("low", pa.float64()), ("high", pa.float64())])))
-
-    return spans
-
-
 class _Batch:
     """Rows of one Arrow batch, flattened to numpy without touching single rows."""
 
@@ -416,6 +364,43 @@ class _Batch:
             pc.struct_field(points, axis).to_numpy(zero_copy_only=False) for axis in ("x", "y")
         ]).astype(float).reshape(-1, 2)
 
+    def strip_spans(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, low, high): latitude spans each shape covers in its own strip between two longitudes.
+
+        A piece of a polygon in a strip is bounded by edges clipped to the strip and by the strip's own lines, and
+        that outline is closed: the spans of the clipped edges and of the interior on both lines are all. Spans of
+        one row may overlap.
+        """
+        a, b, part = self._edges()
+        flip = (a[:, 0] > b[:, 0])[:, None]
+        a, b = np.where(flip, b, a), np.where(flip, a, b)
+        row = self.part_row[part]
+        slope = (b[:, 1] - a[:, 1]) / np.where(b[:, 0] == a[:, 0], 1, b[:, 0] - a[:, 0])
+
+        def height(line: np.ndarray) -> np.ndarray:
+            return a[:, 1] + slope * (line - a[:, 0])
+
+        reach = (a[:, 0] <= right[row]) & (b[:, 0] >= left[row])
+        first = np.where(a[:, 0] < left[row], height(left[row]), a[:, 1])[reach]
+        last = np.where(b[:, 0] > right[row], height(right[row]), b[:, 1])[reach]
+        rows, lows, highs = [row[reach]], [np.minimum(first, last)], [np.maximum(first, last)]
+        for line in (left, right):
+            # half-open in longitude, so that a vertex on the line counts once and crossings come in pairs
+            cuts = (self.dim[part] == 2) & (a[:, 0] <= line[row]) & (b[:, 0] > line[row])
+            at, owner = height(line[row])[cuts], part[cuts]
+            order = np.lexsort((at, owner))
+            at, owner = at[order], owner[order]
+            rows.append(self.part_row[owner[::2]])
+            lows.append(at[::2])
+            highs.append(at[1::2])
+        heads, head_part = self._heads()
+        owner = self.part_row[head_part]
+        point = (self.dim[head_part] == 0) & (heads[:, 0] >= left[owner]) & (heads[:, 0] <= right[owner])
+        rows.append(owner[point])
+        lows.append(heads[point, 1])
+        highs.append(heads[point, 1])
+        return np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
+
     def parts_of_rows(self) -> list[list[Part]]:
         rows: list[list[Part]] = [[] for _ in range(self.size)]
         ring_ends = np.searchsorted(self.point_ring, np.arange(len(self.ring_part)), side="right")
@@ -503,6 +488,21 @@ class _Batch:
         return out
 
 
+def strip_udf():
+    """Arrow UDF (geometry, left, right) -> spans; a null geometry gives none."""
+
+    @F.arrow_udf("array<struct<low:double,high:double>>")
+    def spans(geometry: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        sides = [side.to_numpy(zero_copy_only=False) for side in (left, right)]
+        row, low, high = _Batch(geometry).strip_spans(*sides)
+        order = np.argsort(row, kind="stable")
+        offsets = np.searchsorted(row[order], np.arange(len(geometry) + 1)).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(low[order]), pa.array(high[order])], names=["low", "high"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return spans
+
+
 def predicate_udf(relation: str, literal: list[Part]):
     """Arrow UDF geometry -> boolean for `intersects`, `within` (row in literal) or `contains` (literal in row).
 

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,14 @@ def test_cells_of_a_triangle(spark):
     assert want <= got and len(got) < bounds
 
 
+def as_arrow(rows):
+    """Parts as the Arrow array a UDF would get."""
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.struct([("dim", pa.int32()), ("rings", pa.list_(pa.list_(point)))])))])
+    return pa.array([row and {"type": "any", "parts": [
+        {"dim": dim, "rings": [[{"x": x, "y": y} for x, y in ring.tolist()] for ring in rings]} for dim, rings in row]} for row in rows], kind)
+
+
 def test_strips_against_cells():
     rng = random.Random(5)
     for _ in range(60):
@@ -169,9 +178,13 @@ def test_strips_against_cells():
         hole = [[x * .2, y * .2] for x, y in ring]
         parts = g.literal_parts({"type": "Polygon", "coordinates": [ring + ring[:1], hole + hole[:1]]})
         parts += g.literal_parts({"type": "LineString", "coordinates": [[-5, 3.31], [5, 4.12]]}) + g.literal_parts({"type": "Point", "coordinates": [1.03, 1.07]})
-        for x in np.arange(-5, 5, 1.25):
-            spans = g.strip_spans(parts, x, x + 1.25)
-            assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        lefts = np.arange(-5, 5, 1.25)
+        # the same shape once per strip, and a null row between
+        batch = g._Batch(as_arrow([parts] * len(lefts) + [None]))
+        row, low, high = batch.strip_spans(np.append(lefts, 0), np.append(lefts + 1.25, 1))
+        assert len(lefts) not in row
+        for n, x in enumerate(lefts):
             for y in np.arange(-5, 5, 0.5):
                 cell = g.literal_parts(box(x, y, x + 1.25, y + 0.5))
-                assert any(a <= y + 0.5 and b >= y for a, b in spans) == g.intersects(parts, cell)
+                hit = ((row == n) & (low <= y + 0.5) & (high >= y)).any()
+                assert hit == g.intersects(parts, cell)
