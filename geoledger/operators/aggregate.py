@@ -309,18 +309,23 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     first_y, last_y = rows_between(miny, maxy)
     number = (last_x - first_x + 1) * (last_y - first_y + 1)
     shape = fields.get("geometry")
-    geometry = [] if shape is None else [
-        shape.column.alias("geometry"), is_box(shape.column, minx, miny, maxx, maxy).alias("boxed")]
-    strips = df.filter(minx.isNotNull()).select(
-        first_y.alias("y0"), last_y.alias("y1"), *geometry,
-        F.explode(F.sequence(first_x, _checked(last_x, number, MAX_ROW_CELLS, "cells under one row"))).alias("cx"),
+    exact = []
+    if shape is not None:
+        # only shapes that do not fill their bounds are carried on
+        boxed = is_box(shape.column, minx, miny, maxx, maxy)
+        exact = [F.when(~boxed, shape.column).alias("shape")]
+    rows = df.filter(minx.isNotNull()).select(
+        first_x.alias("x0"), _checked(last_x, number, MAX_ROW_CELLS, "cells under one row").alias("x1"),
+        first_y.alias("y0"), last_y.alias("y1"), *exact,
     )
+    # a step of its own: what a row needs is computed before it is multiplied
+    strips = rows.select("y0", "y1", *[F.col("shape") for _ in exact], F.explode(F.sequence("x0", "x1")).alias("cx"))
     if shape is None:
         cells = strips.select("cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
     else:
         left, _, right, _ = box(F.col("cx"), F.lit(0), precision)
-        exact = F.when(~F.col("boxed"), F.col("geometry"))
-        spans = strips.withColumn("spans", strip_udf()(exact, left, right))
+        spans = strips.select(
+            "y0", "y1", "cx", F.col("shape").isNull().alias("boxed"), strip_udf()(F.col("shape"), left, right).alias("spans"))
         touched = F.flatten(F.transform("spans", lambda s: F.sequence(*rows_between(s["low"], s["high"]))))
         covered = F.when(F.col("boxed"), F.sequence("y0", "y1")).otherwise(F.array_distinct(touched))
         cells = spans.select("cx", F.explode(covered).alias("cy"))
