@@ -318,17 +318,23 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
         first_x.alias("x0"), _checked(last_x, number, MAX_ROW_CELLS, "cells under one row").alias("x1"),
         first_y.alias("y0"), last_y.alias("y1"), *exact,
     )
-    # a step of its own: what a row needs is computed before it is multiplied
-    strips = rows.select("y0", "y1", *[F.col("shape") for _ in exact], F.explode(F.sequence("x0", "x1")).alias("cx"))
+    columns, latitudes = F.sequence("x0", "x1"), F.sequence("y0", "y1")
     if shape is None:
-        cells = strips.select("cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+        cells = rows.select("y0", "y1", F.explode(columns).alias("cx")).select("cx", F.explode(latitudes).alias("cy"))
     else:
-        left, _, right, _ = box(F.col("cx"), F.lit(0), precision)
+        # a row that fills its bounds passes the Python step once, the others once per grid column
+        strips = rows.select("*", F.explode(F.when(
+            F.col("shape").isNull(), F.array("x0")).otherwise(columns)).alias("strip"))
+        left, _, right, _ = box(F.col("strip"), F.lit(0), precision)
         spans = strips.select(
-            "y0", "y1", "cx", F.col("shape").isNull().alias("boxed"), strip_udf()(F.col("shape"), left, right).alias("spans"))
-        touched = F.flatten(F.transform("spans", lambda s: F.sequence(*rows_between(s["low"], s["high"]))))
-        covered = F.when(F.col("boxed"), F.sequence("y0", "y1")).otherwise(F.array_distinct(touched))
-        cells = spans.select("cx", F.explode(covered).alias("cy"))
+            "x0", "x1", "y0", "y1", "strip", F.col("shape").isNull().alias("boxed"),
+            strip_udf()(F.col("shape"), left, right).alias("spans"))
+        touched = F.array_distinct(F.flatten(F.transform(
+            "spans", lambda s: F.sequence(*rows_between(s["low"], s["high"])))))
+        cells = spans.select(
+            F.explode(F.when(F.col("boxed"), columns).otherwise(F.array("strip"))).alias("cx"),
+            F.when(F.col("boxed"), latitudes).otherwise(touched).alias("covered"),
+        ).select("cx", F.explode("covered").alias("cy"))
     return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
 
 
