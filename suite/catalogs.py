@@ -142,8 +142,9 @@ def delete_catalog(spark, sf_dir):
     "coalesce(start_datetime, TIMESTAMP '1970-01-01') DESC, id DESC LIMIT 25",
 )
 def member_items(spark, sf_dir):
-    page = graph.member_items(
-        sample.items(spark, sf_dir), resources(spark, sf_dir), "n15", "c0", SearchRequest(limit=25))
+    # the nations of the suppliers differ from scale to scale, so the link is made first
+    linked = graph.link(resources(spark, sf_dir), "c0", "n15")
+    page = graph.member_items(sample.items(spark, sf_dir), linked, "n15", "c0", SearchRequest(limit=25))
     return page.rows.select("id", "collection")
 
 
