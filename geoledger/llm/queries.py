@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import decontaminate, jaccard, lines, mixing, quality
+from geoledger.llm import chat, decontaminate, jaccard, lines, mixing, quality, render, secrets, toxicity, warc
 from geoledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,65 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, answer = decontaminate.split_item(F.col("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
     return decontaminate.matches(table(spark, sf_dir, "documents"), items)
+
+
+@query
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(rows))
+
+
+ORACLES["op8_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(role) + 2 + length(text) + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) - length(text) + 8)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        rank = secrets.KINDS.index(kind)
+        return F.size(F.filter("base" if kind != "entropy" else "entropy", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
+
+    spans = F.sort_array(F.concat("base", "entropy"))
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(spans).alias("spans"))
+
+
+ORACLES["op2_warc_archive"] = r"""
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY html) AS first_id FROM t)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d"""
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
