@@ -34,12 +34,12 @@ from geoledger.llm.components import components
 from geoledger.session import broadcast_if_small, materialised
 
 # One document in so many is looked at for frequent n-grams; seen in so many of those, an n-gram is frequent.
-SAMPLE_ONE_IN = 32
+SAMPLE_ONE_IN = 8
 SAMPLE_SEEN = 3
 # Most frequent n-grams that are told to all tasks, 8 bytes each. Those beyond only keep their place by hash.
 MOST_FREQUENT = 1 << 20
 # Rows of a column up to which its pairs are listed.
-LIGHT = 16
+LIGHT = 32
 # Rows and n-grams of a tile, and cells of a matrix block.
 TILE_ROWS = 256
 TILE_GRAMS = 1 << 20

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoledger.llm.common import SPACES, free_name, width
-from geoledger.session import materialised, shared_dir
+from geoledger.session import job_dir, materialised
 
 # Batches a table is dealt into, and runs of a level that are merged into one of the next.
 BATCHES = 4
@@ -142,7 +142,7 @@ def _frequent(rows: DataFrame, min_chars: int, min_docs: int, batches: int, fano
     # 0 is the batch of the largest ids
     batch = sum(((order < F.lit(b)).cast("int") for b in bounds), F.lit(0))
     schema = "batch int, doc_id long, h1 long, h2 long"
-    path = f"{shared_dir(spark).rstrip('/')}/line-entries-{uuid.uuid4().hex}"
+    path = f"{job_dir(spark)}/line-entries-{uuid.uuid4().hex}"
     rows.select(batch.alias("batch"), order.alias("doc_id"), "text").mapInArrow(_entries(min_chars), schema).write.partitionBy("batch").parquet(path)
     entries = spark.read.schema(schema).parquet(path)
     index = LineRuns(fanout)

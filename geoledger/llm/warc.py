@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.session import broadcast_if_small, shared_dir
+from geoledger.session import broadcast_if_small, job_dir
 
 # Fixed values of the record format.
 CRLF = "\r\n"
@@ -63,7 +63,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, key: str = "page_
                   least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> str:
     """Write the archive of `pages` and return its folder. Payloads under `least_bytes` are never revisited."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{job_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = _records(pages, key, url, payload)
 
     size, sha1 = F.length("payload").cast("long"), sha1_base32(F.col("payload"))
