@@ -1,4 +1,4 @@
-"""Geometries as Spark structs, and exact predicates against one literal geometry.
+"""Geometries as Spark structs, and literal geometries.
 
 A geometry is a list of parts; a part has a dimension (0 point, 1 line, 2 polygon) and rings of points. All
 sets are closed: touching counts as sharing a point, and a shape lies within another when none of it is
@@ -10,8 +10,6 @@ from __future__ import annotations
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +19,6 @@ GEOMETRY_TYPE = f"struct<type:string,parts:{PARTS_TYPE}>"
 
 # Distance in degrees under which a point counts as lying on a line.
 EPS = 1e-9
-# Cells of one numpy work matrix.
-_WORK = 4_000_000
 
 Part = tuple[int, list[np.ndarray]]
 
@@ -70,11 +66,7 @@ def _parts_of(geometry: Column) -> Column:
 
 
 def geometry_from_json(text: Column) -> Column:
-    """GeoJSON text to a geometry struct; null for null or unknown shapes.
-
-    Write or materialise the result before filtering it by an exact predicate: a Python predicate over lambda
-    expressions of the same plan is not always taken out of its filter by the optimizer.
-    """
+    """GeoJSON text to a geometry struct; null for null or unknown shapes."""
 
     def build(geometry: Column) -> Column:
         inner = F.flatten(F.transform(geometry["geometries"], lambda g: _let(_members(g), _parts_of)))
@@ -209,311 +201,3 @@ def literal_is_box(parts: list[Part]) -> bool:
         dim == 2 and len(ring) == 5 and {tuple(p) for p in ring.tolist()} == corners
         and bool(np.all((steps == 0).any(axis=1)))
     )
-
-
-# ---------------------------------------------------------------- kernel
-
-
-def _cross(ax, ay, bx, by):
-    return ax * by - ay * bx
-
-
-def _near_segment(px, py, a, b):
-    """Matrix points x segments: does the point lie on the segment."""
-    dx, dy = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
-    length2 = dx * dx + dy * dy
-    wx, wy = px[:, None] - a[:, 0], py[:, None] - a[:, 1]
-    t = np.clip((wx * dx + wy * dy) / np.where(length2 == 0, 1, length2), 0, 1)
-    return (wx - t * dx) ** 2 + (wy - t * dy) ** 2 <= EPS * EPS
-
-
-def _ray_crossings(px, py, a, b):
-    """Matrix points x segments: does a ray to the right of the point cross the segment."""
-    ax, ay, bx, by = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
-    straddles = (ay > py[:, None]) != (by > py[:, None])
-    height = np.where(by == ay, 1, by - ay)
-    return straddles & (px[:, None] < (bx - ax) * (py[:, None] - ay) / height + ax)
-
-
-def _segments(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    starts = [r[:-1] for r in rings]
-    ends = [r[1:] for r in rings]
-    empty = np.empty((0, 2))
-    return np.concatenate(starts or [empty]), np.concatenate(ends or [empty])
-
-
-def _locate(points: np.ndarray, parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
-    """(in the closed set, strictly inside some polygon part) for each point."""
-    inside = np.zeros(len(points), dtype=bool)
-    strictly = np.zeros(len(points), dtype=bool)
-    for dim, rings in parts:
-        a, b = _segments(rings)
-        rows = max(1, _WORK // max(1, len(a)))
-        for lo in range(0, len(points), rows):
-            px, py = points[lo:lo + rows, 0], points[lo:lo + rows, 1]
-            if dim == 0 or not len(a):
-                spot = rings[0][0]
-                hit = (px - spot[0]) ** 2 + (py - spot[1]) ** 2 <= EPS * EPS
-                inside[lo:lo + rows] |= hit
-                continue
-            edge = _near_segment(px, py, a, b).any(axis=1)
-            inside[lo:lo + rows] |= edge
-            if dim == 2:
-                odd = _ray_crossings(px, py, a, b).sum(axis=1) % 2 == 1
-                inside[lo:lo + rows] |= odd
-                strictly[lo:lo + rows] |= odd & ~edge
-    return inside, strictly
-
-
-def _touching(a, b, c, d):
-    """For each segment a-b: does it share a point with any segment c-d."""
-    out = np.zeros(len(a), dtype=bool)
-    rows = max(1, _WORK // max(1, len(c)))
-    for lo in range(0, len(a), rows):
-        p, q = a[lo:lo + rows], b[lo:lo + rows]
-        ux, uy = (q - p)[:, :1], (q - p)[:, 1:]
-        vx, vy = (d - c)[:, 0], (d - c)[:, 1]
-        c_side = _cross(ux, uy, c[:, 0] - p[:, :1], c[:, 1] - p[:, 1:])
-        d_side = _cross(ux, uy, d[:, 0] - p[:, :1], d[:, 1] - p[:, 1:])
-        p_side = _cross(vx, vy, p[:, :1] - c[:, 0], p[:, 1:] - c[:, 1])
-        q_side = _cross(vx, vy, q[:, :1] - c[:, 0], q[:, 1:] - c[:, 1])
-        proper = (c_side * d_side < 0) & (p_side * q_side < 0)
-        out[lo:lo + rows] |= proper.any(axis=1)
-        out[lo:lo + rows] |= _near_segment(p[:, 0], p[:, 1], c, d).any(axis=1)
-        out[lo:lo + rows] |= _near_segment(q[:, 0], q[:, 1], c, d).any(axis=1)
-        out[lo:lo + rows] |= _near_segment(c[:, 0], c[:, 1], p, q).any(axis=0)
-        out[lo:lo + rows] |= _near_segment(d[:, 0], d[:, 1], p, q).any(axis=0)
-    return out
-
-
-def _pieces(a, b, c, d) -> np.ndarray:
-    """Midpoints of the pieces into which segments c-d cut segments a-b, plus their ends."""
-    out = [a, b]
-    vx, vy = d[:, 0] - c[:, 0], d[:, 1] - c[:, 1]
-    for p, q in zip(a, b):
-        u = q - p
-        length2 = float(u @ u)
-        if length2 == 0:
-            continue
-        wx, wy = c[:, 0] - p[0], c[:, 1] - p[1]
-        turn = _cross(u[0], u[1], vx, vy)
-        safe = np.where(turn == 0, 1, turn)
-        t, s = _cross(wx, wy, vx, vy) / safe, _cross(wx, wy, u[0], u[1]) / safe
-        cuts = [t[(turn != 0) & (s >= -EPS) & (s <= 1 + EPS)]]
-        for end in (c, d):
-            t = ((end[:, 0] - p[0]) * u[0] + (end[:, 1] - p[1]) * u[1]) / length2
-            off = (end[:, 0] - p[0] - t * u[0]) ** 2 + (end[:, 1] - p[1] - t * u[1]) ** 2
-            cuts.append(t[off <= EPS * EPS])
-        stops = np.concatenate(cuts)
-        stops = np.unique(np.concatenate([[0.0], stops[(stops > 0) & (stops < 1)], [1.0]]))
-        middle = (stops[:-1] + stops[1:]) / 2
-        # pieces shorter than the tolerance are rounding, not geometry
-        middle = middle[np.diff(stops) ** 2 * length2 > (4 * EPS) ** 2]
-        out.append(p + middle[:, None] * u)
-    return np.concatenate(out)
-
-
-def covers(outer: list[Part], inner: list[Part]) -> bool:
-    """No point of `inner` lies outside `outer`."""
-    oa, ob = _segments([r for dim, rings in outer if dim for r in rings])
-    for dim, rings in inner:
-        if dim == 0:
-            probes = rings[0]
-        else:
-            a, b = _segments(rings)
-            probes = _pieces(a, b, oa, ob)
-        if not _locate(probes, outer)[0].all():
-            return False
-        if dim == 2:
-            if not any(d == 2 for d, _ in outer):
-                return False
-            # a hole or notch of the outer shape must not open inside the inner polygon
-            pa_, pb_ = _segments([r for d, rs in outer if d == 2 for r in rs])
-            if len(pa_) and _locate(_pieces(pa_, pb_, a, b), [(dim, rings)])[1].any():
-                return False
-    return True
-
-
-def intersects(left: list[Part], right: list[Part]) -> bool:
-    """The two shapes share a point."""
-    la, lb = _segments([r for dim, rings in left if dim for r in rings])
-    ra, rb = _segments([r for dim, rings in right if dim for r in rings])
-    if len(la) and len(ra) and _touching(la, lb, ra, rb).any():
-        return True
-    heads = [np.array([rings[0][0] for _, rings in side]) for side in (left, right)]
-    return bool(_locate(heads[0], right)[0].any() or _locate(heads[1], left)[0].any())
-
-
-class _Batch:
-    """Rows of one Arrow batch, flattened to numpy without touching single rows."""
-
-    def __init__(self, geometry: pa.Array):
-        if isinstance(geometry, pa.ChunkedArray):
-            geometry = geometry.combine_chunks()
-        self.size = len(geometry)
-        parts = pc.struct_field(geometry, "parts")
-        self.part_row = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-        part = pc.list_flatten(parts)
-        self.dim = pc.struct_field(part, "dim").to_numpy(zero_copy_only=False)
-        rings = pc.struct_field(part, "rings")
-        self.ring_part = pc.list_parent_indices(rings).to_numpy(zero_copy_only=False)
-        ring = pc.list_flatten(rings)
-        self.point_ring = pc.list_parent_indices(ring).to_numpy(zero_copy_only=False)
-        points = pc.list_flatten(ring)
-        self.points = np.column_stack([
-            pc.struct_field(points, axis).to_numpy(zero_copy_only=False) for axis in ("x", "y")
-        ]).astype(float).reshape(-1, 2)
-
-    def strip_spans(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, low, high): latitude spans each shape covers in its own strip between two longitudes.
-
-        A piece of a polygon in a strip is bounded by edges clipped to the strip and by the strip's own lines, and
-        that outline is closed: the spans of the clipped edges and of the interior on both lines are all. Spans of
-        one row may overlap.
-        """
-        a, b, part = self._edges()
-        flip = (a[:, 0] > b[:, 0])[:, None]
-        a, b = np.where(flip, b, a), np.where(flip, a, b)
-        row = self.part_row[part]
-        slope = (b[:, 1] - a[:, 1]) / np.where(b[:, 0] == a[:, 0], 1, b[:, 0] - a[:, 0])
-
-        def height(line: np.ndarray) -> np.ndarray:
-            return a[:, 1] + slope * (line - a[:, 0])
-
-        reach = (a[:, 0] <= right[row]) & (b[:, 0] >= left[row])
-        first = np.where(a[:, 0] < left[row], height(left[row]), a[:, 1])[reach]
-        last = np.where(b[:, 0] > right[row], height(right[row]), b[:, 1])[reach]
-        rows, lows, highs = [row[reach]], [np.minimum(first, last)], [np.maximum(first, last)]
-        for line in (left, right):
-            # half-open in longitude, so that a vertex on the line counts once and crossings come in pairs
-            cuts = (self.dim[part] == 2) & (a[:, 0] <= line[row]) & (b[:, 0] > line[row])
-            at, owner = height(line[row])[cuts], part[cuts]
-            order = np.lexsort((at, owner))
-            at, owner = at[order], owner[order]
-            rows.append(self.part_row[owner[::2]])
-            lows.append(at[::2])
-            highs.append(at[1::2])
-        heads, head_part = self._heads()
-        owner = self.part_row[head_part]
-        point = (self.dim[head_part] == 0) & (heads[:, 0] >= left[owner]) & (heads[:, 0] <= right[owner])
-        rows.append(owner[point])
-        lows.append(heads[point, 1])
-        highs.append(heads[point, 1])
-        return np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
-
-    def parts_of_rows(self) -> list[list[Part]]:
-        rows: list[list[Part]] = [[] for _ in range(self.size)]
-        ring_ends = np.searchsorted(self.point_ring, np.arange(len(self.ring_part)), side="right")
-        ring_starts = np.searchsorted(self.point_ring, np.arange(len(self.ring_part)), side="left")
-        made: list[Part] = [(int(d), []) for d in self.dim]
-        for ring, part in enumerate(self.ring_part):
-            made[part][1].append(self.points[ring_starts[ring]:ring_ends[ring]])
-        for part, row in enumerate(self.part_row):
-            rows[row].append(made[part])
-        return rows
-
-    def _edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and part of every segment: neighbours in one ring of a line or polygon."""
-        part = self.ring_part[self.point_ring]
-        same = (self.point_ring[1:] == self.point_ring[:-1]) & (self.dim[part[1:]] > 0)
-        return self.points[:-1][same], self.points[1:][same], part[1:][same]
-
-    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
-        """First point and part of every ring."""
-        _, first = np.unique(self.point_ring, return_index=True)
-        return self.points[first], self.ring_part[self.point_ring[first]]
-
-    def _rows(self, parts: np.ndarray) -> np.ndarray:
-        """Mask of the rows that own some of the given parts."""
-        out = np.zeros(self.size, dtype=bool)
-        out[self.part_row[parts]] = True
-        return out
-
-    def touches(self, other: list[Part]) -> np.ndarray:
-        """Rows with a segment that meets a segment of the literal."""
-        a, b, part = self._edges()
-        c, d = _segments([r for dim, rings in other if dim for r in rings])
-        return self._rows(part[_touching(a, b, c, d)] if len(a) and len(c) else part[:0])
-
-    def holds_point(self, point: np.ndarray) -> np.ndarray:
-        """Rows that have one point, inside or on the edge."""
-        a, b, part = self._edges()
-        px, py = point[:1], point[1:2]
-        odd = np.bincount(part, weights=_ray_crossings(px, py, a, b)[0], minlength=len(self.dim)) % 2 == 1
-        heads, head_part = self._heads()
-        equal = ((heads - point) ** 2).sum(axis=1) <= EPS * EPS
-        return (
-            self._rows(np.flatnonzero(odd & (self.dim == 2)))
-            | self._rows(part[_near_segment(px, py, a, b)[0]])
-            | self._rows(head_part[equal & (self.dim[head_part] == 0)])
-        )
-
-    def intersects(self, other: list[Part]) -> np.ndarray:
-        """Rows that share a point with the literal."""
-        if not len(self.points):
-            return np.zeros(self.size, dtype=bool)
-        heads, head_part = self._heads()
-        out = self.touches(other) | self._rows(head_part[_locate(heads, other)[0]])
-        for _, rings in other:
-            out |= self.holds_point(rings[0][0])
-        return out
-
-    def related(self, other: list[Part], within: bool) -> np.ndarray:
-        """Rows within the literal, or rows that contain it.
-
-        Where no boundaries meet, a part lies on one side whole and one point of each ring decides all rows at
-        once; only rows whose boundary meets the literal's are compared piece by piece.
-        """
-        if not len(self.points):
-            return np.zeros(self.size, dtype=bool)
-        filled = np.zeros(self.size, dtype=bool)
-        filled[self.part_row] = True
-        heads, head_part = self._heads()
-        located, strictly = _locate(heads, other)
-        if within:
-            out = filled & ~self._rows(head_part[~located])
-            # a ring of the literal inside a row: a hole or an edge of the literal cuts the row
-            for _, rings in (part for part in other if part[0] == 2):
-                for ring in rings:
-                    out &= ~self.holds_point(ring[0])
-        else:
-            out = filled & ~self._rows(head_part[strictly])
-            for _, rings in other:
-                out &= self.holds_point(rings[0][0])
-        unsure = self.touches(other)
-        if unsure.any():
-            rows = self.parts_of_rows()
-            for row in np.flatnonzero(unsure):
-                out[row] = covers(other, rows[row]) if within else covers(rows[row], other)
-        return out
-
-
-def strip_udf():
-    """Arrow UDF (geometry, left, right) -> spans; a null geometry gives none."""
-
-    @F.arrow_udf("array<struct<low:double,high:double>>")
-    def spans(geometry: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        sides = [side.to_numpy(zero_copy_only=False) for side in (left, right)]
-        row, low, high = _Batch(geometry).strip_spans(*sides)
-        order = np.argsort(row, kind="stable")
-        offsets = np.searchsorted(row[order], np.arange(len(geometry) + 1)).astype(np.int32)
-        values = pa.StructArray.from_arrays([pa.array(low[order]), pa.array(high[order])], names=["low", "high"])
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-    return spans
-
-
-def predicate_udf(relation: str, literal: list[Part]):
-    """Arrow UDF geometry -> boolean for `intersects`, `within` (row in literal) or `contains` (literal in row).
-
-    A null geometry gives false.
-    """
-
-    @F.arrow_udf("boolean")
-    def matches(geometry: pa.Array) -> pa.Array:
-        batch = _Batch(geometry)
-        if relation == "intersects":
-            return pa.array(batch.intersects(literal))
-        return pa.array(batch.related(literal, within=relation == "within"))
-
-    return matches

@@ -90,6 +90,17 @@ def _put(document: Any, path: str, value: Any, insert: bool) -> None:
         holder[len(holder) - 1 if key == "-" else _index(holder, key, path, len(holder) - 1)] = value
 
 
+def _same(a: Any, b: Any) -> bool:
+    """Equal as JSON: true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
 def json_patch(document: Any, operations: list[dict[str, Any]]) -> Any:
     """Operations in order: add, replace, remove, move, copy, test. The input is left as it was.
 
@@ -110,7 +121,7 @@ def json_patch(document: Any, operations: list[dict[str, Any]]) -> Any:
         elif kind == "copy":
             _put(out, path, copy.deepcopy(_read(out, op["from"])), insert=False)
         elif kind == "test":
-            if _read(out, path) != op["value"]:
+            if not _same(_read(out, path), op["value"]):
                 raise PatchError(f"test failed at {path}")
         else:
             raise PatchError(f"unknown operation {kind}")

@@ -1,7 +1,8 @@
 """Aggregations of a filtered item set, in one output shape.
 
 Rows: (name, data_type, key, frequency, range_from, range_to, value, overflow). Every grouped aggregation is
-reduced per task before its shuffle, so a key that holds a third of all rows costs one partial count per task.
+reduced per task before its shuffle, so a key that holds a third of all rows costs one partial count per task. First
+keys are chosen in the tasks; no count of groups is fixed, and a request of any number of steps or cells is answered.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.functions import grids
-from geoledger.functions.geometry import is_box, strip_udf
-from geoledger.functions.hexgrid import hex_cell
+from geoledger.functions.geometry import is_box
+from geoledger.functions.predicates import shape_of, strip_spans
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
+from geoledger.session import materialised
 
 OUTPUT = ("name", "data_type", "key", "frequency", "range_from", "range_to", "value", "overflow")
 
@@ -37,7 +39,6 @@ CLOUD_EDGES = (5.0, 15.0, 40.0)
 INTERVALS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
 GRIDS = {
     "centroid_geohash_grid_frequency": (1, 12),
-    "centroid_geohex_grid_frequency": (0, 15),
     "centroid_geotile_grid_frequency": (0, 29),
     "geometry_geohash_grid_frequency": (1, 12),
     "geometry_geotile_grid_frequency": (0, 29),
@@ -54,13 +55,6 @@ DEFAULT_AGGREGATIONS = {
 }
 METRICS = ("total_count", "datetime_min", "datetime_max")
 
-# Groups among which the keys of one aggregation are ranked first.
-_RANK_GROUPS = 64
-# Steps of one histogram, and cells of one row, beyond which a request is refused instead of run.
-MAX_STEPS = 100_000_000
-MAX_ROW_CELLS = 10_000_000
-
-
 @dataclass
 class AggregationRequest:
     """Aggregations by name, with the parameters of the histograms and grids."""
@@ -103,16 +97,19 @@ def metrics(df: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
     """total_count, datetime_min and datetime_max in one pass."""
     fields = Fields.of(df)
     dt = fields.get("datetime").column
-    made = {
-        "total_count": ("integer", F.count("id").cast("string")),
-        "datetime_min": ("datetime", rfc3339(F.min(dt))),
-        "datetime_max": ("datetime", rfc3339(F.max(dt))),
-    }
-    wanted = [n for n in METRICS if n in names]
-    row = df.agg(*[made[n][1].alias(n) for n in wanted])
+    row = df.agg(F.count(fields.get("id").column).alias("n"), F.min(dt).alias("first"), F.max(dt).alias("last"))
+    return _shown_metrics(row.withColumn("key", F.lit("")), names)
+
+
+def _shown_metrics(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Single values from counts (key, n, first, last), where an empty key stands for rows with an id."""
+    row = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("key") == "", F.col("n"))), F.lit(0)).cast("string").alias("total_count"),
+        rfc3339(F.min("first")).alias("datetime_min"), rfc3339(F.max("last")).alias("datetime_max"))
+    kinds = {"total_count": "integer", "datetime_min": "datetime", "datetime_max": "datetime"}
     rows = row.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(made[n][0]).alias("data_type"), F.col(n).alias("value"))
-        for n in wanted
+        F.struct(F.lit(n).alias("name"), F.lit(kinds[n]).alias("data_type"), F.col(n).alias("value"))
+        for n in METRICS if n in names
     ])).alias("m"))
     return _shape(
         rows, F.col("m.name"), data_type=F.col("m.data_type"), value=F.col("m.value"),
@@ -123,98 +120,109 @@ def metrics(df: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
 # ---------------------------------------------------------------- terms
 
 
-def top_terms(counts: DataFrame, sizes: dict[str, int], largest_key_first: bool = False) -> DataFrame:
+def first_keys(counts: DataFrame, size: int, largest_key_first: bool = False) -> DataFrame:
+    """The most frequent keys of (key, n): every task keeps its own first ones, so no task sorts all keys."""
+    return counts.orderBy(F.col("n").desc(), F.col("key").desc() if largest_key_first else F.col("key").asc()).limit(size)
+
+
+def top_terms(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """The most frequent keys per name, with the rest's total as `overflow`.
 
-    `counts` has one row (name, key, n) per distinct key. Keys are ranked inside groups of a hash first and
-    the winners ranked again, so no task sorts all keys of a name and nothing is lost.
+    `counts` has one row (name, key, n) per distinct key, and is a written table: it is read for the totals and for
+    each name's first keys.
     """
-    order = [F.col("n").desc(), F.col("key").desc() if largest_key_first else F.col("key").asc()]
-    size = reduce(lambda acc, kv: F.when(F.col("name") == kv[0], kv[1]).otherwise(acc), sizes.items(), F.lit(0))
-    group = F.pmod(F.hash("key"), F.lit(_RANK_GROUPS))
-    within = Window.partitionBy("name", "rank_group")
-    first = (
-        counts.withColumn("rank_group", group)
-        .withColumns({
-            "place": F.row_number().over(within.orderBy(*order)),
-            "group_total": F.sum("n").over(within),
-        })
-        .filter(F.col("place") <= size)
-    )
-    by_name = Window.partitionBy("name")
-    total = F.sum(F.when(F.col("place") == 1, F.col("group_total"))).over(by_name)
-    ranked = first.withColumns({"total": total, "rank": F.row_number().over(by_name.orderBy(*order))}).filter(
-        F.col("rank") <= size
-    )
-    shown = F.sum("n").over(by_name)
-    return ranked.withColumn("overflow", F.col("total") - shown).select("name", "key", "n", "overflow")
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"))
+    chosen = [
+        first_keys(counts.filter(F.col("name") == name).select("key", "n"), size).withColumn("name", F.lit(name))
+        for name, size in sizes.items()
+    ]
+    shown = reduce(DataFrame.unionByName, chosen)
+    rest = totals.join(shown.groupBy("name").agg(F.sum("n").alias("shown")), "name").select(
+        "name", (F.col("total") - F.col("shown")).alias("overflow"))
+    return shown.join(rest, "name").select("name", "key", "n", "overflow")
+
+
+def _term(fields: Fields, name: str) -> Column:
+    """The key that a row counts for."""
+    source, _, missing = TERMS[name]
+    found = fields.get(source)
+    key = F.lit(None).cast("string") if found is None else found.column.cast("string")
+    return F.coalesce(key, F.lit(missing)) if missing else key
+
+
+def _shown_terms(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    top = top_terms(counts.select("name", "key", "n"), {name: TERMS[name][1] for name in names})
+    return _shape(top, F.col("name"), key=F.col("key"), frequency=F.col("n"), overflow=F.col("overflow"))
 
 
 def terms(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Term frequencies, all asked-for fields counted in one pass over the rows."""
     fields = Fields.of(df)
-    pairs, sizes = [], {}
-    for name in names:
-        source, size, missing = TERMS[name]
-        found = fields.get(source)
-        key = F.lit(None).cast("string") if found is None else found.column.cast("string")
-        pairs.append(F.struct(F.lit(name).alias("name"), (F.coalesce(key, F.lit(missing)) if missing else key).alias("key")))
-        sizes[name] = size
-    counts = (
-        df.select(F.explode(F.array(*pairs)).alias("t"))
-        .select("t.name", "t.key")
-        .filter(F.col("key").isNotNull())
-        .groupBy("name", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _shape(
-        top_terms(counts, sizes), F.col("name"), key=F.col("key"), frequency=F.col("n"), overflow=F.col("overflow")
-    )
+    return _shown_terms(materialised(count_keys(df, {name: _term(fields, name) for name in names})), names)
+
+
+def count_keys(df: DataFrame, keys: dict[str, Column], *more: Column) -> DataFrame:
+    """(name, key, n) of the non-null keys that every row gives under each name: one pass, one grouping."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), key.cast("string").alias("key")) for name, key in keys.items()])
+    rows = df.select(F.explode(pairs).alias("t"), *more).select("t.name", "t.key", *[F.col("_time")] * len(more))
+    extremes = [F.min("_time").alias("first"), F.max("_time").alias("last")] if more else []
+    return rows.filter(F.col("key").isNotNull()).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"), *extremes)
 
 
 # ---------------------------------------------------------------- ranges and histograms
 
 
+def _range(column: Column, edges: Sequence[float] = CLOUD_EDGES) -> Column:
+    """Number of the half-open range a value lies in; null for null."""
+    passed = sum((F.when(column >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return F.when(column.isNotNull(), passed)
+
+
+def _shown_ranges(spark: SparkSession, counts: DataFrame, name: str, edges: Sequence[float] = CLOUD_EDGES) -> DataFrame:
+    """Counts (place, n) with the bounds of their ranges; empty ranges are shown."""
+    bounds = [
+        (i, f"{'*' if a is None else float(a)}-{'*' if b is None else float(b)}", a, b)
+        for i, (a, b) in enumerate(zip([None, *edges], [*edges, None]))
+    ]
+    axis = spark.createDataFrame(bounds, "place int, key string, low double, high double")
+    rows = axis.join(counts.select(F.col("place").alias("at"), "n"), F.col("place") == F.col("at"), "left")
+    return _shape(rows, name, key=F.col("key"), frequency=F.coalesce("n", F.lit(0).cast("bigint")), range_from=F.col("low"),
+                  range_to=F.col("high"))
+
+
 def ranges(df: DataFrame, column: Column, name: str, edges: Sequence[float] = CLOUD_EDGES) -> DataFrame:
-    """Counts of half-open ranges; empty ones are shown. One aggregate row holds all counts."""
-    bounds = list(zip([None, *edges], [*edges, None]))
+    """Counts of half-open ranges; empty ones are shown."""
+    counts = df.select(_range(column, edges).alias("place")).filter(F.col("place").isNotNull()).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    return _shown_ranges(df.sparkSession, counts, name, edges)
 
-    def inside(low: float | None, high: float | None) -> Column:
-        above = F.lit(True) if low is None else column >= F.lit(low)
-        return above & (F.lit(True) if high is None else column < F.lit(high))
 
-    row = df.agg(*[F.count_if(inside(a, b) & column.isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(bounds)])
-    rows = row.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(f"{'*' if a is None else float(a)}-{'*' if b is None else float(b)}").alias("key"),
-            F.col(f"n{i}").alias("n"), F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"),
-        )
-        for i, (a, b) in enumerate(bounds)
-    ])).alias("r"))
-    return _shape(rows, name, key=F.col("r.key"), frequency=F.col("r.n"), range_from=F.col("r.low"),
-                  range_to=F.col("r.high"))
+def _step(column: Column, interval: float) -> Column:
+    return F.floor(column.cast("double") / F.lit(float(interval))).cast("long")
 
 
-def histogram(df: DataFrame, column: Column, name: str, interval: float) -> DataFrame:
-    """Counts per step of a numeric axis; steps without rows between the first and the last count 0."""
-    step = F.floor(column.cast("double") / F.lit(float(interval))).cast("long")
-    counts = df.filter(column.isNotNull()).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+def _shown_steps(counts: DataFrame, name: str, interval: float) -> DataFrame:
+    """Counts (step, n) with the empty steps between the first and the last."""
     span = counts.agg(F.min("step").alias("low"), F.max("step").alias("high")).filter(F.col("low").isNotNull())
-    span = span.select("low", _checked(F.col("high"), F.col("high") - F.col("low"), MAX_STEPS, "steps").alias("high"))
-    # two levels, so that a long axis is spread over tasks instead of built as one array
-    block = 100_000
-    blocks = span.select("high", F.explode(F.sequence("low", "high", F.lit(block).cast("long"))).alias("start"))
-    axis = blocks.repartition("start").select(
-        F.explode(F.sequence("start", F.least(F.col("high"), F.col("start") + F.lit(block - 1)))).alias("step")
-    )
-    filled = _fill(axis, counts, "step")
+    filled = _fill(_numbers(span, "low", "high", "step"), counts, "step")
     return _shape(filled, name, key=(F.col("step") * F.lit(float(interval))).cast("string"), frequency=F.col("n"))
 
 
-def _checked(value: Column, size: Column, limit: int, what: str) -> Column:
-    """The value, or an error when a size that goes with it exceeds a limit."""
-    return F.when(size <= F.lit(limit), value).otherwise(
-        F.raise_error(F.concat(F.lit(f"more than {limit} {what}: "), size.cast("string"))).cast("bigint"))
+def histogram(df: DataFrame, column: Column, name: str, interval: float) -> DataFrame:
+    """Counts per step of a numeric axis; steps without rows between the first and the last count 0."""
+    counts = df.filter(column.isNotNull()).groupBy(_step(column, interval).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    return _shown_steps(counts, name, interval)
+
+
+# Numbers one array holds when a span is spelled out.
+_BLOCK = 10_000
+
+
+def _numbers(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """One row per whole number from `low` to `high` of each row, however many: in blocks, which spread over tasks."""
+    blocks = df.withColumn("_start", F.explode(F.sequence(low, high, F.lit(_BLOCK).cast("long"))))
+    blocks = blocks.hint("rebalance")
+    last = F.least(F.col(high), F.col("_start") + F.lit(_BLOCK - 1))
+    return blocks.withColumn(name, F.explode(F.sequence(F.col("_start"), last))).drop("_start")
 
 
 def _fill(axis: DataFrame, counts: DataFrame, key: str) -> DataFrame:
@@ -233,6 +241,11 @@ def datetime_histogram(df: DataFrame, interval: str = "month", name: str = "date
         .groupBy(trunc_utc(interval, dt).alias("step"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return _shown_dates(counts, interval, name)
+
+
+def _shown_dates(counts: DataFrame, interval: str, name: str = "datetime_frequency") -> DataFrame:
+    """Counts (step, n) with the empty calendar steps between the first and the last."""
     span = counts.agg(F.min("step").alias("low"), F.max("step").alias("high")).filter(F.col("low").isNotNull())
     if interval in ("hour", "minute", "second"):
         # by day first, the days spread over tasks
@@ -253,31 +266,36 @@ def datetime_histogram(df: DataFrame, interval: str = "month", name: str = "date
 # ---------------------------------------------------------------- grids
 
 
-def _cells_to_output(cells: DataFrame, name: str, key: Column) -> DataFrame:
+def _cells_to_output(cells: DataFrame, name: str, key: Column, weight: Column | None = None) -> DataFrame:
     """Count cells by their numbers; the text of a cell is only made once per distinct cell."""
-    counts = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(name).alias("name"), key.alias("key"), "n")
-    ranked = top_terms(counts, {name: GRID_BUCKETS}, largest_key_first=True)
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    columns = [c for c in cells.columns if c != "weight"]
+    counts = cells.groupBy(*columns).agg(n.alias("n")).select(key.alias("key"), "n")
     # the grids report no remainder
-    return _shape(ranked, F.col("name"), key=F.col("key"), frequency=F.col("n"))
+    shown = first_keys(counts, GRID_BUCKETS, largest_key_first=True)
+    return _shape(shown, name, key=F.col("key"), frequency=F.col("n"))
 
 
-def centroid_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
-    """Counts per geohash, geotile or geohex cell of the centroid (fields `centroid.lat`, `centroid.lon`)."""
-    name = f"centroid_{kind}_grid_frequency"
-    low, high = GRIDS[name]
+def _centroid_cell(df: DataFrame, kind: str, precision: int) -> tuple[Column, Column]:
+    """Column and row of the cell the centroid lies in."""
+    low, high = GRIDS[f"centroid_{kind}_grid_frequency"]
     if not low <= precision <= high:
         raise ValueError(f"the precision must lie between {low} and {high}")
     fields = Fields.of(df, {"centroid.lon": "proj:centroid.lon", "centroid.lat": "proj:centroid.lat"})
     plain = Fields.of(df)
     lon = (fields.get("centroid.lon") or plain.get("centroid.lon") or plain.get("lon")).column
     lat = (fields.get("centroid.lat") or plain.get("centroid.lat") or plain.get("lat")).column
-    rows = df.filter(lon.isNotNull() & lat.isNotNull())
-    if kind == "geohex":
-        return _cells_to_output(rows.select(hex_cell(lon, lat, precision).alias("cell")), name, F.col("cell"))
-    column, row, name_of, _ = _GRID_FUNCTIONS[kind]
-    cells = rows.select(column(lon, precision).alias("cx"), row(lat, precision).alias("cy"))
-    return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
+    column, row, _, _ = _GRID_FUNCTIONS[kind]
+    there = lon.isNotNull() & lat.isNotNull()
+    return F.when(there, column(lon, precision)), F.when(there, row(lat, precision))
+
+
+def centroid_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
+    """Counts per geohash or geotile cell of the centroid (fields `centroid.lat`, `centroid.lon`)."""
+    cx, cy = _centroid_cell(df, kind, precision)
+    cells = df.select(cx.alias("cx"), cy.alias("cy")).filter(F.col("cx").isNotNull())
+    name_of = _GRID_FUNCTIONS[kind][2]
+    return _cells_to_output(cells, f"centroid_{kind}_grid_frequency", name_of(F.col("cx"), F.col("cy"), precision))
 
 
 _GRID_FUNCTIONS = {
@@ -289,8 +307,9 @@ _GRID_FUNCTIONS = {
 def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     """Counts per cell that a row's geometry touches; every touched cell counts the row once.
 
-    A row becomes one row per grid column under its bounds; in each column, the spans of latitude its shape covers
-    give the cells. Boxes and points need no more than their bounds. No shuffle comes before the counts.
+    Shapes that fill their bounds are counted per distinct range of cells first, and each range is spelled out once
+    with that count. Other shapes become one row per grid column under their bounds; in each column, the spans of
+    latitude the shape covers give the cells. Ranges of any size are spelled out in blocks.
     """
     name = f"geometry_{kind}_grid_frequency"
     low, high = GRIDS[name]
@@ -307,35 +326,23 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
 
     first_x, last_x = column(minx, precision), column(maxx, precision)
     first_y, last_y = rows_between(miny, maxy)
-    number = (last_x - first_x + 1) * (last_y - first_y + 1)
     shape = fields.get("geometry")
-    exact = []
+    ranges_ = {"x0": first_x, "x1": last_x, "y0": first_y, "y1": last_y}
+    rows = df.filter(minx.isNotNull())
+    filled = rows if shape is None else rows.filter(is_box(shape.column, minx, miny, maxx, maxy))
+    weighted = filled.select(*[c.alias(n) for n, c in ranges_.items()]).groupBy(*ranges_).agg(F.count(F.lit(1)).alias("weight"))
+    cells = _numbers(_numbers(weighted, "x0", "x1", "cx"), "y0", "y1", "cy").select("cx", "cy", "weight")
     if shape is not None:
-        # only shapes that do not fill their bounds are carried on
-        boxed = is_box(shape.column, minx, miny, maxx, maxy)
-        exact = [F.when(~boxed, shape.column).alias("shape")]
-    rows = df.filter(minx.isNotNull()).select(
-        first_x.alias("x0"), _checked(last_x, number, MAX_ROW_CELLS, "cells under one row").alias("x1"),
-        first_y.alias("y0"), last_y.alias("y1"), *exact,
-    )
-    columns, latitudes = F.sequence("x0", "x1"), F.sequence("y0", "y1")
-    if shape is None:
-        cells = rows.select("y0", "y1", F.explode(columns).alias("cx")).select("cx", F.explode(latitudes).alias("cy"))
-    else:
-        # a row that fills its bounds passes the Python step once, the others once per grid column
-        strips = rows.select("*", F.explode(F.when(
-            F.col("shape").isNull(), F.array("x0")).otherwise(columns)).alias("strip"))
+        exact = rows.filter(~is_box(shape.column, minx, miny, maxx, maxy)).select(
+            *[c.alias(n) for n, c in ranges_.items()], shape.column.alias("shape"))
+        strips = _numbers(exact, "x0", "x1", "strip")
         left, _, right, _ = box(F.col("strip"), F.lit(0), precision)
-        spans = strips.select(
-            "x0", "x1", "y0", "y1", "strip", F.col("shape").isNull().alias("boxed"),
-            strip_udf()(F.col("shape"), left, right).alias("spans"))
+        spans = strips.select("strip", strip_spans(shape_of(F.col("shape")), left, right).alias("spans"))
         touched = F.array_distinct(F.flatten(F.transform(
             "spans", lambda s: F.sequence(*rows_between(s["low"], s["high"])))))
-        cells = spans.select(
-            F.explode(F.when(F.col("boxed"), columns).otherwise(F.array("strip"))).alias("cx"),
-            F.when(F.col("boxed"), latitudes).otherwise(touched).alias("covered"),
-        ).select("cx", F.explode("covered").alias("cy"))
-    return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision))
+        partly = spans.select(F.col("strip").alias("cx"), F.explode(touched).alias("cy"), F.lit(1).cast("bigint").alias("weight"))
+        cells = cells.unionByName(partly)
+    return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision), F.col("weight"))
 
 
 # ---------------------------------------------------------------- a whole request
@@ -344,32 +351,56 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
 def aggregate(df: DataFrame, request: AggregationRequest) -> DataFrame:
     """All aggregations of a request over one filtered frame, as one frame.
 
-    Single values share a pass and term counts share a pass. Nothing is cached: a filtered set may be far larger
-    than memory, while each pass reads only its own columns.
+    One pass over the rows counts the keys of everything but geometry grids: single values, terms, ranges, histograms and
+    centroid grids. The distinct keys are written once, and every aggregation is finished from them.
     """
     request = request.checked()
-    fields, out = Fields.of(df), []
-    names = list(dict.fromkeys(request.aggregations))
+    fields, names = Fields.of(df), list(dict.fromkeys(request.aggregations))
+    keys: dict[str, Column] = {}
+    dt = fields.get("datetime")
     if any(n in METRICS for n in names):
-        out.append(metrics(df, names))
-    if any(n in TERMS for n in names):
-        out.append(terms(df, [n for n in names if n in TERMS]))
+        keys["total_count"] = F.when(fields.get("id").column.isNotNull(), F.lit("")).otherwise("no id")
     for name in names:
-        if name in HISTOGRAMS:
-            source, interval = HISTOGRAMS[name]
-            found = fields.get(source)
-            if found is not None:
-                out.append(histogram(df, found.column, name, interval))
+        source, kind = name.split("_")[0], name.split("_")[1] if "_" in name else ""
+        if name in TERMS:
+            keys[name] = _term(fields, name)
+        elif name in HISTOGRAMS and fields.get(HISTOGRAMS[name][0]) is not None:
+            keys[name] = _step(fields.get(HISTOGRAMS[name][0]).column, HISTOGRAMS[name][1])
         elif name == "cloud_cover_frequency":
             found = fields.get("eo:cloud_cover")
-            column = F.lit(None).cast("double") if found is None else found.column
-            out.append(ranges(df, column, name))
+            keys[name] = _range(F.lit(None).cast("double") if found is None else found.column)
+        elif name == "datetime_frequency":
+            keys[name] = trunc_utc(request.datetime_interval, dt.column)
+        elif name in GRIDS and source == "centroid":
+            cx, cy = _centroid_cell(df, kind, request.precision[name])
+            keys[name] = F.concat_ws(" ", cx, F.when(cx.isNotNull(), cy))
+            keys[name] = F.when(cx.isNotNull(), keys[name])
+    time = F.lit(None).cast("timestamp_ntz") if dt is None else dt.column
+    counts = materialised(count_keys(df, keys, time.alias("_time"))) if keys else None
+
+    def of(name: str) -> DataFrame:
+        return counts.filter(F.col("name") == name)
+
+    out = []
+    if "total_count" in keys:
+        out.append(_shown_metrics(of("total_count"), names))
+    if any(n in TERMS for n in names):
+        out.append(_shown_terms(counts.filter(F.col("name").isin([n for n in names if n in TERMS])), [n for n in names if n in TERMS]))
+    for name in names:
+        kind = name.split("_")[1] if "_" in name else ""
+        if name in HISTOGRAMS and name in keys:
+            out.append(_shown_steps(of(name).select(F.col("key").cast("long").alias("step"), "n"), name, HISTOGRAMS[name][1]))
+        elif name == "cloud_cover_frequency":
+            out.append(_shown_ranges(df.sparkSession, of(name).select(F.col("key").cast("int").alias("place"), "n"), name))
         elif name == "datetime_frequency":
-            out.append(datetime_histogram(df, request.datetime_interval))
+            out.append(_shown_dates(of(name).select(F.col("key").cast("timestamp_ntz").alias("step"), "n"), request.datetime_interval))
+        elif name in GRIDS and name in keys:
+            x, y = (F.get(F.split("key", " "), i).cast("bigint") for i in (0, 1))
+            cells = of(name).select(x.alias("cx"), y.alias("cy"), F.col("n").alias("weight"))
+            key = _GRID_FUNCTIONS[kind][2](F.col("cx"), F.col("cy"), request.precision[name])
+            out.append(_cells_to_output(cells, name, key, F.col("weight")))
         elif name in GRIDS:
-            source, kind = name.split("_")[:2]
-            grid = centroid_grid if source == "centroid" else geometry_grid
-            out.append(grid(df, kind, request.precision[name]))
+            out.append(geometry_grid(df, kind, request.precision[name]))
     if not out:
         raise ValueError("none of the aggregations is known")
     return reduce(DataFrame.unionByName, out)

@@ -63,24 +63,19 @@ def searchable(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.Data
     return out
 
 
-def unprefixed(path: str) -> str:
-    return path.removeprefix("properties.").removeprefix("assets.")
-
-
-def exclusions(names: Sequence[str]) -> set[str]:
-    """Each excluded name with and without its prefixes."""
-    out: set[str] = set()
-    for name in (n.strip() for n in names):
-        if name:
-            out.add(name)
-            for prefix in ("properties.", "assets."):
-                out.add(name.removeprefix(prefix) if name.startswith(prefix) else prefix + name)
-    return out
-
-
-def is_excluded(path: str, excluded: set[str]) -> bool:
-    """The path is excluded itself or lies under an excluded one."""
-    return any(path == e or path.startswith(e + ".") for e in excluded)
+def located(path: str) -> tuple[str, tuple[str, ...]]:
+    """The envelope a path starts in, empty when it names none, and the parts below it."""
+    parts = tuple(path.strip().split("."))
+    return (parts[0], parts[1:]) if parts[0] in ("properties", "assets") and len(parts) > 1 else ("", parts)
+
+
+def is_excluded(path: str, names: Sequence[str]) -> bool:
+    """Some name is the path or lies above it. A name or path without envelope stands for any."""
+    envelope, parts = located(path)
+    return any(
+        parts[:len(above)] == above and (not where or not envelope or where == envelope)
+        for where, above in (located(n) for n in names if n.strip())
+    )
 
 
 def title_of(name: str) -> str:
@@ -93,15 +88,14 @@ def queryables(items: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     One pass: a flag per field and collection, combined before the shuffle. Fields come from the schema, so
     their number is bounded by it.
     """
-    excluded = exclusions(exclude)
     fields = Fields.of(items)
-    found = [(p, t) for p, t in searchable(items.schema) if not is_excluded(p, excluded)]
+    found = [(p, t) for p, t in searchable(items.schema) if not is_excluded(p, exclude)]
     flags = items.groupBy("collection").agg(
         *[F.bool_or(fields.get(p).column.isNotNull()).alias(f"f{i}") for i, (p, _) in enumerate(found)]
     )
     entries = []
     for i, (path, dtype) in enumerate(found):
-        name = unprefixed(path)
+        name = ".".join(located(path)[1])
         kind, fmt = json_type(dtype)
         entries.append(F.struct(
             F.col(f"f{i}").alias("seen"), F.lit(name).alias("name"), F.lit(title_of(name)).alias("title"),

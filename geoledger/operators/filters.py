@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from geoledger.functions.times import parse_interval, ts_lit
 from geoledger.operators.fields import Field, Fields, negate
-from geoledger.session import broadcast_if_small
 
-# Above this many values a list is joined instead of written into the plan.
-LONG_LIST = 1000
 QUERY_OPS = ("eq", "ne", "neq", "lt", "lte", "gt", "gte", "in", "contains")
 
 
@@ -27,11 +24,8 @@ def by_collections(fields: Fields, ids: Sequence[str]) -> Column:
 
 
 def keep_listed(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Rows whose column is in the list. Long lists become a semi join, broadcast when their size allows."""
-    if len(values) <= LONG_LIST:
-        return df.filter(F.col(column).isin(list(values)))
-    listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], f"`{column}` string")
-    return df.join(broadcast_if_small(listed), column, "left_semi")
+    """Rows whose column is in the list, which reaches the scan as a filter."""
+    return df.filter(F.col(column).isin(list(values)))
 
 
 def by_datetime(fields: Fields, interval: str | None, use_datetime: bool = True, nanos: bool = True) -> Column:

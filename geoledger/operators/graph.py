@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,6 @@ from geoledger.operators.writes import delete_keys, upsert
 from geoledger.plans.search import SearchOptions, SearchPage, SearchRequest, search
 from geoledger.session import broadcast_if_small, materialised
 
-# Rounds of a descent before it is given up; cycles end by themselves.
-MAX_DEPTH = 1000
 _ROOTS = ("root",)
 
 
@@ -44,14 +43,14 @@ def descendant_collections(resources: DataFrame, catalog_id: str) -> DataFrame:
     """Ids of all collections under a catalog at any depth.
 
     Breadth first, one join per level. Every round's frontier is written to the shared folder, so the plan does not
-    grow with the depth, and catalogs seen before are not entered again.
+    grow with the depth, and catalogs seen before are not entered again, so cycles end by themselves.
     """
     get_catalog(resources, catalog_id)
     spark = resources.sparkSession
     links = materialised(edges(resources))
     down = links.filter("catalog").select("parent", "id")
     visited = frontier = spark.createDataFrame([(catalog_id,)], "id string")
-    for depth in range(MAX_DEPTH):
+    for depth in count():
         step = (
             down.join(broadcast_if_small(frontier.withColumnRenamed("id", "parent")), "parent", "left_semi")
             .select("id")
@@ -64,8 +63,6 @@ def descendant_collections(resources: DataFrame, catalog_id: str) -> DataFrame:
         visited = visited.union(frontier)
         if depth % 10 == 9:
             visited = materialised(visited)
-    else:
-        raise RuntimeError(f"catalog {catalog_id} is nested deeper than {MAX_DEPTH} levels")
     leaves = links.filter(~F.col("catalog"))
     return leaves.join(
         broadcast_if_small(visited.withColumnRenamed("id", "parent")), "parent", "left_semi"

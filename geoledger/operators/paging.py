@@ -7,14 +7,16 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoledger.functions.times import ts_lit
 from geoledger.operators.fields import Field, Fields
+from geoledger.session import materialised
 
 # Page sizes.
 DEFAULT_ITEM_LIMIT = 10
@@ -147,29 +149,9 @@ def decode_bar_token(token: str | None, arity: int) -> list[str] | None:
     return parts if parts and len(parts) == arity else None
 
 
-# From this size on, a page is chosen in two steps.
-LARGE_PAGE = 1000
-_GROUPS = 64
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
 def top(df: DataFrame, keys: Sequence[SortKey], limit: int) -> DataFrame:
-    """The first rows in the order of the keys.
-
-    Every task keeps its own first rows. For a large page those are still many on a large table, so they are
-    reduced in groups by a hash of the id, which every order includes, before one task sees the rest.
-    """
-    order = [k.order for k in keys]
-    if limit >= LARGE_PAGE:
-        conf = df.sparkSession.conf
-        if int(conf.get(_GROUP_LIMIT)) < limit:
-            # up to this rank the planner cuts each task's rows before the shuffle
-            conf.set(_GROUP_LIMIT, str(limit))
-        ids = next(k.value for k in keys if k.field.path == "id")
-        group = F.pmod(F.hash(ids), F.lit(_GROUPS))
-        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-        df = df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
-    return df.orderBy(*order).limit(limit)
+    """The first rows in the order of the keys: every task keeps its own first rows, one task merges them."""
+    return df.orderBy(*[k.order for k in keys]).limit(limit)
 
 
 @dataclass
@@ -187,25 +169,27 @@ class Page:
         df = self.filtered
         return df.filter(after(self.keys, self.token_values)) if self.token_values is not None else df
 
+    @cached_property
+    def _found(self) -> DataFrame:
+        """The rows of the page and one more, chosen once: the token and the rows both read them."""
+        return materialised(top(self.window, self.keys, self.limit + 1))
+
     @property
     def rows(self) -> DataFrame:
-        return top(self.window, self.keys, self.limit)
+        chosen = self._found if "_found" in self.__dict__ else self.window
+        return top(chosen, self.keys, self.limit)
 
     def matched(self) -> int:
         """Rows on all pages."""
         return self.filtered.count()
 
     def next_token(self) -> str | None:
-        """Token of the following page: reads the sort values of at most limit + 1 rows."""
-        size = self.limit if self.bar_token else self.limit + 1
+        """Token of the following page. The page is chosen here, and `rows` reads it afterwards without another scan."""
         if not self.bar_token and self.limit >= MAX_LIMIT:
             return None
-        found = (
-            top(self.window, self.keys, size)
-            .select(*[k.value.alias(f"k{i}") for i, k in enumerate(self.keys)])
-            .collect()
-        )
-        if len(found) < size or not found:
+        values = [k.value.alias(f"k{i}") for i, k in enumerate(self.keys)]
+        order = [k.order for k in self.keys]
+        last = self._found.orderBy(*order).select(*values).offset(self.limit - 1).limit(2).collect()
+        if len(last) < (1 if self.bar_token else 2):
             return None
-        last = found[self.limit - 1]
-        return encode_bar_token(last) if self.bar_token else encode_token(last)
+        return encode_bar_token(last[0]) if self.bar_token else encode_token(last[0])

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from geoledger.functions.patching import PatchError, json_patch, merge_patch
 from geoledger.operators.writes import KEY
-from geoledger.session import broadcast_if_small
+from geoledger.session import broadcast_if_small, materialised
 
 # The times a dated store files its items by.
 PRIMARY_TIMES = {True: ("datetime",), False: ("start_datetime", "end_datetime")}
@@ -22,65 +22,86 @@ RESULT = T.StructType([T.StructField("document", T.StringType()), T.StructField(
 
 
 @F.arrow_udf(RESULT)
-def _apply(documents: pa.Array, patches: pa.Array, kinds: pa.Array) -> pa.Array:
+def _apply(documents: pa.Array, patches: pa.Array) -> pa.Array:
+    """Patches of a document in turn; one that fails changes nothing, and the first failure is reported."""
     out, errors = [], []
-    for text, patch, kind in zip(documents.to_pylist(), patches.to_pylist(), kinds.to_pylist()):
-        if text is None or patch is None:
-            out.append(text)
-            errors.append(None)
-            continue
-        try:
-            function = merge_patch if kind == "merge" else json_patch
-            out.append(json.dumps(function(json.loads(text), json.loads(patch)), separators=(",", ":"), ensure_ascii=False))
-            errors.append(None)
-        except (PatchError, KeyError, TypeError, ValueError) as err:
-            out.append(text)
-            errors.append(str(err))
+    for text, changes in zip(documents.to_pylist(), patches.to_pylist()):
+        error, document = None, json.loads(text)
+        for change in changes:
+            function = merge_patch if change["kind"] == "merge" else json_patch
+            try:
+                document = function(document, json.loads(change["patch"]))
+            except (PatchError, KeyError, TypeError, ValueError) as err:
+                error = error or str(err)
+        out.append(json.dumps(document, separators=(",", ":"), ensure_ascii=False))
+        errors.append(error)
     return pa.StructArray.from_arrays(
         [pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["document", "error"]
     )
 
 
-def patch_items(
-    items: DataFrame, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None,
+def patched_items(
+    items: DataFrame, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None, order: str | None = None,
 ) -> DataFrame:
-    """Items (collection, id, document) with their patches applied; adds `error`.
+    """The items that have patches, with these applied: their columns, `error`, and their key before as `_was`.
 
-    `patches` has (collection, id, kind, patch): kind `merge` with a partial document, or `json` with a list of
-    operations; at most one per item. A failed patch leaves its document unchanged and says why. Patching
-    `id` or `collection` moves the item: its key columns follow the document. With `collections`, a move to an
-    unknown one fails; with `dated`, so does a change of the primary time (True: datetime, False: start and end).
+    Only these rows reach Python. They are written once, because the checks of moves read them too.
     """
-    small = broadcast_if_small(patches.select(*KEY, "kind", "patch"))
-    joined = items.join(small, list(KEY), "left")
-    # one batch evaluator call for both result fields; rows without patch pass through as nulls
-    done = joined.withColumn("_r", _apply(F.when(F.col("patch").isNotNull(), F.col("document")), "patch", "kind"))
-    after = F.col("_r.document")
-    error = F.col("_r.error")
-    moved = {name: F.get_json_object(after, f"$.{name}") for name in KEY}
-
+    place = [F.col(order).alias("place")] if order else []
+    # the patches of one item; sorted, so that reruns agree
+    changes = patches.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*place, "kind", "patch"))).alias("_patches"))
+    changes = broadcast_if_small(materialised(changes))
+    done = items.filter(F.col("document").isNotNull()).join(changes, list(KEY)).withColumn("_r", _apply("document", F.transform(
+        "_patches", lambda p: F.struct(p["kind"].alias("kind"), p["patch"].alias("patch")))))
+    done = materialised(done.select(
+        F.struct(*items.columns).alias("old"), F.col("_r.document").alias("after"), F.col("_r.error").alias("error"),
+        *[F.coalesce(F.get_json_object("_r.document", f"$.{k}"), F.col(k)).alias(f"_{k}") for k in KEY]))
+    error = F.col("error")
     if dated is not None:
-        def changed(name: str):
-            path = f"$.properties.{name}"
-            return ~F.get_json_object("document", path).eqNullSafe(F.get_json_object(after, path))
-
         for name in PRIMARY_TIMES[dated]:
-            error = F.coalesce(error, F.when(F.col("patch").isNotNull() & changed(name), F.lit(
+            path = f"$.properties.{name}"
+            same = F.get_json_object("old.document", path).eqNullSafe(F.get_json_object("after", path))
+            error = F.coalesce(error, F.when(~same, F.lit(
                 f"properties.{name} decides where the item is stored and cannot be patched")))
+    moves = F.lit(False)
+    for k in KEY:
+        moves = moves | (F.col(f"_{k}") != F.col(f"old.{k}"))
     if collections is not None:
-        known = broadcast_if_small(collections.select(F.col("id").alias("_target")).distinct())
-        done = done.withColumn("_target", F.coalesce(moved["collection"], F.col("collection"))).join(
-            known.withColumn("_known", F.lit(True)), "_target", "left")
-        error = F.coalesce(error, F.when(
-            F.col("patch").isNotNull() & (F.col("_target") != F.col("collection")) & F.col("_known").isNull(),
-            F.concat(F.lit("collection "), F.col("_target"), F.lit(" does not exist"))))
-
-    done = done.withColumn("error", error)
-    use = F.col("patch").isNotNull() & F.col("error").isNull()
-    return done.withColumns({
-        "document": F.when(use, after).otherwise(F.col("document")),
-        **{name: F.when(use, F.coalesce(moved[name], F.col(name))).otherwise(F.col(name)) for name in KEY},
-    }).select(*items.columns, "error")
+        known = collections.select(F.col("id").alias("_target"), F.lit(True).alias("_known")).distinct()
+        done = done.join(known, F.col("_collection") == F.col("_target"), "left")
+        error = F.coalesce(error, F.when((F.col("_collection") != F.col("old.collection")) & F.col("_known").isNull(), F.concat(
+            F.lit("collection "), F.col("_collection"), F.lit(" does not exist"))))
+    # a move must not meet a stored item, nor another move
+    targets = done.filter(moves).select(*[F.col(f"_{k}").alias(k) for k in KEY])
+    stored = items.select(*KEY).join(broadcast_if_small(targets.distinct()), list(KEY), "left_semi").withColumn("_n", F.lit(2).cast("bigint"))
+    met = targets.withColumn("_n", F.lit(1).cast("bigint")).unionByName(stored).groupBy(*KEY).agg(F.sum("_n").alias("_n")).filter("_n > 1")
+    met = met.select(*[F.col(k).alias(f"_t_{k}") for k in KEY], F.lit(True).alias("_met"))
+    done = done.join(met, moves & (F.col("_collection") == F.col("_t_collection")) & (F.col("_id") == F.col("_t_id")), "left")
+    error = F.coalesce(error, F.when(F.col("_met"), F.concat(
+        F.lit("Item '"), F.col("_id"), F.lit("' already exists in collection '"), F.col("_collection"), F.lit("'"))))
+
+    done = done.withColumn("_failed", error)
+    good = F.col("_failed").isNull()
+    new = {"document": F.col("after"), **{k: F.col(f"_{k}") for k in KEY}}
+    columns = [F.when(good, new[c]).otherwise(F.col(f"old.`{c}`")).alias(c) if c in new else F.col(f"old.`{c}`").alias(c) for c in items.columns]
+    return done.select(*columns, F.col("_failed").alias("error"), F.struct(*[F.col(f"old.{k}").alias(k) for k in KEY]).alias("_was"))
+
+
+def patch_items(
+    items: DataFrame, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None, order: str | None = None,
+) -> DataFrame:
+    """Items (collection, id, document) with their patches applied; adds `error`.
+
+    `patches` has (collection, id, kind, patch): kind `merge` with a partial document, or `json` with a list of
+    operations. Several patches of an item are applied in turn, by the column `order` where it is given. A failed
+    patch leaves its document unchanged and says why. Patching `id` or `collection` moves the item: its key columns
+    follow the document. A move onto the key of another item fails, and with `collections` one to an unknown
+    collection; with `dated`, so does a change of the primary time (True: datetime, False: start and end).
+    """
+    changed = patched_items(items, patches, collections, dated, order).drop("_was")
+    keys = patches.select(*KEY).distinct().withColumn("_patched", F.lit(True))
+    untouched = items.join(keys, list(KEY), "left").filter(F.col("_patched").isNull() | F.col("document").isNull())
+    return untouched.withColumn("error", F.lit(None).cast("string")).select(*changed.columns).unionByName(changed)
 
 
 def unmatched_patches(items: DataFrame, patches: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Spatial conditions. Bounds decide natively where they can; only the rest reaches the exact Arrow kernel."""
+"""Spatial conditions. Bounds decide where they can; only the rest is compared edge by edge."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geoledger.functions.geometry import (
-    box_geometry, is_box, literal_bounds, literal_is_box, literal_parts, predicate_udf,
+    box_geometry, is_box, literal_bounds, literal_is_box, literal_parts,
 )
+from geoledger.functions.predicates import covers, intersects, literal_shape, shape_of
 from geoledger.operators.fields import Fields, holds
 
 BOUNDS = ("minx", "miny", "maxx", "maxy")
@@ -30,9 +32,15 @@ def box_literal(bbox: list[float]) -> dict[str, Any]:
     return {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}
 
 
+def boxes_of(bbox: list[float]) -> list[list[float]]:
+    """The box, or the two on either side of the antimeridian when its west lies east of its east."""
+    x0, y0, x1, y1 = bbox_2d(bbox)
+    return [[x0, y0, x1, y1]] if x0 <= x1 else [[x0, y0, 180.0, y1], [-180.0, y0, x1, y1]]
+
+
 def by_bbox(fields: Fields, bbox: list[float]) -> Column:
-    """The row's geometry shares a point with the box."""
-    return spatial(fields, "intersects", box_literal(bbox))
+    """The row's geometry shares a point with the box, which may lie across the antimeridian."""
+    return reduce(Column.__or__, [spatial(fields, "intersects", box_literal(box)) for box in boxes_of(bbox)])
 
 
 def by_intersects(fields: Fields, geometry: dict[str, Any]) -> Column:
@@ -65,13 +73,18 @@ def spatial(fields: Fields, relation: str, geometry: dict[str, Any], name: str =
         matched = possible
     else:
         geom = shape.column if shape is not None else box_geometry(minx, miny, maxx, maxy)
-        exact = predicate_udf({"disjoint": "intersects"}.get(relation, relation), parts)
+        row, given = shape_of(geom), literal_shape(parts)
+        related = {"within": lambda: covers(given, row), "contains": lambda: covers(row, given)}.get(relation, lambda: intersects(row, given))()
+
+        def exact(wanted: Column) -> Column:
+            return F.when(holds(wanted) & geom.isNotNull(), related).otherwise(False)
+
         if box_literal_ and relation != "contains":
             # bounds decide a shape inside a box, and a shape that is a box itself
             sure = inside | is_box(geom, minx, miny, maxx, maxy)
-            matched = possible & (sure | exact(F.when(holds(possible & ~sure), geom)))
+            matched = possible & (sure | exact(possible & ~sure))
         else:
-            matched = possible & exact(F.when(holds(possible), geom))
+            matched = possible & exact(possible)
     if relation == "disjoint":
         present = shape.column.isNotNull() if shape is not None else minx.isNotNull()
         return present & ~holds(matched)

@@ -1,7 +1,7 @@
 """Batch writes as set operations on (collection, id): dedupe, existence, conflicts, insert, upsert, delete.
 
-Keys of a batch are broadcast only after a count, so a stored table is read once and not shuffled for a small
-batch; a large batch falls back to a shuffled join.
+Joins are by key and left to the adaptive planner, which measures both sides at run time; only where a store is
+filtered by the keys of a batch are they measured and broadcast beforehand, so that the store is not shuffled.
 """
 
 from __future__ import annotations
@@ -48,31 +48,18 @@ def split_known(items: DataFrame, collections: DataFrame) -> tuple[DataFrame, Da
     return items.join(known, "collection", "left_semi"), items.join(known, "collection", "left_anti")
 
 
-# Up to this many keys their ids are written into the filter, where row-group statistics and bloom filters see them.
-FEW_KEYS = 1000
-
-
 def holding(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Stored rows whose key is among `keys`, a materialised frame of distinct keys."""
-    ids = [row[0] for row in keys.select(key[-1]).limit(FEW_KEYS + 1).collect()]
-    if len(ids) <= FEW_KEYS:
-        stored = stored.filter(F.col(key[-1]).isin(ids)) if ids else stored.filter(F.lit(False))
-    return stored.join(broadcast_if_small(keys), list(key), "left_semi")
+    """Stored rows whose key is among `keys`, a materialised frame. Broadcast when small, so the store is not shuffled."""
+    return stored.join(broadcast_if_small(keys.select(*key)), list(key), "left_semi")
 
 
-def stored_keys(stored: DataFrame, batch: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Keys of the batch that are stored already: only key columns of the store are read.
+def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows with a flag `conflict` where their key is taken.
 
-    The batch's keys are written once, because their size decides how they are joined.
+    One join: a deduped batch is partitioned by its key already, so only the stored keys are moved, each once.
     """
-    return holding(stored.select(*key), materialised(batch.select(*key).distinct()), key)
-
-
-def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The rows with a flag `conflict` where their key is taken."""
-    taken = materialised(stored_keys(stored, new, key).distinct())
-    flagged = broadcast_if_small(taken.withColumn("conflict", F.lit(True)))
-    return new.join(flagged, list(key), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    taken = stored.select(*key).distinct().withColumn("conflict", F.lit(True))
+    return new.join(taken, list(key), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
 def split_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
@@ -83,8 +70,7 @@ def split_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY)
 
 def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows with the new ones in place of equal keys; `new` has one row per key."""
-    replaced = broadcast_if_small(materialised(new.select(*key)))
-    return stored.join(replaced, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+    return stored.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def replace_existing(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -105,7 +91,7 @@ def create_strict(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -
 
 def delete_keys(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows without the given keys."""
-    return stored.join(broadcast_if_small(materialised(keys.select(*key))), list(key), "left_anti")
+    return stored.join(keys.select(*key), list(key), "left_anti")
 
 
 def rename_collection(items: DataFrame, old: str, new: str) -> DataFrame:
@@ -189,24 +175,23 @@ def ingest(
 ) -> IngestResult:
     """Dedupe, check collections, stamp, validate and compare with the store. The store is not written here.
 
-    `mode` is create (a taken key is a conflict) or upsert. `error` replaces the standard validation. The deduped
-    batch and the keys it shares with the store are written to the shared folder once, because the accepted
-    rows, the conflicts, the errors and the summary all read them.
+    `mode` is create (a taken key is a conflict) or upsert. `error` replaces the standard validation. The marked
+    batch is written to the job's folder once, because the accepted rows, the conflicts, the errors and the summary
+    all read it; the dedupe's partitioning by key serves the comparison with the store too.
     """
     if mode not in ("create", "upsert"):
         raise ValueError(f"unknown mode {mode!r}")
-    unique = materialised(prepare_items(dedupe_last(batch, order), now))
-    known = broadcast_if_small(collections.select(F.col("id").alias("collection"), F.lit(True).alias("_known")).distinct())
-    taken = broadcast_if_small(materialised(stored_keys(stored, unique)).withColumn("_taken", F.lit(True)))
+    unique = prepare_items(dedupe_last(batch, order), now)
+    known = collections.select(F.col("id").alias("collection"), F.lit(True).alias("_known")).distinct()
     marked = (
-        unique.withColumn("error", item_error(unique) if error is None else error)
+        mark_conflicts(unique.withColumn("error", item_error(unique) if error is None else error), stored)
         .join(known, "collection", "left")
-        .join(taken, list(KEY), "left")
         .withColumn("fate", F.when(F.col("_known").isNull(), "unknown_collection")
                     .when(F.col("error").isNotNull(), "invalid")
-                    .when(F.col("_taken"), "conflict").otherwise("new"))
-        .drop("_known", "_taken")
+                    .when(F.col("conflict"), "conflict").otherwise("new"))
+        .drop("_known", "conflict")
     )
+    marked = materialised(marked)
     result = IngestResult(batch, marked, mode)
     if max_errors or strict:
         check_threshold(result.error_count, max_errors, strict)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from geoledger.operators.paging import (
     parse_sort, resolve_limit, sort_keys,
 )
 from geoledger.operators.projection import parse_fields, select_fields
-from geoledger.operators.spatial import BOUNDS, bbox_2d, by_bbox, by_intersects
+from geoledger.operators.spatial import BOUNDS, bbox_2d, boxes_of, by_bbox, by_intersects
 from geoledger.operators.text import COLLECTION_TEXT_FIELDS, ITEM_TEXT_FIELDS, by_free_text
 
 
@@ -148,8 +149,11 @@ def collection_bbox(fields: Fields, bbox: str | Sequence[float] | None) -> Colum
     if not bbox or len(bbox) != 4:
         return F.lit(True)
     minx, miny, maxx, maxy = (fields.get(name).column for name in BOUNDS)
-    return (minx <= F.lit(float(bbox[2]))) & (maxx >= F.lit(float(bbox[0]))) & (
-        miny <= F.lit(float(bbox[3]))) & (maxy >= F.lit(float(bbox[1])))
+
+    def meets(x0: float, y0: float, x1: float, y1: float) -> Column:
+        return (minx <= F.lit(x1)) & (maxx >= F.lit(x0)) & (miny <= F.lit(y1)) & (maxy >= F.lit(y0))
+
+    return reduce(Column.__or__, [meets(*box) for box in boxes_of([float(v) for v in bbox])])
 
 
 def collection_datetime(dates: Column, interval: str | None, open_end: bool = False) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,31 +31,33 @@ def build_session(app: str = "geoledger", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables: what the cluster names in spark.checkpoint.dir.
+    """Folder that the driver and all executors reach: what the cluster names in spark.checkpoint.dir, else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    Only a local master may fall back to a temporary folder; on a cluster an unset folder is an error,
-    because executors do not share the driver's disk.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    named = tempfile.mkdtemp(prefix="geoledger-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir() or named
+
+_job_dirs: set[str] = set()
+
+
+def job_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables under the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/geoledger-{spark.sparkContext.applicationId}"
+    if path not in _job_dirs:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+        _job_dirs.add(path)
+    return path
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder as a table and read it back.
+    """Write the frame to the job's folder as a table and read it back.
 
     Cuts the lineage, survives lost executors, and unlike a checkpoint of rows lets later steps read single
-    columns and lets the planner know the size. The folder belongs to the job and may be removed after it.
+    columns and lets the planner know the size.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/materialised-{uuid.uuid4().hex}"
+    path = f"{job_dir(df.sparkSession)}/materialised-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

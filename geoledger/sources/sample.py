@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def collection_count(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "supplier").count()
+
+
 def items(spark: SparkSession, sf_dir: str, geometry: bool = False) -> DataFrame:
-    """One item per event. With `geometry`, its box also as a geometry struct."""
+    """One item per event, a third of them in one collection. With `geometry`, its box also as a geometry struct."""
     e = F.col("event_id")
     ts = F.col("ts").cast("timestamp_ntz")
     half = (e % 5) * F.lit(0.25)
@@ -23,7 +30,8 @@ def items(spark: SparkSession, sf_dir: str, geometry: bool = False) -> DataFrame
     has_range = (e % 29 != 0) & ((e % 7 == 0) | (e % 3 == 0))
     df = table(spark, sf_dir, "events").select(
         F.concat(F.lit("e"), e.cast("string")).alias("id"),
-        F.concat(F.lit("c"), (F.col("user_id") % 10).cast("string")).alias("collection"),
+        F.concat(F.lit("c"), F.when(e % 3 == 0, F.lit(0)).otherwise(
+            F.col("user_id") % collection_count(spark, sf_dir)).cast("string")).alias("collection"),
         ts.alias("raw_ts"),
         F.when(has_datetime, ts).alias("datetime"),
         F.when(has_range, ts).alias("start_datetime"),
@@ -50,18 +58,17 @@ ITEM_ALIASES = {
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten collections under the nations' catalogs, which lie under the regions' catalogs."""
+    """A collection per supplier under the nations' catalogs, which lie under the regions' catalogs."""
     extent = items(spark, sf_dir).groupBy("collection").agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"),
         F.max("maxy").alias("maxy"), F.min("raw_ts").alias("t_min"), F.max("raw_ts").alias("t_max"),
     )
-    suppliers = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 10).select(
+    suppliers = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("id"),
         F.lit("Collection").alias("type"),
         F.col("s_name").alias("title"),
         F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("parent_ids"),
     )
-    # the left side has ten rows by its filter; the extent has one row per collection
     leaves = suppliers.join(extent, suppliers["id"] == extent["collection"], "left").drop("collection")
     nations = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),

@@ -1,16 +1,18 @@
 """The items table on Parquet: partitioned by collection, or by collection and day.
 
-One writer at a time. A write never reads the folders it replaces in the same job: the merged rows are first
-written to the shared folder, then only the touched partitions are replaced.
+One writer at a time. A write merges the touched partitions with the new rows and writes every row once: the job
+writes beside the stored files, and only its commit puts the new files in place of the old ones of those partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from geoledger.operators.patch import patched_items
 from geoledger.operators.projection import assets_to_array
 from geoledger.operators.writes import KEY, delete_keys, holding, rename_collection, upsert, with_partitions
 from geoledger.session import broadcast_if_small, materialised
@@ -18,8 +20,8 @@ from geoledger.session import broadcast_if_small, materialised
 SIMPLE = ("collection",)
 DATED = ("collection", "has_datetime", "item_date")
 ROWS_PER_FILE = 5_000_000
-# Partitions one write may touch and list on the driver.
-MAX_TOUCHED = 100_000
+# Types of the partition columns; left to inference, an id such as 007 would become a number.
+PARTITION_TYPES = {"collection": "string", "has_datetime": "boolean", "item_date": "date"}
 
 
 def layout(by_date: bool) -> tuple[str, ...]:
@@ -34,7 +36,10 @@ def arranged(df: DataFrame, by_date: bool, use_datetime: bool = True) -> DataFra
     """
     if by_date:
         df = with_partitions(df, use_datetime)
-    keys = layout(by_date)
+    return _sorted(df, layout(by_date))
+
+
+def _sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = [F.col(c).desc_nulls_last() for c in ("datetime", "start_datetime", "id") if c in df.columns]
     return df.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
@@ -59,22 +64,12 @@ def _write(df: DataFrame, path: str, keys: Sequence[str], mode: str) -> None:
     )
 
 
-_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
-
-
 def read_items(spark: SparkSession, path: str, collections: Sequence[str] | None = None) -> DataFrame:
-    """Items of the chosen collections, or of all; files of other partitions are not read.
-
-    Partition values are read as text, so that an id such as 007 stays one, and given their types here.
-    """
-    before = spark.conf.get(_INFERENCE)
-    spark.conf.set(_INFERENCE, "false")
-    try:
-        df = spark.read.parquet(path)
-    finally:
-        spark.conf.set(_INFERENCE, before)
-    types = {"has_datetime": "boolean", "item_date": "date"}
-    df = df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+    """Items of the chosen collections, or of all; files of other partitions are not read."""
+    columns = spark.read.parquet(path).schema
+    typed = T.StructType([
+        T.StructField(f.name, T._parse_datatype_string(PARTITION_TYPES[f.name])) if f.name in PARTITION_TYPES else f for f in columns])
+    df = spark.read.schema(typed).parquet(path)
     return df if collections is None else df.filter(F.col("collection").isin(list(collections)))
 
 
@@ -84,26 +79,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _drop_partitions(spark: SparkSession, path: str, partitions: DataFrame, keys: Sequence[str]) -> None:
-    """Remove the folders of partitions that no longer hold rows."""
+    """Remove the folders of partitions, as many as there are; their names pass the driver a few at a time."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    rows = partitions.select(*[F.col(k).cast("string") for k in keys]).limit(MAX_TOUCHED + 1).collect()
-    if len(rows) > MAX_TOUCHED:
-        raise RuntimeError("too many partitions emptied by one write")
-    for row in rows:
-        parts = [
-            f"{k}=" + ("__HIVE_DEFAULT_PARTITION__" if row[k] is None else escape(row[k])) for k in keys
-        ]
-        folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *parts]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFrame, by_date: bool) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in partitions.select(*[F.col(k).cast("string") for k in keys]).toLocalIterator():
+        parts = [f"{k}=" + ("__HIVE_DEFAULT_PARTITION__" if row[k] is None else escape(row[k])) for k in keys]
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *parts])), True)
+
+
+def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFrame, kept: DataFrame, by_date: bool) -> None:
+    """Put `merged` in place of the touched partitions; `kept` names the partitions of its rows.
+
+    What becomes empty is known before the write, and nothing after it can fail for its size. An interrupted write is
+    completed by running it again.
+    """
     keys = layout(by_date)
-    same = [touched[k].eqNullSafe(merged[k]) for k in keys]
-    emptied = materialised(touched.join(merged.select(*keys).distinct(), same, "left_anti"))
-    # partition columns are already there: only rebalance, sort and write
-    order = [F.col(c).desc_nulls_last() for c in ("datetime", "start_datetime", "id") if c in merged.columns]
-    _write(merged.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order), path, keys, "overwrite")
+    same = [touched[k].eqNullSafe(kept[k]) for k in keys]
+    emptied = materialised(touched.join(kept, same, "left_anti"))
+    # partition columns are already there
+    _write(_sorted(merged, keys), path, keys, "overwrite")
     _drop_partitions(spark, path, emptied, keys)
 
 
@@ -133,8 +128,11 @@ def upsert_store(new: DataFrame, path: str, by_date: bool = False, use_datetime:
     new = materialised(with_partitions(new, use_datetime) if by_date else new)
     stored = read_items(spark, path)
     touched = materialised(_touched(stored, new, parts).union(new.select(*parts).distinct()).distinct())
-    merged = materialised(upsert(_within(stored, touched, parts), new))
-    _replace(spark, path, touched, merged, by_date)
+    old = _within(stored, touched, parts)
+    # keys alone tell which partitions keep rows
+    left = delete_keys(old.select(*dict.fromkeys([*KEY, *parts])), new).select(*parts)
+    kept = left.union(new.select(*parts)).distinct()
+    _replace(spark, path, touched, upsert(old, new), kept, by_date)
 
 
 def delete_from_store(keys: DataFrame, path: str, by_date: bool = False) -> None:
@@ -144,8 +142,27 @@ def delete_from_store(keys: DataFrame, path: str, by_date: bool = False) -> None
     stored = read_items(spark, path)
     keys = materialised(keys.select(*KEY).distinct())
     touched = materialised(_touched(stored, keys, parts))
-    merged = materialised(delete_keys(_within(stored, touched, parts), keys))
-    _replace(spark, path, touched, merged, by_date)
+    left = delete_keys(_within(stored, touched, parts), keys)
+    _replace(spark, path, touched, left, left.select(*parts).distinct(), by_date)
+
+
+def patch_store(
+    spark: SparkSession, path: str, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None,
+    order: str | None = None, typed: Callable[[DataFrame], DataFrame] = lambda rows: rows, by_date: bool = False,
+) -> DataFrame:
+    """Apply patches to stored documents and write back what changed; returns (collection, id, error) per patched item.
+
+    `typed` derives the typed columns of changed rows from their documents. Moved items leave their old place.
+    """
+    done = materialised(patched_items(read_items(spark, path), patches, collections, dated, order))
+    good = done.filter(F.col("error").isNull())
+    changed = typed(good.drop("error", "_was", *[c for c in layout(by_date) if c != "collection"]))
+    moved = good.filter((F.col("collection") != F.col("_was.collection")) | (F.col("id") != F.col("_was.id"))).select("_was.collection", "_was.id")
+    if not good.isEmpty():
+        upsert_store(changed, path, by_date)
+    if not moved.isEmpty():
+        delete_from_store(moved, path, by_date)
+    return done.select(F.col("_was.collection").alias("collection"), F.col("_was.id").alias("id"), "error")
 
 
 def rename_in_store(spark: SparkSession, path: str, old: str, new: str, by_date: bool = False) -> None:
@@ -170,4 +187,5 @@ def drop_collection_from_store(spark: SparkSession, path: str, collection: str,
 
 def rewrite_assets(spark: SparkSession, path: str, target: str, by_date: bool = False) -> None:
     """Copy a whole table to a new place with the assets object turned into an array."""
-    assets_to_array(read_items(spark, path)).write.partitionBy(*layout(by_date)).parquet(target)
+    rows = assets_to_array(read_items(spark, path))
+    _write(_sorted(rows, layout(by_date)), target, layout(by_date), "errorifexists")

@@ -6,7 +6,7 @@ import copy
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +57,6 @@ SPARK_TYPES = {
 _NUMBERS = ("double", "float", "bigint", "decimal(20,0)", "int", "smallint", "tinyint")
 # Members of a document that are not item fields.
 _ENVELOPE = ("type", "stac_version", "stac_extensions", "bbox")
-# Distinct fields a catalogue may have before inference refuses to go on.
-MAX_FIELDS = 10_000
 
 
 # ---------------------------------------------------------------- mappings and templates
@@ -73,6 +71,7 @@ def merge_fields(base: Mapping[str, Any], custom: Mapping[str, Any]) -> dict[str
     return out
 
 
+# The conditions a template may have.
 _CONDITIONS = ("match_mapping_type", "unmatch_mapping_type", "match", "unmatch", "path_match", "path_unmatch")
 
 
@@ -140,6 +139,8 @@ class MappedField:
     path: str
     mapping: Mapping[str, Any]
     many: bool = False
+    # some documents hold one value, others a list
+    mixed: bool = False
 
     @property
     def spark_type(self) -> str:
@@ -153,16 +154,48 @@ def split_path(path: str) -> list[str]:
     return path.split(".")
 
 
-def observed_fields(documents: DataFrame, column: str = "document") -> dict[str, tuple[str, bool]]:
-    """Path to (detected type, several values) of every field in the documents.
+class Observed(NamedTuple):
+    """Detected type of a field, whether it holds several values, and whether only some documents hold several."""
 
-    Schemas are merged by a partial aggregate; only the merged schema comes to the driver.
+    kind: str
+    many: bool = False
+    mixed: bool = False
+
+
+def agreed(kinds: Sequence[str]) -> Observed:
+    """One type for a field whose documents disagree, given the variant types found.
+
+    Numbers and texts are a number, whose texts are coerced or rejected later; other scalars meet as text. One value
+    and a list are a list.
+    """
+    lists = [k for k in kinds if k.startswith("ARRAY<")]
+    single = {k.removeprefix("ARRAY<").removesuffix(">") for k in kinds} - {"VOID"}
+    names = {
+        "STRING" if k in ("STRING", "VARIANT") else "BOOLEAN" if k == "BOOLEAN" else "OBJECT" if k.startswith(("OBJECT", "ARRAY"))
+        else "long" if k in ("BIGINT", "INT", "SMALLINT", "TINYINT") else "double" for k in single}
+    many, mixed = bool(lists), 0 < len(lists) < len([k for k in kinds if k != "VOID"])
+    if not names or "OBJECT" in names:
+        return Observed("object", many)
+    numbers = names & {"long", "double"}
+    if "BOOLEAN" in names:
+        kind = "boolean" if len(names) == 1 else "string"
+    else:
+        kind = ("double" if "double" in numbers else "long") if numbers else "string"
+    return Observed(kind, many, mixed)
+
+
+def observed_fields(documents: DataFrame, column: str = "document") -> dict[str, Observed]:
+    """Path to what was seen of every field in the documents.
+
+    Schemas are merged by a partial aggregate; only the merged schema comes to the driver. Fields whose documents
+    disagree are looked at once more, all in one pass, for the types they have.
     """
     ddl = documents.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
     if ddl is None:
         return {}
     schema = T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
-    found: dict[str, tuple[str, bool]] = {}
+    found: dict[str, Observed] = {}
+    unclear: list[str] = []
 
     def visit(path: str, dtype: T.DataType, many: bool) -> None:
         if isinstance(dtype, T.ArrayType):
@@ -170,33 +203,44 @@ def observed_fields(documents: DataFrame, column: str = "document") -> dict[str,
         elif isinstance(dtype, T.StructType) and not many:
             centroid = set(dtype.fieldNames()) == {"lat", "lon"}
             if path in BASE_FIELDS or centroid or path in ("properties.proj:projjson", "properties.proj:geometry"):
-                found[path] = ("object", many)
+                found[path] = Observed("object", many)
                 return
             for field in dtype.fields:
                 if path or field.name not in _ENVELOPE:
                     visit(f"{path}.{field.name}" if path else field.name, field.dataType, False)
+        elif isinstance(dtype, T.VariantType) and path not in BASE_FIELDS:
+            unclear.append(path)
         elif not isinstance(dtype, T.NullType):
             kinds = [(T.StringType, "string"), (T.BooleanType, "boolean"), (T.LongType, "long"),
                      ((T.DoubleType, T.DecimalType, T.FloatType), "double")]
-            found[path] = (next((n for t, n in kinds if isinstance(dtype, t)), "object"), many)
+            found[path] = Observed(next((n for t, n in kinds if isinstance(dtype, t)), "object"), many)
 
     visit("", schema, False)
-    if len(found) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} distinct fields")
+    if unclear:
+        parsed = F.try_parse_json(F.col(column))
+
+        def kind(path: str) -> Column:
+            member = F.try_variant_get(parsed, "$" + "".join(f"['{p}']" for p in split_path(path)), "variant")
+            seen = F.when(member.isNotNull() & ~F.is_variant_null(member), F.schema_of_variant(member))
+            # the members of objects don't matter here, and would make the set large
+            return F.regexp_replace(seen, "OBJECT<.*", "OBJECT")
+
+        row = documents.agg(*[F.collect_set(kind(p)).alias(f"k{i}") for i, p in enumerate(unclear)]).first()
+        found |= {p: agreed(row[f"k{i}"]) for i, p in enumerate(unclear)}
     return found
 
 
 def mapping_for(
-    observed: Mapping[str, tuple[str, bool]], fields: Mapping[str, Any] | None = None,
+    observed: Mapping[str, Observed], fields: Mapping[str, Any] | None = None,
     templates: Sequence[dict] = BASE_TEMPLATES, mode: str = "true",
 ) -> list[MappedField]:
     """Mapped fields: the fixed ones, and in mode true every observed one by its template."""
     fixed = BASE_FIELDS if fields is None else fields
-    out = [MappedField(p, m, observed.get(p, ("", False))[1]) for p, m in fixed.items()]
+    out = [MappedField(p, m, *observed.get(p, Observed(""))[1:]) for p, m in fixed.items()]
     if mode == "true":
         out += [
-            MappedField(p, template_type(p, kind, templates), many)
-            for p, (kind, many) in observed.items() if p not in fixed
+            MappedField(p, template_type(p, seen.kind, templates), seen.many, seen.mixed)
+            for p, seen in observed.items() if p not in fixed
         ]
     return out
 
@@ -212,7 +256,7 @@ def _raw_schema(mapping: Sequence[MappedField]) -> T.StructType:
         node = tree
         for part in parents:
             node = node.setdefault(part, {})
-        node[leaf] = T.ArrayType(T.StringType()) if field.many else T.StringType()
+        node[leaf] = T.ArrayType(T.StringType()) if field.many and not field.mixed else T.StringType()
 
     def struct(node: dict[str, Any]) -> T.StructType:
         return T.StructType([
@@ -237,6 +281,10 @@ def _cast(text: Column, field: MappedField) -> Column:
 
 
 def _cast_all(texts: Column, field: MappedField) -> Column:
+    if field.mixed:
+        # a list comes as its text, one value as itself
+        several = F.when(texts.startswith("["), F.from_json(texts, "array<string>"))
+        texts = F.when(texts.isNotNull(), F.coalesce(several, F.array(texts)))
     return F.transform(texts, lambda text: _cast(text, field))
 
 

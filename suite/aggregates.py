@@ -156,23 +156,21 @@ def date_case(unit: str, name: str):
 
 
 date_case("month", "agg_datetime_frequency")
-for _unit in ("year", "quarter", "week", "day", "hour"):
+for _unit in ("year", "quarter", "week", "day", "hour", "minute"):
     date_case(_unit, f"agg_datetime_frequency_{_unit}")
 
 
-def fine_case(unit: str, name: str):
-    """Fine histograms, shown as one row per day: their steps, and the rows and the fullest step in them."""
-    per_day = "substr(key, 1, 10)"
-
-    @case(name, f"SELECT {per_day} AS day, count(*) AS steps, sum(frequency)::BIGINT AS items, max(frequency) AS fullest FROM ({sql_dates(unit)}) GROUP BY 1")
-    def query(spark, sf_dir):
-        found = agg.datetime_histogram(items(spark, sf_dir), unit)
-        return found.groupBy(F.substring("key", 1, 10).alias("day")).agg(
-            F.count(F.lit(1)).alias("steps"), F.sum("frequency").alias("items"), F.max("frequency").alias("fullest"))
-
-
-for _unit in ("minute", "second"):
-    fine_case(_unit, f"agg_datetime_frequency_{_unit}")
+@case(
+    "agg_datetime_frequency_second",
+    f"WITH {ITEMS}, s AS ({sql_dates('second')}) SELECT key, frequency, 0 AS steps FROM s WHERE frequency > 0 "
+    "UNION ALL SELECT substr(key, 1, 10), sum(frequency)::BIGINT, count(*) FROM s GROUP BY 1",
+    views=None,
+)
+def datetime_second(spark, sf_dir):
+    # every step that has rows, and per day the number of all steps
+    found = agg.datetime_histogram(items(spark, sf_dir), "second")
+    per_day = found.groupBy(F.substring("key", 1, 10).alias("key")).agg(F.sum("frequency").alias("frequency"), F.count(F.lit(1)).alias("steps"))
+    return found.filter("frequency > 0").select("key", "frequency", F.lit(0).cast("bigint").alias("steps")).unionByName(per_day)
 
 
 # ---------------------------------------------------------------- grids
@@ -234,12 +232,6 @@ def centroid_geotile(spark, sf_dir):
     return agg.centroid_grid(items(spark, sf_dir), "geotile", 6)
 
 
-@case("agg_centroid_geohex_grid")
-def centroid_geohex(spark, sf_dir):
-    # no SQL form: the tests check the cells against known ones and as a partition of the globe
-    return agg.centroid_grid(items(spark, sf_dir), "geohex", 3)
-
-
 _x0, _y0 = sql_hash_cell("minx", "miny", 4)
 _x1, _y1 = sql_hash_cell("maxx", "maxy", 4)
 
@@ -311,7 +303,10 @@ def bundle(spark, sf_dir):
     ]))
 
 
-_DEFAULTS = ", ".join(f"('{n}')" for n in agg.DEFAULT_AGGREGATIONS)
+_DEFAULTS = (
+    "('total_count'), ('datetime_max'), ('datetime_min'), ('datetime_frequency'), ('collection_frequency'), "
+    "('geometry_geohash_grid_frequency'), ('geometry_geotile_grid_frequency')"
+)
 
 
 @case(

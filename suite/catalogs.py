@@ -33,7 +33,7 @@ def scope(spark, sf_dir):
 
 @case(
     "set_scope_intersect",
-    f"SELECT id FROM ({DESCENDANTS}) WHERE id <> 'c9'", views=COLLECTIONS,
+    f"SELECT id FROM ({DESCENDANTS}) WHERE id IN ('c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c77')", views=COLLECTIONS,
 )
 def scope_intersect(spark, sf_dir):
     allowed = graph.descendant_collections(resources(spark, sf_dir), "r3")
@@ -96,13 +96,14 @@ def unlink(spark, sf_dir):
 
 @case(
     "cat_link_or_create",
-    "SELECT id, parent FROM collections_v UNION SELECT 'c' || s_suppkey, 'n1' FROM supplier WHERE s_suppkey >= 5",
+    "SELECT id, parent FROM collections_v UNION SELECT 'c' || c_custkey, 'n1' FROM customer",
     views=COLLECTIONS,
 )
 def link_or_create(spark, sf_dir):
-    new = sample.table(spark, sf_dir, "supplier").filter("s_suppkey >= 5").select(
-        F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("Collection").alias("type"),
-        F.col("s_name").alias("title"), F.lit(None).cast("array<string>").alias("parent_ids"))
+    # some customers have the number of a supplier, the others are new
+    new = sample.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit("Collection").alias("type"),
+        F.col("c_name").alias("title"), F.lit(None).cast("array<string>").alias("parent_ids"))
     return links(graph.link_or_create(resources(spark, sf_dir), new, "n1"))
 
 

@@ -82,6 +82,8 @@ item_case("f_datetime_missing", lambda f: filters.by_datetime(f, None), ANY_TIME
 BOX = [-60.03, -40.02, 75.07, 35.04]
 SQL_BOX = f"minx <= {BOX[2]} AND maxx >= {BOX[0]} AND miny <= {BOX[3]} AND maxy >= {BOX[1]}"
 item_case("f_bbox", lambda f: spatial.by_bbox(f, BOX), SQL_BOX)
+item_case("f_bbox_antimeridian", lambda f: spatial.by_bbox(f, [170.03, -40.02, -165.04, 35.04]),
+          "(maxx >= 170.03 OR minx <= -165.04) AND miny <= 35.04 AND maxy >= -40.02")
 item_case("f_bbox_3d", lambda f: spatial.by_bbox(f, spatial.bbox_2d([*BOX[:2], 0, *BOX[2:], 900])), SQL_BOX)
 
 # An L: the box without its upper right notch. In SQL, its two rectangles.

@@ -135,6 +135,13 @@ def error_groups(spark, sf_dir):
     return validation.error_groups(invalid)
 
 
+@case("agg_error_ids", f"SELECT error, count(*) OVER (PARTITION BY error) AS items, collection, id FROM {SQL_ERRORS} WHERE error IS NOT NULL")
+def error_ids(spark, sf_dir):
+    rows = broken_items(spark, sf_dir)
+    _, invalid = validation.split_valid(rows, validation.datetime_error(Fields.of(rows)))
+    return validation.errors_with_ids(invalid)
+
+
 def shifted_geometry(spark, sf_dir):
     """Items moved east by 1.5 degrees, so that some leave the globe."""
     rows = items(spark, sf_dir)
@@ -174,13 +181,12 @@ def ring(spark, sf_dir):
 
 @case(
     "v_topology_batch",
-    "SELECT lon + 1.5::DOUBLE + (maxx - minx) / 2::DOUBLE <= 180 AS valid, count(*) AS items FROM items_v GROUP BY 1",
+    "SELECT id, lon + 1.5::DOUBLE + (maxx - minx) / 2::DOUBLE <= 180 AS valid FROM items_v",
 )
 def topology_batch(spark, sf_dir):
     rows = shifted_geometry(spark, sf_dir)
     valid, invalid = validation.split_valid(rows, validation.topology_error(F.col("geometry")))
-    marked = valid.select(F.lit(True).alias("valid")).unionAll(invalid.select(F.lit(False).alias("valid")))
-    return marked.groupBy("valid").agg(F.count(F.lit(1)).alias("items"))
+    return valid.select("id", F.lit(True).alias("valid")).unionAll(invalid.select("id", F.lit(False).alias("valid")))
 
 
 def raw_documents(spark, sf_dir):

@@ -15,7 +15,7 @@ ITEMS = """items_v AS (
          least(lon + half, 180.0) AS maxx, least(lat + half, 90.0) AS maxy,
          cloud_cover, platform, sun_elevation, title, hidden, event_id, user_id
   FROM (
-    SELECT 'e' || event_id AS id, 'c' || (user_id % 10) AS collection, ts AS raw_ts,
+    SELECT 'e' || event_id AS id, 'c' || CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % (SELECT count(*) FROM supplier) END AS collection, ts AS raw_ts,
            CASE WHEN event_id % 7 <> 0 AND event_id % 29 <> 0 THEN ts END AS datetime,
            CASE WHEN event_id % 29 <> 0 AND (event_id % 7 = 0 OR event_id % 3 = 0) THEN ts END AS start_datetime,
            CASE WHEN event_id % 29 <> 0 AND (event_id % 7 = 0 OR event_id % 3 = 0)
@@ -36,7 +36,7 @@ COLLECTIONS = ITEMS + """, extent_v AS (
 collections_v AS (
   SELECT 'c' || s_suppkey AS id, 'Collection' AS type, s_name AS title, 'n' || s_nationkey AS parent,
          minx, miny, maxx, maxy, t_min, t_max
-  FROM supplier LEFT JOIN extent_v ON extent_v.collection = 'c' || s_suppkey WHERE s_suppkey < 10
+  FROM supplier LEFT JOIN extent_v ON extent_v.collection = 'c' || s_suppkey
   UNION ALL
   SELECT 'n' || n_nationkey, 'Catalog', n_name, 'r' || n_regionkey, NULL, NULL, NULL, NULL, NULL, NULL FROM nation
   UNION ALL

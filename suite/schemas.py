@@ -70,8 +70,7 @@ SQL_TYPED = (
 @case("typed_projection", SQL_TYPED)
 def typed_projection(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    custom = typed.merge_fields(typed.BASE_FIELDS, {"properties.eo:cloud_cover": {"type": "double"}})
-    mapping = typed.mapping_for(typed.observed_fields(docs), custom)
+    mapping = typed.mapping_for(typed.observed_fields(docs))
     rows, _ = typed.split_rejected(typed.typed(docs, mapping))
     return rows.select(
         "id", "collection", "datetime", "start_datetime", F.col("properties.`eo:cloud_cover`").alias("cloud_cover"),
@@ -81,6 +80,21 @@ def typed_projection(spark, sf_dir):
     )
 
 
+@case(
+    "typed_mixed",
+    "SELECT id, CAST(cloud_cover AS DOUBLE) AS n, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS words, title AS first FROM items_v",
+)
+def typed_mixed(spark, sf_dir):
+    # a number or its text, and one word or a list of words
+    number = F.regexp_extract("id", "[0-9]+", 0).cast("bigint")
+    whole = F.to_json(F.struct(F.col("cloud_cover").alias("n"), F.when(number % 3 != 0, F.col("title")).alias("kw")))
+    several = F.to_json(F.struct(F.col("cloud_cover").cast("string").alias("n"), F.array("title", "id").alias("kw")))
+    docs = sample.items(spark, sf_dir).select("collection", "id", F.concat(
+        F.lit('{"properties":'), F.when(number % 3 == 0, several).otherwise(whole), F.lit("}")).alias("document"))
+    rows, _ = typed.split_rejected(typed.typed(docs, typed.mapping_for(typed.observed_fields(docs))))
+    return rows.select("id", "properties.n", F.size("properties.kw").alias("words"), F.get("properties.kw", 0).alias("first"))
+
+
 KNOWN = {
     **typed.BASE_FIELDS, "properties.eo:cloud_cover": {"type": "double"}, "properties.view:sun_elevation": {"type": "double"},
     "properties.platform": {"type": "keyword"}, "properties.title": {"type": "text"}, "properties.proj:epsg": {"type": "integer"},
@@ -187,7 +201,10 @@ def enum(spark, sf_dir):
     return listed.select("collection", "name", F.explode("enum").alias("value"))
 
 
-_BASE = ", ".join(f"('{n}', '{d}')" for n, d in discovery.BASE_QUERYABLES.items())
+_BASE = (
+    "('id', 'ID'), ('collection', 'Collection'), ('geometry', 'Geometry'), ('datetime', 'Acquisition Timestamp'), "
+    "('created', 'Creation Timestamp'), ('updated', 'Creation Timestamp')"
+)
 
 
 @case(

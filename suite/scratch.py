@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from geoledger.session import shared_dir
+from geoledger.session import job_dir
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/geoledger-{name}-{uuid.uuid4().hex}"
+    return f"{job_dir(spark)}/{name}-{uuid.uuid4().hex}"

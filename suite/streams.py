@@ -52,7 +52,7 @@ def unvalidated(spark, sf_dir):
 
 @case(
     "st_late",
-    "SELECT collection, CAST(datetime AS DATE) AS item_date, count(*) AS items FROM items_v WHERE datetime IS NOT NULL GROUP BY ALL",
+    "SELECT id, collection, CAST(datetime AS DATE) AS item_date FROM items_v WHERE datetime IS NOT NULL",
 )
 def late(spark, sf_dir):
     # the newest items are stored first; older ones arrive later and are all kept
@@ -65,28 +65,29 @@ def late(spark, sf_dir):
     pending = ingest.pending_files(spark, folder, items.schema, fmt="parquet")
     job = ingest.IngestJob(target, dead, lambda df: [F.col("raw_ts")], lambda: NOW, by_date=True)
     job.start(pending, state, available_now=True).awaitTermination()
-    return store.read_items(spark, target).groupBy("collection", "item_date").agg(F.count(F.lit(1)).alias("items"))
+    return store.read_items(spark, target).select("id", "collection", "item_date")
 
 
 @case(
     "st_pending_view",
-    "SELECT collection, count(*) AS pending FROM last_v WHERE l_orderkey % 3 <> 0 AND l_extendedprice >= 2000 GROUP BY collection", views=LINES,
+    "SELECT id, collection FROM last_v WHERE l_orderkey % 3 <> 0 AND l_extendedprice >= 2000", views=LINES,
 )
 def pending_view(spark, sf_dir):
-    # every third order is stored, the cheap lines are dead letters, the rest waits
+    # the stream takes every third order and the cheap lines, which become dead letters; then all are queued, and the others wait
     queued = batch(spark, sf_dir).withColumn("queued_at", F.lit("2024-03-01 12:00:00").cast("timestamp_ntz"))
     last = dedupe_last(queued, order())
-    stored = last.filter(F.col("l_orderkey") % 3 == 0).withColumn("updated", F.col("queued_at"))
-    dead = last.filter(F.col("l_extendedprice") < 2000)
-    return ingest.pending_counts(ingest.pending_view(queued, stored, dead, order()))
+    target, dead = drain(spark, last.filter((F.col("l_orderkey") % 3 == 0) | (F.col("l_extendedprice") < 2000)))
+    view = ingest.pending_view(queued, store.read_items(spark, target), ingest.read_dead_letters(spark, dead), order())
+    return view.select("id", "collection")
 
 
-@case("st_order", "SELECT id, epoch_us(datetime) / 1000000.0::DOUBLE AS score FROM last_v ORDER BY score, id LIMIT 100", views=LINES)
+@case("st_order", "SELECT id, l_quantity, epoch_us(datetime) / 1000000.0::DOUBLE AS score FROM last_v", views=LINES)
 def oldest_first(spark, sf_dir):
+    # of the versions of a key that wait in one flush, that of the highest score and order stays
     from geoledger.functions.times import queue_score, rfc3339
 
-    last = dedupe_last(batch(spark, sf_dir), order())
-    return last.select("id", queue_score(rfc3339(F.col("datetime"))).alias("score")).orderBy("score", "id").limit(100)
+    target, _ = drain(spark, batch(spark, sf_dir), error=lambda df: F.lit(None).cast("string"))
+    return store.read_items(spark, target).select("id", "l_quantity", queue_score(rfc3339(F.col("datetime"))).alias("score"))
 
 
 def deliver(spark: SparkSession, deliveries: list[DataFrame], job_options: dict | None = None, files: int | None = None,
@@ -140,12 +141,12 @@ def latest_wins(spark, sf_dir):
     return deliver(spark, [rows, again]).select("id", "l_quantity")
 
 
-@case("st_trigger", "SELECT collection, count(*) AS items FROM last_v GROUP BY collection", views=LINES)
+@case("st_trigger", "SELECT id, collection, l_orderkey FROM last_v", views=LINES)
 def trigger(spark, sf_dir):
     # several files, one per flush; which version of a key stays depends on their order, the keys do not
     rows = batch(spark, sf_dir).repartition(3)
     stored = deliver(spark, [rows], {"error": lambda df: F.lit(None).cast("string")}, files=1)
-    return stored.groupBy("collection").agg(F.count(F.lit(1)).alias("items"))
+    return stored.select("id", "collection", "l_orderkey")
 
 
 @case("st_retry", "SELECT id, l_quantity FROM last_v WHERE l_extendedprice >= 2000", views=LINES)

@@ -23,7 +23,7 @@ LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
               "l_returnflag", "l_linestatus"]
 _LINE_LAST = ", ".join(f"{c} DESC" for c in LINE_ORDER)
 LINES = (
-    "lines_v AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'c' || (l_orderkey % 12) AS collection, l_shipdate AS datetime, "
+    "lines_v AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'c' || (l_orderkey % ((SELECT count(*) FROM supplier) + 2)) AS collection, l_shipdate AS datetime, "
     f"l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_LAST}) AS place, l_orderkey, l_linenumber FROM lineitem), "
     "last_v AS (SELECT * FROM lines_v WHERE place = 1)"
 )
@@ -34,7 +34,8 @@ def batch(spark, sf_dir):
     lines = sample.table(spark, sf_dir, "lineitem")
     return lines.select(
         F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"),
-        F.concat(F.lit("c"), (F.col("l_orderkey") % 12).cast("string")).alias("collection"),
+        # two more collections than there are
+        F.concat(F.lit("c"), (F.col("l_orderkey") % (sample.collection_count(spark, sf_dir) + 2)).cast("string")).alias("collection"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("datetime"),
         F.lit(None).cast("timestamp_ntz").alias("start_datetime"), F.lit(None).cast("timestamp_ntz").alias("end_datetime"),
         "l_orderkey", "l_linenumber", *[c for c in LINE_ORDER],
@@ -70,12 +71,11 @@ def latest_item(spark, sf_dir):
     return writes.latest_items(rows)
 
 
-@case("j_collection_exists", "SELECT collection IN (SELECT id FROM collections_v) AS known, count(*) AS items FROM lines_v GROUP BY 1",
+@case("j_collection_exists", "SELECT id, collection, collection IN (SELECT id FROM collections_v) AS known FROM lines_v",
       views=COLLECTIONS + ", " + LINES)
 def collection_exists(spark, sf_dir):
     good, bad = writes.split_known(batch(spark, sf_dir), collections(spark, sf_dir))
-    marked = good.select(F.lit(True).alias("known")).unionAll(bad.select(F.lit(False).alias("known")))
-    return marked.groupBy("known").agg(F.count(F.lit(1)).alias("items"))
+    return good.withColumn("known", F.lit(True)).unionByName(bad.withColumn("known", F.lit(False))).select("id", "collection", "known")
 
 
 @case("j_conflict", "SELECT id, l_orderkey % 3 = 0 AS conflict FROM last_v", views=LINES)
@@ -92,7 +92,7 @@ def ingest(spark, sf_dir, mode):
 
 
 SQL_FATE = (
-    "fate_v AS (SELECT *, CASE WHEN collection IN ('c10', 'c11') THEN 'unknown_collection' WHEN l_extendedprice < 2000 THEN 'invalid' "
+    "fate_v AS (SELECT *, CASE WHEN collection NOT IN (SELECT 'c' || s_suppkey FROM supplier) THEN 'unknown_collection' WHEN l_extendedprice < 2000 THEN 'invalid' "
     "WHEN l_orderkey % 3 = 0 THEN 'conflict' ELSE 'new' END AS fate FROM last_v)"
 )
 
@@ -149,24 +149,21 @@ def rename(spark, sf_dir):
 # ---------------------------------------------------------------- the store
 
 
-@case("sink_items", "SELECT collection, count(*) AS items, sum(cloud_cover)::BIGINT AS clouds FROM items_v GROUP BY collection")
+@case("sink_items", "SELECT id, collection, datetime, cloud_cover, title FROM items_v")
 def sink_items(spark, sf_dir):
     path = fresh_dir(spark, "store")
     store.write_items(sample.items(spark, sf_dir), path)
-    return store.read_items(spark, path).groupBy("collection").agg(
-        F.count(F.lit(1)).alias("items"), F.sum("cloud_cover").alias("clouds"))
+    return store.read_items(spark, path).select("id", "collection", "datetime", "cloud_cover", "title")
 
 
 @case(
     "sink_items_dated",
-    "SELECT collection, datetime IS NOT NULL AS has_datetime, CAST(coalesce(datetime, start_datetime) AS DATE) AS item_date, count(*) AS items "
-    "FROM items_v WHERE collection IN ('c1', 'c2', 'c3') GROUP BY ALL",
+    "SELECT id, collection, datetime IS NOT NULL AS has_datetime, CAST(coalesce(datetime, start_datetime) AS DATE) AS item_date FROM items_v",
 )
 def sink_items_dated(spark, sf_dir):
     path = fresh_dir(spark, "store")
     store.write_items(sample.items(spark, sf_dir), path, by_date=True)
-    rows = store.read_items(spark, path, ["c1", "c2", "c3"])
-    return rows.groupBy("collection", "has_datetime", "item_date").agg(F.count(F.lit(1)).alias("items"))
+    return store.read_items(spark, path).select("id", "collection", "has_datetime", "item_date")
 
 
 @case(
@@ -203,11 +200,10 @@ def sink_rename(spark, sf_dir):
     return store.read_items(spark, path).select("id", "collection")
 
 
-@case("require_primary_datetime", "SELECT datetime IS NOT NULL AS accepted, count(*) AS items FROM items_v GROUP BY 1")
+@case("require_primary_datetime", "SELECT id, datetime IS NOT NULL AS accepted FROM items_v")
 def require_primary_datetime(spark, sf_dir):
     good, bad = writes.split_primary_datetime(sample.items(spark, sf_dir))
-    marked = good.select(F.lit(True).alias("accepted")).unionAll(bad.select(F.lit(False).alias("accepted")))
-    return marked.groupBy("accepted").agg(F.count(F.lit(1)).alias("items"))
+    return good.select("id", F.lit(True).alias("accepted")).unionAll(bad.select("id", F.lit(False).alias("accepted")))
 
 
 @case(
@@ -292,6 +288,51 @@ def patch_move(spark, sf_dir):
     return done.select("id", "collection", "error")
 
 
+@case(
+    "m_patch_twice",
+    "SELECT id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE cloud_cover END AS cloud_cover, CASE WHEN event_id % 3 = 0 THEN 'second' ELSE platform END AS platform FROM items_v",
+)
+def patch_twice(spark, sf_dir):
+    # two patches of the same items, in turn
+    one = patches(spark, sf_dir, "merge", F.lit('{"properties":{"cloud_cover":1,"platform":"first"}}'), number() % 3 == 0)
+    two = patches(spark, sf_dir, "json", F.lit(
+        '[{"op":"test","path":"properties/cloud_cover","value":1},{"op":"replace","path":"properties/cloud_cover","value":2},'
+        '{"op":"replace","path":"properties/platform","value":"second"}]'), number() % 3 == 0)
+    both = one.withColumn("seq", F.lit(1)).unionByName(two.withColumn("seq", F.lit(2)))
+    done = patch.patch_items(documents(spark, sf_dir), both, order="seq")
+    return done.select("id", read("cloud_cover", "int").alias("cloud_cover"), read("platform").alias("platform"))
+
+
+_TAKEN = "event_id % 4 = 1 AND 'e' || (event_id + 1) {0} (SELECT id FROM items_v)"
+
+
+@case(
+    "m_patch_move_taken",
+    f"SELECT id, CASE WHEN {_TAKEN.format('IN')} THEN concat('Item ', chr(39), 'e', event_id + 1, chr(39), ' already exists in collection ', chr(39), 'one', chr(39)) "
+    f"END AS error, CASE WHEN {_TAKEN.format('NOT IN')} THEN 'e' || (event_id + 1) ELSE id END AS new_id FROM items_v",
+)
+def patch_move_taken(spark, sf_dir):
+    # every fourth item wants the id of its neighbour
+    rows = documents(spark, sf_dir).withColumns({"collection": F.lit("one"), "was": F.col("id"), "document": F.to_json(F.struct("id"))})
+    wanted = rows.filter(number() % 4 == 1).select("collection", "id", F.lit("merge").alias("kind"), F.concat(
+        F.lit('{"id":"e'), (number() + 1).cast("string"), F.lit('"}')).alias("patch"))
+    return patch.patch_items(rows, wanted).select(F.col("was").alias("id"), "error", F.col("id").alias("new_id"))
+
+
+@case(
+    "m_patch_store",
+    "SELECT CASE WHEN event_id % 5 = 0 THEN id || '-moved' ELSE id END AS id, CASE WHEN event_id % 5 = 0 THEN 'c1' ELSE collection END AS collection, "
+    "CASE WHEN event_id % 5 = 1 THEN 99 ELSE cloud_cover END AS cloud_cover FROM items_v",
+)
+def patch_in_store(spark, sf_dir):
+    path = fresh_dir(spark, "store")
+    store.write_items(documents(spark, sf_dir), path)
+    text = F.when(number() % 5 == 1, F.lit('{"properties":{"cloud_cover":99}}')).otherwise(
+        F.concat(F.lit('{"id":"'), "id", F.lit('-moved","collection":"c1"}')))
+    store.patch_store(spark, path, patches(spark, sf_dir, "merge", text, number() % 5 < 2), collections(spark, sf_dir))
+    return store.read_items(spark, path).select("id", "collection", read("cloud_cover", "int").alias("cloud_cover"))
+
+
 @case(
     "m_patch_guard",
     "SELECT id, CASE WHEN event_id % 4 = 0 THEN 'properties.datetime decides where the item is stored and cannot be patched' END AS error, "
@@ -337,12 +378,11 @@ def collection_update(spark, sf_dir):
     return writes.replace_existing(rows, new, key=("id",)).select("id", "title")
 
 
-@case("m_collection_delete", "SELECT 'item' AS kind, count(*) AS n FROM items_v WHERE collection <> 'c3' UNION ALL "
-      "SELECT 'collection', count(*) FROM collections_v WHERE id <> 'c3'", views=COLLECTIONS)
+@case("m_collection_delete", "SELECT 'item' AS kind, id FROM items_v WHERE collection <> 'c3' UNION ALL "
+      "SELECT 'collection', id FROM collections_v WHERE id <> 'c3'", views=COLLECTIONS)
 def collection_delete(spark, sf_dir):
     left, items = writes.drop_collection(collections(spark, sf_dir), sample.items(spark, sf_dir), "c3")
-    both = items.select(F.lit("item").alias("kind")).unionAll(left.select(F.lit("collection").alias("kind")))
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return items.select(F.lit("item").alias("kind"), "id").unionAll(left.select(F.lit("collection").alias("kind"), "id"))
 
 
 @case("m_collection_patch", "SELECT 'c' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'open' END AS license FROM supplier", views=None)

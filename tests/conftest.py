@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ def spark():
     from geoledger.session import build_session
 
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="geoledger-tests-"),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")

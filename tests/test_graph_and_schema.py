@@ -186,10 +186,10 @@ def test_time_rules_on_text(spark):
 
 
 def test_exclusions():
-    excluded = discovery.exclusions(["properties.auth:schemes", "storage"])
+    excluded = ["properties.auth:schemes", " storage ", ""]
     assert discovery.is_excluded("properties.auth:schemes.s3.type", excluded)
     assert discovery.is_excluded("auth:schemes", excluded) and discovery.is_excluded("properties.storage", excluded)
-    assert not discovery.is_excluded("properties.storages", excluded)
+    assert not discovery.is_excluded("properties.storages", excluded) and not discovery.is_excluded("assets.auth:schemes", excluded)
 
 
 def test_queryables_of_nested_items(spark):
