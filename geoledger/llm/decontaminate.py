@@ -3,9 +3,10 @@
 The index is over the test items, the queries are passages of the training documents: every document is cut into
 overlapping windows, and each window retrieves all items whose BM25 score reaches a share of the score that the item
 itself would get. Windows come in lengths of powers of two, so that for every item some window holds an occurrence
-whole. Postings carry scores already divided by that threshold, with their maximum per block of postings; windows whose
-terms can't add up to 1 are passed over, the others go through WAND with block maxima. Retrieved items are then
-verified: their question's word 5-grams, and their answer's words, must occur in the document.
+whole. Postings carry scores already divided by that threshold, with their maximum per block of postings. The weakest
+terms of an item, as long as they add up to less than `WEAK`, can't retrieve it alone: a window is a query only if its
+other terms reach 1 - `WEAK` for some item. These windows go through WAND with block maxima. Retrieved items are
+then verified: their question's word 5-grams, and their answer's words, must occur in the document.
 
 The index is built on Spark; it is told to the tasks in parts of at most `PART_ITEMS` items, a pass over the documents
 for each part, so what a task holds is bounded however many items there are.
@@ -17,8 +18,7 @@ An empty table on either side gives an empty result. Only key and text are read
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,12 +36,15 @@ SHARE = 0.5
 # Shares of question 5-grams and answer words that the document must hold.
 QUESTION, ANSWER = 0.5, 0.5
 GRAM = 5
+# Part of the threshold that an item's weakest terms may hold together.
+WEAK = 0.5
 POSTING_BLOCK = 16
 PART_ITEMS = 4000
 # Windows are of 2, 4, ... times this many words.
 LEAST_STRIDE = 32
 
-TERM = re.compile(r"\w+")
+# Bytes that part terms: ASCII but letters, digits and the underscore.
+_BETWEEN = bytes(32 if b < 128 and not (chr(b).isalnum() or b == 95) else b for b in range(256))
 SENTENCE_END = r"[.!?]+\s+"
 
 
@@ -62,23 +65,32 @@ class Posting(NamedTuple):
     top: float
 
 
+class Essential(NamedTuple):
+    """Postings without the weakest terms of each item, as arrays: those of term t are start[t] to start[t + 1]."""
+
+    start: np.ndarray
+    items: np.ndarray
+    scores: np.ndarray
+
+
 class Part(NamedTuple):
-    """Items of one part: `postings` by stride and term."""
+    """Items of one part: postings and essential postings by stride."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     strides: list[int]
-    bounds: list[np.ndarray]
+    essential: list[Essential]
     postings: list[dict[int, Posting]]
     ids: list[int]
     questions: list[frozenset]
     answers: list[frozenset]
 
 
-def terms(text: str | None) -> list[str]:
-    return TERM.findall((text or "").lower())
+def terms(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII punctuation parts them."""
+    return (text or "").lower().encode().translate(_BETWEEN).split()
 
 
-def grams(found: list[str], n: int = GRAM) -> set[tuple]:
+def grams(found: list[bytes], n: int = GRAM) -> set[tuple]:
     n = min(n, len(found))
     return {tuple(found[i:i + n]) for i in range(len(found) - n + 1)} if n else set()
 
@@ -88,19 +100,17 @@ def _lengths_and_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         rows = []
         for item, question, answer in zip(*(batch.column(c).to_pylist() for c in ("item_id", "question", "answer")), strict=True):
             found = terms(f"{question or ''} {answer or ''}")
-            counts: dict[str, int] = defaultdict(int)
-            for t in found:
-                counts[t] += 1
+            counts = Counter(found)
             rows.extend((item, len(found), t, n) for t, n in counts.items())
         columns = zip(*rows, strict=True) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)],
+            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
             names=["item_id", "length", "term", "n"])
 
 
 def index(items: DataFrame) -> DataFrame:
     """Inverted index of `items` (item_id, question, answer): (item_id, length, term, score)."""
-    found = materialised(items.mapInArrow(_lengths_and_terms, "item_id long, length long, term string, n long"))
+    found = materialised(items.mapInArrow(_lengths_and_terms, "item_id long, length long, term binary, n long"))
     lengths = found.select("item_id", "length").distinct()
     whole = lengths.agg(F.count(F.lit(1)).alias("items"), F.avg("length").alias("mean")).first()
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -120,24 +130,35 @@ def _part(texts: list[tuple], rows: list[tuple]) -> Part:
     """Lay out one part of the index. `texts` (item_id, question, answer), `rows` (item_id, length, term, score)."""
     ids = [t[0] for t in texts]
     at = {item: i for i, item in enumerate(ids)}
-    own: dict[int, float] = defaultdict(float)
-    vocabulary: dict[str, int] = {}
-    lists: dict[tuple[int, int], list] = defaultdict(list)
-    for item, _, _, score in rows:
-        own[item] += score
+    by_item: dict[int, list] = defaultdict(list)
+    lengths: dict[int, int] = {}
+    vocabulary: dict[bytes, int] = {}
     for item, length, term, score in rows:
-        lists[_stride(length), vocabulary.setdefault(term, len(vocabulary))].append((at[item], score / (SHARE * own[item])))
-    strides = sorted({s for s, _ in lists})
-    bounds = [np.zeros(len(vocabulary)) for _ in strides]
+        by_item[at[item]].append((score, vocabulary.setdefault(bytes(term), len(vocabulary))))
+        lengths[at[item]] = _stride(length)
+    strides = sorted(set(lengths.values()))
+    lists: list[dict[int, list]] = [defaultdict(list) for _ in strides]
+    strong: list[dict[int, list]] = [defaultdict(list) for _ in strides]
+    for i in sorted(by_item):
+        k, found = strides.index(lengths[i]), sorted(by_item[i])
+        threshold, weak = SHARE * sum(score for score, _ in found), 0.0
+        for score, term in found:
+            part = score / threshold
+            lists[k][term].append((i, part))
+            weak += part
+            if weak >= WEAK:
+                strong[k][term].append((i, part))
     postings: list[dict[int, Posting]] = [{} for _ in strides]
-    for (stride, term), found in lists.items():
-        found.sort()
-        scores = [s for _, s in found]
-        best = [max(scores[i:i + POSTING_BLOCK]) for i in range(0, len(scores), POSTING_BLOCK)]
-        k = strides.index(stride)
-        postings[k][term] = Posting([i for i, _ in found], scores, best, max(best))
-        bounds[k][term] = max(best)
-    return Part(vocabulary, strides, bounds, postings, ids,
+    essential = []
+    for k in range(len(strides)):
+        for term, found in lists[k].items():
+            scores = [s for _, s in found]
+            best = [max(scores[i:i + POSTING_BLOCK]) for i in range(0, len(scores), POSTING_BLOCK)]
+            postings[k][term] = Posting([i for i, _ in found], scores, best, max(best))
+        start = np.cumsum([0, *(len(strong[k].get(t, ())) for t in range(len(vocabulary)))])
+        flat = [pair for t in range(len(vocabulary)) for pair in strong[k].get(t, ())]
+        essential.append(Essential(start, np.array([i for i, _ in flat], np.int64), np.array([v for _, v in flat])))
+    return Part(vocabulary, strides, essential, postings, ids,
                 [frozenset(grams(terms(t[1]))) for t in texts], [frozenset(terms(t[2])) for t in texts])
 
 
@@ -192,47 +213,91 @@ def wand(lists: list[Posting], threshold: float = 1.0) -> dict[int, float]:
     return out
 
 
-def _retrieve(part: Part, numbers: np.ndarray) -> dict[int, tuple[float, int]]:
-    """Best score over the windows, and windows that retrieve it, of every item retrieved."""
-    out: dict[int, tuple[float, int]] = {}
-    known = np.flatnonzero(numbers >= 0)
-    for stride, bounds, postings in zip(part.strides, part.bounds, part.postings, strict=True):
+def _queries(part: Part, k: int, cells: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Half windows at which a window starts whose strong terms reach what they must for some item.
+
+    `cells` are the distinct (half window, term) numbers, sorted; `first` and `last` flag the outer halves of texts.
+    """
+    terms_, items = len(part.vocabulary), len(part.ids)
+    start, item, score = part.essential[k]
+    halves, found = cells // terms_, cells % terms_
+    many = start[found + 1] - start[found]
+    at = np.repeat(start[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    keys, place = np.unique(np.repeat(halves, many) * items + item[at], return_inverse=True)
+    if not len(keys):
+        return keys
+    value, half = np.bincount(place, score[at]), keys // items
+
+    def of(wanted: np.ndarray) -> np.ndarray:
+        spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[spot] == wanted, value[spot], 0.0)
+
+    need = 1 - WEAK - 1e-9
+    after = value + np.where(last[half], 0.0, of(keys + items))
+    before = value + np.where(first[half], 0.0, of(keys - items))
+    starts = half[(after >= need) & (~last[half] | first[half])]
+    return np.unique(np.concatenate([starts, half[(before >= need) & ~first[half]] - 1]))
+
+
+def _retrieve(part: Part, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int]]:
+    """(text, item) -> best score over the windows of the text, and how many retrieve the item. Texts are term numbers."""
+    out: dict[tuple[int, int], tuple[float, int]] = {}
+    sizes = np.array([len(t) for t in texts])
+    numbers = np.concatenate([*texts, np.empty(0, np.int64)])
+    if not sizes.sum() or not part.ids:
+        return out
+    words = np.flatnonzero(numbers >= 0)
+    for k, stride in enumerate(part.strides):
+        halves = np.maximum(1, -(-sizes // stride))
+        base = np.concatenate([[0], np.cumsum(halves)])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        spot = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first, last = (np.zeros(base[-1], bool) for _ in range(2))
+        first[base[:-1]] = last[base[1:] - 1] = True
         # each term once per half window
-        cells = np.unique((known // stride) * np.int64(len(bounds)) + numbers[known])
-        halves, found = cells // len(bounds), cells % len(bounds)
-        n = max(1, -(-len(numbers) // stride))
-        weight = np.bincount(halves, bounds[found], n)
-        windows = np.concatenate([weight[:-1] + weight[1:], weight[-1:] if n == 1 else []])
-        cuts = np.searchsorted(halves, np.arange(n + 2))
-        for w in np.flatnonzero(windows >= 1 - 1e-9):
-            lists = [postings[t] for t in set(found[cuts[w]:cuts[min(w + 2, n)]].tolist()) if t in postings]
+        cells = np.unique((base[owner[words]] + spot[words] // stride) * len(part.vocabulary) + numbers[words])
+        for h in _queries(part, k, cells, first, last).tolist():
+            end = h + 1 if last[h] else h + 2
+            lo, hi = np.searchsorted(cells, [h * len(part.vocabulary), end * len(part.vocabulary)])
+            lists = [part.postings[k][t] for t in set((cells[lo:hi] % len(part.vocabulary)).tolist()) if t in part.postings[k]]
+            text = int(np.searchsorted(base, h, "right")) - 1
             for item, score in wand(lists).items():
-                best, count = out.get(item, (0.0, 0))
-                out[item] = (max(best, score), count + 1)
+                best, count = out.get((text, item), (0.0, 0))
+                out[text, item] = (max(best, score), count + 1)
     return out
 
 
+# Words of the texts that are looked at together.
+_TOGETHER = 200_000
+
+
 def _matches(part: Part):
+    number = part.vocabulary.get
+
+    def verified(docs: list[int], texts: list[list[bytes]]) -> Iterator[tuple]:
+        numbers = [np.fromiter((number(t, -1) for t in found), np.int64, len(found)) for found in texts]
+        own: dict[tuple[int, int], set] = {}
+        for (d, i), (score, count) in sorted(_retrieve(part, numbers).items()):
+            question, answer = part.questions[i], part.answers[i]
+            n = len(next(iter(question), ()))
+            if (d, n) not in own:
+                own[d, n] = grams(texts[d], n)
+            q = len(question & own[d, n]) / len(question) if question else 0.0
+            a = len(answer.intersection(texts[d])) / len(answer) if answer else None
+            if q >= QUESTION and (a is None or a >= ANSWER):
+                yield docs[d], part.ids[i], score * SHARE, count, q, a
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = part.vocabulary.get
         for batch in batches:
-            rows = []
+            rows, docs, texts, size = [], [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = terms(text)
-                numbers = np.fromiter((number(t, -1) for t in found), np.int64, len(found))
-                hits = _retrieve(part, numbers) if len(found) else {}
-                if not hits:
-                    continue
-                seen, own = set(found), {}
-                for i, (score, count) in hits.items():
-                    question, answer = part.questions[i], part.answers[i]
-                    n = len(next(iter(question), ()))
-                    if n not in own:
-                        own[n] = grams(found, n)
-                    q = len(question & own[n]) / len(question) if question else 0.0
-                    a = len(answer & seen) / len(answer) if answer else None
-                    if q >= QUESTION and (a is None or a >= ANSWER):
-                        rows.append((doc, part.ids[i], score * SHARE, count, q, a))
+                docs.append(doc)
+                texts.append(terms(text))
+                size += len(texts[-1])
+                if size >= _TOGETHER:
+                    rows.extend(verified(docs, texts))
+                    docs, texts, size = [], [], 0
+            rows.extend(verified(docs, texts))
             columns = zip(*rows, strict=True) if rows else ([],) * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,15 +63,9 @@ class TestDecontamination:
         frame = spark.createDataFrame(items, "item_id long, question string, answer string")
         part = decontaminate._part(items, [tuple(r) for r in decontaminate.index(frame).select("item_id", "length", "term", "score").collect()])
         want = self.brute(docs, items, part)
-        got = {}
-        import numpy as np
-
-        for d, text in docs:
-            found = decontaminate.terms(text)
-            numbers = np.array([part.vocabulary.get(t, -1) for t in found], np.int64)
-            if len(found):
-                for i, (score, count) in decontaminate._retrieve(part, numbers).items():
-                    got[d, part.ids[i]] = (score * decontaminate.SHARE, count)
+        numbers = [np.array([part.vocabulary.get(t, -1) for t in decontaminate.terms(text)], np.int64) for _, text in docs]
+        got = {(docs[d][0], part.ids[i]): (score * decontaminate.SHARE, count)
+               for (d, i), (score, count) in decontaminate._retrieve(part, numbers).items()}
         assert set(got) == set(want)
         for k, (score, count) in got.items():
             assert score == pytest.approx(want[k][0]) and count == want[k][1]
