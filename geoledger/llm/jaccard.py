@@ -315,7 +315,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         _blocks(percent), "node long, head long, links long")
     forest = materialised(forest)
 
-    found = components(forest.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    # rows that share an id but not their text tie their classes together
+    several = real.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).filter("low <> high").select("doc_id")
+    shared = real.select("doc_id", "s1", "s2", "n").join(several, "doc_id", "left_semi").join(groups.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
+    ties = forest.select(F.col("node").alias("a"), F.col("head").alias("b")).union(shared.select("doc_id", "node"))
+    found = components(ties)
     degree = forest.groupBy("node").agg(F.sum("links").alias("links"))
     named = groups.select("s1", "s2", "n", "node", "copies").join(found, "node", "left").join(degree, "node", "left").select(
         "s1", "s2", "n", F.coalesce("component", "node").alias("component_id"),

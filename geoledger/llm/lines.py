@@ -138,7 +138,8 @@ def _frequent(rows: DataFrame, min_chars: int, min_docs: int, batches: int, fano
     """Entries of all documents, and the line keys in at least `min_docs` of them with their owners."""
     spark = rows.sparkSession
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bounds = rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    cuts = [i / batches for i in range(1, batches)]
+    bounds = (rows.agg(F.percentile_approx("doc_id", cuts, 1000).alias("b")).first()["b"] or []) if cuts else []
     # 0 is the batch of the largest ids
     batch = sum(((order < F.lit(b)).cast("int") for b in bounds), F.lit(0))
     schema = "batch int, doc_id long, h1 long, h2 long"

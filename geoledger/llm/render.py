@@ -65,14 +65,19 @@ class Tree(HTMLParser):
         self.feed(page)
         self.close()
 
-    def _end_open(self, kinds: set[str] | frozenset, bounds: set[str] | frozenset) -> None:
+    def _end_open(self, kinds: set[str] | frozenset, bounds: set[str] | frozenset, all_: bool = False) -> None:
+        """End the innermost open element of these kinds, or all of them, within the nearest bound."""
+        end = None
         for i in range(len(self.open) - 1, 0, -1):
             kind = self.open[i].kind
             if kind in kinds:
-                del self.open[i:]
-                return
+                end = i
+                if not all_:
+                    break
             if kind in bounds:
-                return
+                break
+        if end is not None:
+            del self.open[end:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html" or tag == "body" and any(e.kind == "body" for e in self.open):
@@ -83,7 +88,7 @@ class Tree(HTMLParser):
             self._end_open({"p"}, SCOPE)
         if tag in IMPLIED:
             kinds, bounds = IMPLIED[tag]
-            self._end_open(kinds, bounds)
+            self._end_open(kinds, bounds, all_=True)
         given = dict(attrs)
         hidden = (tag in HIDDEN or "hidden" in given and given["hidden"] != "until-found" or bool(_UNSEEN.search(given.get("style") or ""))
                   or tag == "input" or tag == "dialog" and "open" not in given)
@@ -153,11 +158,13 @@ class Layout:
     def walk(self, element: Element, pre: bool = False, lists: tuple = ()) -> None:
         number = element.start
         for child in element.children:
+            if element.kind == "closed" and (isinstance(child, str) or child.kind != "summary"):
+                continue
             if isinstance(child, str):
                 self.text(child, pre)
                 continue
             kind = child.kind
-            if child.hidden or element.kind == "closed" and kind != "summary":
+            if child.hidden:
                 continue
             if kind == "br":
                 self.end_line(keep=True)

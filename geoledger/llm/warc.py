@@ -76,7 +76,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, key: str = "page_
 
     known = spark.read.parquet(f"{folder}/payloads").select("digest", "first_id", "size", "sha1")
     heads = rows.select("page_id", "url", "digest").join(broadcast_if_small(known), "digest")
-    again = F.coalesce((F.col("size") >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))), F.lit(False))
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))
+    again = F.coalesce((F.col("size") >= least_bytes) & F.col("first_id").isNotNull() & later, F.lit(False))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
         _line("Content-Length", F.col("size").cast("string")), F.lit(CRLF))
