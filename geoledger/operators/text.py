@@ -6,6 +6,7 @@ allowed number of typos follows the length of the query word; swapping two neigh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -99,6 +100,5 @@ def _has_word(text: Column, query_words: Sequence[str]) -> Column:
 
 
 def _driver_words(text: str) -> list[str]:
-    import regex
-
-    return list(dict.fromkeys(regex.findall(WORD, text.lower())))
+    # \w is what the classes of WORD are
+    return list(dict.fromkeys(re.findall(r"\w+(?:['.]\w+)*", text.lower())))

@@ -21,6 +21,10 @@ TOPOLOGY_PREFIX = "Topology Error: "
 MSG_NEEDS_BOTH = "If 'datetime' is null, both 'start_datetime' and 'end_datetime' must be set"
 MSG_PAIR = "Both 'start_datetime' and 'end_datetime' must be set together, or both must be null"
 MSG_SHORT_RING = "Polygon ring must have at least 4 coordinates (closed loop)."
+MSG_BOUNDS = "Coordinates out of global WGS84 bounds"
+MSG_VERTICES = "Geometry has too many vertices ({}). Maximum allowed is {}."
+MSG_JUMP = "Geometry crosses the antimeridian without proper truncation/splitting between longitude {} and {}."
+MSG_SCHEMA = "STAC validation failed: {}"
 
 
 def datetime_error(fields: Fields) -> Column:
@@ -54,6 +58,15 @@ def datetime_error(fields: Fields) -> Column:
     return F.when(error.isNotNull(), F.concat(F.lit(DATETIME_PREFIX), error))
 
 
+def _filled(message: str, *values: Column) -> Column:
+    """The message with its gaps filled."""
+    texts = message.split("{}")
+    parts = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:]):
+        parts += [value.cast("string"), F.lit(text)]
+    return F.concat(*parts)
+
+
 def outside(x: Column, y: Column) -> Column:
     """A position beyond 180 degrees of longitude or 90 of latitude."""
     return ~(x.between(-180, 180) & y.between(-90, 90))
@@ -63,7 +76,7 @@ def bounds_error(points: Column) -> Column:
     """First point outside the globe."""
     bad = F.get(F.filter(points, lambda p: outside(p["x"], p["y"])), 0)
     return F.when(bad.isNotNull(), F.concat(
-        F.lit("Coordinates out of global WGS84 bounds: ["), bad["x"].cast("string"), F.lit(", "),
+        F.lit(f"{MSG_BOUNDS}: ["), bad["x"].cast("string"), F.lit(", "),
         bad["y"].cast("string"), F.lit("]")))
 
 
@@ -75,12 +88,8 @@ def ring_error(ring: Column, max_vertices: int = MAX_VERTICES) -> Column:
     jump = F.get(F.filter(steps, lambda s: F.abs(s["a"] - s["b"]) > 180), 0)
     return (
         F.when(size < 4, F.lit(MSG_SHORT_RING))
-        .when(size > max_vertices, F.concat(
-            F.lit("Geometry has too many vertices ("), size.cast("string"),
-            F.lit(f"). Maximum allowed is {max_vertices}.")))
-        .when(jump.isNotNull(), F.concat(
-            F.lit("Geometry crosses the antimeridian without proper truncation/splitting between longitude "),
-            jump["a"].cast("string"), F.lit(" and "), jump["b"].cast("string"), F.lit(".")))
+        .when(size > max_vertices, _filled(MSG_VERTICES, size, F.lit(max_vertices)))
+        .when(jump.isNotNull(), _filled(MSG_JUMP, jump["a"], jump["b"]))
     )
 
 
@@ -135,11 +144,11 @@ def schema_error(document: Column, rules: Sequence[Rule] = ITEM_RULES) -> Column
         name = rule.path.removeprefix("$.")
         kind = json_kind(document, rule.path)
         if rule.required:
-            checks.append(F.when(kind.isNull(), F.lit(f"STAC validation failed: {name} is required")))
+            checks.append(F.when(kind.isNull(), F.lit(MSG_SCHEMA.format(f"{name} is required"))))
         checks.append(F.when(kind.isNotNull() & ~kind.isin(*rule.kinds), F.lit(
-            f"STAC validation failed: {name} must be {' or '.join(rule.kinds)}")))
+            MSG_SCHEMA.format(f"{name} must be {' or '.join(rule.kinds)}"))))
     feature = F.try_variant_get(document, "$.type", "string")
-    checks.append(F.when(holds(feature != "Feature"), F.lit("STAC validation failed: type must be Feature")))
+    checks.append(F.when(holds(feature != "Feature"), F.lit(MSG_SCHEMA.format("type must be Feature"))))
     return F.coalesce(*checks)
 
 
@@ -156,7 +165,7 @@ def item_error(
         errors.append(topology_error(F.col("geometry")))
     elif topology and "minx" in df.columns:
         low = outside(F.col("minx"), F.col("miny")) | outside(F.col("maxx"), F.col("maxy"))
-        errors.append(F.when(holds(low), F.lit(TOPOLOGY_PREFIX + "Coordinates out of global WGS84 bounds")))
+        errors.append(F.when(holds(low), F.lit(TOPOLOGY_PREFIX + MSG_BOUNDS)))
     return F.coalesce(*errors, F.lit(None).cast("string"))
 
 

@@ -21,9 +21,8 @@ from geoledger.operators.writes import KEY, dedupe_last
 from geoledger.session import materialised
 from geoledger.sources.store import exists, upsert_store
 
-# Flush interval and batch size of the queue.
+# Fixed value: flush interval of the queue. A flush takes what waits by then, at most `files_per_batch` files of it.
 FLUSH_SECONDS = 30
-BATCH_ITEMS = 10
 
 
 @dataclass
@@ -31,7 +30,7 @@ class IngestJob:
     """Where a stream writes and how it judges rows.
 
     `order` decides which of several rows of a key is the last. `validate` is off when the rows were checked
-    before they were queued.
+    before they were queued. Keys in the table `withdrawn`, where there is one, are left out.
     """
 
     store: str
@@ -42,10 +41,13 @@ class IngestJob:
     use_datetime: bool = True
     validate: bool = True
     error: Callable[[DataFrame], Column] = item_error
+    withdrawn: str | None = None
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to repeat."""
         unique = prepare_items(dedupe_last(batch, self.order(batch)), self.now())
+        if self.withdrawn and exists(batch.sparkSession, self.withdrawn):
+            unique = unique.join(batch.sparkSession.read.parquet(self.withdrawn).select(*KEY).distinct(), list(KEY), "left_anti")
         error = self.error(unique) if self.validate else F.lit(None).cast("string")
         marked = materialised(unique.withColumn("_error", error))
         invalid = marked.filter(F.col("_error").isNotNull()).select(*KEY, F.col("_error").alias("error"))
@@ -94,6 +96,17 @@ def pending_view(queued: DataFrame, stored: DataFrame, dead: DataFrame, order: S
     return left.join(dead.select(*KEY).distinct(), list(KEY), "left_anti")
 
 
+def withdraw(keys: DataFrame, path: str) -> None:
+    """Take items out of the queue: streams that know the table leave them out from now on."""
+    keys.select(*KEY).write.mode("append").parquet(path)
+
+
+def pending_ids(pending: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
+    """(collection, id) of every waiting item, without those withdrawn."""
+    keys = pending.select(*KEY)
+    return keys if withdrawn is None else keys.join(withdrawn.select(*KEY).distinct(), list(KEY), "left_anti")
+
+
 def pending_counts(pending: DataFrame) -> DataFrame:
     """Queue length per collection."""
     return pending.groupBy("collection").agg(F.count(F.lit(1)).alias("pending"))

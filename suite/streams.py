@@ -81,6 +81,23 @@ def pending_view(spark, sf_dir):
     return view.select("id", "collection")
 
 
+@case("st_withdrawn", "SELECT id, l_quantity, 'stored' AS state FROM last_v WHERE l_orderkey % 4 <> 0 UNION ALL "
+      "SELECT id, l_quantity, 'waiting' FROM last_v WHERE l_orderkey % 4 = 1", views=LINES)
+def withdrawn(spark, sf_dir):
+    # every fourth order is taken out of the queue before the stream runs, the next ones are still listed as waiting
+    folder, target, dead, state, gone = (fresh_dir(spark, n) for n in ("queue", "store", "dead", "state", "gone"))
+    rows = batch(spark, sf_dir)
+    rows.write.parquet(folder)
+    ingest.withdraw(rows.filter(F.col("l_orderkey") % 4 == 0), gone)
+    job = ingest.IngestJob(target, dead, lambda df: [F.col(c) for c in LINE_ORDER], lambda: NOW, withdrawn=gone,
+                           error=lambda df: F.lit(None).cast("string"))
+    job.start(ingest.pending_files(spark, folder, rows.schema, fmt="parquet"), state, available_now=True).awaitTermination()
+    stored = store.read_items(spark, target).select("id", "l_quantity", F.lit("stored").alias("state"))
+    last = dedupe_last(rows, order()).filter(F.col("l_orderkey") % 4 < 2)
+    waiting = ingest.pending_ids(last, spark.read.parquet(gone)).join(last.select("collection", "id", "l_quantity"), ["collection", "id"])
+    return stored.unionByName(waiting.select("id", "l_quantity", F.lit("waiting").alias("state")))
+
+
 @case("st_order", "SELECT id, l_quantity, epoch_us(datetime) / 1000000.0::DOUBLE AS score FROM last_v", views=LINES)
 def oldest_first(spark, sf_dir):
     # of the versions of a key that wait in one flush, that of the highest score and order stays
