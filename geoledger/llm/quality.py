@@ -5,8 +5,7 @@ and stops at the first that rejects, so the costly ones see only what the cheap
 changes the verdict, only the time it takes; the sample is bounded by `SAMPLE_ROWS`.
 
 Null and empty texts have no words and are rejected by `few_words`. Repeated rows get equal verdicts. Extra columns
-pass through; a column of the frame that has the name of the verdict is refused by Spark as ambiguous only if the
-caller asks for that name, so the caller names the verdict.
+of `keep_good` pass whatever their names, and `judged` reads key and text only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +14,11 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import GAP, let, words
+from geoledger.llm.common import let, words
 
 # Rows the estimate of costs and selectivities reads at most, and the longest text among them in bytes.
 SAMPLE_ROWS = 1000
@@ -33,9 +33,9 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: line.rlike(r"[^ \t-\r]"))
 
 
-def _left(text: Column, pattern: str) -> Column:
+def _only(text: Column, others: str) -> Column:
     """Code points of the text that the pattern doesn't match."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, "")).cast("long")
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), others, "")).cast("long")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -64,27 +64,22 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
-# Name of a feature -> its column for a text.
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda text: F.size(words(text)).cast("long"),
-    "word_chars": lambda text: _left(text, GAP),
-    "n_symbols": lambda text: _left(text, "[^#*$%&|<>]+"),
-    "n_upper": lambda text: _left(text, r"[^\p{Lu}]+"),
-    "n_marks": lambda text: _left(text, "[^!?]+"),
-    "n_lines": lambda text: F.size(_lines(text)).cast("long"),
-    "n_dup_lines": lambda text: let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-    "n_repeat_words": lambda text: let(words(text), _repeat_words),
+# Name of a feature -> its column for a text and its words.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, w: F.size(w).cast("long"),
+    "word_chars": lambda text, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda text, w: _only(text, "[^#*$%&|<>]+"),
+    "n_upper": lambda text, w: _only(text, r"[^\p{Lu}]+"),
+    "n_marks": lambda text, w: _only(text, "[^!?]+"),
+    "n_lines": lambda text, w: F.size(_lines(text)).cast("long"),
+    "n_dup_lines": lambda text, w: let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+    "n_repeat_words": lambda text, w: _repeat_words(w),
 }
 
 
-def raw(text: Column) -> Feature:
-    """Features computed where they are used."""
-    return lambda name: FEATURES[name](text)
-
-
-def prepared(text: Column, done: set[str]) -> Feature:
-    """Features of which some are columns already."""
-    return lambda name: F.col(name) if name in done else FEATURES[name](text)
+def features(text: Column, w: Column, done: set[str] | None = None) -> Feature:
+    """Features by name, computed where they are used; those in `done` are columns already."""
+    return lambda name: F.col(name) if done and name in done else FEATURES[name](text, w)
 
 
 class Rule(NamedTuple):
@@ -121,18 +116,22 @@ def estimates(docs: DataFrame, rules: list[Rule], text: str = "text", rows: int
     """Cost and selectivity of every rule, each evaluated alone over the same bounded sample."""
     spark = docs.sparkSession
     sample = docs.select(F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    sample = spark.createDataFrame(sample.limit(rows).toArrow(), "text string")
+    # take reads as many partitions as it needs, not all
+    sample = spark.createDataFrame(pa.table({"text": pa.array([r["text"] for r in sample.take(rows)], pa.string())}), "text string")
 
     def run(condition: Column) -> tuple[float, float]:
         start = time.perf_counter()
         rejected = sample.agg(F.avg(condition.cast("double")).alias("share")).first()["share"]
         return time.perf_counter() - start, rejected or 0.0
 
+    def of(rule: Rule) -> Column:
+        return let(words(F.col("text")), lambda w: rule.rejects(features(F.col("text"), w)))
+
     run(F.length("text") < 0)
     floor = min(run(F.length("text") < 0)[0] for _ in range(2))
     found = []
     for rule in rules:
-        seconds, share = run(rule.rejects(raw(F.col("text"))))
+        seconds, share = run(of(rule))
         found.append(Estimate(rule, seconds - floor, share))
     return found
 
@@ -150,20 +149,24 @@ def first_failed(rules: list[Rule], feature: Feature) -> Column:
     return column
 
 
+def verdict(rules: list[Rule], text: Column) -> Column:
+    """Name of the first rule that rejects a text, else null. The text is cut into words once for all rules."""
+    return let(words(text), lambda w: first_failed(rules, features(text, w)))
+
+
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     order = ordered(estimates(docs, rules or RULES, text))
-    return docs.filter(first_failed(order, raw(F.col(text))).isNull())
+    return docs.filter(verdict(order, F.col(text)).isNull())
 
 
 def judged(docs: DataFrame, base: list[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, base features, and the verdicts: `base_failed` of the given rules, `kept` of the cascade of the others."""
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    others = [r for r in RULES if r not in base]
-    order = ordered(estimates(docs, others, text))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "text", *[FEATURES[name](F.col("text")).alias(name) for name in shown])
-    feature = prepared(F.col("text"), set(shown))
+    order = ordered(estimates(docs, [r for r in RULES if r not in base], text))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), words(F.col(text)).alias("w"))
+    rows = rows.select("doc_id", "text", "w", *[FEATURES[name](F.col("text"), F.col("w")).alias(name) for name in shown])
+    feature = features(F.col("text"), F.col("w"), set(shown))
     failed = F.lit(False)
     for rule in base:
         failed = failed | rule.rejects(feature)
