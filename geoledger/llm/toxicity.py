@@ -44,12 +44,14 @@ LEAST_ODDS = 1.5
 FOLDS = 5
 CALIBRATION_FOLD = 4
 TREES, DEPTH, STEP = 30, 4, 0.2
+# Words whose weights a task remembers.
+MOST_REMEMBERED = 500_000
 
 # Pronouns of the second person in the languages of the corpus, and letters behind disguises.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti tus vous votre vos toi ton ta tes du dich dir dein deine ihr euch euer sie usted ustedes vosotros".split())
 DISGUISES = str.maketrans("@0134579$!|", "aoieastgsii")
 WORD = re.compile(r"[^\W_]+(?:[^\w\s][^\W_]+)*")
-MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$!*|])")
+SIGN, LETTER = re.compile(r"[\d@$*|]"), re.compile(r"[^\W\d_]")
 STRETCHED = re.compile(r"(.)\1{2,}")
 NEAR = 5
 
@@ -73,37 +75,45 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
     return WORD.findall(text.lower()), text.split()
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+class Weights(dict):
+    """Weight of a word by the lexicon, 0 for others and `PERSON` for the second person; remembers words, not too many."""
+
+    PERSON = -1.0
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MOST_REMEMBERED:
+            self.clear()
+        weight = max((self.lexicon.get(t, 0.0) for t in word_terms(word)), default=0.0)
+        weight = self[word] = weight or (self.PERSON if word in SECOND_PERSON else 0.0)
+        return weight
+
+
+def features(text: str | None, weights: Weights) -> list[float]:
     text = text or ""
     found, pieces = tokens(text)
     n = len(found)
     if not n:
         return [0.0] * len(FEATURES)
-    known: dict[str, float] = {}
-    weights, places, persons, hidden, hits = [], [], [], 0, set()
-    for i, word in enumerate(found):
-        w = known.get(word)
-        if w is None:
-            w = known[word] = max((lexicon.get(t, 0.0) for t in word_terms(word)), default=0.0)
-        if w:
-            weights.append(w)
-            places.append(i)
-            hits.add(word)
-        if word in SECOND_PERSON:
-            persons.append(i)
-    disguised = 0
-    for piece in set(pieces):
-        if MIXED.match(piece):
-            disguised += 1
-            plain = clear(piece.lower())
-            if plain not in known and any(t in lexicon for t in word_terms(plain)):
-                hidden += 1
+    of_words = np.fromiter(map(weights.__getitem__, found), np.float64, n)
+    places, persons = np.flatnonzero(of_words > 0), np.flatnonzero(of_words == Weights.PERSON)
+    hits = of_words[places]
+    disguised = hidden = 0
+    if SIGN.search(text):
+        own = set(found)
+        for piece in set(pieces):
+            if SIGN.search(piece) and LETTER.search(piece):
+                disguised += 1
+                plain = clear(piece.lower())
+                hidden += plain not in own and weights[plain] > 0
     near = 0
-    if places and persons:
-        at = np.array(persons)
-        spots = np.searchsorted(at, places)
-        left = np.abs(np.array(places) - at[np.maximum(spots - 1, 0)])
-        right = np.abs(at[np.minimum(spots, len(at) - 1)] - np.array(places))
+    if len(places) and len(persons):
+        spots = np.searchsorted(persons, places)
+        left = np.abs(places - persons[np.maximum(spots - 1, 0)])
+        right = np.abs(persons[np.minimum(spots, len(persons) - 1)] - places)
         near = int((np.minimum(left, right) <= NEAR).sum())
     raw = np.frombuffer(text.encode(), np.uint8)
     counts = np.bincount(raw, minlength=256)
@@ -111,11 +121,11 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     size = len(raw)
     marks = int(counts[33] + counts[63])
     punctuation = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
-    shouted = sum(1 for p in pieces if len(p) > 1 and p.isupper())
-    total = math.fsum(weights)
+    shouted = sum(map(str.isupper, pieces))
+    total = float(hits.sum())
     return [
-        len(weights), len(weights) / n, total, total / n, max(weights, default=0.0), len(hits), hidden, hidden / n, near / n,
-        len(persons) / n, int(counts[65:91].sum()) / max(letters, 1), shouted / max(len(pieces), 1), int(counts[48:58].sum()) / size,
+        len(hits), len(hits) / n, total, total / n, float(hits.max(initial=0.0)), len({found[i] for i in places.tolist()}), hidden, hidden / n,
+        near / n, len(persons) / n, int(counts[65:91].sum()) / max(letters, 1), shouted / max(len(pieces), 1), int(counts[48:58].sum()) / size,
         marks / n, punctuation / size, disguised / max(len(pieces), 1), int(counts[128:].sum()) / size, math.log1p(n), len(text) / n]
 
 
@@ -166,9 +176,10 @@ def lexicons(train: DataFrame) -> list[dict[str, float]]:
 
 def _featured(lexicon_of: list[dict[str, float]]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [Weights(lexicon) for lexicon in lexicon_of]
         for batch in batches:
             columns = batch.column("text").to_pylist(), batch.column("lexicon").to_pylist()
-            rows = [features(text, lexicon_of[i]) for text, i in zip(*columns, strict=True)]
+            rows = [features(text, weights[i]) for text, i in zip(*columns, strict=True)]
             table = np.array(rows, np.float64).reshape(-1, len(FEATURES))
             kept = [name for name in batch.schema.names if name not in ("text", "lexicon")]
             yield pa.RecordBatch.from_arrays(
