@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.functions.times import parse_utc
+from geoledger.sources.typed import MappedField, members, observed_fields, split_path, template_type
 
 
 def read_features(
@@ -48,11 +51,28 @@ COLLECTION_SCHEMA = (
 )
 
 
-def parse_collections(raw: DataFrame) -> DataFrame:
-    """Typed columns of (id, document) rows; the id column wins over the document's."""
+def other_members(raw: DataFrame) -> list[MappedField]:
+    """What collection documents hold beside the fixed members: summaries, providers, assets, extension fields."""
+    fixed = {part.strip().split(" ")[0] for part in COLLECTION_SCHEMA.split(", ")} | {"links"}
+    seen = {p: o for p, o in observed_fields(raw).items() if split_path(p)[0] not in fixed}
+    return [MappedField(p, template_type(p, o.kind), o.many, o.mixed) for p, o in seen.items()]
+
+
+def parse_collections(raw: DataFrame, others: Sequence[MappedField] | None = None) -> DataFrame:
+    """Typed columns of (id, document) rows; the id column wins over the document's.
+
+    Members beside the fixed ones become columns too, so that searches find them: those given in `others`, else all
+    that the documents hold, which takes a pass over them.
+    """
+    others = other_members(raw) if others is None else others
     parsed = raw.withColumn("c", F.from_json("document", COLLECTION_SCHEMA))
     names = [part.strip().split(" ")[0] for part in COLLECTION_SCHEMA.split(", ")]
     rows = parsed.select("id", *[f"c.{n}" for n in names if n != "id"], "document")
     # the JSON reader takes no offset for zone-less times, so the dates are parsed here
     dates = F.transform("extent.temporal.interval", lambda pair: F.transform(pair, parse_utc))
-    return rows.withColumn("extent", F.col("extent").withField("temporal", F.struct(dates.alias("interval"))))
+    rows = rows.withColumn("extent", F.col("extent").withField("temporal", F.struct(dates.alias("interval"))))
+    if not others:
+        return rows
+    more = rows.withColumn("_more", members(F.col("document"), others))
+    names = list(dict.fromkeys(split_path(f.path)[0] for f in others))
+    return more.select(*rows.columns, *[F.col("_more").getField(n).alias(n) for n in names])

@@ -288,6 +288,18 @@ def _cast_all(texts: Column, field: MappedField) -> Column:
     return F.transform(texts, lambda text: _cast(text, field))
 
 
+def members(document: Column, mapping: Sequence[MappedField]) -> Column:
+    """The mapped fields of a JSON text as nested members of one struct."""
+    parsed = F.from_json(document, _raw_schema(mapping))
+    entries = []
+    for field in mapping:
+        text = parsed
+        for part in split_path(field.path):
+            text = text.getField(part)
+        entries.append((split_path(field.path), _cast_all(text, field) if field.many else _cast(text, field)))
+    return _nest(entries)
+
+
 def typed(
     documents: DataFrame, mapping: Sequence[MappedField], mode: str = "true", coerce: bool = True,
     column: str = "document",

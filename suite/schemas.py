@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoledger.operators import discovery
+from geoledger.plans import search as plan
+from geoledger.plans.search import SearchRequest
 from geoledger.sources import geojson, sample, typed
 from suite.registry import case
 from suite.scratch import fresh_dir
@@ -61,6 +63,24 @@ def read_collection(spark, sf_dir):
     return rows.select("id", "type", "title", F.explode("parent_ids").alias("parent"))
 
 
+@case(
+    "col_query_summaries",
+    "SELECT 'c' || s_suppkey AS id, s_acctbal AS best FROM supplier WHERE s_acctbal <= 5000 AND s_nationkey IN (3, 7, 11, 15, 19, 23)", views=None)
+def query_summaries(spark, sf_dir):
+    # members that are not fixed: a nested number, and a list
+    suppliers = sample.table(spark, sf_dir, "supplier")
+    summaries = F.struct(
+        F.struct(F.col("s_acctbal").alias("minimum"), F.lit(9).alias("maximum")).alias("gsd"),
+        F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("all")).alias("platform"))
+    raw = suppliers.select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("id"), F.to_json(F.struct(
+        F.lit("Collection").alias("type"), F.col("s_name").alias("title"), summaries.alias("summaries"))).alias("document"))
+    rows = geojson.parse_collections(raw)
+    wanted = SearchRequest(
+        query={"summaries.gsd.minimum": {"lte": 5000}}, limit=10_000,
+        filter={"op": "in", "args": [{"property": "summaries.platform"}, ["n3", "n7", "n11", "n15", "n19", "n23"]]})
+    return plan.search_collections(rows, wanted).rows.select("id", F.col("summaries.gsd.minimum").alias("best"))
+
+
 SQL_TYPED = (
     "SELECT id, collection, datetime, start_datetime, CAST(cloud_cover AS DOUBLE) AS cloud_cover, platform, sun_elevation, title, "
     "32756 AS epsg, lat, lon AS minx, CASE WHEN event_id % 10 = 0 THEN CAST(event_id AS DOUBLE) END AS odd FROM items_v"
