@@ -84,13 +84,22 @@ def test_a_full_collection_page_always_has_a_token(spark):
     assert search_collections(rows, SearchRequest(limit=5)).next_token() is None
 
 
-def test_large_pages_are_cut_in_groups(items):
-    page = search(items, SearchRequest(limit=5000))
-    plan = page.rows._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
-    small = search(items, SearchRequest(limit=900))
+def test_pages_of_any_size_have_one_plan(spark, items):
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    page, small = search(items, SearchRequest(limit=5000)), search(items, SearchRequest(limit=900))
+    for rows in (page.rows, small.rows):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "WindowGroupLimit" not in plan and "hashpartitioning" not in plan
     assert [r["id"] for r in page.rows.collect()] == [r["id"] for r in small.rows.collect()]
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
+
+
+def test_token_and_rows_are_chosen_once(items):
+    page = search(items, SearchRequest(limit=2))
+    direct = [r["id"] for r in page.rows.collect()]
+    assert page.next_token() is not None
+    assert all("materialised-" in name for name in page.rows.inputFiles())
+    assert [r["id"] for r in page.rows.collect()] == direct
 
 
 # ---------------------------------------------------------------- fields
