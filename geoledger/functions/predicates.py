@@ -160,7 +160,16 @@ def covers(outer: Column, inner: Column) -> Column:
             opened = F.exists(outer, lambda o: (o["dim"] == 2) & F.exists(
                 o["edges"], lambda e: F.exists(_probes(e, p["edges"]), lambda q: strictly(p, q["x"], q["y"]))))
             filled = F.exists(outer, lambda o: o["dim"] == 2) & ~opened
-            return F.when(p["dim"] == 0, holds_point(outer, p["x"], p["y"])).otherwise(border & ((p["dim"] < 2) | filled))
+            # most rows end here: a corner outside, or no boundary that meets another
+            corners = F.forall(p["edges"], lambda e: holds_point(outer, e["ax"], e["ay"]))
+            met = F.exists(p["edges"], lambda e: F.exists(outer_edges, lambda f: _touch(e, f)))
+            around = F.exists(outer, lambda o: (o["dim"] == 2) & F.exists(o["edges"], lambda e: strictly(p, e["ax"], e["ay"])))
+            return (
+                F.when(p["dim"] == 0, holds_point(outer, p["x"], p["y"]))
+                .when(~corners, F.lit(False))
+                .when(~met, (p["dim"] < 2) | ~around)
+                .otherwise(border & ((p["dim"] < 2) | filled))
+            )
 
         return F.forall(inner, part)
 
