@@ -9,15 +9,18 @@ spaces and `br` breaks lines.
 
 Pages are rendered row by row in Arrow batches; nothing is shuffled, and memory is bounded by a batch and a page.
 
-Defined cases. Null and empty pages give an empty text. Pages without tags are text. Nesting of any depth is walked
-without recursion limits: elements deeper than `MAX_OPEN` open ones are laid out in the deepest one, their text is kept.
-Repeated rows get equal texts. Only key and page are read.
+Defined cases. Null and empty pages give an empty text. Pages without tags are text. Every element is opened, however
+deep: open elements are found by kind, and the steps of the layout that wait for inner ones are kept on a stack of their
+own. Indents are written out, so d nested lists with a text each give d * d spaces. Repeated rows get equal texts. Only
+key and page are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,7 +46,6 @@ IMPLIED = {
 SCOPE = frozenset("html table td th caption button object template".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title head html".split())
 
-MAX_OPEN = 200
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 
@@ -62,28 +64,35 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html")
         self.open = [self.root]
+        # places in `open` by kind, ascending; the root is in none
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.feed(page)
         self.close()
 
+    def _push(self, element: Element) -> None:
+        self.places[element.kind].append(len(self.open))
+        self.open.append(element)
+
+    def _cut(self, end: int) -> None:
+        """End all open elements from this place on."""
+        while len(self.open) > end:
+            self.places[self.open.pop().kind].pop()
+
     def _end_open(self, kinds: set[str] | frozenset, bounds: set[str] | frozenset, all_: bool = False) -> None:
         """End the innermost open element of these kinds, or all of them, within the nearest bound."""
-        end = None
-        for i in range(len(self.open) - 1, 0, -1):
-            kind = self.open[i].kind
-            if kind in kinds:
-                end = i
-                if not all_:
-                    break
-            if kind in bounds:
-                break
-        if end is not None:
-            del self.open[end:]
+        found = [p for k in kinds if (p := self.places.get(k))]
+        if not found:
+            return
+        bound = max((p[-1] for k in bounds if (p := self.places.get(k))), default=1)
+        within = [p[bisect_left(p, bound)] if all_ else p[-1] for p in found if p[-1] >= bound]
+        if within:
+            self._cut(min(within) if all_ else max(within))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html" or tag == "body" and any(e.kind == "body" for e in self.open):
+        if tag == "html" or tag == "body" and self.places["body"]:
             return
         if self.open[-1].kind == "head" and tag not in HEAD_ONLY:
-            del self.open[-1:]
+            self._cut(len(self.open) - 1)
         if tag in P_ENDS:
             self._end_open({"p"}, SCOPE)
         if tag in IMPLIED:
@@ -98,8 +107,8 @@ class Tree(HTMLParser):
         if tag == "li" and "value" in given and element.start != 1:
             element.start = -abs(element.start) if element.start < 0 else element.start
         self.open[-1].children.append(element)
-        if tag not in VOID and len(self.open) < MAX_OPEN:
-            self.open.append(element)
+        if tag not in VOID:
+            self._push(element)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,17 +116,36 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Element("br"))
-        elif tag == "p" and not any(e.kind == "p" for e in self.open):
+        elif tag == "p" and not self.places["p"]:
             self.open[-1].children.append(Element("p"))
         elif tag not in VOID and tag not in ("body", "html"):
             self._end_open({tag, "closed"} if tag == "details" else {tag}, set() if tag in BLOCK or tag in SCOPE else SCOPE - {"html"})
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].kind == "head" and data.strip():
-            del self.open[-1:]
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
+# A step of the layout yields the steps it waits for, and is sent their results.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step) -> object:
+    """Result of a step; the steps that wait are a list, so depth is bounded by memory only."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            inner = waiting[-1].send(result)
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+        else:
+            waiting.append(inner)
+            result = None
+    return result
+
+
 class Layout:
     """Lines of the visible text of a tree."""
 
@@ -125,8 +153,9 @@ class Layout:
         self.lines: list[str] = []
         self.line = ""
         self.gap = False
-        self.indent = ""
-        self.marker = ""
+        self.indent = 0
+        # indent and mark of the list item whose first line is to come
+        self.marker: tuple[int, str] | None = None
 
     def text(self, data: str, pre: bool) -> None:
         if pre:
@@ -147,15 +176,16 @@ class Layout:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            self.lines.append((self.marker or self.indent) + line if line else "")
-            self.marker = ""
+            indent, mark = self.marker or (self.indent, "")
+            self.lines.append(" " * indent + mark + line if line else "")
+            self.marker = None
         self.line = ""
 
     def block(self, apart: bool) -> None:
         self.end_line()
         self.gap = self.gap or apart
 
-    def walk(self, element: Element, pre: bool = False, lists: tuple = ()) -> None:
+    def walk(self, element: Element, pre: bool = False, listed: bool = False) -> Step:
         number = element.start
         for child in element.children:
             if element.kind == "closed" and (isinstance(child, str) or child.kind != "summary"):
@@ -170,42 +200,43 @@ class Layout:
                 self.end_line(keep=True)
             elif kind == "table":
                 self.block(True)
-                for row in rows_of(child):
+                for row in (yield rows_of(child)):
                     if self.gap and self.lines:
                         self.lines.append("")
                     self.gap = False
-                    self.lines.append(self.indent + row)
+                    self.lines.append(" " * self.indent + row)
                 self.block(True)
             elif kind == "li":
                 self.end_line()
                 before = self.indent
                 mark = f"{number}. " if element.kind == "ol" else "- "
                 number += 1
-                self.marker, self.indent = before + mark, before + " " * len(mark)
-                self.walk(child, pre, (*lists, "li"))
+                self.marker, self.indent = (before, mark), before + len(mark)
+                yield self.walk(child, pre, True)
                 self.end_line()
-                self.marker, self.indent = "", before
+                self.marker, self.indent = None, before
             elif kind in BLOCK or kind == "closed":
-                nested = kind in ("ul", "ol", "menu") and "li" in lists
+                nested = kind in ("ul", "ol", "menu") and listed
                 apart = kind in APART and not nested
                 # what opens an item stays on the line of its mark
                 self.block(apart and not self.marker)
                 before = self.indent
                 if kind in ("blockquote", "dd"):
-                    self.indent += "  "
-                self.walk(child, pre or kind == "pre", lists)
+                    self.indent += 2
+                yield self.walk(child, pre or kind == "pre", listed)
                 self.block(apart)
                 self.indent = before
             elif kind in ("td", "th", "tr", "caption"):
-                self.walk(child, pre, lists)
+                yield self.walk(child, pre, listed)
                 self.text(" ", False)
             else:
-                self.walk(child, pre, lists)
+                yield self.walk(child, pre, listed)
 
 
-def rendered(element: Element) -> list[str]:
+def rendered(element: Element) -> Step:
+    """Lines of an element."""
     layout = Layout()
-    layout.walk(element)
+    yield layout.walk(element)
     layout.end_line()
     while layout.lines and not layout.lines[-1]:
         layout.lines.pop()
@@ -214,12 +245,12 @@ def rendered(element: Element) -> list[str]:
     return layout.lines
 
 
-def rows_of(table: Element) -> list[str]:
+def rows_of(table: Element) -> Step:
     """Lines of a table: cells of a column start at the same place, cells of several lines take several."""
     above: list[str] = []
     rows: list[list[list[str]]] = []
 
-    def gather(element: Element) -> None:
+    def gather(element: Element) -> Step:
         for child in element.children:
             if isinstance(child, str):
                 above.extend([_SPACE.sub(" ", child).strip()] if child.strip() else [])
@@ -232,17 +263,17 @@ def rows_of(table: Element) -> list[str]:
                     if isinstance(c, str) or c.kind not in ("td", "th"):
                         stray.children.append(c)
                     elif not c.hidden:
-                        cells.append(rendered(c))
-                extra = rendered(stray)
+                        cells.append((yield rendered(c)))
+                extra = yield rendered(stray)
                 rows.append(cells + ([extra] if extra else []))
             elif child.kind in ("thead", "tbody", "tfoot", "form"):
-                gather(child)
+                yield gather(child)
             elif child.kind in ("td", "th"):
-                rows.append([rendered(child)])
+                rows.append([(yield rendered(child))])
             elif child.kind not in ("colgroup", "col"):
-                above.extend(rendered(child))
+                above.extend((yield rendered(child)))
 
-    gather(table)
+    yield gather(table)
     columns = max(map(len, rows), default=0)
     widths = [max((len(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(columns)]
     out = [line for line in above if line]
@@ -254,7 +285,7 @@ def rows_of(table: Element) -> list[str]:
 
 
 def render(page: str | None) -> str:
-    return "\n".join(rendered(Tree(page).root)) if page else ""
+    return "\n".join(_run(rendered(Tree(page).root))) if page else ""
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,6 +111,18 @@ class TestRendering:
         assert render.render("<b>" * 5000 + "deep") == "deep"
         assert len(render.render("<p>word " * 50000).split()) == 50000
 
+    @pytest.mark.parametrize("depth", [250, 20000])
+    @pytest.mark.parametrize("kind", ["b", "div", "font"])
+    def test_below_many_open_elements(self, kind, depth):
+        below = ("<script>x()</script><style>p{}</style><p hidden>no</p><div style='display:none'>no<div>no</div>no</div>"
+                 "<ol><li>one<li>two<ul><li>in</ul></ol><table><tr><td>a long<td>1<tr><td>b<td>2</table>")
+        assert render.render(f"<{kind}>" * depth + below) == "1. one\n2. two\n   - in\n\na long  1\nb       2"
+        assert render.render("<div hidden>" + f"<{kind}>" * depth + "no<div>no</div>no" + f"</{kind}>" * depth + "no</div>yes") == "yes"
+
+    def test_deep_lists_and_tables(self):
+        assert render.render("<ul><li>" * 3000 + "x") == "  " * 2999 + "- x"
+        assert render.render("<table><tr><td>" * 3000 + "x" + "<td>y</table>" * 3000).startswith("x  y")
+
     def test_no_visible_word_is_lost(self, spark):
         import re
 
