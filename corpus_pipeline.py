@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a test item."""
     question, answer = decontaminate.split_item(F.col("text"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", question.alias("question"), answer.alias("answer"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", question.alias("question"), answer.alias("answer"), "text")
     return decontaminate.clean(docs, items)
 
 

@@ -6,7 +6,9 @@ itself would get. Windows come in lengths of powers of two, so that for every it
 whole. Postings carry scores already divided by that threshold, with their maximum per block of postings. The weakest
 terms of an item, as long as they add up to less than `WEAK`, can't retrieve it alone: a window is a query only if its
 other terms reach 1 - `WEAK` for some item. These windows go through WAND with block maxima. Retrieved items are
-then verified: their question's word 5-grams, and their answer's words, must occur in the document.
+then verified: their question's word 5-grams must occur in the document, and their answer's words in the windows that
+retrieved them. Items cut from prose have no true question and answer; with their whole text given, half of its 5-grams
+in the document suffices too, whichever part of the item they are from.
 
 The index is built on Spark; it is told to the tasks in parts of at most `PART_ITEMS` items, a pass over the documents
 for each part, so what a task holds is bounded however many items there are.
@@ -33,8 +35,8 @@ from geoledger.session import broadcast_if_small, materialised
 K1, B = 1.2, 0.75
 # Share of an item's own score from which a passage retrieves it.
 SHARE = 0.5
-# Shares of question 5-grams and answer words that the document must hold.
-QUESTION, ANSWER = 0.5, 0.5
+# Shares of question 5-grams and answer words that the document must hold, or else of the 5-grams of the whole item.
+QUESTION, ANSWER, WHOLE = 0.5, 0.5, 0.5
 GRAM = 5
 # Part of the threshold that an item's weakest terms may hold together.
 WEAK = 0.5
@@ -83,6 +85,7 @@ class Part(NamedTuple):
     ids: list[int]
     questions: list[frozenset]
     answers: list[frozenset]
+    wholes: list[frozenset]
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -127,7 +130,7 @@ def _stride(length: int) -> int:
 
 
 def _part(texts: list[tuple], rows: list[tuple]) -> Part:
-    """Lay out one part of the index. `texts` (item_id, question, answer), `rows` (item_id, length, term, score)."""
+    """Lay out one part of the index. `texts` (item_id, question, answer, and the whole or none), `rows` (item_id, length, term, score)."""
     ids = [t[0] for t in texts]
     at = {item: i for i, item in enumerate(ids)}
     by_item: dict[int, list] = defaultdict(list)
@@ -159,7 +162,8 @@ def _part(texts: list[tuple], rows: list[tuple]) -> Part:
         flat = [pair for t in range(len(vocabulary)) for pair in strong[k].get(t, ())]
         essential.append(Essential(start, np.array([i for i, _ in flat], np.int64), np.array([v for _, v in flat])))
     return Part(vocabulary, strides, essential, postings, ids,
-                [frozenset(grams(terms(t[1]))) for t in texts], [frozenset(terms(t[2])) for t in texts])
+                [frozenset(grams(terms(t[1]))) for t in texts], [frozenset(terms(t[2])) for t in texts],
+                [frozenset(grams(terms(t[3]))) if len(t) > 3 else frozenset() for t in texts])
 
 
 def wand(lists: list[Posting], threshold: float = 1.0) -> dict[int, float]:
@@ -239,8 +243,11 @@ def _queries(part: Part, k: int, cells: np.ndarray, first: np.ndarray, last: np.
     return np.unique(np.concatenate([starts, half[(before >= need) & ~first[half]] - 1]))
 
 
-def _retrieve(part: Part, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int]]:
-    """(text, item) -> best score over the windows of the text, and how many retrieve the item. Texts are term numbers."""
+def _retrieve(part: Part, texts: list[np.ndarray], windows: dict[tuple[int, int], list] | None = None) -> dict[tuple[int, int], tuple[float, int]]:
+    """(text, item) -> best score over the windows of the text, and how many retrieve the item. Texts are term numbers.
+
+    `windows`, where given, takes (text, item) -> [first word, end] of those that retrieve it, ascending, overlaps merged.
+    """
     out: dict[tuple[int, int], tuple[float, int]] = {}
     sizes = np.array([len(t) for t in texts])
     numbers = np.concatenate([*texts, np.empty(0, np.int64)])
@@ -264,6 +271,13 @@ def _retrieve(part: Part, texts: list[np.ndarray]) -> dict[tuple[int, int], tupl
             for item, score in wand(lists).items():
                 best, count = out.get((text, item), (0.0, 0))
                 out[text, item] = (max(best, score), count + 1)
+                if windows is not None:
+                    spans = windows.setdefault((text, item), [])
+                    lo, hi = (int(x - base[text]) * stride for x in (h, end))
+                    if spans and lo <= spans[-1][1]:
+                        spans[-1][1] = hi
+                    else:
+                        spans.append([lo, hi])
     return out
 
 
@@ -277,14 +291,20 @@ def _matches(part: Part):
     def verified(docs: list[int], texts: list[list[bytes]]) -> Iterator[tuple]:
         numbers = [np.fromiter((number(t, -1) for t in found), np.int64, len(found)) for found in texts]
         own: dict[tuple[int, int], set] = {}
-        for (d, i), (score, count) in sorted(_retrieve(part, numbers).items()):
-            question, answer = part.questions[i], part.answers[i]
-            n = len(next(iter(question), ()))
+        windows: dict[tuple[int, int], list] = {}
+
+        def share(d: int, wanted: frozenset) -> float:
+            n = len(next(iter(wanted), ()))
             if (d, n) not in own:
                 own[d, n] = grams(texts[d], n)
-            q = len(question & own[d, n]) / len(question) if question else 0.0
-            a = len(answer.intersection(texts[d])) / len(answer) if answer else None
-            if q >= QUESTION and (a is None or a >= ANSWER):
+            return len(wanted & own[d, n]) / len(wanted) if wanted else 0.0
+
+        for (d, i), (score, count) in sorted(_retrieve(part, numbers, windows).items()):
+            answer = part.answers[i]
+            q = share(d, part.questions[i])
+            near = {t for lo, hi in windows[d, i] for t in answer.intersection(texts[d][lo:hi])} if answer else ()
+            a = len(near) / len(answer) if answer else None
+            if q >= QUESTION and (a is None or a >= ANSWER) or share(d, part.wholes[i]) >= WHOLE:
                 yield docs[d], part.ids[i], score * SHARE, count, q, a
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,16 +333,17 @@ MATCH = "doc_id long, item_id long, score double, n_passages long, question_over
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified leaks (doc_id, item_id, score, n_passages, question_overlap, answer_overlap).
 
-    `items` has (item_id, question, answer). `score` is the best BM25 score of a passage as a share of the item's own.
+    `items` has (item_id, question, answer), and `text` where these were cut from prose. `score` is the best BM25 score of a passage as a share of the item's own.
     """
+    whole = F.col("text") if "text" in items.columns else F.lit(None).cast("string").alias("text")
     items = items.filter("item_id IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(
-        F.min(F.struct("question", "answer")).alias("t"))
-    items = materialised(items.select("item_id", "t.question", "t.answer"))
+        F.min(F.struct("question", "answer", whole)).alias("t"))
+    items = materialised(items.select("item_id", "t.question", "t.answer", "t.text"))
     count = items.count()
     parts = -(-count // PART_ITEMS)
     postings = materialised(index(items)) if parts else None
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.limit(0).mapInArrow(_matches(Part({}, [], [], [], [], [], [])), MATCH)
+    out = rows.limit(0).mapInArrow(_matches(Part({}, [], [], [], [], [], [], [])), MATCH)
     for i in range(parts):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i
         # bounded: one part of the items

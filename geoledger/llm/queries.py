@@ -98,7 +98,7 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id"""
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, answer = decontaminate.split_item(F.col("text"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"), "text")
     return decontaminate.matches(table(spark, sf_dir, "documents"), items)
 
 

@@ -103,6 +103,27 @@ class TestDecontamination:
         assert decontaminate.matches(frame.limit(0), items).count() == 0
         assert decontaminate.matches(frame, items.limit(0)).count() == 0
 
+    def test_partial_passages_of_prose(self, spark):
+        rng = random.Random(6)
+        first, last, long_first = (" ".join(f"{w}{k}" for k in range(n)) for w, n in (("a", 2), ("b", 33), ("c", 30)))
+        prose = spark.createDataFrame([(1, f"{first}. {last}."), (2, f"{long_first}. d0 d1 d2 d3."), (3, f"{' '.join(f'e{k}' for k in range(20))}. f0 f1 f2 f3 f4 f5 f6 f7.")],
+                                      "item_id long, text string")
+        question, answer = decontaminate.split_item(F.col("text"))
+        items = prose.select("item_id", question.alias("question"), answer.alias("answer"), "text")
+        filler = " ".join(rng.choices([f"w{k}" for k in range(50)], k=200))
+        rows = [(1, f"{filler} {last} {filler}"), (2, f"{filler} {long_first} {filler}"), (3, f"{filler} {' '.join(last.split()[:12])} {filler}"), (4, filler),
+                (5, f"{filler} {first} {filler} {long_first.upper()}")]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(frame, items).collect()) == [(1, 1), (2, 2), (5, 2)]
+        assert sorted(r.doc_id for r in decontaminate.clean(frame, items).collect()) == [3, 4]
+
+    def test_answer_words_far_from_the_question(self, spark):
+        question = " ".join(f"q{k}" for k in range(20))
+        items = spark.createDataFrame([(1, question, "very common answer words")], "item_id long, question string, answer string")
+        far, filler = "very common and answer with words", "filler " * 500
+        rows = [(1, f"{filler}{question} {filler}{far}"), (2, f"{far} {filler}{question}"), (3, f"{filler}{question} {far} {filler}")]
+        assert [r.doc_id for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()] == [3]
+
     def test_split_item(self, spark):
         frame = spark.createDataFrame([("What is it? It is here.",), ("one sentence",), (None,), ("A. B. C",)], "text string")
         question, answer = decontaminate.split_item(F.col("text"))
