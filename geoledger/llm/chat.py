@@ -6,9 +6,10 @@ span of the turn; if not, the template has rewritten history, and the turn says
 further rendering with a mark in place of the text finds where the text lies inside the span, without any knowledge of
 the template; that part of the assistant's turns is the loss mask.
 
-Rows are dealt by conversation and sorted by turn, and stream through: a task holds the last `LOOKBACK` turns of one
-conversation, so a conversation of any length takes bounded memory, and time in proportion to its turns. Up to that many
-turns every rendering starts at the first turn; later ones start `LOOKBACK` turns back.
+Rows are dealt by conversation and sorted by turn, and stream through. Every rendering starts at the first turn, so a
+task holds the turns of one conversation, and its time grows with the square of their number: nothing less is right for
+any template. Of a template that is known to put out each turn by itself, as `turns_template` does, the caller may say
+so by `lookback`: then a task holds that many turns and takes time in proportion to them.
 
 Defined cases. Null texts and roles are empty strings. Turns with equal numbers follow by role, then text; a null turn
 comes first. Repeated rows are turns of their own. Rows with a null conversation id are one conversation. An empty
@@ -31,7 +32,6 @@ from geoledger.llm.common import width
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-LOOKBACK = 32
 ASSISTANT = "assistant"
 
 HEADER, END = "### ", "</turn>"
@@ -76,19 +76,21 @@ def _text_within(template: Template, before: list[Turn], turn: Turn, old: str, s
     return (len(head), len(span) - len(tail)) if fits else None
 
 
-def _format(template: Template, lookback: int):
+def _format(template: Template, lookback: int | None):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "seq", "role", "start", "taken_back", "piece", "loss_start", "loss_end"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        conversation, seq, end, past = object(), 0, 0, []
+        conversation, seq, end, past, old = object(), 0, 0, [], ""
         for batch in batches:
             rows = []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != conversation:
-                    conversation, seq, end, past = conv, 0, 0, []
+                    conversation, seq, end, past, old = conv, 0, 0, [], template([])
                 turn = (role or "", text or "")
-                past = past[-(lookback - 1):] if lookback > 1 else []
-                old, new = template(past), template([*past, turn])
+                if lookback is not None and len(past) >= max(lookback, 1):
+                    past = past[-(lookback - 1):] if lookback > 1 else []
+                    old = template([*past])
+                new = template([*past, turn])
                 kept = len(old) if new.startswith(old) else len(os.path.commonprefix([old, new]))
                 taken_back, piece = len(old) - kept, new[kept:]
                 inside = None
@@ -97,7 +99,8 @@ def _format(template: Template, lookback: int):
                 start = end - taken_back
                 mask = (start + inside[0], start + inside[1]) if inside else (None, None)
                 rows.append((conv, seq, turn[0], start, taken_back, piece, *mask))
-                past, seq, end = [*past, turn], seq + 1, start + len(piece)
+                past.append(turn)
+                old, seq, end = new, seq + 1, start + len(piece)
             columns = zip(*rows, strict=True) if rows else ([],) * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -108,11 +111,12 @@ PIECES = "conv_id long, seq long, role string, start long, taken_back long, piec
 
 
 def format_chats(rows: DataFrame, template: Template = turns_template, conv: str = "conv_id", turn: str = "turn",
-                 role: str = "role", text: str = "text", lookback: int = LOOKBACK) -> DataFrame:
+                 role: str = "role", text: str = "text", lookback: int | None = None) -> DataFrame:
     """One row per turn: the `piece` it adds to the formatted conversation at `start`, and its part of the loss mask.
 
     `taken_back` is above 0 where the template rewrote what it had put out before; such turns have no mask. The
-    pieces of a conversation are neighbours, in order.
+    pieces of a conversation are neighbours, in order. With `lookback`, later turns are rendered with as many turns only,
+    itself among them; that is right for templates that neither count nor rewrite what lies further back.
     """
     turns = rows.select(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))

@@ -141,6 +141,22 @@ def forgetful(turns):
     return "".join(f"[{r}] {t if r != 'user' or i >= len(turns) - 2 else '...'}\n" for i, (r, t) in enumerate(turns))
 
 
+def numbered(turns):
+    return "".join(f"<{i} {r}> {t}\n" for i, (r, t) in enumerate(turns))
+
+
+def system_last(turns):
+    """A template that puts the system message into the last user turn."""
+    system = "".join(t for r, t in turns if r == "system")
+    last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+    return "".join(f"[{r}] {system + ' ' if i == last else ''}{t}\n" for i, (r, t) in enumerate(turns) if r != "system")
+
+
+def trimmed(turns):
+    """A template that shortens its first turns while it is between 36 and 38 long."""
+    return "".join(f"[{r}] {t if i > 2 or not 36 <= len(turns) <= 38 else '...'}\n" for i, (r, t) in enumerate(turns))
+
+
 class TestChats:
     nasty = "\\### Assistant: </turn> ok"
 
@@ -187,6 +203,19 @@ class TestChats:
             if p.role == "assistant":
                 assert p.piece[p.loss_start - p.start:p.loss_end - p.start] == f"{self.nasty} {p.seq}"
 
+    @pytest.mark.parametrize("template", [numbered, system_last, trimmed])
+    def test_every_prefix_of_a_long_conversation(self, spark, template):
+        turns = [("system", "be kind"), *((("user", "assistant")[i % 2], f"text {i}") for i in range(40))]
+        frame = spark.createDataFrame([(c, i, *t) for c in (1, 2) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+        for conv in (1, 2):
+            out = ""
+            for n, p in enumerate(chat.format_chats(frame, template).filter(F.col("conv_id") == conv).orderBy("seq").collect(), 1):
+                out = out[:len(out) - p.taken_back] + p.piece
+                assert out == template(turns[:n]) and p.start + len(p.piece) == len(out)
+                if p.role == "assistant" and not p.taken_back:
+                    assert out[p.loss_start:p.loss_end] == turns[n - 1][1]
+            assert n == len(turns)
+
     def test_rewritten_history_is_found(self, spark):
         turns = [("user", "q one"), ("assistant", "a one"), ("user", "q two"), ("assistant", "a two")]
         frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
