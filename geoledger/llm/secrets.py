@@ -3,8 +3,10 @@
 Base spans come from three patterns. Further candidates are runs of token characters; each belongs to a class by the
 characters it is made of, with a threshold of its own. A window slides over the candidate: the counts of its
 characters are kept, the one that enters and the one that leaves change the sum of c * log2(c) by their own terms only,
-and so the entropy costs the same at every step however long the window is. A candidate with a window above the
-threshold gives a span from the first such window to the last, unless the allow-list names it or a base span covers it.
+and so the entropy costs the same at every step however long the window is. A window within a piece between separators
+needs the bits of the piece's class if these are fewer. A candidate with a window above the threshold gives a span from
+the first such window to the last, unless a base span covers it. Windows that overlap an allowed string do not count;
+of a placeholder's name, nor do those near it in the same piece.
 
 All of it is SQL functions within the row; nothing is shuffled. Positions of matches come from the lengths of the
 matches and of the pieces between them, in code points.
@@ -42,18 +44,24 @@ class CharacterClass(NamedTuple):
     bits: float
 
 
-# Tried in turn. Candidates of one case without digits, and the like, belong to none: they are words.
+PIECE = r"[A-Za-z0-9]+"
+
+# Tried in turn. Candidates of one case without digits, and the like, belong to none: they are words. Words and numbers
+# that separators join need more than a long piece does.
 CLASSES = (
     CharacterClass("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
     CharacterClass("one_case", r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])([0-9A-Z]+|[0-9a-z]+)$", 3.4),
     CharacterClass("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).*$", 3.7),
+    CharacterClass("parted", r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])([0-9A-Z+/_-]+|[0-9a-z+/_-]+)$", 3.7),
 )
-# Suppressed: placeholders, identifiers that are meant to be public, digests of nothing.
+# Suppressed: names of placeholders, fillers, identifiers that are meant to be public, digests of nothing.
+PLACEHOLDER = r"(?i)example|sample|placeholder"
 ALLOWED = (
-    r"(?i)example|sample|placeholder|x{6}|0{8}|1234567890|abcdefgh",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e"
-    r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",
+    PLACEHOLDER,
+    r"(?i)x{6,}|0{8,}|1234567890|abcdefgh",
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])(?:da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e"
+    r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)(?![0-9A-Za-z])",
 )
 
 NO_SPANS = "array<struct<start:bigint,rank:int,stop:bigint,text:string>>"
@@ -84,8 +92,13 @@ def _changed(counts: Column, i: Column, by: int) -> Column:
     return F.concat(F.slice(counts, F.lit(1), i), F.array(F.get(counts, i) + F.lit(by)), F.slice(counts, i + 2, F.lit(128)))
 
 
-def high_windows(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
-    """(first, last): start of the first window with at least `bits` of entropy, end of the last; null without one."""
+def high_windows(candidate: Column, bits: Column, pieces: Column, allowed: Column, window: int = WINDOW) -> Column:
+    """(first, last): start of the first window with at least `bits` of entropy, end of the last; null without one.
+
+    `pieces` (start, stop, bits) lower the bits of the windows they hold; windows that overlap one of `allowed` (start,
+    stop) are passed over.
+    """
+    least = F.least(bits, F.array_min(F.transform(pieces, lambda x: x["bits"])))
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
 
     def scan(characters: Column) -> Column:
@@ -102,7 +115,10 @@ def high_windows(candidate: Column, bits: Column, window: int = WINDOW) -> Colum
                 total = s["sum"] - F.get(terms, n) + F.get(terms, n + 1)
 
                 def judged(t: Column) -> Column:
-                    high = (p >= window - 1) & (F.lit(math.log2(window)) - t / window >= bits - F.lit(1e-9))
+                    entropy = F.lit(math.log2(window)) - t / window + F.lit(1e-9)
+                    within = F.exists(pieces, lambda x: (x["start"] <= p - (window - 1)) & (x["stop"] > p) & (x["bits"] <= entropy))
+                    named = F.exists(allowed, lambda x: (x["start"] <= p) & (x["stop"] > p - (window - 1)))
+                    high = (p >= window - 1) & (entropy >= least) & (F.coalesce(bits <= entropy, F.lit(False)) | within) & ~named
                     return F.struct(
                         _changed(s["counts"], entering, 1).alias("counts"), t.alias("sum"),
                         F.when(high, F.coalesce(state["first"], p - (window - 1))).otherwise(state["first"]).alias("first"),
@@ -125,24 +141,43 @@ def _entropy_spans(text: Column, base: Column) -> Column:
         column = F.lit(None).cast("double")
         for kind in reversed(CLASSES):
             column = F.when(candidate.rlike(kind.pattern), F.lit(kind.bits)).otherwise(column)
-        for pattern in ALLOWED:
-            column = F.when(candidate.rlike(pattern), F.lit(None).cast("double")).otherwise(column)
         return column
 
+    def allowed(candidate: Column, pieces: Column) -> Column:
+        def near(p: Column) -> Column:
+            """What a placeholder's name in the piece speaks for."""
+            return F.transform(_spans(p["text"], PLACEHOLDER, "entropy"), lambda w: F.struct(
+                F.greatest(p["start"], p["start"] + w["start"] - WINDOW).alias("start"),
+                F.least(p["stop"], p["start"] + w["stop"] + WINDOW).alias("stop")))
+
+        names = F.flatten(F.transform(pieces, near))
+        strings = [F.transform(_spans(candidate, a, "entropy"), lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop")))
+                   for a in ALLOWED if a != PLACEHOLDER]
+        nothing = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+        some = candidate.rlike(PLACEHOLDER)
+        for a in ALLOWED[1:]:
+            some = some | candidate.rlike(a)
+        return F.when(some, F.concat(names, *strings)).otherwise(nothing)
+
     def judged(c: Column) -> Column:
         covered = F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"]))
-        need = F.when(covered, F.lit(None).cast("double")).otherwise(needed(c["text"]))
-
-        def span(n: Column) -> Column:
-            def placed(w: Column) -> Column:
-                return F.when(w["first"].isNotNull(), F.struct(
-                    (c["start"] + w["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"),
-                    (c["start"] + w["last"]).alias("stop"),
-                    F.substring(c["text"], w["first"] + 1, w["last"] - w["first"]).alias("text")))
-
-            return F.when(n.isNotNull(), let(high_windows(c["text"], n), placed))
 
-        return let(need, span)
+        def placed(w: Column) -> Column:
+            return F.when(w["first"].isNotNull(), F.struct(
+                (c["start"] + w["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"),
+                (c["start"] + w["last"]).alias("stop"),
+                F.substring(c["text"], w["first"] + 1, w["last"] - w["first"]).alias("text")))
+
+        def scanned(pieces: Column) -> Column:
+            inner = F.filter(pieces, lambda p: (F.length(p["text"]) >= WINDOW) & (F.length(p["text"]) < F.length(c["text"])))
+            own = F.filter(F.transform(inner, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), needed(p["text"]).alias("bits"))),
+                           lambda p: p["bits"].isNotNull())
+            return let(needed(c["text"]), lambda n: let(own, lambda o: F.when(
+                n.isNotNull() | (F.size(o) > 0),
+                let(allowed(c["text"], pieces), lambda a: let(high_windows(c["text"], n, o, a), placed)))))
+
+        # without a digit there is no class
+        return F.when(~covered & c["text"].rlike("[0-9]"), let(_spans(c["text"], PIECE, "entropy"), scanned))
 
     found = F.filter(F.transform(_spans(text, CANDIDATE, "entropy"), judged), lambda s: s.isNotNull())
     # a window inside a base span adds nothing

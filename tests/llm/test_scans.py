@@ -174,6 +174,22 @@ class TestSecrets:
             assert [(s.start, s.rank, s.stop) for s in got[i].base] == base, text
             assert [(s.start, s.rank, s.stop) for s in got[i].entropy] == more, text
 
+    def test_separators_and_allowed_strings(self, docs):
+        key, mixed = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZkdISUpLTE1O"
+        upper, uuid = "ABCDEF0123456789ABCDEF0123456789", "123e4567-e89b-12d3-a456-426614174000"
+        found = {  # texts, and what their spans must hold
+            f"key-{key}": key, f"id_{key}/x": key, key.upper() + "_1": key.upper(), "q7w-3rt9-yu2i-o5pa-8sd4-fg6h": "q7w-3rt9-yu2i-o5pa",
+            f"api/sample/{key}": key, f"docs/Example/{mixed}": mixed, f"{mixed}xxxxxx": mixed[:30], f"{mixed}/00000000/{mixed}": mixed,
+            f"{mixed[::-1]}{mixed}example{mixed}{mixed[::-1]}": mixed[:20], f"Api/v1/Path/{upper}": upper, f"v1/{uuid}/{key}": key,
+        }
+        silent = [f"users/{uuid}/orders", f"EXAMPLE{mixed[:25]}", "some-words/that-separators/only_join", "placeholder-1234567890-xxxxxxxx", f"{uuid}-{uuid}"]
+        texts = [*found, *silent]
+        got = {r.doc_id: r for r in secrets.scan(docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+        for i, text in enumerate(texts):
+            shown = [s.text for s in got[i].entropy]
+            assert any(found[text] in x for x in shown) if text in found else not shown, (text, shown)
+            assert all(text[s.start:s.stop] == s.text for s in got[i].entropy)
+
     def test_plan_is_native_and_empty_table(self, docs):
         frame = secrets.scan(docs([(1, "x", "s")]))
         plan = frame._jdf.queryExecution().executedPlan().toString()
