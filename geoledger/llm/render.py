@@ -3,7 +3,8 @@
 `Tree` builds the element tree from the tags as a browser would: end tags that authors leave out are implied, void
 elements hold nothing, stray end tags are ignored. `Layout` walks the tree and writes lines. Hidden parts (head,
 scripts, styles, templates, comments, the `hidden` attribute, `display:none`, `visibility:hidden`, closed `details`
-beyond their summary) give nothing. Blocks start lines, paragraphs and headings stand apart by a blank line, list
+beyond their summary, titles and definitions of drawings, notes of formulas) give nothing. Formulas, texts of drawings,
+text areas and what a select shows are visible. Blocks start lines, paragraphs and headings stand apart by a blank line, list
 items have bullets or numbers and are indented by depth, table columns are padded to equal width, `pre` keeps its
 spaces and `br` breaks lines.
 
@@ -29,18 +30,30 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg math audio video canvas datalist select textarea".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr".split())
+# In drawings text shows in these only, and not in what only describes or defines; in formulas all but notes shows.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient style script".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+MATH_PARTED = frozenset("mfrac mroot msub msup msubsup munder mover munderover mtr mlabeledtr mtable".split())
+# HTML goes on inside these; elsewhere in a drawing or formula, a start tag of BREAKS ends it.
+FOREIGN = frozenset("svg math".split())
+HTML_WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s"
+    " small span strong strike sub sup table tt u ul var".split())
 # A start tag ends open elements of these kinds, up to the nearest element that bounds it.
 P_ENDS = BLOCK - frozenset("body html li dd dt option optgroup summary legend".split())
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("html table td th caption button object template".split())
@@ -51,10 +64,10 @@ _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidde
 
 
 class Element:
-    __slots__ = ("children", "hidden", "kind", "start")
+    __slots__ = ("children", "given", "hidden", "kind", "start")
 
-    def __init__(self, kind: str, hidden: bool = False, start: int = 1):
-        self.kind, self.hidden, self.start, self.children = kind, hidden, start, []
+    def __init__(self, kind: str, hidden: bool = False, start: int = 1, given: dict | None = None):
+        self.kind, self.hidden, self.start, self.given, self.children = kind, hidden, start, given or {}, []
 
 
 class Tree(HTMLParser):
@@ -88,7 +101,24 @@ class Tree(HTMLParser):
         if within:
             self._cut(min(within) if all_ else max(within))
 
+    def _last(self, kinds: frozenset) -> int:
+        return max((p[-1] for k in kinds if (p := self.places.get(k))), default=0)
+
+    def _foreign(self) -> str:
+        """`svg` or `math` where the next element is one of these languages, else empty."""
+        if not self.places["svg"] and not self.places["math"]:
+            return ""
+        at = self._last(FOREIGN)
+        return self.open[at].kind if at > self._last(HTML_WITHIN) else ""
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.places.get("textarea"):
+            self.open[-1].children.append(self.get_starttag_text())
+            return
+        if tag in BREAKS and self._foreign():
+            self._end_open(FOREIGN, HTML_WITHIN, all_=True)
+        if tag in ("input", "select", "textarea"):
+            self._end_open({"select"}, SCOPE)
         if tag == "html" or tag == "body" and self.places["body"]:
             return
         if self.open[-1].kind == "head" and tag not in HEAD_ONLY:
@@ -101,9 +131,13 @@ class Tree(HTMLParser):
         given = dict(attrs)
         hidden = (tag in HIDDEN or "hidden" in given and given["hidden"] != "until-found" or bool(_UNSEEN.search(given.get("style") or ""))
                   or tag == "input" or tag == "dialog" and "open" not in given)
+        language = self._foreign()
+        if language:
+            hidden = hidden or tag in (SVG_UNSEEN if language == "svg" else MATH_UNSEEN)
         start = given.get("start") or given.get("value") or ""
         element = Element("closed" if tag == "details" and "open" not in given else tag, hidden,
-                          int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1)
+                          int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1,
+                          given if tag in ("select", "option", "optgroup") else {"svg": ""} if tag == "text" and language == "svg" else None)
         if tag == "li" and "value" in given and element.start != 1:
             element.start = -abs(element.start) if element.start < 0 else element.start
         self.open[-1].children.append(element)
@@ -111,9 +145,20 @@ class Tree(HTMLParser):
             self._push(element)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        # drawings and formulas alone have elements that this form ends
+        ends = (tag in FOREIGN or tag not in BREAKS and self._foreign()) and not self.places.get("textarea")
         self.handle_starttag(tag, attrs)
+        if ends and self.open[-1].kind == tag:
+            self._cut(len(self.open) - 1)
+
+    def handle_comment(self, data: str) -> None:
+        if self.places.get("textarea"):
+            self.open[-1].children.append(f"<!--{data}-->")
 
     def handle_endtag(self, tag: str) -> None:
+        if self.places.get("textarea") and tag != "textarea":
+            self.open[-1].children.append(f"</{tag}>")
+            return
         if tag == "br":
             self.open[-1].children.append(Element("br"))
         elif tag == "p" and not self.places["p"]:
@@ -124,9 +169,47 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].kind == "head" and data.strip():
             self._cut(len(self.open) - 1)
+        if (drawings := self.places.get("svg")) and self._last(SVG_TEXT) < drawings[-1]:
+            return
         self.open[-1].children.append(data)
 
 
+def shown_text(element: Element) -> str:
+    """Text of an element on one line."""
+    parts, rest = [], [element]
+    while rest:
+        now = rest.pop()
+        if isinstance(now, str):
+            parts.append(now)
+        elif not now.hidden or now is element:
+            rest.extend(reversed(now.children))
+    return _SPACE.sub(" ", "".join(parts)).strip()
+
+
+def choices(select: Element) -> list[str]:
+    """What a select shows: the chosen option of a drop-down, else its first; all options of a list, and their groups."""
+    size = select.given.get("size") or ""
+    whole = "multiple" in select.given or size.isdecimal() and len(size) < 10 and int(size) > 1
+    out, chosen, rest = [], None, [(select, False)]
+    while rest:
+        now, off = rest.pop()
+        if isinstance(now, str) or now.hidden and (now.kind != "option" or whole):
+            continue
+        if now.kind == "option":
+            text = now.given.get("label") or shown_text(now)
+            out.append(text)
+            rank = 2 if "selected" in now.given else 1 if not (now.hidden or off or "disabled" in now.given) else 0
+            # the last that is marked, else the first that can be chosen
+            if rank == 2 or rank and chosen is None:
+                chosen = text
+            continue
+        if now.kind == "optgroup":
+            out.append((now.given.get("label") or "").strip())
+            off = off or "disabled" in now.given
+        rest.extend((c, off) for c in reversed(now.children))
+    return [t for t in (out if whole else [chosen or ""]) if t]
+
+
 # A step of the layout yields the steps it waits for, and is sent their results.
 Step = Generator["Step", object, object]
 
@@ -196,7 +279,27 @@ class Layout:
             kind = child.kind
             if child.hidden:
                 continue
-            if kind == "br":
+            if kind == "select":
+                shown = choices(child)
+                if "multiple" in child.given or len(shown) > 1:
+                    for text in shown:
+                        self.block(False)
+                        self.text(text, False)
+                    self.block(False)
+                else:
+                    self.text("".join(f" {t} " for t in shown), False)
+            elif kind == "textarea":
+                text = "".join(c for c in child.children if isinstance(c, str)).replace("\r\n", "\n")
+                self.block(False)
+                self.text(text.removeprefix("\n"), True)
+                self.block(False)
+            elif kind in MATH_PARTED:
+                for part in child.children:
+                    inner = Element("math")
+                    inner.children.append(part)
+                    yield self.walk(inner, pre, listed)
+                    self.text(" ", False)
+            elif kind == "br":
                 self.end_line(keep=True)
             elif kind == "table":
                 self.block(True)
@@ -226,7 +329,7 @@ class Layout:
                 yield self.walk(child, pre or kind == "pre", listed)
                 self.block(apart)
                 self.indent = before
-            elif kind in ("td", "th", "tr", "caption"):
+            elif kind in ("td", "th", "tr", "caption", "mtd") or kind == "text" and child.given:
                 yield self.walk(child, pre, listed)
                 self.text(" ", False)
             else:

@@ -119,6 +119,28 @@ class TestRendering:
         assert render.render(f"<{kind}>" * depth + below) == "1. one\n2. two\n   - in\n\na long  1\nb       2"
         assert render.render("<div hidden>" + f"<{kind}>" * depth + "no<div>no</div>no" + f"</{kind}>" * depth + "no</div>yes") == "yes"
 
+    @pytest.mark.parametrize(("page", "text"), [
+        ("so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"),
+        ("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></semantics></math>", "1 2"),
+        ("a<math><mspace/><mi>y</mi></math>b", "ayb"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style>no<path d='x'/><g><text>A &amp; b</text><text><tspan>c</tspan></text></g></svg>d", "A & b c d"),
+        ("<svg><title/><text x='1'/><circle/><text>seen</text></svg> x", "seen x"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+        ("<svg><g>no<p>out of it", "out of it"),
+        ("a<text>b</text>c <textarea>x<!-- y --></textarea>", "abc\nx<!-- y -->"),
+        ("<svg><text hidden>no</text></svg>x<svg/>y", "xy"),
+        ("a<textarea>\n one\n  <b>two</b> &lt;</textarea>b", "a\n one\n  <b>two</b> <\nb"),
+        ("<textarea hidden>no</textarea>x", "x"),
+        ("pick <select><option>a<option selected>b &amp; c<option>d</select> now", "pick b & c now"),
+        ("<select><option disabled>no<optgroup label=g><option>first<option>no</select>", "first"),
+        ("<select><option selected>no<option selected label=L>no</select>", "L"),
+        ("<select multiple><option>a<optgroup label=G><option>b</optgroup></select>x", "a\nG\nb\nx"),
+        ("<select><option>a<input>text", "a text"),
+        ("<select hidden><option>no</select>x", "x"),
+    ])
+    def test_formulas_drawings_and_fields(self, page, text):
+        assert render.render(page) == text
+
     def test_deep_lists_and_tables(self):
         assert render.render("<ul><li>" * 3000 + "x") == "  " * 2999 + "- x"
         assert render.render("<table><tr><td>" * 3000 + "x" + "<td>y</table>" * 3000).startswith("x  y")
