@@ -238,8 +238,9 @@ def _blocks(percent: int):
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[list[tuple]]) -> pa.RecordBatch:
-            found = [x for r in rows if len(r) > 1 for x in _forest(r, percent)]
+        def done(blocks: list[tuple[tuple, list[tuple]]]) -> pa.RecordBatch:
+            # where one of two tiles is empty there is no pair; those within the other have a block of their own
+            found = [x for (_, p, q), r in blocks if len(r) > 1 and len({row[1] for row in r}) == (1 if p == q else 2) for x in _forest(r, percent)]
             node, head, links = zip(*found, strict=True) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, head, links)], names=["node", "head", "links"])
 
@@ -252,7 +253,7 @@ def _blocks(percent: int):
             for i, (cluster, p, q, node, tile, copies, s1) in enumerate(zip(*columns, strict=True)):
                 if (cluster, p, q) != key:
                     if rows:
-                        ready.append(rows)
+                        ready.append((key, rows))
                     key, rows, previous = (cluster, p, q), [], None
                 if (node, s1) == previous:
                     continue
@@ -261,7 +262,7 @@ def _blocks(percent: int):
             if ready:
                 yield done(ready)
         if rows:
-            yield done([rows])
+            yield done([(key, rows)])
 
     return kernel
 

@@ -156,6 +156,16 @@ class TestJaccard:
             rows.append((i, " ".join(copy[:rng.choice([80, 80, 40])]), "s"))
         assert self.got(docs(rows)) == self.brute(rows)
 
+    def test_links_where_a_tile_is_empty(self, docs, monkeypatch):
+        monkeypatch.setattr(jaccard, "TILE_GRAMS", 40)
+        rng = random.Random(7)
+        rows = []
+        for family in range(20):
+            base = [f"f{family}w{k}" for k in range(60)]
+            rows += [(2 * family, " ".join(base), "s"), (2 * family + 1, " ".join([*base, f"x{rng.randrange(1000)}"]), "s")]
+        got = self.got(docs(rows))
+        assert {links for *_, links in got} == {1} and got == self.brute(rows)
+
     def test_frequent_grams_only_change_the_order(self, docs, monkeypatch):
         monkeypatch.setattr(jaccard._frequent, "__defaults__", (1, 2))
         rows = self.rows(random.Random(7), families=6)
