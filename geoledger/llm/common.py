@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoledger.session import materialised
+
 # The characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[ \t-\r]+"
@@ -37,3 +39,29 @@ def free_name(columns: Iterable[str], base: str) -> str:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[Column], place: str, total: str | None = None) -> DataFrame:
+    """The rows with their place within the group, from 0, and the group's count as `total`.
+
+    The rows are written to the shared folder on the way.
+
+    Rows are dealt by ranges of (group, order), so a group of any size spreads over tasks; a place is the count of the
+    group's rows in earlier ranges plus the place within the range. Only those counts, one row per range and group,
+    meet in a task. Rows that tie in everything are told apart by where they were read.
+    """
+    taken = [*df.columns, place, total or place]
+    tie, part, before = (free_name(taken, x) for x in ("tie", "part", "before"))
+    ordered = [F.asc_nulls_first(g) for g in group] + order + [F.asc(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(width(df.sparkSession), *ordered)
+    dealt = materialised(dealt.withColumn(part, F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(part, *group).agg(F.count(F.lit(1)).alias(before))
+    whole = [F.sum(before).over(Window.partitionBy(*group)).alias(total)] if total else []
+    starts = counts.select(part, *group, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before), *whole).alias("s")
+    same = F.col(f"d.{part}") == F.col(f"s.{part}")
+    for g in group:
+        same &= F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}"))
+    within = F.row_number().over(Window.partitionBy(part, *group).orderBy(*order, F.asc(tie))) - 1
+    placed = dealt.withColumn(place, within.cast("long")).alias("d")
+    return placed.join(starts, same).select(*[F.col(f"d.{c}") for c in df.columns], (F.col(f"d.{place}") + F.col(before)).alias(place), *([total] if total else []))

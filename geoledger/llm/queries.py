@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoledger.llm import chat, decontaminate, jaccard, lines, mixing, quality, render, secrets, toxicity, warc
+from geoledger.llm import chat, decontaminate, jaccard, lines, merkle, mixing, quality, render, resampling, secrets, toxicity, warc
 from geoledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,110 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 of a text in SQL: a lambda over its bytes, with the table of the polynomial.
+SQL_CRC = r"""
+crc AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_concat([i], range(0, 8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(0, 256)) AS i)))"""
+
+
+def sql_crc(text: str) -> str:
+    """SQL for the checksum of `text`, beside the table `crc`."""
+    size = f"octet_length(encode({text}))"
+    data = f"list_transform(range(0, {size}), lambda j: CAST('0x' || substr(hex(encode({text})), 2 * j + 1, 2) AS BIGINT))"
+    step = "xor(a >> 8, crc[1 + (xor(a, b) & 255)])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda a, b: {step}), 4294967295)"
+
+
+ORACLES["op11_importance_resampling"] = rf"""
+WITH {SQL_CRC},
+d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM d),
+bw AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+b AS MATERIALIZED (SELECT w, {sql_crc("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN b USING (w) GROUP BY b),
+g AS (
+  SELECT s.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+                                  / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON t.b = s.b),
+f AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g ON g.b = b.b GROUP BY doc_id),
+x AS (
+  SELECT d.doc_id, coalesce(f.n, 0) AS n_features, coalesce(f.weight, 0) AS weight,
+         coalesce(f.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN f ON f.doc_id = d.doc_id),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, 10 * count(*) OVER () // 100 AS n FROM x WHERE n_features >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN k <= n THEN k END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.row_digest([F.col(f) for f in fields[:-1]] + [lowered])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
+    found = merkle.manifest(docs, "doc_id", "lang", fields, own=tampered)
+    folded = merkle.fold(F.coalesce("own", "leaf"), F.col("path"))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE {SQL_CRC},
+v AS (
+  SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         {sql_crc("doc_id::VARCHAR")} % 3 = 0 AS tampered
+  FROM documents, crc),
+f AS (
+  SELECT doc_id, lang, tampered, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(lowered)) || ':' || lowered, '-')) AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM v),
+low AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM f
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY lang, level, i // 8),
+sub AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, h, n FROM sub
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8),
+lowp AS (
+  SELECT f.doc_id, k.level, coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i < f.i // CAST(pow(8, k.level) AS BIGINT)), '') AS l,
+         coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i > f.i // CAST(pow(8, k.level) AS BIGINT)), '') AS r
+  FROM f JOIN low k ON k.lang IS NOT DISTINCT FROM f.lang AND k.n > 1 AND k.i // 8 = f.i // CAST(pow(8, k.level + 1) AS BIGINT)
+  GROUP BY f.doc_id, k.level),
+topp AS (
+  SELECT sub.lang, k.level, coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i < sub.i // CAST(pow(8, k.level) AS BIGINT)), '') AS l,
+         coalesce(string_agg(k.h, '' ORDER BY k.i) FILTER (WHERE k.i > sub.i // CAST(pow(8, k.level) AS BIGINT)), '') AS r
+  FROM sub JOIN top k ON k.n > 1 AND k.i // 8 = sub.i // CAST(pow(8, k.level + 1) AS BIGINT)
+  GROUP BY sub.lang, k.level),
+p AS (
+  SELECT doc_id, list(l || '|' || r ORDER BY level) AS path FROM (
+    SELECT doc_id, level, l, r FROM lowp
+    UNION ALL SELECT f.doc_id, 1000 + level, l, r FROM f JOIN topp ON topp.lang IS NOT DISTINCT FROM f.lang)
+  GROUP BY doc_id),
+o AS (
+  SELECT f.doc_id, leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+         list_reduce(list_concat([CASE WHEN tampered THEN changed ELSE leaf END], coalesce(path, [])),
+                     lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM f JOIN sub ON sub.lang IS NOT DISTINCT FROM f.lang LEFT JOIN p ON p.doc_id = f.doc_id)
+SELECT *, folded_root = root AS verified FROM o"""
