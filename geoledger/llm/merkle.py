@@ -123,9 +123,10 @@ def manifest(rows: DataFrame, key: str, group: str, fields: Sequence[str], own:
     `path` has the siblings of every level from the row to the table's root, so `fold(leaf, path)` is `root`.
     `own` is a text over the row that comes along.
     """
-    leaves = rows.select(
+    # written first: finding the ranges of keys would read and hash all rows once more
+    leaves = materialised(rows.select(
         F.col(group).alias("g"), F.col(key).alias("id"), row_digest([F.col(f) for f in fields]).alias("digest"),
-        (F.lit(None) if own is None else own).cast("string").alias("own"))
+        (F.lit(None) if own is None else own).cast("string").alias("own")))
     placed = numbered(leaves, ["g"], [F.asc_nulls_first("id"), F.asc("digest")], "place", "total")
     below = _climb(placed.select("g", "place", "total", "digest", F.struct("id", "own").alias("own")))
 
