@@ -185,8 +185,9 @@ def _similar(percent: int):
 def _spanning(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], forest) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs that meet in a group and pass the test of `forest`.
 
-    `rows` has (grp, rep, members, tiles): a node, its group, the group's rows and the tiles it needs. `payload` adds
-    what the test reads.
+    `rows` has (grp, rep, members, leader, tiles): a node, its group, the group's rows, its smallest node and the tiles
+    it needs. `payload` adds what the test reads. The leader is a pivot of every tile, and a node is in the same tile of
+    all its groups as far as they are equally large, so that the forests of groups that overlap share their edges.
     """
     n, keys = width(rows.sparkSession), ["grp", "kind", "p", "q"]
     test = _by_block(keys, forest)
@@ -201,12 +202,12 @@ def _spanning(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], forest
         return frame.withColumn("block", F.explode(blocks)).withColumns({k: F.col(f"block.{k}") for k in keys[1:]}).drop("block")
 
     def tile(tiles: str, seed: int):
-        return F.pmod(F.xxhash64("grp", "rep", F.lit(seed)), F.col(tiles)).cast("int")
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(tiles)).cast("int")
 
     def up_to(tiles: str):
         return F.sequence(F.lit(0), F.col(tiles).cast("int") - 1)
 
-    pivot = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("grp", "rep", F.lit(1)), F.col("members")) < PIVOTS)
+    pivot = (F.col("tiles") > 1) & ((F.col("rep") == F.col("leader")) | (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < PIVOTS))
     first = F.when(pivot, up_to("tiles")).otherwise(F.array(tile("tiles", 2)))
     edges = materialised(compared(dealt(payload(rows), F.transform(first, lambda p: block(0, p, p)))))
 
@@ -258,16 +259,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     nodes = materialised(nodes.select("s1", "s2", "n", "least.doc_id", "least.mark", "signature", F.monotonically_increasing_id().alias("rep")))
 
     cells = nodes.select("rep", F.explode(index_keys(chunks)).alias("grp"))
-    counts = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = materialised(cells.join(counts, "grp").select("grp", "rep", "members", F.ceil(F.col("members") / TILE).alias("tiles")))
+    counts = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).filter("members > 1")
+    met = materialised(cells.join(counts, "grp").select("grp", "rep", "members", "leader", F.ceil(F.col("members") / TILE).alias("tiles")))
     signatures = nodes.select("rep", "n", "signature")
     close = _spanning(met, lambda r: r.join(signatures, "rep"), _close(percent, chunks))
 
     clusters = components(close).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     wanted = materialised(nodes.select("rep", "n", "doc_id", "mark").join(clusters, "rep"))
-    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
+    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("grams") / TILE_GRAMS))
-    wanted = materialised(wanted.join(sizes, "grp").select("grp", "rep", "members", tiles.alias("tiles"), "doc_id", "mark"))
+    wanted = materialised(wanted.join(sizes, "grp").select("grp", "rep", "members", "leader", tiles.alias("tiles"), "doc_id", "mark"))
     places = wanted.select("rep", "doc_id", "mark")
 
     def with_sets(some: DataFrame) -> DataFrame:
