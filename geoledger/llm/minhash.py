@@ -183,7 +183,7 @@ def _similar(percent: int):
 
 
 def _spanning(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], forest) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs that meet in a group and pass the test of `forest`.
+    """Columns (node, component) by all pairs that meet in a group and pass the test of `forest`; only nodes with a pair.
 
     `rows` has (grp, rep, members, leader, tiles): a node, its group, the group's rows, its smallest node and the tiles
     it needs. `payload` adds what the test reads. The leader is a pivot of every tile, and a node is in the same tile of
@@ -209,12 +209,11 @@ def _spanning(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], forest
 
     pivot = (F.col("tiles") > 1) & ((F.col("rep") == F.col("leader")) | (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < PIVOTS))
     first = F.when(pivot, up_to("tiles")).otherwise(F.array(tile("tiles", 2)))
-    edges = materialised(compared(dealt(payload(rows), F.transform(first, lambda p: block(0, p, p)))))
+    label = components(compared(dealt(payload(rows), F.transform(first, lambda p: block(0, p, p)))))
 
     large = rows.filter("tiles > 1")
     if not large.limit(1).count():
-        return edges
-    label = components(edges)
+        return label
     named = large.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     named = materialised(named.select("grp", "rep", "members", "tiles", "component"))
     parts = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("tiles") / F.col("members")).alias("share"))
@@ -226,13 +225,22 @@ def _spanning(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], forest
         F.ceil((F.col("all") - F.col("main.size")) * F.col("share")).alias("rest_tiles"))
     open_rows = materialised(named.join(tiles, "grp").select("grp", "rep", "main_tiles", "rest_tiles", (F.col("component") == F.col("main")).alias("in_main")))
     if not open_rows.limit(1).count():
-        return edges
+        return label
     p = tile("rest_tiles", 3)
     rest = F.concat(
         F.transform(up_to("rest_tiles"), lambda x: block(1, F.least(p, x), F.greatest(p, x))), F.transform(up_to("main_tiles"), lambda x: block(2, p, x)))
     main = F.transform(up_to("rest_tiles"), lambda x: block(2, x, tile("main_tiles", 4)))
-    more = compared(dealt(payload(open_rows), F.when(F.col("in_main"), main).otherwise(rest)))
-    return edges.union(materialised(more))
+    more = materialised(compared(dealt(payload(open_rows), F.when(F.col("in_main"), main).otherwise(rest))))
+    # the pairs that join two components; most only say what is known
+    ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    joins = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joins = materialised(joins.filter("a <> b").distinct())
+    if not joins.limit(1).count():
+        return label
+    above = components(joins).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    named = label.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = above.join(label.select(F.col("node").alias("component")), "component", "left_anti")
+    return materialised(named.union(alone.select("component", "top")))
 
 
 def _sets(n: int, passed: list[str]):
@@ -264,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     signatures = nodes.select("rep", "n", "signature")
     close = _spanning(met, lambda r: r.join(signatures, "rep"), _close(percent, chunks))
 
-    clusters = components(close).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    clusters = close.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     wanted = materialised(nodes.select("rep", "n", "doc_id", "mark").join(clusters, "rep"))
     sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("grams") / TILE_GRAMS))
@@ -285,8 +293,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     shared = real.select("doc_id", "s1", "s2", "n").join(several, "doc_id", "left_semi").join(nodes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
     shared = materialised(shared.select("doc_id", "rep").distinct())
     heads = shared.groupBy("doc_id").agg(F.min("rep").alias("head"))
-    ties = links.select("a", "b").union(shared.join(heads, "doc_id").select("rep", "head"))
-    found = components(ties)
+    found = links
+    if shared.limit(1).count():
+        found = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(shared.join(heads, "doc_id").select("rep", "head")))
     named = nodes.join(found, F.col("rep") == F.col("node")).select("s1", "s2", "n", "component", "doc_id")
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     single = nodes.select("s1", "s2", "n", F.col("rep").alias("component"), F.col("doc_id").alias("component_id")).join(
