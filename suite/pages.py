@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from geoledger.operators import projection
 from geoledger.operators.fields import Fields
-from geoledger.operators.paging import Page, sort_keys
+from geoledger.operators.paging import Page, encode_token, sort_keys
 from geoledger.plans import search as plan
+from geoledger.plans.newest import EarlyPage, search_dated, stored_days
 from geoledger.plans.search import SearchOptions, SearchRequest
-from geoledger.sources import sample
+from geoledger.sources import sample, store
 from suite.filters import SQL_ORDER
-from suite.registry import ANY_TIME, COLLECTIONS, case
+from suite.registry import ANY_TIME, COLLECTIONS, case, in_time
+from suite.scratch import fresh_dir
 
 
 def sorted_page(spark, sf_dir, sortby, limit, token_values=None):
@@ -81,6 +83,79 @@ def l_collection_page(spark, sf_dir):
     return plan.search_collections(collections, SearchRequest(limit=3, token=token)).rows.select("id", "title")
 
 
+# ---------------------------------------------------------------- pages over a dated store, which read few days
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def dated_store(spark, sf_dir):
+    """All items in a store by day, in a collection for each length of their collection's name; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        items = sample.items(spark, sf_dir)
+        path = fresh_dir(spark, "dated")
+        store.write_items(items.withColumn("collection", F.concat(F.lit("g"), F.length("collection").cast("string"))), path, by_date=True)
+        _stores[key] = path
+    return store.read_items(spark, _stores[key])
+
+
+SQL_GROUPED = "SELECT * REPLACE ('g' || length(collection) AS collection) FROM items_v"
+
+
+@case("s_default_dated", f"SELECT id, collection, datetime FROM ({SQL_GROUPED}) {SQL_ORDER} LIMIT 500")
+def s_default_dated(spark, sf_dir):
+    items = dated_store(spark, sf_dir)
+    page = EarlyPage(items, sort_keys(Fields.of(items), None), 500, days=stored_days(items))
+    return page.rows.select("id", "collection", "datetime")
+
+
+@case("s_by_time_dated", f"SELECT id, datetime FROM items_v WHERE {ANY_TIME} ORDER BY coalesce(datetime, TIMESTAMP '2100-01-01'), id LIMIT 700")
+def s_by_time_dated(spark, sf_dir):
+    return search_dated(dated_store(spark, sf_dir), SearchRequest(sortby=["datetime"], limit=700)).rows.select("id", "datetime")
+
+
+@case(
+    "l_keyset_page_dated",
+    f"SELECT id, collection, datetime FROM ({SQL_GROUPED}) WHERE {ANY_TIME} {SQL_ORDER} LIMIT 200 OFFSET 400",
+)
+def l_keyset_page_dated(spark, sf_dir):
+    items, token = dated_store(spark, sf_dir), None
+    for _ in range(2):
+        token = search_dated(items, SearchRequest(limit=200, token=token)).next_token()
+    return search_dated(items, SearchRequest(limit=200, token=token)).rows.select("id", "collection", "datetime")
+
+
+@case(
+    "l_deep_page_dated",
+    f"SELECT id, datetime FROM items_v WHERE {ANY_TIME} AND (datetime IS NULL OR datetime < TIMESTAMP '2024-01-09 12:00:00') {SQL_ORDER} LIMIT 300",
+)
+def l_deep_page_dated(spark, sf_dir):
+    token = encode_token(["2024-01-09T12:00:00Z", "1970-01-01T00:00:00Z", "", ""])
+    return search_dated(dated_store(spark, sf_dir), SearchRequest(limit=300, token=token)).rows.select("id", "datetime")
+
+
+@case(
+    "l_page_without_datetime",
+    f"SELECT id, start_datetime FROM items_v WHERE {ANY_TIME} AND datetime IS NULL AND start_datetime < TIMESTAMP '2024-01-20 06:00:00' "
+    f"{SQL_ORDER} LIMIT 100",
+)
+def l_page_without_datetime(spark, sf_dir):
+    token = encode_token(["1970-01-01T00:00:00Z", "2024-01-20T06:00:00Z", "", ""])
+    return search_dated(dated_store(spark, sf_dir), SearchRequest(limit=100, token=token)).rows.select("id", "start_datetime")
+
+
+@case(
+    "f_search_dated",
+    f"SELECT id, datetime, cloud_cover FROM ({SQL_GROUPED}) WHERE collection IN ('g2', 'g3') AND cloud_cover <= 40 "
+    f"AND maxx >= -90 AND minx <= 60 AND maxy >= -60 AND miny <= 40 "
+    f"AND {in_time('2024-01-05 00:00:00', '2024-01-25 00:00:00')} {SQL_ORDER} LIMIT 60",
+)
+def f_search_dated(spark, sf_dir):
+    return search_dated(dated_store(spark, sf_dir), SearchRequest(
+        collections=["g2", "g3"], datetime="2024-01-05T00:00:00Z/2024-01-25T00:00:00Z", bbox=[-90, -60, 60, 40],
+        filter={"op": "<=", "args": [{"property": "cloud_cover"}, 40]}, limit=60)).rows.select("id", "datetime", "cloud_cover")
+
+
 @case("agg_number_matched", f"SELECT count(*) AS matched FROM items_v WHERE {ANY_TIME} AND NOT coalesce(hidden, false)")
 def number_matched(spark, sf_dir):
     filtered = plan.filter_items(sample.items(spark, sf_dir), SearchRequest(), SearchOptions(hide_path="hidden"))
