@@ -20,6 +20,7 @@ from geoledger.functions.geometry import is_box
 from geoledger.functions.predicates import shape_of, strip_spans
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
+from geoledger.operators.fine_grid import frequent_cells
 from geoledger.session import materialised
 
 OUTPUT = ("name", "data_type", "key", "frequency", "range_from", "range_to", "value", "overflow")
@@ -44,6 +45,8 @@ GRIDS = {
     "geometry_geotile_grid_frequency": (0, 29),
 }
 GRID_BUCKETS = 10_000
+# Precisions of geometry grids up to which every cell that a row touches is made: a million cells at most.
+SPELLED = {"geohash": 4, "geotile": 9}
 DEFAULT_AGGREGATIONS = {
     "total_count": "integer",
     "datetime_max": "datetime",
@@ -309,7 +312,8 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
 
     Shapes that fill their bounds are counted per distinct range of cells first, and each range is spelled out once
     with that count. Other shapes become one row per grid column under their bounds; in each column, the spans of
-    latitude the shape covers give the cells. Ranges of any size are spelled out in blocks.
+    latitude the shape covers give the cells. Ranges of any size are spelled out in blocks. Grids finer than `SPELLED`
+    are not spelled out: see `fine_grid`.
     """
     name = f"geometry_{kind}_grid_frequency"
     low, high = GRIDS[name]
@@ -331,10 +335,16 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     rows = df.filter(minx.isNotNull())
     filled = rows if shape is None else rows.filter(is_box(shape.column, minx, miny, maxx, maxy))
     weighted = filled.select(*[c.alias(n) for n, c in ranges_.items()]).groupBy(*ranges_).agg(F.count(F.lit(1)).alias("weight"))
+    exact = None if shape is None else rows.filter(~is_box(shape.column, minx, miny, maxx, maxy)).select(
+        *[c.alias(n) for n, c in ranges_.items()], shape.column.alias("shape"))
+    if precision > SPELLED[kind]:
+        if exact is not None:
+            shapes = exact.select(*ranges_, F.lit(1).cast("bigint").alias("weight"), shape_of(F.col("shape")).alias("shape"))
+            weighted = shapes.unionByName(weighted, allowMissingColumns=True)
+        cells = frequent_cells(materialised(weighted), kind, precision, GRID_BUCKETS)
+        return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision), F.col("weight"))
     cells = _numbers(_numbers(weighted, "x0", "x1", "cx"), "y0", "y1", "cy").select("cx", "cy", "weight")
-    if shape is not None:
-        exact = rows.filter(~is_box(shape.column, minx, miny, maxx, maxy)).select(
-            *[c.alias(n) for n, c in ranges_.items()], shape.column.alias("shape"))
+    if exact is not None:
         strips = _numbers(exact, "x0", "x1", "strip")
         left, _, right, _ = box(F.col("strip"), F.lit(0), precision)
         spans = strips.select("strip", strip_spans(shape_of(F.col("shape")), left, right).alias("spans"))

@@ -281,6 +281,40 @@ def geometry_geotile(spark, sf_dir):
     return agg.geometry_grid(items(spark, sf_dir), "geotile", 8)
 
 
+# finer grids, whose cells are found from coarse ones down
+
+_x0, _y0 = sql_hash_cell("minx", "miny", 5)
+_x1, _y1 = sql_hash_cell("maxx", "maxy", 5)
+
+
+@case(
+    "agg_geometry_geohash_grid_5",
+    sql_grid("geometry_geohash_grid_frequency", f"SELECT {sql_hash_name('x', 'y', 5)} AS k FROM ({sql_cells(_x0, _y0, _x1, _y1)})"),
+)
+def geometry_geohash_5(spark, sf_dir):
+    return agg.geometry_grid(items(spark, sf_dir), "geohash", 5)
+
+
+_TILES = sql_cells(
+    TILE[0].format(lon="minx", z=11), TILE[1].format(lat="maxy", z=11), TILE[0].format(lon="maxx", z=11), TILE[1].format(lat="miny", z=11))
+
+
+@case("agg_geometry_geotile_grid_11", sql_grid("geometry_geotile_grid_frequency", f"SELECT '11/' || x || '/' || y AS k FROM ({_TILES})"))
+def geometry_geotile_11(spark, sf_dir):
+    return agg.geometry_grid(items(spark, sf_dir), "geotile", 11)
+
+
+# a box of one degree holds millions of these cells; tested against brute force on a small fixture
+@case("agg_geometry_geohash_grid_9")
+def geometry_geohash_9(spark, sf_dir):
+    return agg.geometry_grid(items(spark, sf_dir), "geohash", 9)
+
+
+@case("agg_geometry_geotile_grid_22")
+def geometry_geotile_22(spark, sf_dir):
+    return agg.geometry_grid(items(spark, sf_dir), "geotile", 22)
+
+
 # ---------------------------------------------------------------- whole requests
 
 _BUNDLE_WHERE = in_time("2024-01-03 00:00:00", "2024-01-28 00:00:00") + " AND cloud_cover <= 60"
