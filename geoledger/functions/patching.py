@@ -23,6 +23,43 @@ def merge_patch(document: Any, patch: Any) -> Any:
     return out
 
 
+# Merge patches in a form that composes: what a member becomes. A merge patch alone can't say "this object, whatever
+# was there", which a deletion followed by a merge amounts to.
+MERGE, REPLACE, DELETE = "merge", "replace", "delete"
+
+
+def as_change(patch: Any) -> list[Any]:
+    """The change that a merge patch makes."""
+    if isinstance(patch, dict):
+        return [MERGE, {k: [DELETE] if v is None else as_change(v) for k, v in patch.items()}]
+    return [REPLACE, patch]
+
+
+def composed(first: list[Any], then: list[Any]) -> list[Any]:
+    """One change that does what two do in turn. It is associative, so runs of patches may be folded in any grouping."""
+    if then[0] != MERGE:
+        return then
+    if first[0] != MERGE:
+        return [REPLACE, changed(first[1] if first[0] == REPLACE else None, then)]
+    members = dict(first[1])
+    for key, change in then[1].items():
+        members[key] = composed(members[key], change) if key in members else change
+    return [MERGE, members]
+
+
+def changed(value: Any, change: list[Any]) -> Any:
+    """A value after a change that is no deletion."""
+    if change[0] == REPLACE:
+        return change[1]
+    out = dict(value) if isinstance(value, dict) else {}
+    for key, inner in change[1].items():
+        if inner[0] == DELETE:
+            out.pop(key, None)
+        else:
+            out[key] = changed(out.get(key), inner)
+    return out
+
+
 def _steps(path: str) -> list[str]:
     return [part.replace("~1", "/").replace("~0", "~") for part in path.lstrip("/").split("/")]
 

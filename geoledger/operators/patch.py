@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from geoledger.functions.patching import PatchError, json_patch, merge_patch
+from geoledger.functions.patching import PatchError, as_change, changed, composed, json_patch
 from geoledger.operators.writes import KEY
 from geoledger.session import broadcast_if_small, materialised
 
@@ -18,44 +17,142 @@ from geoledger.session import broadcast_if_small, materialised
 PRIMARY_TIMES = {True: ("datetime",), False: ("start_datetime", "end_datetime")}
 
 
-RESULT = T.StructType([T.StructField("document", T.StringType()), T.StructField("error", T.StringType())])
+_FAILED = (PatchError, KeyError, TypeError, ValueError, RecursionError)
 
 
-@F.arrow_udf(RESULT)
-def _apply(documents: pa.Array, patches: pa.Array) -> pa.Array:
-    """Patches of a document in turn; one that fails changes nothing, and the first failure is reported."""
-    out, errors = [], []
-    for text, changes in zip(documents.to_pylist(), patches.to_pylist()):
-        error, document = None, json.loads(text)
-        for change in changes:
-            function = merge_patch if change["kind"] == "merge" else json_patch
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of merge patches of an item as one change each; the rest as it is, with `seq` to keep the order.
+
+    Rows come sorted by item and order. An item whose patches lie in several tasks has a run in each.
+    """
+    number, run = 0, None  # run: [collection, id, seq, change]
+    columns = ("collection", "id", "seq", "kind", "patch", "error")
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(columns))
+
+    def ended() -> list[tuple]:
+        return [] if run is None else [(*run[:3], "change", json.dumps(run[3], separators=(",", ":")), None)]
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for part, collection, item, kind, text in zip(*[batch.column(c).to_pylist() for c in ("part", *KEY, "kind", "patch")], strict=True):
+            number += 1
+            seq = part << 40 | number
+            if run is not None and (kind != "merge" or run[:2] != [collection, item]):
+                rows += ended()
+                run = None
+            if kind != "merge":
+                rows.append((collection, item, seq, kind, text, None))
+                continue
             try:
-                document = function(document, json.loads(change["patch"]))
-            except (PatchError, KeyError, TypeError, ValueError) as err:
-                error = error or str(err)
-        out.append(json.dumps(document, separators=(",", ":"), ensure_ascii=False))
-        errors.append(error)
-    return pa.StructArray.from_arrays(
-        [pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["document", "error"]
-    )
+                change = as_change(json.loads(text))
+            except _FAILED as err:
+                # it changes nothing, so the run goes on
+                rows.append((collection, item, seq, kind, text, str(err)))
+                continue
+            if run is None:
+                run = [collection, item, seq, change]
+            else:
+                run[3] = composed(run[3], change)
+        if rows:
+            yield written(rows)
+    if run is not None:
+        yield written(ended())
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document after its patches, and a row for each patch that failed, or for a document that can't be patched.
+
+    Rows come sorted by item and `seq`, the document first; one document is held at a time.
+    """
+    key, text, document, broken, first, failed, done = None, None, None, None, None, 0, 0
+    names = (*KEY, "kind", "patch", "document", "error", "broken", "failed")
+    types = (*[pa.string()] * 6, pa.bool_(), pa.int64())
+    out: list[tuple] = []
+
+    def finish() -> None:
+        if key is not None:
+            after = json.dumps(document, separators=(",", ":"), ensure_ascii=False) if done else text
+            out.append((*key, None, None, after, first, broken is not None, failed))
+
+    def written() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+
+    for batch in batches:
+        for collection, item, kind, patch, error in zip(*[batch.column(c).to_pylist() for c in (*KEY, "kind", "patch", "error")], strict=True):
+            if kind is None:
+                finish()
+                key, text, document, broken, first, failed, done = (collection, item), patch, None, None, None, 0, 0
+                try:
+                    document = json.loads(patch)
+                except _FAILED as err:
+                    first = broken = f"the stored document is malformed: {err}"
+                    out.append((collection, item, "document", None, None, broken, True, None))
+                continue
+            if key != (collection, item) or broken is not None:
+                continue  # nothing to patch
+            if error is None:
+                try:
+                    document = changed(document, json.loads(patch)) if kind == "change" else json_patch(document, json.loads(patch))
+                    done += 1
+                except _FAILED as err:
+                    error = str(err)
+            if error is not None:
+                first, failed = first or error, failed + 1
+                out.append((collection, item, kind, patch, None, error, False, None))
+        if out:
+            yield written()
+            out = []
+    finish()
+    if out:
+        yield written()
+
+
+def _applied(items: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """A written table of (collection, id, kind, patch, document, error, broken, failed).
+
+    Rows without a kind are items after their patches: their document, the first failure, whether the stored document
+    is malformed, and the number of failures. Rows with a kind are patches that failed, with their reason.
+    """
+    place = [F.col(order).alias("place")] if order else []
+    # ranges of (item, order) split an item with many patches; written first, because finding ranges reads it once more
+    rows = materialised(patches.select(*KEY, *place, F.coalesce("kind", F.lit("json")).alias("kind"), "patch"))
+    turn = [*KEY, *(["place"] if order else []), "kind", "patch"]
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *turn).sortWithinPartitions(*turn).select(F.spark_partition_id().cast("long").alias("part"), *KEY, "kind", "patch")
+    folded = materialised(ranged.mapInArrow(_folded, "collection string, id string, seq long, kind string, patch string, error string"))
+    wanted = broadcast_if_small(folded.select(*KEY).distinct())
+    documents = items.filter(F.col("document").isNotNull()).join(wanted, list(KEY), "left_semi").select(
+        *KEY, F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("kind"), F.col("document").alias("patch"), F.lit(None).cast("string").alias("error"))
+    stream = documents.unionByName(folded).repartition(*KEY).sortWithinPartitions(*KEY, "seq")
+    return materialised(stream.mapInArrow(
+        _streamed, "collection string, id string, kind string, patch string, document string, error string, broken boolean, failed long"))
+
+
+def patch_failures(items: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """(collection, id, kind, patch, error) of every patch of a stored item that fails, and so changes nothing.
+
+    A malformed document is one row of kind `document`, without a patch: none of its patches is tried.
+    """
+    return _applied(items, patches, order).filter(F.col("kind").isNotNull()).select(*KEY, "kind", "patch", "error")
 
 
 def patched_items(
     items: DataFrame, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None, order: str | None = None,
 ) -> DataFrame:
-    """The items that have patches, with these applied: their columns, `error`, and their key before as `_was`.
+    """The items that have patches, with these applied: their columns, `error`, `failed`, `_refused`, and their key before as `_was`.
 
-    Only these rows reach Python. They are written once, because the checks of moves read them too.
+    Only documents and patches reach Python. The result is written once, because the checks of moves read it too.
     """
-    place = [F.col(order).alias("place")] if order else []
-    # the patches of one item; sorted, so that reruns agree
-    changes = patches.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*place, "kind", "patch"))).alias("_patches"))
-    changes = broadcast_if_small(materialised(changes))
-    done = items.filter(F.col("document").isNotNull()).join(changes, list(KEY)).withColumn("_r", _apply("document", F.transform(
-        "_patches", lambda p: F.struct(p["kind"].alias("kind"), p["patch"].alias("patch")))))
+    after = _applied(items, patches, order).filter(F.col("kind").isNull()).select(
+        *KEY, F.col("document").alias("after"), "error", "broken", "failed")
+    done = items.filter(F.col("document").isNotNull()).join(broadcast_if_small(after), list(KEY))
     done = materialised(done.select(
-        F.struct(*items.columns).alias("old"), F.col("_r.document").alias("after"), F.col("_r.error").alias("error"),
-        *[F.coalesce(F.get_json_object("_r.document", f"$.{k}"), F.col(k)).alias(f"_{k}") for k in KEY]))
+        F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("old"), "after", F.col("error").alias("_patch_error"), "failed",
+        F.when(F.col("broken"), F.col("error")).alias("error"),
+        *[F.coalesce(F.when(~F.col("broken"), F.get_json_object("after", f"$.{k}")), F.col(k)).alias(f"_{k}") for k in KEY]))
     error = F.col("error")
     if dated is not None:
         for name in PRIMARY_TIMES[dated]:
@@ -84,24 +181,30 @@ def patched_items(
     good = F.col("_failed").isNull()
     new = {"document": F.col("after"), **{k: F.col(f"_{k}") for k in KEY}}
     columns = [F.when(good, new[c]).otherwise(F.col(f"old.`{c}`")).alias(c) if c in new else F.col(f"old.`{c}`").alias(c) for c in items.columns]
-    return done.select(*columns, F.col("_failed").alias("error"), F.struct(*[F.col(f"old.{k}").alias(k) for k in KEY]).alias("_was"))
+    return done.select(
+        *columns, F.coalesce("_failed", "_patch_error").alias("error"), "failed", F.col("_failed").isNotNull().alias("_refused"), F.struct(*[F.col(f"old.{k}").alias(k) for k in KEY]).alias("_was"))
 
 
 def patch_items(
     items: DataFrame, patches: DataFrame, collections: DataFrame | None = None, dated: bool | None = None, order: str | None = None,
 ) -> DataFrame:
-    """Items (collection, id, document) with their patches applied; adds `error`.
+    """Items (collection, id, document) with their patches applied; adds `error` and `failed`.
 
     `patches` has (collection, id, kind, patch): kind `merge` with a partial document, or `json` with a list of
-    operations. Several patches of an item are applied in turn, by the column `order` where it is given. A failed
-    patch leaves its document unchanged and says why. Patching `id` or `collection` moves the item: its key columns
-    follow the document. A move onto the key of another item fails, and with `collections` one to an unknown
-    collection; with `dated`, so does a change of the primary time (True: datetime, False: start and end).
+    operations. Several patches of an item are applied in turn, by the column `order` where it is given. Each stands
+    for itself: one that fails changes nothing, the others hold. `failed` counts those that failed, `error` is the first
+    reason, and `patch_failures` has them all. Patching `id` or `collection` moves the item: its key columns follow the
+    document. A move onto the key of another item is refused, and with `collections` one to an unknown collection; with
+    `dated`, so is a change of the primary time (True: datetime, False: start and end). A refused item stays as it was
+    before all its patches, and so does one whose stored document is malformed.
+
+    Runs of merge patches are folded into one change before they meet the document, in as many tasks as they take; JSON
+    patches of an item run one after another past its document, of which a task holds one.
     """
-    changed = patched_items(items, patches, collections, dated, order).drop("_was")
+    done = patched_items(items, patches, collections, dated, order).drop("_was", "_refused")
     keys = patches.select(*KEY).distinct().withColumn("_patched", F.lit(True))
     untouched = items.join(keys, list(KEY), "left").filter(F.col("_patched").isNull() | F.col("document").isNull())
-    return untouched.withColumn("error", F.lit(None).cast("string")).select(*changed.columns).unionByName(changed)
+    return untouched.withColumns({"error": F.lit(None).cast("string"), "failed": F.lit(0).cast("long")}).select(*done.columns).unionByName(done)
 
 
 def unmatched_patches(items: DataFrame, patches: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -155,8 +155,8 @@ def patch_store(
     `typed` derives the typed columns of changed rows from their documents. Moved items leave their old place.
     """
     done = materialised(patched_items(read_items(spark, path), patches, collections, dated, order))
-    good = done.filter(F.col("error").isNull())
-    changed = typed(good.drop("error", "_was", *[c for c in layout(by_date) if c != "collection"]))
+    good = done.filter(~F.col("_refused"))
+    changed = typed(good.drop("error", "failed", "_refused", "_was", *[c for c in layout(by_date) if c != "collection"]))
     moved = good.filter((F.col("collection") != F.col("_was.collection")) | (F.col("id") != F.col("_was.id"))).select("_was.collection", "_was.id")
     if not good.isEmpty():
         upsert_store(changed, path, by_date)

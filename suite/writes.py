@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from geoledger.operators import patch, projection, writes
@@ -303,6 +305,35 @@ def patch_twice(spark, sf_dir):
     return done.select("id", read("cloud_cover", "int").alias("cloud_cover"), read("platform").alias("platform"))
 
 
+def several_patches(spark, sf_dir):
+    """Four patches of every third item in turn: a merge, an operation that fails where there is no platform, a malformed one, a merge."""
+    where, seq = number() % 3 == 0, iter(range(4))
+    texts = [
+        ("merge", F.lit('{"properties":{"cloud_cover":null,"new":{"a":1}}}')), ("json", F.lit('[{"op":"replace","path":"properties/platform","value":"x"}]')),
+        ("merge", F.lit('{"properties":')), ("merge", F.lit('{"properties":{"cloud_cover":{"low":1},"new":{"b":2}}}'))]
+    frames = [patches(spark, sf_dir, kind, text, where).withColumn("seq", F.lit(next(seq))) for kind, text in texts]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@case(
+    "m_patch_some_fail",
+    "SELECT id, CASE WHEN p AND platform IS NOT NULL THEN 'x' ELSE platform END AS platform, CASE WHEN NOT p THEN 0 WHEN platform IS NULL THEN 2 ELSE 1 END AS failed, "
+    "CASE WHEN p THEN 1 END AS low, CASE WHEN p THEN 3 END AS ab FROM (SELECT *, event_id % 3 = 0 AS p FROM items_v)",
+)
+def patch_some_fail(spark, sf_dir):
+    done = patch.patch_items(documents(spark, sf_dir), several_patches(spark, sf_dir), order="seq")
+    return done.select("id", read("platform").alias("platform"), F.col("failed").cast("int").alias("failed"), read("cloud_cover.low", "int").alias("low"),
+                       (read("new.a", "int") + read("new.b", "int")).alias("ab"))
+
+
+@case(
+    "m_patch_failures",
+    "SELECT id, 'merge' AS kind FROM items_v WHERE event_id % 3 = 0 UNION ALL SELECT id, 'json' FROM items_v WHERE event_id % 3 = 0 AND platform IS NULL",
+)
+def patch_failures(spark, sf_dir):
+    return patch.patch_failures(documents(spark, sf_dir), several_patches(spark, sf_dir), "seq").select("id", "kind")
+
+
 _TAKEN = "event_id % 4 = 1 AND 'e' || (event_id + 1) {0} (SELECT id FROM items_v)"
 
 
