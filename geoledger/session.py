@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +54,32 @@ def job_dir(spark: SparkSession) -> str:
     return path
 
 
+_step: ContextVar[str | None] = ContextVar("step", default=None)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when the block ends; frames over them must not leave it.
+
+    For steps that repeat as long as the driver lives, such as the flushes of a stream.
+    """
+    folder = f"{job_dir(spark)}/step-{uuid.uuid4().hex}"
+    before = _step.set(folder)
+    try:
+        yield
+    finally:
+        _step.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """Write the frame to the job's folder as a table and read it back.
+    """Write the frame to the job's folder, or that of the step, as a table and read it back.
 
     Cuts the lineage, survives lost executors, and unlike a checkpoint of rows lets later steps read single
     columns and lets the planner know the size.
     """
-    path = f"{job_dir(df.sparkSession)}/materialised-{uuid.uuid4().hex}"
+    path = f"{_step.get() or job_dir(df.sparkSession)}/materialised-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

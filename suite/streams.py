@@ -98,6 +98,36 @@ def withdrawn(spark, sf_dir):
     return stored.unionByName(waiting.select("id", "l_quantity", F.lit("waiting").alias("state")))
 
 
+@case(
+    "st_requeued",
+    "SELECT id, CASE WHEN l_orderkey % 4 = 0 AND l_orderkey % 8 <> 0 THEN NULL WHEN l_orderkey % 8 = 0 THEN l_quantity + 1000 ELSE l_quantity END AS l_quantity, "
+    "CASE WHEN l_orderkey % 4 = 0 AND l_orderkey % 8 <> 0 THEN 'withdrawn' WHEN l_extendedprice < 2000 AND l_orderkey % 8 <> 0 THEN 'dead' ELSE 'stored' END AS state "
+    "FROM last_v",
+    views=LINES,
+)
+def requeued(spark, sf_dir):
+    # every fourth order is withdrawn; every second of these is queued again later, at a price that passes; the cheap lines of the others fail
+    folder, target, dead, state, gone = (fresh_dir(spark, n) for n in ("queue", "store", "dead", "state", "gone"))
+    rows = batch(spark, sf_dir).withColumn("queued_at", F.lit("2024-03-01 10:00:00").cast("timestamp"))
+    job = ingest.IngestJob(target, dead, lambda df: [F.col("queued_at"), *[F.col(c) for c in LINE_ORDER]], lambda: NOW, withdrawn=gone, error=price_error)
+
+    def queue(some):
+        some.write.mode("append").parquet(folder)
+        job.start(ingest.pending_files(spark, folder, rows.schema, fmt="parquet"), state, available_now=True).awaitTermination()
+
+    ingest.withdraw(rows.filter(F.col("l_orderkey") % 4 == 0), gone, "2024-03-01 11:00:00")
+    queue(rows)
+    again = rows.filter(F.col("l_orderkey") % 8 == 0).withColumns({
+        "queued_at": F.lit("2024-03-01 12:00:00").cast("timestamp"), "l_quantity": F.col("l_quantity") + 1000, "l_extendedprice": F.lit(5000.0)})
+    queue(again.withColumn("l_extendedprice", F.col("l_extendedprice").cast(rows.schema["l_extendedprice"].dataType)))
+    last = dedupe_last(rows, order())
+    stored = store.read_items(spark, target).select("id", "collection", F.col("l_quantity").alias("now"), F.lit("stored").alias("s"))
+    failed = ingest.read_dead_letters(spark, dead).select("id", "collection", F.lit("dead").alias("d"))
+    found = last.join(stored, ["collection", "id"], "left").join(failed, ["collection", "id"], "left")
+    state_ = F.coalesce("s", "d", F.lit("withdrawn"))
+    return found.select("id", F.when(F.col("s").isNotNull(), F.col("now")).when(F.col("d").isNotNull(), F.col("l_quantity")).alias("l_quantity"), state_.alias("state"))
+
+
 @case("st_order", "SELECT id, l_quantity, epoch_us(datetime) / 1000000.0::DOUBLE AS score FROM last_v", views=LINES)
 def oldest_first(spark, sf_dir):
     # of the versions of a key that wait in one flush, that of the highest score and order stays

@@ -160,7 +160,8 @@ def test_stream_with_restart(spark, tmp_path):
     got = store.read_items(spark, f"{path}/store")
     assert content(got) == {("c1", "i1"): "later", ("c1", "i2"): "repaired", ("c1", "i3"): "", ("c1", "i40"): ""}
     assert got.count() == 4
-    assert [r["id"] for r in ingest.read_dead_letters(spark, f"{path}/dead").collect()] == ["i2"]
+    # the repaired item was stored, which clears its letter
+    assert ingest.read_dead_letters(spark, f"{path}/dead").count() == 0
 
 
 def test_a_batch_that_died_half_way_is_repeated(spark, tmp_path):
@@ -186,6 +187,55 @@ def test_a_batch_that_died_half_way_is_repeated(spark, tmp_path):
     assert ingest.read_dead_letters(spark, f"{path}/dead").count() == 1
 
 
+def test_withdrawn_items_can_be_queued_again(spark, tmp_path):
+    """Withdraw, queue again, drain: the item is stored. Times are those of the files."""
+    import time
+
+    path, queue = str(tmp_path), str(tmp_path / "queue")
+    frame(spark, [item(1, note="old"), item(2), item(3, x=500.0)]).write.json(queue)
+    time.sleep(1.1)
+    ingest.withdraw(spark.createDataFrame([("c1", "i1"), ("c1", "i3")], "collection string, id string"), f"{path}/gone")
+    ingest_job = job(path, withdrawn=f"{path}/gone")
+    ingest_job.start(ingest.pending_files(spark, queue, SCHEMA), f"{path}/state", available_now=True).awaitTermination()
+    assert content(store.read_items(spark, f"{path}/store")) == {("c1", "i2"): ""}
+    assert ingest.read_dead_letters(spark, f"{path}/dead").count() == 0
+    time.sleep(1.1)
+    frame(spark, [item(1, note="again"), item(2, 1, x=500.0)]).write.mode("append").json(queue)
+    ingest_job.start(ingest.pending_files(spark, queue, SCHEMA), f"{path}/state", available_now=True).awaitTermination()
+    stored = store.read_items(spark, f"{path}/store")
+    assert content(stored) == {("c1", "i1"): "again", ("c1", "i2"): ""} and ingest.FILE_TIME not in stored.columns
+    assert [r["id"] for r in ingest.read_dead_letters(spark, f"{path}/dead").collect()] == ["i2"]
+
+
+def test_marks_stand_against_earlier_versions_only(spark):
+    rows = spark.createDataFrame([("c", "a", "2024-01-01"), ("c", "a", "2024-01-03"), ("c", "b", None), ("c", "d", "2024-01-01"), ("c", "e", "2024-01-02")],
+                                 "collection string, id string, at string").withColumn("queued_at", F.col("at").cast("timestamp"))
+    marks = spark.createDataFrame([("c", "a", "2024-01-02"), ("c", "a", "2023-01-01"), ("c", "b", "2024-01-02"), ("c", "e", "2024-01-02")],
+                                  "collection string, id string, m string").withColumn("withdrawn_at", F.col("m").cast("timestamp")).drop("m")
+    left = {(r["id"], r["at"]) for r in ingest.standing(rows, marks, "withdrawn_at").collect()}
+    assert left == {("a", "2024-01-03"), ("d", "2024-01-01")}
+    # marks without a time, and rows without one, are compared by key
+    assert {r["id"] for r in ingest.standing(rows, marks.drop("withdrawn_at"), "withdrawn_at").collect()} == {"d"}
+    assert {r["id"] for r in ingest.standing(rows.drop("queued_at"), marks, "withdrawn_at").collect()} == {"d"}
+    view = ingest.pending_view(rows.filter("queued_at IS NOT NULL"), spark.createDataFrame([], "collection string, id string, updated timestamp"),
+                               marks.withColumnRenamed("withdrawn_at", "queued_at"), [F.col("queued_at")])
+    assert {(r["id"], r["at"]) for r in view.collect()} == {("a", "2024-01-03"), ("d", "2024-01-01")}
+
+
+def test_flushes_leave_no_intermediate_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from geoledger.session import job_dir
+
+    folder = Path(job_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    path, queue = str(tmp_path), str(tmp_path / "queue")
+    for note in ("a", "b"):
+        frame(spark, [item(1, note=note), item(2, x=500.0)]).write.mode("append").json(queue)
+        job(path).start(ingest.pending_files(spark, queue, SCHEMA), f"{path}/state", available_now=True).awaitTermination()
+    assert set(folder.iterdir()) == before and store.read_items(spark, f"{path}/store").count() == 1
+
+
 def test_no_dead_letters_yet(spark, tmp_path):
     assert ingest.read_dead_letters(spark, str(tmp_path / "none")).count() == 0
 
