@@ -110,10 +110,10 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written()
 
 
-def _applied(items: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
-    """A written table of (collection, id, kind, patch, document, error, broken, failed).
+def _applied(items: DataFrame, patches: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items that have patches, and (collection, id, kind, patch, document, error, broken, failed), both written.
 
-    Rows without a kind are items after their patches: their document, the first failure, whether the stored document
+    Of the latter, rows without a kind are items after their patches: their document, the first failure, whether the stored document
     is malformed, and the number of failures. Rows with a kind are patches that failed, with their reason.
     """
     place = [F.col(order).alias("place")] if order else []
@@ -124,10 +124,12 @@ def _applied(items: DataFrame, patches: DataFrame, order: str | None = None) ->
     ranged = rows.repartitionByRange(n, *turn).sortWithinPartitions(*turn).select(F.spark_partition_id().cast("long").alias("part"), *KEY, "kind", "patch")
     folded = materialised(ranged.mapInArrow(_folded, "collection string, id string, seq long, kind string, patch string, error string"))
     wanted = broadcast_if_small(folded.select(*KEY).distinct())
-    documents = items.filter(F.col("document").isNotNull()).join(wanted, list(KEY), "left_semi").select(
+    # written, so that the items are searched once
+    mine = materialised(items.filter(F.col("document").isNotNull()).join(wanted, list(KEY), "left_semi").select(*[F.col(f"`{c}`") for c in items.columns]))
+    documents = mine.select(
         *KEY, F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("kind"), F.col("document").alias("patch"), F.lit(None).cast("string").alias("error"))
     stream = documents.unionByName(folded).repartition(*KEY).sortWithinPartitions(*KEY, "seq")
-    return materialised(stream.mapInArrow(
+    return mine, materialised(stream.mapInArrow(
         _streamed, "collection string, id string, kind string, patch string, document string, error string, broken boolean, failed long"))
 
 
@@ -136,7 +138,7 @@ def patch_failures(items: DataFrame, patches: DataFrame, order: str | None = Non
 
     A malformed document is one row of kind `document`, without a patch: none of its patches is tried.
     """
-    return _applied(items, patches, order).filter(F.col("kind").isNotNull()).select(*KEY, "kind", "patch", "error")
+    return _applied(items, patches, order)[1].filter(F.col("kind").isNotNull()).select(*KEY, "kind", "patch", "error")
 
 
 def patched_items(
@@ -146,9 +148,10 @@ def patched_items(
 
     Only documents and patches reach Python. The result is written once, because the checks of moves read it too.
     """
-    after = _applied(items, patches, order).filter(F.col("kind").isNull()).select(
+    mine, applied = _applied(items, patches, order)
+    after = applied.filter(F.col("kind").isNull()).select(
         *KEY, F.col("document").alias("after"), "error", "broken", "failed")
-    done = items.filter(F.col("document").isNotNull()).join(broadcast_if_small(after), list(KEY))
+    done = mine.join(broadcast_if_small(after), list(KEY))
     done = materialised(done.select(
         F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("old"), "after", F.col("error").alias("_patch_error"), "failed",
         F.when(F.col("broken"), F.col("error")).alias("error"),
