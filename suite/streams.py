@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.operators.writes import dedupe_last
+from geoledger.session import materialised
 from geoledger.sources import sample, store
-from geoledger.streaming import ingest
+from geoledger.streaming import flushes, ingest
 from suite.registry import case
 from suite.scratch import fresh_dir
 from suite.writes import LINE_ORDER, LINES, batch, order
@@ -196,6 +199,35 @@ def trigger(spark, sf_dir):
     return stored.select("id", "collection", "l_orderkey")
 
 
+_SOME = LINES + (
+    ", some_v AS (SELECT * FROM last_v WHERE l_linenumber <= 1 + CAST(substr(collection, 2) AS INTEGER) % 4), "
+    "full_v AS (SELECT collection FROM some_v GROUP BY collection HAVING count(*) >= 250)"
+)
+
+
+@case(
+    "st_flush",
+    "SELECT id, collection, l_quantity, CASE WHEN collection IN (SELECT collection FROM full_v) THEN 'items' ELSE 'time' END AS reason FROM some_v",
+    views=_SOME,
+)
+def flush(spark, sf_dir):
+    # collections of which 250 items wait are flushed at the first look, the others at the next, when nothing is queued but their time has come
+    folder, target, dead, state, waiting = (fresh_dir(spark, n) for n in ("queue", "store", "dead", "state", "waiting"))
+    rows = batch(spark, sf_dir)
+    rows.filter(F.col("l_linenumber") <= 1 + F.substring("collection", 2, 20).cast("int") % 4).write.parquet(folder)
+    for seconds, reason in ((0, "items"), (30, "time")):
+        look = datetime(2024, 3, 1, 12, tzinfo=timezone.utc) + timedelta(seconds=seconds)
+        job = ingest.IngestJob(target, dead, lambda df: [F.col(c) for c in LINE_ORDER], lambda: NOW,
+                               error=lambda df: F.lit(None).cast("string"))
+        flushing = flushes.FlushingJob(job, waiting, items=250, seconds=30, clock=lambda look=look: look)
+        flushing.start(ingest.pending_files(spark, folder, rows.schema, fmt="parquet"), state, available_now=True).awaitTermination()
+        if reason == "items":
+            at_once = materialised(store.read_items(spark, target).select("collection").distinct())
+    full = at_once.withColumn("reason", F.lit("items"))
+    return store.read_items(spark, target).join(full, "collection", "left").select(
+        "id", "collection", "l_quantity", F.coalesce("reason", F.lit("time")).alias("reason"))
+
+
 @case("st_retry", "SELECT id, l_quantity FROM last_v WHERE l_extendedprice >= 2000", views=LINES)
 def retry(spark, sf_dir):
     # the first run dies after it wrote and before it was committed
