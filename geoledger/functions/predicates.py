@@ -3,6 +3,8 @@
 A shape is an array of parts (dim, x, y, edges): the dimension, the first point, and the edges of all rings. Sets are
 closed: touching counts. Polygon interiors follow the even-odd rule per part. A shape lies within another when no
 point of it is outside: its edges are cut where the other's cross them, and the middles of the pieces are looked up.
+
+A literal is cut into slabs on the driver, so that a row meets the edges near it only (`literal_slabs`, `nearby`).
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,39 +20,128 @@ from geoledger.functions.geometry import EPS, Part, _let
 
 EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
 SHAPE = f"array<struct<dim:int,x:double,y:double,edges:array<{EDGE}>>>"
+SLABS = (
+    "array<struct<dim:int,x:double,y:double,low:double,high:double,width:int,coarse:array<double>,breaks:array<double>,"
+    f"starts:array<array<{EDGE}>>,passing:array<array<{EDGE}>>>>"
+)
+# Edges that start in a slab, and entries of edges in later slabs for each edge, that a literal's slabs aim at.
+SLAB_EDGES = 16
+SLAB_REPEATS = 4
+# Degrees by which a row's range is widened: more than any tolerance of the relations.
+MARGIN = 1e-6
 
 
-def shape_of(geometry: Column) -> Column:
-    """Parts of a geometry column with their edges."""
+def shape_of(geometry: Column, flip: bool = False) -> Column:
+    """Parts of a geometry column with their edges; `flip` swaps the axes, which changes no relation."""
+    first_axis, second_axis = ("y", "x") if flip else ("x", "y")
 
     def edges(ring: Column) -> Column:
         def edge(q: Column, i: Column) -> Column:
             p = F.get(ring, i)
-            return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+            return F.struct(
+                p[first_axis].alias("ax"), p[second_axis].alias("ay"), q[first_axis].alias("bx"), q[second_axis].alias("by"))
 
         return F.transform(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), edge)
 
     def part(p: Column) -> Column:
         first = F.get(F.get(p["rings"], 0), 0)
         found = F.when(p["dim"] > 0, F.flatten(F.transform(p["rings"], edges))).otherwise(F.array().cast(f"array<{EDGE}>"))
-        return F.struct(p["dim"].alias("dim"), first["x"].alias("x"), first["y"].alias("y"), found.alias("edges"))
+        return F.struct(p["dim"].alias("dim"), first[first_axis].alias("x"), first[second_axis].alias("y"), found.alias("edges"))
 
     return F.transform(geometry["parts"], part)
 
 
+def _literal_edges(dim: int, rings: Sequence[np.ndarray]) -> np.ndarray:
+    """(ax, ay, bx, by) of all edges of a part."""
+    none = np.empty((0, 4))
+    return np.concatenate([none, *[np.hstack([r[:-1], r[1:]]) for r in (rings if dim else [])]])
+
+
+def _edge_rows(edges: np.ndarray) -> list[dict[str, float]]:
+    return [dict(zip(("ax", "ay", "bx", "by"), e)) for e in edges.tolist()]
+
+
 def literal_shape(parts: Sequence[Part]) -> Column:
     """A literal geometry as a constant shape."""
     rows = []
     for dim, rings in parts:
-        edges = [
-            {"ax": a[0], "ay": a[1], "bx": b[0], "by": b[1]}
-            for ring in (rings if dim else []) for a, b in zip(ring.tolist(), ring.tolist()[1:])
-        ]
         x, y = rings[0][0].tolist()
-        rows.append({"dim": dim, "x": x, "y": y, "edges": edges})
+        rows.append({"dim": dim, "x": x, "y": y, "edges": _edge_rows(_literal_edges(dim, rings))})
     return F.from_json(F.lit(json.dumps(rows)), SHAPE)
 
 
+def _slab_breaks(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Ends of slabs in which about as many edges start. Where edges run through many slabs the slabs get fewer."""
+    step = SLAB_EDGES
+    while True:
+        breaks = np.unique(np.sort(low)[step::step])
+        runs = np.searchsorted(breaks, high, "right") - np.searchsorted(breaks, low, "right")
+        if runs.sum() <= SLAB_REPEATS * len(low):
+            return breaks
+        step *= 2
+
+
+def _slab_part(dim: int, rings: Sequence[np.ndarray]) -> dict:
+    edges = _literal_edges(dim, rings)
+    ends = edges[:, [1, 3]]
+    low, high = ends.min(axis=1), ends.max(axis=1)
+    breaks = _slab_breaks(low, high)
+    first, last = (np.searchsorted(breaks, v, "right") for v in (low, high))
+    starts = [_edge_rows(edges[first == k]) for k in range(len(breaks) + 1)]
+    passing = [_edge_rows(edges[(first < k) & (last >= k)]) for k in range(len(breaks) + 1)]
+    width = max(1, int(np.ceil(np.sqrt(len(breaks)))))
+    x, y = rings[0][0].tolist()
+    levels = np.concatenate([r[:, 1] for r in rings])
+    return {
+        "dim": dim, "x": x, "y": y, "low": float(levels.min()), "high": float(levels.max()), "width": width,
+        "coarse": breaks[width - 1::width].tolist(), "breaks": breaks.tolist(), "starts": starts, "passing": passing,
+    }
+
+
+def literal_slabs(parts: Sequence[Part]) -> tuple[Column, bool] | None:
+    """A literal geometry as a constant index of its edges, and whether its axes are swapped; None where no part has two slabs.
+
+    Each part is cut into slabs of latitude. An edge is listed where it starts, and again in later slabs that it runs
+    through. The axes are swapped where slabs of longitude come out finer, as for a comb of meridians. A star whose edges
+    all run through both ranges keeps few slabs and is compared nearly edge by edge.
+    """
+    choices = []
+    for flip in (False, True):
+        turned = [(dim, [r[:, ::-1] for r in rings] if flip else rings) for dim, rings in parts]
+        choices.append([_slab_part(dim, rings) for dim, rings in turned])
+
+    def met(part_rows: list[dict]) -> float:
+        """Edges listed in a slab, over all slabs and parts: those that a low row compares itself with."""
+        return sum(sum(map(len, p["starts"])) + sum(map(len, p["passing"])) for p in part_rows) / sum(len(p["starts"]) for p in part_rows)
+
+    flip = met(choices[1]) < met(choices[0])
+    if not any(p["breaks"] for p in choices[flip]):
+        return None
+    return F.from_json(F.lit(json.dumps(choices[flip])), SLABS), flip
+
+
+def nearby(slabs: Column, low: Column, high: Column) -> Column:
+    """The shape of a literal as far as it matters to a row that lies between `low` and `high`.
+
+    Every edge with a point in that range is there once: those running through the first slab, and those that start in
+    one of them. A ray to the right meets no others, so points of the row find the same parity as on the whole literal.
+    """
+
+    def slab(p: Column, at: Column) -> Column:
+        def passed(ends: Column) -> Column:
+            return F.size(F.filter(ends, lambda end: end <= at))
+
+        return _let(passed(p["coarse"]) * p["width"], lambda done: done + passed(F.slice(p["breaks"], done + 1, p["width"])))
+
+    def part(p: Column) -> Column:
+        def edges(i: Column) -> Column:
+            return F.concat(F.get(p["passing"], i), F.flatten(F.slice(p["starts"], i + 1, slab(p, high + MARGIN) - i + 1)))
+
+        return F.struct(p["dim"].alias("dim"), p["x"].alias("x"), p["y"].alias("y"), _let(slab(p, low - MARGIN), edges).alias("edges"))
+
+    return F.transform(F.filter(slabs, lambda p: (p["low"] <= high + MARGIN) & (p["high"] >= low - MARGIN)), part)
+
+
 def _divided(a: Column, b: Column) -> Column:
     """a / b, or a where b is 0; callers rule that case out."""
     return a / F.when(b == 0, F.lit(1.0)).otherwise(b)

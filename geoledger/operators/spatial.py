@@ -1,4 +1,4 @@
-"""Spatial conditions. Bounds decide where they can; only the rest is compared edge by edge."""
+"""Spatial conditions. Bounds decide where they can; the rest is compared with the literal's edges near the row."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geoledger.functions.geometry import (
-    box_geometry, is_box, literal_bounds, literal_is_box, literal_parts,
+    _let, box_geometry, is_box, literal_bounds, literal_is_box, literal_parts,
 )
-from geoledger.functions.predicates import covers, intersects, literal_shape, shape_of
+from geoledger.functions.predicates import covers, intersects, literal_shape, literal_slabs, nearby, shape_of
 from geoledger.operators.fields import Fields, holds
 
 BOUNDS = ("minx", "miny", "maxx", "maxy")
@@ -73,8 +73,15 @@ def spatial(fields: Fields, relation: str, geometry: dict[str, Any], name: str =
         matched = possible
     else:
         geom = shape.column if shape is not None else box_geometry(minx, miny, maxx, maxy)
-        row, given = shape_of(geom), literal_shape(parts)
-        related = {"within": lambda: covers(given, row), "contains": lambda: covers(row, given)}.get(relation, lambda: intersects(row, given))()
+        compare = {"within": lambda row, given: covers(given, row), "contains": covers}.get(relation, intersects)
+        # bounds leave to "contains" only rows that reach around the whole literal
+        index = None if relation == "contains" else literal_slabs(parts)
+        if index is None:
+            related = compare(shape_of(geom), literal_shape(parts))
+        else:
+            slabs, flip = index
+            near = nearby(slabs, *((minx, maxx) if flip else (miny, maxy)))
+            related = _let(shape_of(geom, flip), lambda row: _let(near, lambda given: compare(row, given)))
 
         def exact(wanted: Column) -> Column:
             return F.when(holds(wanted) & geom.isNotNull(), related).otherwise(False)

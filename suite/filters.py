@@ -118,6 +118,19 @@ item_case("f_intersects_line", lambda f: spatial.by_intersects(f, LINE), SQL_MEE
 item_case("g_intersects", lambda f: spatial.spatial(f, "intersects", POINTS), SQL_MEETS_POINTS, geometry=True)
 item_case("g_contains", lambda f: spatial.spatial(f, "contains", TRIANGLE), SQL_HAS_TRIANGLE, geometry=True)
 item_case("g_within", lambda f: spatial.spatial(f, "within", ELL), SQL_IN_ELL)
+
+
+def fine(ring: list[list[float]], pieces: int) -> list[list[float]]:
+    """The same ring with every side cut into pieces; sides run along the axes, so nothing moves."""
+    return [
+        [a[0] + (b[0] - a[0]) * k / pieces, a[1] + (b[1] - a[1]) * k / pieces] for a, b in zip(ring, ring[1:]) for k in range(pieces)
+    ] + [ring[-1]]
+
+
+# The same L with 4,998 vertices, as many as validation lets pass.
+FINE_ELL = {"type": "Polygon", "coordinates": [fine(ELL["coordinates"][0], 833)]}
+item_case("f_intersects_fine", lambda f: spatial.by_intersects(f, FINE_ELL), SQL_MEETS_ELL, geometry=True)
+item_case("g_within_fine", lambda f: spatial.spatial(f, "within", FINE_ELL), SQL_IN_ELL)
 item_case("g_disjoint", lambda f: spatial.spatial(f, "disjoint", ELL), f"NOT {SQL_MEETS_ELL}")
 
 # ---------------------------------------------------------------- property queries

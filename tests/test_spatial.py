@@ -206,3 +206,97 @@ def test_a_box_across_the_antimeridian(spark):
     df = spark.createDataFrame([(n, x, 0.0, x + 1, 1.0) for n, x in rows], "id string, minx double, miny double, maxx double, maxy double")
     assert found(df, by_bbox(Fields.of(df), [170, -10, -170, 10])) == {"west", "east"}
     assert found(df, by_bbox(Fields.of(df), [-170, -10, 170, 10])) == {"zero"}
+
+
+def ragged(rng, n, turn=False):
+    """Literals of many edges: a coast, a comb of long teeth, islands with a lagoon, and a long line."""
+    angles = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    radius = 20 + 4 * np.sin(7 * angles) + np.array([rng.uniform(0, 1) for _ in angles])
+    coast = np.stack([radius * np.cos(angles), radius * np.sin(angles)], axis=1).tolist()
+    teeth = [[-20 + 40 * i / n, 18.0 if i % 2 else -18.0 + 30 * (i % 4 == 0)] for i in range(n)]
+    comb = [[-20.0, -19.0], *teeth, [20.0, -19.0]]
+    islands = []
+    for k in range(9):
+        cx, cy = -16 + 16 * (k % 3), -16 + 16 * (k // 3)
+        outer = np.stack([cx + 6 * np.cos(angles[::9]), cy + 6 * np.sin(angles[::9])], axis=1).tolist()
+        lagoon = np.stack([cx + 2 * np.cos(angles[::9]), cy + 2 * np.sin(angles[::9])], axis=1).tolist()
+        islands.append([outer + outer[:1], lagoon + lagoon[:1]])
+    shapes = {
+        "coast": {"type": "Polygon", "coordinates": [coast + coast[:1]]}, "comb": {"type": "Polygon", "coordinates": [comb + comb[:1]]},
+        "islands": {"type": "MultiPolygon", "coordinates": islands}, "line": {"type": "LineString", "coordinates": coast},
+        "points": {"type": "MultiPoint", "coordinates": coast},
+    }
+    if turn:
+        return {name: json.loads(json.dumps(s), parse_float=float) | {"coordinates": _turned(s["coordinates"])} for name, s in shapes.items()}
+    return shapes
+
+
+def _turned(coordinates):
+    return coordinates[::-1] if isinstance(coordinates[0], float) else [_turned(c) for c in coordinates]
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_slabs_agree_with_the_whole_literal(spark, turn):
+    rng = random.Random(11)
+    rows = []
+    for n in range(250):
+        cx, cy = rng.uniform(-26, 26), rng.uniform(-26, 26)
+        size = rng.choice([.05, .5, 3, 15])
+        rows.append((n, json.dumps(rng.choice([
+            {"type": "Polygon", "coordinates": [star(rng, cx, cy, size)]}, box(cx, cy, cx + size, cy + size),
+            {"type": "LineString", "coordinates": [[cx, cy], [cx + size, cy + rng.uniform(-size, size)]]}, {"type": "Point", "coordinates": [cx, cy]}]))))
+    df = spark.createDataFrame(rows, "n int, text string").withColumn("geometry", g.geometry_from_json(F.col("text")))
+    df = materialised(df.withColumns(g.bounds_of(F.col("geometry"))).repartition(8))
+    # corners of the literal itself touch it
+    for name, literal in ragged(rng, 120, turn).items():
+        parts = g.literal_parts(literal)
+        whole = predicates.literal_shape(parts)
+        if name == "points":
+            assert predicates.literal_slabs(parts) is None
+            continue
+        slabs, flip = predicates.literal_slabs(parts)
+        if name == "comb":
+            assert flip == (not turn)
+        low, high = ("minx", "maxx") if flip else ("miny", "maxy")
+        near = predicates.nearby(slabs, F.col(low), F.col(high))
+        plain, turned = predicates.shape_of(F.col("geometry")), predicates.shape_of(F.col("geometry"), flip)
+        got = df.select(
+            predicates.intersects(plain, whole).alias("a"), g._let(near, lambda s: predicates.intersects(turned, s)).alias("b"),
+            predicates.covers(whole, plain).alias("c"), g._let(near, lambda s: predicates.covers(s, turned)).alias("d")).collect()
+        assert all(r.a == r.b and r.c == r.d for r in got), name
+        assert any(r.a for r in got) and not all(r.a for r in got)
+        assert name == "line" or any(r.c for r in got)
+
+
+def test_slabs_hold_every_edge_of_a_range_once(spark):
+    rng = random.Random(5)
+    for turn in (False, True):
+        for literal in ragged(rng, 400, turn).values():
+            parts = g.literal_parts(literal)
+            index = predicates.literal_slabs(parts)
+            if index is None:
+                assert literal["type"] == "MultiPoint"
+                continue
+            slabs, flip = index
+            ranges = [(a, a + rng.choice([0, .01, 1, 50])) for a in (rng.uniform(-30, 30) for _ in range(40))]
+            found = spark.createDataFrame(ranges, "low double, high double").select(
+                "low", "high", F.flatten(F.transform(predicates.nearby(slabs, F.col("low"), F.col("high")), lambda p: p["edges"])).alias("edges")).collect()
+            every = np.concatenate([predicates._literal_edges(dim, rings) for dim, rings in parts])
+            every = every[:, [1, 0, 3, 2]] if flip else every
+            for r in found:
+                got = [tuple(e) for e in r.edges]
+                needed = {tuple(e) for e in every.tolist() if min(e[1], e[3]) <= r.high and max(e[1], e[3]) >= r.low}
+                assert len(got) == len(set(got)) and needed <= set(got)
+
+
+def test_a_low_row_meets_few_edges():
+    """5,000 vertices: a slab lists some tens of them, and all slabs together a few entries for each."""
+    rng = random.Random(7)
+    for name, literal in ragged(rng, 5000).items():
+        if name in ("islands", "points"):
+            continue
+        dim, rings = g.literal_parts(literal)[0]
+        kept = min((predicates._slab_part(dim, [r[:, ::step] for r in rings]) for step in (1, -1)),
+                   key=lambda p: sum(map(len, p["passing"])) / len(p["starts"]))
+        listed = sorted(len(a) + len(b) for a, b in zip(kept["starts"], kept["passing"]))
+        assert listed[len(listed) // 2] < 150 and sum(listed) <= 5 * 5001, name
