@@ -96,3 +96,26 @@ def geotile_cell_box(column: Column, row: Column, zoom: int) -> tuple[Column, Co
     south = F.when(row + 1 >= side, F.lit(-90.0)).otherwise(latitude(row + 1))
     north = F.when(row <= 0, F.lit(90.0)).otherwise(latitude(row))
     return column * width - F.lit(180.0), south, (column + 1) * width - F.lit(180.0), north
+
+
+def hilbert_key(lon: Column, lat: Column, bits: int = 16) -> Column:
+    """Place of a position along a Hilbert curve over the globe of 2^bits by 2^bits cells: neighbours on it are neighbours on the map.
+
+    Every step goes into one of four quarters and turns or mirrors the rest of the position, as the curve does there.
+    """
+    start = F.struct(
+        _cell((lon + 180.0) / 360.0, 1 << bits).alias("x"), _cell((lat + 90.0) / 180.0, 1 << bits).alias("y"), F.lit(0).cast("long").alias("key"))
+
+    def step(at: Column, bit: Column) -> Column:
+        side = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        east, north = at["x"] >= side, at["y"] >= side
+        quarter = F.when(east & north, 2).when(east, 3).when(north, 1).otherwise(0)
+        # the position within its quarter
+        x, y = at["x"] - F.when(east, side).otherwise(0), at["y"] - F.when(north, side).otherwise(0)
+        last = side - 1
+        return F.struct(
+            F.when(north, x).when(east, last - y).otherwise(y).alias("x"), F.when(north, y).when(east, last - x).otherwise(x).alias("y"),
+            (at["key"] * 4 + quarter).cast("long").alias("key"))
+
+    key = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda at: at["key"])
+    return F.when(lon.isNotNull() & lat.isNotNull(), key)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoledger.functions.grids import hilbert_key
 from geoledger.operators.patch import patched_items
 from geoledger.operators.projection import assets_to_array
 from geoledger.operators.writes import KEY, delete_keys, holding, rename_collection, upsert, with_partitions
@@ -20,6 +21,8 @@ from geoledger.session import broadcast_if_small, materialised
 SIMPLE = ("collection",)
 DATED = ("collection", "has_datetime", "item_date")
 ROWS_PER_FILE = 5_000_000
+# The key of the curve while rows are sorted, and the empty file that marks a table sorted by it; readers skip its name.
+PLACE = "_place"
 # Types of the partition columns; left to inference, an id such as 007 would become a number.
 PARTITION_TYPES = {"collection": "string", "has_datetime": "boolean", "item_date": "date"}
 
@@ -28,27 +31,49 @@ def layout(by_date: bool) -> tuple[str, ...]:
     return DATED if by_date else SIMPLE
 
 
-def arranged(df: DataFrame, by_date: bool, use_datetime: bool = True) -> DataFrame:
-    """Rows brought together by partition and sorted newest first.
+def arranged(df: DataFrame, by_date: bool, use_datetime: bool = True, by_place: bool = False) -> DataFrame:
+    """Rows brought together by partition and sorted newest first, or along a curve over the map.
 
     The rebalance is by size: the adaptive planner splits the tasks of a partition that holds a large share of
     all rows and merges small ones, so no single task writes a hot collection.
     """
     if by_date:
         df = with_partitions(df, use_datetime)
-    return _sorted(df, layout(by_date))
+    return _sorted(df, layout(by_date), by_place)
 
 
-def _sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _sorted(df: DataFrame, keys: Sequence[str], by_place: bool) -> DataFrame:
     order = [F.col(c).desc_nulls_last() for c in ("datetime", "start_datetime", "id") if c in df.columns]
-    return df.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    spread = df.hint("rebalance", *[F.col(k) for k in keys])
+    if not by_place:
+        return spread.sortWithinPartitions(*keys, *order)
+    centre = [(F.col(f"min{axis}") + F.col(f"max{axis}")) / 2 for axis in "xy"]
+    return spread.withColumn(PLACE, hilbert_key(*centre)).sortWithinPartitions(*keys, PLACE, *order).drop(PLACE)
 
 
 def write_items(
-    df: DataFrame, path: str, by_date: bool = False, use_datetime: bool = True, mode: str = "errorifexists"
+    df: DataFrame, path: str, by_date: bool = False, use_datetime: bool = True, mode: str = "errorifexists", by_place: bool = False
 ) -> None:
-    """Write a table of items."""
-    _write(arranged(df, by_date, use_datetime), path, layout(by_date), mode)
+    """Write a table of items.
+
+    With `by_place` each partition lies along a Hilbert curve of the centres, rows without bounds first: row groups and
+    pages then hold a small part of the map, and spatial filters skip the others. The table remembers it, and later
+    writes keep it.
+    """
+    by_place = by_place or lies_by_place(df.sparkSession, path)
+    _write(arranged(df, by_date, use_datetime, by_place), path, layout(by_date), mode)
+    if by_place:
+        _remember_place(df.sparkSession, path)
+
+
+def lies_by_place(spark: SparkSession, path: str) -> bool:
+    """The table's partitions lie along the curve."""
+    return exists(spark, f"{path}/{PLACE}")
+
+
+def _remember_place(spark: SparkSession, path: str) -> None:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PLACE}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
 
 
 def _write(df: DataFrame, path: str, keys: Sequence[str], mode: str) -> None:
@@ -98,7 +123,7 @@ def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFra
     same = [touched[k].eqNullSafe(kept[k]) for k in keys]
     emptied = materialised(touched.join(kept, same, "left_anti"))
     # partition columns are already there
-    _write(_sorted(merged, keys), path, keys, "overwrite")
+    _write(_sorted(merged, keys, lies_by_place(spark, path)), path, keys, "overwrite")
     _drop_partitions(spark, path, emptied, keys)
 
 
@@ -188,4 +213,7 @@ def drop_collection_from_store(spark: SparkSession, path: str, collection: str,
 def rewrite_assets(spark: SparkSession, path: str, target: str, by_date: bool = False) -> None:
     """Copy a whole table to a new place with the assets object turned into an array."""
     rows = assets_to_array(read_items(spark, path))
-    _write(_sorted(rows, layout(by_date)), target, layout(by_date), "errorifexists")
+    by_place = lies_by_place(spark, path)
+    _write(_sorted(rows, layout(by_date), by_place), target, layout(by_date), "errorifexists")
+    if by_place:
+        _remember_place(spark, target)

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from geoledger.operators import patch, projection, writes
+from geoledger.operators.fields import Fields
+from geoledger.operators.spatial import by_bbox
 from geoledger.sources import sample, store
+from suite.filters import BOX, SQL_BOX
 from suite.pages import nested_items
 from suite.registry import COLLECTIONS, case
 from suite.scratch import fresh_dir
@@ -168,6 +171,15 @@ def sink_items_dated(spark, sf_dir):
     return store.read_items(spark, path).select("id", "collection", "has_datetime", "item_date")
 
 
+@case("sink_items_by_place", f"SELECT id, collection, title FROM items_v WHERE {SQL_BOX}")
+def sink_items_by_place(spark, sf_dir):
+    # along a curve over the map, so that the box reads few pages
+    path = fresh_dir(spark, "store")
+    store.write_items(sample.items(spark, sf_dir), path, by_place=True)
+    items = store.read_items(spark, path)
+    return items.filter(by_bbox(Fields.of(items), BOX)).select("id", "collection", "title")
+
+
 @case(
     "sink_upsert",
     "SELECT id, collection, CASE WHEN event_id % 4 = 1 THEN 'changed' ELSE title END AS title FROM items_v WHERE event_id % 2 = 1 OR event_id % 3 = 0",
