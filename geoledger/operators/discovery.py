@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoledger.operators.fields import Fields
-from geoledger.session import broadcast_if_small
+from geoledger.sources.store import exists
 
 ENUM_LIMIT = 100
 QUERYABLE_SCHEMA = "name string, title string, type string, format string"
@@ -112,6 +112,23 @@ def base_entries() -> Column:
     ])
 
 
+def root_queryables(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(name, description, definition) of the fields shown when no collection is named: those of a file, or the base fields.
+
+    The file is a JSON schema whose `properties` are the fields; `definition` is a field's part of it as JSON, null for base
+    fields. A file without properties shows no fields, one that is no JSON object is an error. Without a file at the
+    path the base fields are shown.
+    """
+    if path is None or not exists(spark, path):
+        base = spark.range(1).select(F.explode(base_entries()).alias("b"))
+        return base.select("b.*", F.lit(None).cast("string").alias("definition"))
+    found = F.from_json("value", "properties map<string, string>")
+    checked = F.when(F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull(), found["properties"]).otherwise(
+        F.raise_error(F.lit(f"not a JSON object: {path}")))
+    fields = spark.read.text(path, wholetext=True).select(F.explode(checked).alias("name", "definition"))
+    return fields.select("name", F.get_json_object("definition", "$.description").alias("description"), "definition")
+
+
 def union_queryables(per_collection: DataFrame) -> DataFrame:
     """One row per field over all collections; the definition of the first collection wins."""
     first = Window.partitionBy("name").orderBy("collection")
@@ -133,12 +150,15 @@ def enum_values(items: DataFrame, names: Sequence[str] = ENUM_FIELDS, limit: int
         .filter(F.col("value").isNotNull())
         .distinct()
     )
-    small = values.groupBy("collection", "name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit)
-    return values.join(broadcast_if_small(small.drop("n")), ["collection", "name"], "left_semi")
+    # tasks keep one value beyond the limit of each field before they are brought together, so every list is bounded
+    place = F.row_number().over(Window.partitionBy("collection", "name").orderBy("value"))
+    some = values.withColumn("_place", place).filter(F.col("_place") <= limit + 1)
+    lists = some.groupBy("collection", "name").agg(F.collect_list("value").alias("values")).filter(F.size("values") <= limit)
+    return lists.select("collection", "name", F.explode("values").alias("value"))
 
 
 def with_enum(per_collection: DataFrame, values: DataFrame) -> DataFrame:
     """Queryables with their `enum` lists; each list has at most the limit's values."""
     lists = values.groupBy("collection", "name").agg(F.sort_array(F.collect_list("value")).alias("enum"))
-    return per_collection.join(broadcast_if_small(lists), ["collection", "name"], "left")
+    return per_collection.join(lists, ["collection", "name"], "left")
 

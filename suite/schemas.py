@@ -227,6 +227,20 @@ _BASE = (
 )
 
 
+@case(
+    "sd_defaults_file",
+    "SELECT 'p' || n_nationkey AS name, n_name AS description, n_regionkey AS region FROM nation",
+)
+def defaults_file(spark, sf_dir):
+    # a file of queryables with a field for each nation
+    entry = F.to_json(F.struct(F.col("n_name").alias("description"), F.col("n_regionkey").alias("region")))
+    members = sample.table(spark, sf_dir, "nation").select(F.concat(F.lit('"p'), F.col("n_nationkey").cast("string"), F.lit('": '), entry).alias("m"))
+    path = fresh_dir(spark, "queryables")
+    members.agg(F.concat(F.lit('{"properties": {'), F.concat_ws(", ", F.collect_list("m")), F.lit("}}")).alias("value")).write.text(path)
+    fields = discovery.root_queryables(spark, path)
+    return fields.select("name", "description", F.get_json_object("definition", "$.region").cast("int").alias("region"))
+
+
 @case(
     "sd_defaults",
     f"SELECT c.collection, b.name, b.description FROM (SELECT DISTINCT collection FROM items_v) c, (VALUES {_BASE}) AS b(name, description)",

@@ -201,7 +201,7 @@ def trigger(spark, sf_dir):
 
 _SOME = LINES + (
     ", some_v AS (SELECT * FROM last_v WHERE l_linenumber <= 1 + CAST(substr(collection, 2) AS INTEGER) % 4), "
-    "full_v AS (SELECT collection FROM some_v GROUP BY collection HAVING count(*) >= 250)"
+    "full_v AS (SELECT collection FROM some_v GROUP BY collection HAVING count(*) >= 150)"
 )
 
 
@@ -211,7 +211,7 @@ _SOME = LINES + (
     views=_SOME,
 )
 def flush(spark, sf_dir):
-    # collections of which 250 items wait are flushed at the first look, the others at the next, when nothing is queued but their time has come
+    # collections of which 150 items wait are flushed at the first look, the others at the next, when nothing is queued but their time has come
     folder, target, dead, state, waiting = (fresh_dir(spark, n) for n in ("queue", "store", "dead", "state", "waiting"))
     rows = batch(spark, sf_dir)
     rows.filter(F.col("l_linenumber") <= 1 + F.substring("collection", 2, 20).cast("int") % 4).write.parquet(folder)
@@ -219,7 +219,7 @@ def flush(spark, sf_dir):
         look = datetime(2024, 3, 1, 12, tzinfo=timezone.utc) + timedelta(seconds=seconds)
         job = ingest.IngestJob(target, dead, lambda df: [F.col(c) for c in LINE_ORDER], lambda: NOW,
                                error=lambda df: F.lit(None).cast("string"))
-        flushing = flushes.FlushingJob(job, waiting, items=250, seconds=30, clock=lambda look=look: look)
+        flushing = flushes.FlushingJob(job, waiting, items=150, seconds=30, clock=lambda look=look: look)
         flushing.start(ingest.pending_files(spark, folder, rows.schema, fmt="parquet"), state, available_now=True).awaitTermination()
         if reason == "items":
             at_once = materialised(store.read_items(spark, target).select("collection").distinct())

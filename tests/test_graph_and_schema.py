@@ -205,3 +205,24 @@ def test_queryables_of_nested_items(spark):
     listed = discovery.with_enum(discovery.queryables(df), discovery.enum_values(df)).filter("name = 'platform'").collect()
     assert [r["enum"] for r in listed] == [["s"], ["s"]]
     assert discovery.enum_values(df, limit=0).count() == 0
+
+
+def test_queryables_of_a_file(spark, tmp_path):
+    base = {(r["name"], r["description"]) for r in discovery.root_queryables(spark, str(tmp_path / "none")).collect()}
+    assert base == set(discovery.BASE_QUERYABLES.items())
+    path = tmp_path / "queryables.json"
+    path.write_text(json.dumps({"title": "t", "properties": {"id": {"description": "ID", "type": "string"}, "size": {"minimum": 0}}}, indent=1))
+    rows = {r["name"]: r for r in discovery.root_queryables(spark, str(path)).collect()}
+    assert set(rows) == {"id", "size"} and rows["id"]["description"] == "ID" and rows["size"]["description"] is None
+    assert json.loads(rows["size"]["definition"]) == {"minimum": 0}
+    path.write_text("{}")
+    assert discovery.root_queryables(spark, str(path)).count() == 0
+    path.write_text("[1]")
+    with pytest.raises(Exception, match="not a JSON object"):
+        discovery.root_queryables(spark, str(path)).collect()
+
+
+def test_lists_of_values_end_at_the_limit(spark):
+    rows = spark.createDataFrame([("a", f"p{n % 5}") for n in range(50)] + [("b", f"p{n}") for n in range(6)] + [("c", None)], "collection string, platform string")
+    got = sorted((r["collection"], r["value"]) for r in discovery.enum_values(rows, limit=5).collect())
+    assert got == [("a", f"p{n}") for n in range(5)]

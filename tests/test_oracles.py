@@ -9,6 +9,9 @@ SF_DIR = "/root/testdata/sf0.001"
 # Questions whose answer happens to be empty on the smallest tables.
 MAY_BE_EMPTY = {"get_item", "g_contains", "cql_s_contains", "f_free_text_documents"}
 
+# Too many cells to spell out in SQL; compared with brute force in test_fine_grid.
+WITHOUT_SQL = {"agg_geometry_geohash_grid_9", "agg_geometry_geotile_grid_22"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -21,8 +24,8 @@ def test_query_matches_sql(spark, duck, name):
     assert problem is None or (problem == "both empty" and name in MAY_BE_EMPTY), problem
 
 
-def test_every_query_has_an_oracle():
-    assert set(suite.QUERIES) == set(suite.ORACLES)
+def test_every_other_query_has_an_oracle():
+    assert set(suite.ORACLES) == set(suite.QUERIES) - WITHOUT_SQL
 
 
 def test_entry(spark):
