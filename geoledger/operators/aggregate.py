@@ -459,6 +459,11 @@ def unique_values(df: DataFrame, names: Sequence[str], limit: int = 100) -> Data
         .filter(F.col("value").isNotNull())
         .distinct()
     )
+    return few_values(values, limit)
+
+
+def few_values(values: DataFrame, limit: int = 100) -> DataFrame:
+    """Of distinct (field, value) rows those of fields with at most `limit` values."""
     small = values.groupBy("field").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit).select("field")
     # one row per asked-for field: bounded by the request
     return values.join(F.broadcast(small), "field", "left_semi")

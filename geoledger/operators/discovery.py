@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoledger.operators.fields import Fields
-from geoledger.sources.store import exists
+from geoledger.session import exists
 
 ENUM_LIMIT = 100
 QUERYABLE_SCHEMA = "name string, title string, type string, format string"
@@ -105,6 +105,17 @@ def queryables(items: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return rows.filter("q.seen").select("collection", "q.name", "q.title", "q.type", "q.format")
 
 
+def described_paths(seen: DataFrame, schema: T.StructType, exclude: Sequence[str] = ()) -> DataFrame:
+    """`queryables` of (collection, path) rows that tell which fields of the schema have a value."""
+    entries = []
+    for path, dtype in searchable(schema):
+        if not is_excluded(path, exclude):
+            name = ".".join(located(path)[1])
+            entries.append((path, name, title_of(name), *json_type(dtype)))
+    shown = seen.sparkSession.createDataFrame(entries, f"path string, {QUERYABLE_SCHEMA}")
+    return seen.distinct().join(shown, "path").select("collection", "name", "title", "type", "format")
+
+
 def base_entries() -> Column:
     """The base fields, shown when no collection is named, as an array of (name, description)."""
     return F.array(*[
@@ -150,6 +161,11 @@ def enum_values(items: DataFrame, names: Sequence[str] = ENUM_FIELDS, limit: int
         .filter(F.col("value").isNotNull())
         .distinct()
     )
+    return listed_values(values, limit)
+
+
+def listed_values(values: DataFrame, limit: int = ENUM_LIMIT) -> DataFrame:
+    """Of distinct (collection, name, value) rows those of fields with at most `limit` values in the collection."""
     # tasks keep one value beyond the limit of each field before they are brought together, so every list is bounded
     place = F.row_number().over(Window.partitionBy("collection", "name").orderBy("value"))
     some = values.withColumn("_place", place).filter(F.col("_place") <= limit + 1)

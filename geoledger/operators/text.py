@@ -7,7 +7,7 @@ allowed number of typos follows the length of the query word; swapping two neigh
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,10 +64,25 @@ def near(value: Column, word: str, typos: int) -> Column:
     return close & reduce(lambda a, b: a | b, tests)
 
 
+def query_words_of(q: str | Sequence[str]) -> list[str]:
+    """Words that analysed fields are searched for."""
+    return _driver_words(" ".join(parse_terms(q)))
+
+
+def near_any(token: Column, query_words: Sequence[str]) -> Column:
+    """The word is some query word, up to the typos that one allows."""
+    return reduce(lambda a, b: a | b, (near(token, w, allowed_typos(w)) for w in query_words))
+
+
 def by_free_text(
-    fields: Fields, q: str | Sequence[str], names: Sequence[str] = ITEM_TEXT_FIELDS, fuzzy: bool = True
+    fields: Fields, q: str | Sequence[str], names: Sequence[str] = ITEM_TEXT_FIELDS, fuzzy: bool = True,
+    known: Mapping[str, Sequence[str]] | None = None,
 ) -> Column:
-    """Some field contains some query word. Boosts (`^n`) do not change which rows match and are dropped."""
+    """Some field contains some query word. Boosts (`^n`) do not change which rows match and are dropped.
+
+    `known` names, for some analysed fields, the words of the data that are near a query word; rows are then compared
+    with these and no distance is computed.
+    """
     query = " ".join(parse_terms(q))
     query_words = _driver_words(query)
     condition = F.lit(False)
@@ -77,15 +92,13 @@ def by_free_text(
         if field is None:
             continue
         if path.rsplit(".", 1)[-1] in ANALYSED:
-            if not query_words:
+            listed = (known or {}).get(path) if fuzzy else query_words
+            if not query_words or listed == []:
                 continue
-            if fuzzy:
-                def hit(token: Column) -> Column:
-                    return reduce(lambda a, b: a | b, (near(token, w, allowed_typos(w)) for w in query_words))
-
-                condition = condition | field.any(lambda c: F.exists(words(c), hit))
+            if listed is None:
+                condition = condition | field.any(lambda c: F.exists(words(c), lambda w: near_any(w, query_words)))
             else:
-                condition = condition | field.any(lambda c: _has_word(c, query_words))
+                condition = condition | field.any(lambda c, listed=listed: _has_word(c, listed))
         else:
             typos = allowed_typos(query) if fuzzy else 0
             condition = condition | field.any(lambda c: near(c.cast("string"), query, typos))

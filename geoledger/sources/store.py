@@ -6,7 +6,8 @@ writes beside the stored files, and only its commit puts the new files in place
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from geoledger.functions.grids import hilbert_key
 from geoledger.operators.patch import patched_items
 from geoledger.operators.projection import assets_to_array
 from geoledger.operators.writes import KEY, delete_keys, holding, rename_collection, upsert, with_partitions
-from geoledger.session import broadcast_if_small, materialised
+from geoledger.session import broadcast_if_small, exists, materialised
+from geoledger.sources.summaries import Summarised, close_partitions, open_partitions, remember, what_of
 
 SIMPLE = ("collection",)
 DATED = ("collection", "has_datetime", "item_date")
@@ -52,18 +54,45 @@ def _sorted(df: DataFrame, keys: Sequence[str], by_place: bool) -> DataFrame:
 
 
 def write_items(
-    df: DataFrame, path: str, by_date: bool = False, use_datetime: bool = True, mode: str = "errorifexists", by_place: bool = False
+    df: DataFrame, path: str, by_date: bool = False, use_datetime: bool = True, mode: str = "errorifexists", by_place: bool = False,
+    summaries: Summarised | None = None,
 ) -> None:
-    """Write a table of items.
+    """Write a table of items, with `summaries` of its partitions beside it if asked for; later writes keep these up.
 
     With `by_place` each partition lies along a Hilbert curve of the centres, rows without bounds first: row groups and
     pages then hold a small part of the map, and spatial filters skip the others. The table remembers it, and later
     writes keep it.
     """
-    by_place = by_place or lies_by_place(df.sparkSession, path)
-    _write(arranged(df, by_date, use_datetime, by_place), path, layout(by_date), mode)
+    spark, keys = df.sparkSession, layout(by_date)
+    by_place = by_place or lies_by_place(spark, path)
+    rows = arranged(df, by_date, use_datetime, by_place)
+    if mode != "errorifexists" and what_of(spark, path) is not None:
+        touched = materialised((with_partitions(df, use_datetime) if by_date else df).select(*keys).distinct())
+        with _summarising(spark, path, touched, keys):
+            _write(rows, path, keys, mode)
+    else:
+        _write(rows, path, keys, mode)
     if by_place:
-        _remember_place(df.sparkSession, path)
+        _remember_place(spark, path)
+    if summaries is not None and what_of(spark, path) is None:
+        stored = read_items(spark, path)
+        close_partitions(spark, path, stored, materialised(stored.select(*keys).distinct()), keys, summaries)
+        remember(spark, path, summaries)
+
+
+@contextmanager
+def _summarising(spark: SparkSession, path: str, touched: DataFrame, keys: Sequence[str]) -> Iterator[None]:
+    """Summaries of the touched partitions are open while the block runs and made anew after it, where the table has any."""
+    what = what_of(spark, path)
+    if what is None:
+        yield
+        return
+    schema = read_items(spark, path).schema
+    open_partitions(spark, path, touched)
+    yield
+    # the schema is given, since a table may be left without files
+    rows = within(spark.read.schema(schema).parquet(path), touched, keys)
+    close_partitions(spark, path, rows, touched, keys, what)
 
 
 def lies_by_place(spark: SparkSession, path: str) -> bool:
@@ -98,11 +127,6 @@ def read_items(spark: SparkSession, path: str, collections: Sequence[str] | None
     return df if collections is None else df.filter(F.col("collection").isin(list(collections)))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def _drop_partitions(spark: SparkSession, path: str, partitions: DataFrame, keys: Sequence[str]) -> None:
     """Remove the folders of partitions, as many as there are; their names pass the driver a few at a time."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
@@ -123,8 +147,9 @@ def _replace(spark: SparkSession, path: str, touched: DataFrame, merged: DataFra
     same = [touched[k].eqNullSafe(kept[k]) for k in keys]
     emptied = materialised(touched.join(kept, same, "left_anti"))
     # partition columns are already there
-    _write(_sorted(merged, keys, lies_by_place(spark, path)), path, keys, "overwrite")
-    _drop_partitions(spark, path, emptied, keys)
+    with _summarising(spark, path, touched, keys):
+        _write(_sorted(merged, keys, lies_by_place(spark, path)), path, keys, "overwrite")
+        _drop_partitions(spark, path, emptied, keys)
 
 
 def _touched(stored: DataFrame, keys: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -133,7 +158,7 @@ def _touched(stored: DataFrame, keys: DataFrame, partitions: Sequence[str]) -> D
     return found.select(*partitions).distinct()
 
 
-def _within(stored: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
+def within(stored: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
     """Stored rows of the touched partitions; the broadcast prunes the others at run time."""
     small = broadcast_if_small(touched.select(*[F.col(p).alias(f"_{p}") for p in partitions]))
     same = [stored[p].eqNullSafe(small[f"_{p}"]) for p in partitions]
@@ -153,7 +178,7 @@ def upsert_store(new: DataFrame, path: str, by_date: bool = False, use_datetime:
     new = materialised(with_partitions(new, use_datetime) if by_date else new)
     stored = read_items(spark, path)
     touched = materialised(_touched(stored, new, parts).union(new.select(*parts).distinct()).distinct())
-    old = _within(stored, touched, parts)
+    old = within(stored, touched, parts)
     # keys alone tell which partitions keep rows
     left = delete_keys(old.select(*dict.fromkeys([*KEY, *parts])), new).select(*parts)
     kept = left.union(new.select(*parts)).distinct()
@@ -167,7 +192,7 @@ def delete_from_store(keys: DataFrame, path: str, by_date: bool = False) -> None
     stored = read_items(spark, path)
     keys = materialised(keys.select(*KEY).distinct())
     touched = materialised(_touched(stored, keys, parts))
-    left = delete_keys(_within(stored, touched, parts), keys)
+    left = delete_keys(within(stored, touched, parts), keys)
     _replace(spark, path, touched, left, left.select(*parts).distinct(), by_date)
 
 
@@ -200,14 +225,16 @@ def rename_in_store(spark: SparkSession, path: str, old: str, new: str, by_date:
         write_items(moved, path, by_date, mode="append")
     else:
         upsert_store(moved, path, by_date)
-    _drop_partitions(spark, path, touched, parts)
+    with _summarising(spark, path, touched, parts):
+        _drop_partitions(spark, path, touched, parts)
 
 
 def drop_collection_from_store(spark: SparkSession, path: str, collection: str, by_date: bool = False) -> None:
     """Remove all items of a collection."""
     parts = layout(by_date)
     touched = materialised(read_items(spark, path, [collection]).select(*parts).distinct())
-    _drop_partitions(spark, path, touched, parts)
+    with _summarising(spark, path, touched, parts):
+        _drop_partitions(spark, path, touched, parts)
 
 
 def rewrite_assets(spark: SparkSession, path: str, target: str, by_date: bool = False) -> None:
@@ -217,3 +244,9 @@ def rewrite_assets(spark: SparkSession, path: str, target: str, by_date: bool =
     _write(_sorted(rows, layout(by_date), by_place), target, layout(by_date), "errorifexists")
     if by_place:
         _remember_place(spark, target)
+    what = what_of(spark, path)
+    if what is not None:
+        stored = read_items(spark, target)
+        keys = layout(by_date)
+        close_partitions(spark, target, stored, materialised(stored.select(*keys).distinct()), keys, what)
+        remember(spark, target, what)
