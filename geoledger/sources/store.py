@@ -75,7 +75,8 @@ def write_items(
     if by_place:
         _remember_place(spark, path)
     if summaries is not None and what_of(spark, path) is None:
-        stored = read_items(spark, path)
+        # the schema is given, since there may be no rows
+        stored = spark.read.schema(rows.schema).parquet(path)
         close_partitions(spark, path, stored, materialised(stored.select(*keys).distinct()), keys, summaries)
         remember(spark, path, summaries)
 
@@ -159,9 +160,18 @@ def _touched(stored: DataFrame, keys: DataFrame, partitions: Sequence[str]) -> D
 
 
 def within(stored: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
-    """Stored rows of the touched partitions; the broadcast prunes the others at run time."""
-    small = broadcast_if_small(touched.select(*[F.col(p).alias(f"_{p}") for p in partitions]))
-    same = [stored[p].eqNullSafe(small[f"_{p}"]) for p in partitions]
+    """Stored rows of the touched partitions; the broadcast prunes the others at run time.
+
+    The planner prunes by equalities only, not by null-safe ones, and only where the other side is filtered. So nulls are
+    told apart by a second equality, and the other side has a filter that all its rows pass.
+    """
+    names = [f"_{p}" for p in partitions]
+    small = broadcast_if_small(touched.select(*[F.col(p).alias(n) for p, n in zip(partitions, names, strict=True)]))
+    small = small.filter(F.xxhash64(*names) >= F.lit(-(1 << 63)))
+    same = []
+    for p, n in zip(partitions, names, strict=True):
+        mine, other = (F.coalesce(side[c].cast("string"), F.lit("")) for side, c in ((stored, p), (small, n)))
+        same += [mine == other, stored[p].isNull() == small[n].isNull()]
     return stored.join(small, same, "left_semi")
 
 

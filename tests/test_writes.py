@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geoledger.functions.patching import PatchError, json_patch, merge_patch
 from geoledger.operators import patch, writes
 from geoledger.operators.validation import BatchRejected, check_threshold
+from geoledger.session import materialised
 from geoledger.sources import store
 from geoledger.streaming import ingest
 
@@ -305,3 +306,20 @@ def test_patches_of_a_table(spark, collections):
     assert got["d"]["error"] and json.loads(got["d"]["document"])["properties"]["datetime"] == "2020"
     assert got["e"]["error"] is None
     assert [r["id"] for r in patch.unmatched_patches(items, patches).collect()] == ["z"]
+
+
+@pytest.mark.parametrize("by_date", [False, True])
+def test_only_touched_partitions_are_read(spark, tmp_path, by_date):
+    path, number = str(tmp_path / "store"), F.col("id")
+    day = F.timestamp_seconds(number % 7 * 86400 + 1577836800).cast("timestamp_ntz")
+    rows = spark.range(300).select(
+        F.concat(F.lit("i"), number).alias("id"), F.when(number % 6 > 0, F.concat(F.lit("c"), number % 6)).alias("collection"),
+        F.when(number % 5 > 0, day).alias("datetime"), F.lit(None).cast("timestamp_ntz").alias("start_datetime"))
+    store.write_items(rows, path, by_date)
+    stored, keys = store.read_items(spark, path), store.layout(by_date)
+    some = (F.col("collection").isNull() | (F.col("collection") == "c2")) & (F.col("datetime").isNull() | (F.dayofmonth("datetime") == 2))
+    touched = materialised(stored.filter(some).select(*keys).distinct())
+    got = store.within(stored, touched, keys)
+    want = stored.join(touched, [stored[k].eqNullSafe(touched[k]) for k in keys], "left_semi")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    assert "dynamicpruning#" in got._jdf.queryExecution().executedPlan().toString()
