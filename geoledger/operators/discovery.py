@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoledger.functions.ids import PART, SLICE
 from geoledger.operators.fields import Fields
 from geoledger.session import exists
 
@@ -25,7 +26,7 @@ BASE_QUERYABLES = {
 }
 ENUM_FIELDS = ("platform",)
 # Columns of the stored layout that are no fields of an item.
-INTERNAL = ("minx", "miny", "maxx", "maxy", "has_datetime", "item_date", "links", "assets", "extra", "document")
+INTERNAL = ("minx", "miny", "maxx", "maxy", "has_datetime", "item_date", PART, SLICE, "links", "assets", "extra", "document")
 
 
 def json_type(dtype: T.DataType) -> tuple[str, str | None]:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.functions.ids import in_parts
 from geoledger.functions.times import parse_interval, ts_lit
 from geoledger.operators.fields import Field, Fields, negate
 
@@ -19,8 +20,10 @@ def by_ids(fields: Fields, ids: Sequence[str]) -> Column:
 
 
 def by_collections(fields: Fields, ids: Sequence[str]) -> Column:
-    """Reaches the scan as a partition filter when the table is partitioned by collection."""
-    return fields.get("collection").column.isin(list(ids))
+    """Repeated on the parts of a stored table, it reaches the scan as a partition filter."""
+    field = fields.get("collection")
+    stored = in_parts(fields.schema.fieldNames(), ids) if field.path == "collection" else F.lit(True)
+    return stored & field.column.isin(list(ids))
 
 
 def keep_listed(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

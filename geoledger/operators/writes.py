@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoledger.functions.ids import PARTS, SLICE, part_of
 from geoledger.operators.projection import prepare_items
 from geoledger.operators.validation import check_threshold, item_error
 from geoledger.session import broadcast_if_small, materialised
@@ -48,11 +49,6 @@ def split_known(items: DataFrame, collections: DataFrame) -> tuple[DataFrame, Da
     return items.join(known, "collection", "left_semi"), items.join(known, "collection", "left_anti")
 
 
-def holding(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Stored rows whose key is among `keys`, a materialised frame. Broadcast when small, so the store is not shuffled."""
-    return stored.join(broadcast_if_small(keys.select(*key)), list(key), "left_semi")
-
-
 def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """The rows with a flag `conflict` where their key is taken.
 
@@ -97,7 +93,7 @@ def delete_keys(stored: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) ->
 def rename_collection(items: DataFrame, old: str, new: str) -> DataFrame:
     """Items of one collection under a new id, the rest untouched."""
     moved = F.when(F.col("collection") == old, F.lit(new)).otherwise(F.col("collection"))
-    return items.withColumn("collection", moved)
+    return items.withColumns({"collection": moved, **{name: part_of(name, moved) for name in PARTS if name in items.columns}})
 
 
 def drop_collection(collections: DataFrame, items: DataFrame, collection_id: str) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +204,9 @@ def split_primary_datetime(df: DataFrame, use_datetime: bool = True) -> tuple[Da
 def with_partitions(df: DataFrame, use_datetime: bool = True) -> DataFrame:
     """Add the partition columns of a dated store, derived from the primary datetime.
 
-    Under `use_datetime`, rows without a datetime are filed by their start.
+    Under `use_datetime`, rows without a datetime are filed by their start. The days of all collections lie together, in
+    a few slices, so that the number of partitions grows with the days alone.
     """
     has = F.col("datetime").isNotNull() if use_datetime else F.lit(False)
     primary = F.when(has, F.col("datetime")).otherwise(F.col("start_datetime"))
-    return df.withColumns({"has_datetime": has, "item_date": primary.cast("date")})
+    return df.withColumns({SLICE: part_of(SLICE, F.col("collection")), "has_datetime": has, "item_date": primary.cast("date")})

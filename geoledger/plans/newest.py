@@ -7,11 +7,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date
 from functools import cached_property, reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.functions.ids import SLICE, parts_of
 from geoledger.functions.times import parse_interval, to_utc
 from geoledger.operators.fields import Fields
 from geoledger.operators.paging import SortKey, decode_token, resolve_limit, sort_keys, top
@@ -22,7 +22,7 @@ from geoledger.session import materialised
 FIRST_DAYS = 2
 MORE_DAYS = 4
 
-_PARTITION = re.compile(r"collection=([^/]*)/has_datetime=(true|false)/item_date=([^/]*)/[^/]*$")
+_PARTITION = re.compile(rf"{SLICE}=(\d+)/has_datetime=(true|false)/item_date=([^/]*)/[^/]*$")
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -35,18 +35,16 @@ class Day:
 
 
 def stored_days(items: DataFrame, collections: Sequence[str] = ()) -> list[Day]:
-    """Days of a dated store, from the names of its files alone.
+    """Days of a dated store, from the names of its files alone; with `collections`, of the slices that hold them.
 
     The planner lists the files of any table it reads; no file is opened here.
     """
-    wanted, found = set(collections), set()
+    wanted, found = parts_of(SLICE, collections), set()
     for name in items.inputFiles():
         match = _PARTITION.search(name)
         if match is None:
             raise ValueError("the items are not read from a dated store")
-        # file names are URIs, in which the store's own escapes are escaped once more
-        collection = unquote(unquote(match[1]))
-        if not wanted or collection in wanted:
+        if not collections or int(match[1]) in wanted:
             found.add(Day(match[2] == "true", None if match[3] == _NO_VALUE else date.fromisoformat(match[3])))
     return list(found)
 

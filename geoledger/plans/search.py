@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoledger.functions.ids import in_parts
 from geoledger.functions.times import to_utc, ts_lit
 from geoledger.operators.cql2 import cql2, cql2_properties
 from geoledger.operators.fields import Fields, negate
@@ -91,7 +92,7 @@ def filter_items(
     if request.ids:
         df = keep_listed(df, "id", request.ids)
     if request.collections:
-        df = keep_listed(df, "collection", request.collections)
+        df = keep_listed(df.filter(in_parts(df.columns, request.collections)), "collection", request.collections)
     if request.datetime or not aggregating:
         df = df.filter(by_datetime(fields, request.datetime, options.use_datetime, options.nanos))
     if request.bbox:
@@ -127,7 +128,7 @@ def get_item(
     items: DataFrame, collection: str, item_id: str, hide_path: str | None = None
 ) -> DataFrame:
     """At most one row."""
-    found = items.filter((F.col("collection") == collection) & (F.col("id") == item_id))
+    found = items.filter(in_parts(items.columns, [collection]) & (F.col("collection") == collection) & (F.col("id") == item_id))
     if hide_path:
         found = found.filter(visible(Fields.of(items), hide_path))
     return found.limit(1)

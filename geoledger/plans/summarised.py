@@ -20,7 +20,7 @@ from geoledger.operators.text import ANALYSED, ITEM_TEXT_FIELDS, by_free_text, n
 from geoledger.plans.search import SearchOptions, SearchRequest, filter_items
 from geoledger.session import materialised
 from geoledger.sources.store import DATED, SIMPLE, read_items, within
-from geoledger.sources.summaries import FIELD, VALUE, WORD, latest, summarised, what_of
+from geoledger.sources.summaries import COUNT, FIELD, VALUE, WORD, latest, summarised, what_of
 
 # Words near the query up to which rows are compared with a list of them; beyond, with the query itself.
 MOST_WORDS = 1000
@@ -50,8 +50,8 @@ class StoreSummary:
 
     @property
     def partitions(self) -> DataFrame:
-        """Every partition that has rows, with the number of its rows and of those shown."""
-        return self._latest[0].select(*self.keys, "rows", "shown")
+        """Every collection of every partition, with the number of its rows there and of those shown."""
+        return self._details(COUNT).select("collection", *self.keys, "rows", "shown")
 
     def _details(self, kind: str, collections: Sequence[str] = ()) -> DataFrame:
         found = self._latest[1].filter(F.col("kind") == kind)

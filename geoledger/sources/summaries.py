@@ -1,8 +1,8 @@
 """Summaries of a store's partitions, kept beside it: what a reader would otherwise read all items for.
 
-Of every partition: its number of rows, and of rows that are not hidden; the fields that have a value; the values of
-listed fields, up to one beyond the limit; the words of listed texts. They merge over partitions: fields, values and
-words by union, numbers by sums.
+Of every collection in every partition: its number of rows, and of rows that are not hidden; the fields that have a value;
+the values of listed fields, up to one beyond the limit; the words of listed texts. They merge over partitions: fields,
+values and words by union, numbers by sums. A partition itself has a state, which says whether they hold.
 
 A write first files the touched partitions as open, under a new version, and files their summaries under another one when
 the rows are in place. The latest version of a partition holds. One that is still open, because a write is
@@ -28,7 +28,7 @@ from geoledger.session import materialised
 
 # Readers of the table skip names that begin like this.
 FOLDER = "_summaries"
-STATE, FIELD, VALUE, WORD = "state", "field", "value", "word"
+STATE, COUNT, FIELD, VALUE, WORD = "state", "count", "field", "value", "word"
 MOST_VERSIONS = 50
 
 
@@ -87,7 +87,7 @@ def _file_rows(df: DataFrame, path: str, version: int) -> None:
 def _states(parts: DataFrame, rows: Column, shown: Column) -> DataFrame:
     none = F.lit(None).cast("string")
     return parts.withColumns({
-        "kind": F.lit(STATE), "name": none, "value": none, "rows": rows.cast("bigint"), "shown": shown.cast("bigint")})
+        "collection": none, "kind": F.lit(STATE), "name": none, "value": none, "rows": rows.cast("bigint"), "shown": shown.cast("bigint")})
 
 
 def open_partitions(spark: SparkSession, path: str, touched: DataFrame) -> None:
@@ -134,21 +134,25 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> tuple[DataFra
 
 
 def summarised(rows: DataFrame, keys: Sequence[str], what: Summarised) -> tuple[DataFrame, DataFrame]:
-    """(states, details) of the partitions of `rows`.
+    """(states, details) of the partitions of `rows`; details are by collection.
 
     Two scans of the columns concerned. Flags and numbers are partial counts of each task; values and words are made
     distinct in each task before they are shuffled.
     """
     fields = Fields.of(rows)
     paths = [p for p, _ in searchable(rows.schema)]
+    units = ("collection", *keys)
     seen = [F.bool_or(fields.get(p).column.isNotNull()).alias(f"f{i}") for i, p in enumerate(paths)]
-    flags = materialised(rows.groupBy(*keys).agg(
+    flags = materialised(rows.groupBy(*units).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(visible(fields, what.hide_path)).alias("shown"), *seen))
-    state = _states(flags.select(*keys, "rows", "shown"), F.col("rows"), F.col("shown"))
+    state = _states(flags.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("shown").alias("shown")), F.col("rows"), F.col("shown"))
 
     none = F.lit(None).cast("string")
     named = F.array(*[F.when(F.col(f"f{i}"), F.lit(p)) for i, p in enumerate(paths)])
-    parts = [flags.select(*keys, F.lit(FIELD).alias("kind"), F.explode(F.array_compact(named)).alias("name"), none.alias("value"))]
+    number = F.lit(None).cast("bigint").alias("rows"), F.lit(None).cast("bigint").alias("shown")
+    parts = [
+        flags.select(*units, F.lit(COUNT).alias("kind"), none.alias("name"), none.alias("value"), "rows", "shown"),
+        flags.select(*units, F.lit(FIELD).alias("kind"), F.explode(F.array_compact(named)).alias("name"), none.alias("value"), *number)]
     entries = []
     for kind, names in ((VALUE, what.values), (WORD, what.words)):
         for name in names:
@@ -159,10 +163,9 @@ def summarised(rows: DataFrame, keys: Sequence[str], what: Summarised) -> tuple[
                 found = texts if kind == VALUE else F.flatten(F.transform(F.array_compact(texts), words))
                 entries.append(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), found.alias("values")))
     if entries:
-        spelled = rows.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.kind", "e.name", F.explode("e.values").alias("value"))
+        spelled = rows.select(*units, F.explode(F.array(*entries)).alias("e")).select(*units, "e.kind", "e.name", F.explode("e.values").alias("value"))
         spelled = materialised(spelled.filter(F.col("value").isNotNull()).distinct())
-        place = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)}, name ORDER BY value)")
+        place = F.expr(f"row_number() OVER (PARTITION BY {', '.join(units)}, name ORDER BY value)")
         some = spelled.filter(F.col("kind") == VALUE).withColumn("_place", place).filter(F.col("_place") <= what.limit + 1).drop("_place")
-        parts += [some, spelled.filter(F.col("kind") == WORD)]
-    number = F.lit(None).cast("bigint")
-    return state, reduce(DataFrame.unionByName, parts).withColumns({"rows": number, "shown": number})
+        parts += [found.select("*", *number) for found in (some, spelled.filter(F.col("kind") == WORD))]
+    return state, reduce(DataFrame.unionByName, parts)

@@ -71,7 +71,7 @@ class IngestJob:
                 "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.dead_letters)
             valid = marked.filter(F.col("_error").isNull()).drop("_error", FILE_TIME)
             if not valid.isEmpty():
-                upsert_store(valid, self.store, self.by_date, self.use_datetime)
+                upsert_store(valid, self.store, self.by_date, self.use_datetime, written=True)
 
     def start(
         self, pending: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS

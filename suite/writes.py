@@ -226,7 +226,7 @@ def require_primary_datetime(spark, sf_dir):
 )
 def rewrite_assets(spark, sf_dir):
     path, target = fresh_dir(spark, "store"), fresh_dir(spark, "rewritten")
-    nested_items(spark, sf_dir).write.partitionBy("collection").parquet(path)
+    store.write_items(nested_items(spark, sf_dir), path)
     store.rewrite_assets(spark, path, target)
     rows = store.read_items(spark, target).select("id", "collection", F.explode("assets").alias("a"))
     return rows.select("id", "collection", "a.es_key", "a.href")
