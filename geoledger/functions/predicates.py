@@ -268,8 +268,28 @@ def covers(outer: Column, inner: Column) -> Column:
     return (F.size(inner) > 0) & _let(_edges(outer), with_edges)
 
 
+def eastward(shape: Column) -> Column:
+    """The shape with edges that lead east and their slopes, as `spans_between` wants them: the same for every strip, so made once per row."""
+
+    def turned(e: Column) -> Column:
+        back = e["ax"] > e["bx"]
+        ends = {"ax": ("ax", "bx"), "ay": ("ay", "by"), "bx": ("bx", "ax"), "by": ("by", "ay")}
+        return F.struct(*[F.when(back, e[there]).otherwise(e[here]).alias(n) for n, (here, there) in ends.items()])
+
+    def sloped(e: Column) -> Column:
+        return e.withField("slope", _divided(e["by"] - e["ay"], e["bx"] - e["ax"]))
+
+    return F.transform(shape, lambda p: F.struct(
+        p["dim"].alias("dim"), p["x"].alias("x"), p["y"].alias("y"), F.transform(F.transform(p["edges"], turned), sloped).alias("edges")))
+
+
 def strip_spans(shape: Column, left: Column, right: Column) -> Column:
-    """(low, high): latitude spans that a shape covers between two longitudes; spans may overlap.
+    """(low, high): latitude spans that a shape covers between two longitudes; spans may overlap."""
+    return spans_between(eastward(shape), left, right)
+
+
+def spans_between(shape: Column, left: Column, right: Column) -> Column:
+    """`strip_spans` of a shape whose edges lead east.
 
     A piece of a polygon in a strip is bounded by edges clipped to the strip and by the strip's own lines, and that
     outline is closed: the spans of the clipped edges and of the interior on both lines are all.
@@ -278,36 +298,38 @@ def strip_spans(shape: Column, left: Column, right: Column) -> Column:
     def span(low: Column, high: Column) -> Column:
         return F.struct(low.alias("low"), high.alias("high"))
 
-    def eastward(e: Column) -> Column:
-        back = e["ax"] > e["bx"]
-        ends = {"ax": ("ax", "bx"), "ay": ("ay", "by"), "bx": ("bx", "ax"), "by": ("by", "ay")}
-        return F.struct(*[F.when(back, e[there]).otherwise(e[here]).alias(n) for n, (here, there) in ends.items()])
-
     def height(e: Column, x: Column) -> Column:
-        return e["ay"] + _divided(e["by"] - e["ay"], e["bx"] - e["ax"]) * (x - e["ax"])
-
-    def clipped(e: Column) -> Column:
-        first = F.when(e["ax"] < left, height(e, left)).otherwise(e["ay"])
-        last = F.when(e["bx"] > right, height(e, right)).otherwise(e["by"])
-        return span(F.least(first, last), F.greatest(first, last))
+        return e["ay"] + e["slope"] * (x - e["ax"])
 
     def inside(edges: Column, x: Column) -> Column:
         # half-open in longitude, so that a vertex on the line counts once and crossings come in pairs
         cut = F.filter(edges, lambda e: (e["ax"] <= x) & (e["bx"] > x))
-        at = F.array_sort(F.transform(cut, lambda e: height(e, x)))
+        at = F.sort_array(F.array_compact(F.transform(cut, lambda e: height(e, x))))
         paired = _let(at, lambda ys: F.filter(F.transform(ys, lambda y, i: F.struct(
             y.alias("low"), F.get(ys, i + 1).alias("high"), i.alias("i"))), lambda s: (s["i"] % 2 == 0) & s["high"].isNotNull()))
         return F.transform(paired, lambda s: span(s["low"], s["high"]))
 
     none = F.array().cast("array<struct<low:double,high:double>>")
 
-    def part(p: Column) -> Column:
-        def spans(edges: Column) -> Column:
-            border = F.transform(F.filter(edges, lambda e: (e["ax"] <= right) & (e["bx"] >= left)), clipped)
-            lines = F.when(p["dim"] == 2, F.concat(inside(edges, left), inside(edges, right))).otherwise(none)
-            return F.concat(border, lines)
+    def between(strip: Column) -> Column:
+        west, east = strip["left"], strip["right"]
+
+        def clipped(e: Column) -> Column:
+            first = F.when(e["ax"] < west, height(e, west)).otherwise(e["ay"])
+            last = F.when(e["bx"] > east, height(e, east)).otherwise(e["by"])
+            return span(first, last)
+
+        def part(p: Column) -> Column:
+            def spans(edges: Column) -> Column:
+                border = F.transform(F.transform(edges, clipped), lambda s: span(F.least(s["low"], s["high"]), F.greatest(s["low"], s["high"])))
+                lines = F.when(p["dim"] == 2, F.concat(inside(edges, west), inside(edges, east))).otherwise(none)
+                return F.concat(border, lines)
+
+            point = F.when((p["x"] >= west) & (p["x"] <= east), F.array(span(p["y"], p["y"]))).otherwise(none)
+            near = F.filter(p["edges"], lambda e: (e["ax"] <= east) & (e["bx"] >= west))
+            return F.when(p["dim"] == 0, point).otherwise(_let(near, spans))
 
-        point = F.when((p["x"] >= left) & (p["x"] <= right), F.array(span(p["y"], p["y"]))).otherwise(none)
-        return F.when(p["dim"] == 0, point).otherwise(_let(F.transform(p["edges"], eastward), spans))
+        return F.flatten(F.transform(shape, part))
 
-    return F.flatten(F.transform(shape, part))
+    # the lines' expressions are computed once, not for every edge
+    return _let(F.struct(left.alias("left"), right.alias("right")), between)

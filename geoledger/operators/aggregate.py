@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geoledger.functions import grids
 from geoledger.functions.geometry import is_box
-from geoledger.functions.predicates import shape_of, strip_spans
+from geoledger.functions.predicates import eastward, shape_of, spans_between
 from geoledger.functions.times import rfc3339, trunc_utc
 from geoledger.operators.fields import Fields
 from geoledger.operators.fine_grid import frequent_cells
@@ -336,10 +336,10 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     filled = rows if shape is None else rows.filter(is_box(shape.column, minx, miny, maxx, maxy))
     weighted = filled.select(*[c.alias(n) for n, c in ranges_.items()]).groupBy(*ranges_).agg(F.count(F.lit(1)).alias("weight"))
     exact = None if shape is None else rows.filter(~is_box(shape.column, minx, miny, maxx, maxy)).select(
-        *[c.alias(n) for n, c in ranges_.items()], shape.column.alias("shape"))
+        *[c.alias(n) for n, c in ranges_.items()], eastward(shape_of(shape.column)).alias("shape"))
     if precision > SPELLED[kind]:
         if exact is not None:
-            shapes = exact.select(*ranges_, F.lit(1).cast("bigint").alias("weight"), shape_of(F.col("shape")).alias("shape"))
+            shapes = exact.select(*ranges_, F.lit(1).cast("bigint").alias("weight"), "shape")
             weighted = shapes.unionByName(weighted, allowMissingColumns=True)
         cells = frequent_cells(materialised(weighted), kind, precision, GRID_BUCKETS)
         return _cells_to_output(cells, name, name_of(F.col("cx"), F.col("cy"), precision), F.col("weight"))
@@ -347,7 +347,7 @@ def geometry_grid(df: DataFrame, kind: str, precision: int) -> DataFrame:
     if exact is not None:
         strips = _numbers(exact, "x0", "x1", "strip")
         left, _, right, _ = box(F.col("strip"), F.lit(0), precision)
-        spans = strips.select("strip", strip_spans(shape_of(F.col("shape")), left, right).alias("spans"))
+        spans = strips.select("strip", spans_between(F.col("shape"), left, right).alias("spans"))
         touched = F.array_distinct(F.flatten(F.transform(
             "spans", lambda s: F.sequence(*rows_between(s["low"], s["high"])))))
         partly = spans.select(F.col("strip").alias("cx"), F.explode(touched).alias("cy"), F.lit(1).cast("bigint").alias("weight"))

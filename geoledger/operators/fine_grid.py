@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.functions import grids
-from geoledger.functions.predicates import strip_spans
+from geoledger.functions.predicates import spans_between
 from geoledger.session import materialised
 
 RANGE = ("x0", "x1", "y0", "y1")
@@ -77,8 +77,8 @@ def _meeting(rows: DataFrame, kind: str, level: int, parent: int | None, precisi
         left, _, right, _ = box(F.col("kx"), F.lit(0), level)
         border = F.transform("shape", lambda p: F.struct(F.least(p["dim"], F.lit(1)).alias("dim"), p["x"].alias("x"), p["y"].alias("y"), p["edges"].alias("edges")))
         found = found.withColumns({
-            "spans": F.when(F.col("shape").isNotNull(), strip_spans(F.col("shape"), left, right)),
-            "border": F.when(F.col("shape").isNotNull(), strip_spans(border, left, right))})
+            "spans": F.when(F.col("shape").isNotNull(), spans_between(F.col("shape"), left, right)),
+            "border": F.when(F.col("shape").isNotNull(), spans_between(border, left, right))})
     found = found.withColumn("ky", inside("y0", "y1", sy))
     covers = reduce(Column.__and__, [
         (F.col(low) <= F.shiftleft(c, shift)) & (F.col(high) >= F.shiftleft(F.col(c) + 1, shift) - 1)
@@ -104,7 +104,7 @@ def frequent_cells(rows: DataFrame, kind: str, precision: int, size: int) -> Dat
     """(cx, cy, weight) of cells that include the `size` most frequent ones, larger keys first among equals.
 
     `rows` has the range of finest cells (x0, x1, y0, y1) under a row's bounds, `weight` rows that share it, and
-    `shape`, null where the row fills its range, if some row doesn't.
+    `shape` with edges that lead east, null where the row fills its range, if some row doesn't.
     """
     shaped = "shape" in rows.columns
     full: DataFrame | None = None

@@ -84,3 +84,13 @@ def test_extremes_of_texts(spark, low, high):
 
 def test_no_rows(spark):
     assert agg.geometry_grid(spark.createDataFrame([], BOUNDS), "geohash", 9).count() == 0
+
+
+def test_edges_are_turned_once_per_row(spark):
+    # below the rows' split into strips: a wide shape has many
+    text = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [9, 1], [5, 7], [0, 0]]]})
+    shape = spark.createDataFrame([(text,)], "text string").select(g.geometry_from_json(F.col("text")).alias("geometry"))
+    plan = agg.geometry_grid(shape.withColumns(g.bounds_of(F.col("geometry"))), "geohash", 4)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    strips = max(i for i, line in enumerate(lines) if "explode(sequence(x0" in line)
+    assert any("AS shape" in line and "slope" in line for line in lines[strips:])
