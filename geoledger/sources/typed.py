@@ -217,15 +217,17 @@ def observed_fields(documents: DataFrame, column: str = "document") -> dict[str,
 
     visit("", schema, False)
     if unclear:
-        parsed = F.try_parse_json(F.col(column))
+        # a column for the text and one for each member, so that none is parsed or looked up twice
+        parsed = documents.select(F.try_parse_json(F.col(column)).alias("_p"))
+        members_ = parsed.select(*[
+            F.try_variant_get("_p", "$" + "".join(f"['{p}']" for p in split_path(path)), "variant").alias(f"m{i}") for i, path in enumerate(unclear)])
 
-        def kind(path: str) -> Column:
-            member = F.try_variant_get(parsed, "$" + "".join(f"['{p}']" for p in split_path(path)), "variant")
+        def kind(member: Column) -> Column:
             seen = F.when(member.isNotNull() & ~F.is_variant_null(member), F.schema_of_variant(member))
             # the members of objects don't matter here, and would make the set large
             return F.regexp_replace(seen, "OBJECT<.*", "OBJECT")
 
-        row = documents.agg(*[F.collect_set(kind(p)).alias(f"k{i}") for i, p in enumerate(unclear)]).first()
+        row = members_.agg(*[F.collect_set(kind(F.col(f"m{i}"))).alias(f"k{i}") for i in range(len(unclear))]).first()
         found |= {p: agreed(row[f"k{i}"]) for i, p in enumerate(unclear)}
     return found
 
