@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 # Rows and bytes up to which a side is broadcast after it was measured.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Compression of tables that the library writes.
+PACKED = "zstd"
 
 
 def build_session(app: str = "geoledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -82,10 +84,10 @@ def materialised(df: DataFrame) -> DataFrame:
     """Write the frame to the job's folder, or that of the step, as a table and read it back.
 
     Cuts the lineage, survives lost executors, and unlike a checkpoint of rows lets later steps read single
-    columns and lets the planner know the size.
+    columns and lets the planner know the size. It is written once and read a few times, and packed for that.
     """
     path = f"{_step.get() or job_dir(df.sparkSession)}/materialised-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", PACKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

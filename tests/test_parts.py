@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoledger.functions.ids import PART, PARTS, SLICE
 from geoledger.operators.fields import Fields
 from geoledger.operators.filters import by_collections
+from geoledger.session import materialised
 from geoledger.sources import store
 
 
@@ -61,3 +62,10 @@ def test_tables_in_folders_by_collection_are_read_only(spark, tmp_path):
         with pytest.raises(Exception, match=PART):
             write()
     assert pairs(store.read_items(spark, path)) == pairs(rows)
+
+
+def test_files_are_packed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_items(many(spark), path)
+    files = [f.name for f in Path(path).rglob("*.parquet")] + materialised(many(spark)).inputFiles()
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
