@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger.session import materialised
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The edges with `m`, the smallest neighbour of `a`: one shuffle, where an aggregate joined back takes two."""
+    return edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest node of its neighbourhood."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("n")).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _least(edges.select(F.inline(ends)))
+    return both.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node ties itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-    joined = edges.join(least, F.col("a") == F.col("n"))
-    down = joined.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
+    # the smallest is its own end already: its edge ties the node itself
+    return _least(edges).select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        edges = materialised(_small(_large(edges).distinct()).distinct())
+        edges = materialised(_small(_large(edges)).distinct())
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

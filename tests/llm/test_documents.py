@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoledger.llm import jaccard, lines, mixing, quality
-from geoledger.llm.components import components
+from geoledger.llm.components import _large, _small, components
 
 LINE = "a line that is long enough to count as boilerplate text"
 
@@ -180,6 +180,11 @@ class TestJaccard:
         kept = jaccard.one_of_each(docs(rows, extra=["number", "_go", "component_id"]))
         assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 4), (True, None)]
 
+    def test_a_round_of_components_takes_three_shuffles(self, spark, capsys):
+        edges = spark.createDataFrame([(2, 1), (3, 2)], "a long, b long")
+        _small(_large(edges)).distinct().explain()
+        assert capsys.readouterr().out.count("Exchange") == 3
+
     def test_components_of_a_long_path(self, spark):
         edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (101, 102), (102, 101)], "a long, b long")
         got = {tuple(r) for r in components(edges).collect()}
