@@ -25,9 +25,9 @@ def dedupe_last(df: DataFrame, order: Sequence[Column], key: Sequence[str] = KEY
     """The last row per key in `order`; rows whose last key column (the id) is null are dropped.
 
     The planner limits every task to one row per key before the shuffle, so a key that fills a third of the
-    input does not meet in one task.
+    input does not meet in one task. The id leads the sort: fewer rows agree in it than in the collection.
     """
-    latest = Window.partitionBy(*key).orderBy(*[c.desc() for c in order])
+    latest = Window.partitionBy(*reversed(key)).orderBy(*[c.desc() for c in order])
     return (
         df.filter(F.col(key[-1]).isNotNull())
         .withColumn("_place", F.row_number().over(latest))
@@ -54,7 +54,7 @@ def mark_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY)
 
     One join: a deduped batch is partitioned by its key already, so only the stored keys are moved, each once.
     """
-    taken = stored.select(*key).distinct().withColumn("conflict", F.lit(True))
+    taken = stored.select(*reversed(key)).distinct().withColumn("conflict", F.lit(True))
     return new.join(taken, list(key), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
@@ -66,7 +66,8 @@ def split_conflicts(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY)
 
 def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Stored rows with the new ones in place of equal keys; `new` has one row per key."""
-    return stored.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+    kept = stored.join(new.select(*key), list(reversed(key)), "left_anti").select(*stored.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def replace_existing(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

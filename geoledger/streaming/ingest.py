@@ -114,9 +114,10 @@ def standing(rows: DataFrame, marks: DataFrame, at: str) -> DataFrame:
     """
     when = F.col(at).cast("timestamp") if at in marks.columns else F.lit(None).cast("timestamp")
     never = F.lit("9999-12-31 00:00:00").cast("timestamp")
-    last = marks.groupBy(*KEY).agg(F.max(F.coalesce(when, never)).alias("_marked_at"))
+    # keys in the order of the dedupe that follows
+    last = marks.groupBy(*reversed(KEY)).agg(F.max(F.coalesce(when, never)).alias("_marked_at"))
     queued = F.coalesce(_queued_at(rows), F.lit("0001-01-01 00:00:00").cast("timestamp"))
-    joined = rows.withColumn("_at", queued).join(last, list(KEY), "left")
+    joined = rows.withColumn("_at", queued).join(last, list(reversed(KEY)), "left")
     return joined.filter(F.col("_marked_at").isNull() | (F.col("_marked_at") < F.col("_at"))).select(*rows.columns)
 
 
@@ -158,5 +159,6 @@ def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     """(collection, id, error, queued_at) once per item whose latest outcome was a failure: its reason and when that version was queued."""
     if not exists(spark, path):
         return spark.createDataFrame([], DEAD_LETTERS).drop("batch_id")
-    last = spark.read.schema(DEAD_LETTERS).parquet(path).groupBy(*KEY).agg(F.max_by(F.struct("error", "queued_at"), "batch_id").alias("last"))
+    last = spark.read.schema(DEAD_LETTERS).parquet(path).groupBy(*reversed(KEY)).agg(
+        F.max_by(F.struct("error", "queued_at"), "batch_id").alias("last"))
     return last.select(*KEY, "last.error", "last.queued_at").filter(F.col("error").isNotNull())

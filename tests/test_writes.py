@@ -188,6 +188,18 @@ def test_a_batch_that_died_half_way_is_repeated(spark, tmp_path):
     assert ingest.read_dead_letters(spark, f"{path}/dead").count() == 1
 
 
+def test_key_sorts_begin_with_the_id_and_share_a_shuffle(spark):
+    rows = frame(spark, [item(1, 1), item(1, 2), item(2, 1)])
+    marks = rows.select("collection", "id", F.lit("2024-01-01").cast("timestamp").alias("withdrawn_at")).filter("id = 'i2'")
+    last = writes.dedupe_last(ingest.standing(rows, marks.hint("merge"), "withdrawn_at"), [F.col("seq")])
+    for found, shuffles in ((last, 2), (writes.mark_conflicts(writes.dedupe_last(rows, [F.col("seq")]), rows.hint("merge")), 2),
+                            (writes.upsert(rows, rows), 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id#") == plan.count("Exchange hashpartitioning(") == shuffles
+        assert "Sort [id#" in plan and "Sort [collection#" not in plan
+    assert content(last) == {("c1", "i1"): ""}
+
+
 def test_withdrawn_items_can_be_queued_again(spark, tmp_path):
     """Withdraw, queue again, drain: the item is stored. Times are those of the files."""
     import time
