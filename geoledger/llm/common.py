@@ -41,6 +41,34 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Bits of a row of a bitmap, bits per id, and most bits in all: beyond, more rows are taken for near ones.
+BITMAP_ROW = 1 << 15
+BITS_PER_ID = 16
+MOST_BITS = 1 << 29
+
+
+def parted(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` whose key is surely not in the one column of `ids`, and all others; nothing of `df` is moved.
+
+    The ids are brought together as a bitmap of their hashes, two bytes per id, which is broadcast. Up to a 16th of the
+    rows without a match are among the others, so joins with `ids` still decide, but over few rows.
+    """
+    bits = min(MOST_BITS, 1 << max(BITMAP_ROW.bit_length() - 1, (BITS_PER_ID * ids.count()).bit_length()))
+    bucket, bitmap, here, hit = (free_name(df.columns, x) for x in ("bucket", "bitmap", "here", "hit"))
+
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(bits))
+
+    at = place(F.col(ids.columns[0]).cast("long"))
+    maps = ids.groupBy(F.floor(at / BITMAP_ROW).alias(bucket)).agg(F.bitmap_construct_agg(at % BITMAP_ROW).alias(bitmap))
+    marked = df.withColumn(here, place(key)).withColumn(bucket, F.floor(F.col(here) / BITMAP_ROW)).join(
+        F.broadcast(materialised(maps)), bucket, "left")
+    within = (F.col(here) % BITMAP_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn(hit, F.coalesce(F.getbit(byte, within % 8) == 1, F.lit(False)))
+    return tuple(marked.filter(c).select(*df.columns) for c in (~F.col(hit), F.col(hit)))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], place: str, total: str | None = None) -> DataFrame:
     """The rows with their place within the group, from 0, and the group's count as `total`.
 

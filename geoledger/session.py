@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -91,6 +92,16 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do may put off for longer than the
+    disks last.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _bytes(df: DataFrame) -> Column:
     """Size of a row: text and nested values by their length, everything else as eight bytes."""
     size = F.lit(0)
