@@ -506,10 +506,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     named = classes(docs, key, text, **options).filter("doc_id IS NOT NULL")
     flags = named.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     flags = flags.select(F.col("doc_id").alias("_id"), (F.col("least") != F.col("doc_id")).alias("_go")).where("least <> doc_id OR rows > 1")
-    flags = broadcast_if_small(materialised(flags))
-    flagged = docs.join(flags, docs[key].cast("long") == flags["_id"], "left")
-    alone = flagged.filter(flags["_go"].isNull()).select(*[docs[c] for c in docs.columns])
+    flags = materialised(flags)
+    swept(docs.sparkSession)
+    key_ = docs[key].cast("long")
+    # rows whose id surely has no flag stay where they are
+    apart, near = parted(docs, key_, flags.select("_id"))
+    alone = apart.unionByName(near.join(broadcast_if_small(flags.select("_id")), key_ == F.col("_id"), "left_anti"))
+    repeated = broadcast_if_small(materialised(flags.filter(~F.col("_go")).select("_id")))
     number = free_name(docs.columns, "number")
-    several = flagged.filter(~flags["_go"]).select(*[docs[c] for c in docs.columns])
+    several = near.join(repeated, key_ == F.col("_id"), "left_semi")
     several = several.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text))))
     return alone.unionByName(several.filter(F.col(number) == 1).drop(number))
