@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoledger.functions.times import rfc3339
+from geoledger.operators import validation
 from geoledger.operators.writes import dedupe_last
 from geoledger.session import materialised
 from geoledger.sources import sample, store
@@ -46,10 +48,34 @@ def dead_letters(spark, sf_dir):
     return ingest.read_dead_letters(spark, dead).select("id", "collection", "error")
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """The rows with a position, as a box without extent."""
+    lon = (F.col("l_partkey") * 37 % 3600).cast("double") / 10 - 180
+    lat = (F.col("l_suppkey") * 53 % 1700).cast("double") / 10 - 85
+    return rows.withColumns({"minx": lon, "miny": lat, "maxx": lon, "maxy": lat})
+
+
+def posted(df: DataFrame) -> Column:
+    """The document (VARIANT) that a row with a position was posted as."""
+    times = [rfc3339(F.col(c)).alias(c) for c in ("datetime", "start_datetime", "end_datetime")]
+    point = F.struct(F.lit("Point").alias("type"), F.array("minx", "miny").alias("coordinates"))
+    return F.parse_json(F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), "id", "collection", point.alias("geometry"),
+        F.array("minx", "miny", "maxx", "maxy").alias("bbox"), F.struct(*times).alias("properties"),
+        F.array().cast("array<string>").alias("links"), F.create_map().cast("map<string,string>").alias("assets"),
+    ), {"ignoreNullFields": "false"}))
+
+
+def every_rule(df: DataFrame) -> Column:
+    """Schema of the document, which is built once per row, then time, then topology."""
+    schema = F.get(F.transform(F.array(posted(df)), lambda document: validation.schema_error(document)), F.lit(0))
+    return F.coalesce(schema, validation.item_error(df))
+
+
 @case("st_validate", "SELECT id, l_quantity FROM last_v", views=LINES)
-def unvalidated(spark, sf_dir):
-    # rows that were checked before they were queued are written as they are
-    target, _ = drain(spark, batch(spark, sf_dir), error=lambda df: F.lit(None).cast("string"))
+def validated(spark, sf_dir):
+    # rows that were not checked before they were queued are checked by the stream, which stores the valid ones
+    target, _ = drain(spark, located(batch(spark, sf_dir)), error=every_rule)
     return store.read_items(spark, target).select("id", "l_quantity")
 
 
